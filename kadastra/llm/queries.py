@@ -10,10 +10,26 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, quality, resharding, tiff
+from . import (
+    chat_format,
+    decontaminate,
+    license_scan,
+    ngram_join,
+    pii,
+    piece_codec,
+    quality,
+    resharding,
+    tiff,
+    warc,
+)
 from ._common import map_rows, table, text_of
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -102,6 +118,10 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_rows(text_of(table(spark, sf_dir, "documents"), "doc_id"), make, _OP5)
 
 
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -113,11 +133,33 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses_of(table(spark, sf_dir, "pages")))
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_classes(table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a contaminated document."""
+    return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op2_license_scan, op3_resharding, op4_chat_format, op5_tiff, op7_quality)
-    }
+        for f in (
+            op1_pii_surrogates, op2_license_scan, op3_resharding, op4_chat_format, op5_tiff, op6_piece_codec,
+            op7_quality, op8_warc_derivatives, op9_ngram_join, op10_decontaminate,
+        )
+    } | {"pipeline": _pipeline}
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def _sql_escape(c: str) -> str:
