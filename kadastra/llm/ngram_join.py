@@ -198,6 +198,40 @@ def _whole_sets(docs: DataFrame, counts, wanted) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, tokens array<long>")
 
 
+def _buckets(tokens: DataFrame) -> DataFrame:
+    """token, doc_id, n, pivot and pivot_n (the bucket's smallest id) of every row of ``tokens`` whose bucket has
+    a second member.  Rows come sorted, so a task holds a batch and the first row of a bucket."""
+    ddl = "token long, doc_id long, n long, pivot long, pivot_n long"
+    schema = pa_schema(ddl)
+
+    def run(batches):
+        last: tuple[int, int, int] | None = None  # token, id and n of the first row of the bucket that is open
+        told = False  # whether that first row has been passed on
+        for batch in batches:
+            tok, doc, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if not len(tok):
+                continue
+            if last is not None and not (told and tok[0] == last[0]):
+                tok, doc, n = np.r_[last[0], tok], np.r_[last[1], doc], np.r_[last[2], n]
+                told = False
+            starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
+            sizes = np.diff(np.r_[starts, len(tok)])
+            pivot, pivot_n = np.repeat(doc[starts], sizes), np.repeat(n[starts], sizes)
+            keep = np.repeat(sizes, sizes) > 1
+            if told:  # the batch goes on with a bucket whose first row is out
+                pivot[: sizes[0]], pivot_n[: sizes[0]], keep[: sizes[0]] = last[1], last[2], True
+            if len(starts) > 1 or not told:
+                k = starts[-1]
+                last, told = (int(tok[k]), int(doc[k]), int(n[k])), bool(sizes[-1] > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tok, doc, n, pivot, pivot_n)], schema=schema)
+
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        tokens.select("token", "doc_id", "n").repartition(parts, "token").sortWithinPartitions("token", "doc_id")
+        .mapInArrow(run, ddl)
+    )
+
+
 class Trie:
     """Path-compressed trie over ordered sets.
 
@@ -383,13 +417,7 @@ def join_classes(documents: DataFrame) -> DataFrame:
     known = docs.filter("doc_id is not null")
     prefixes = cut(_prefixes(known, counts).filter("n > 0").join(nodes, "doc_id"))
     tokens = prefixes.select("doc_id", "n", F.explode("prefix").alias("token"))
-    buckets = cut(
-        tokens.groupBy("token")
-        .agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("low"), F.max("doc_id").alias("high"))
-        .filter("low.doc_id <> high")
-        .select("token", "m", F.col("low.doc_id").alias("pivot"), F.col("low.n").alias("pivot_n"))
-    )
-    met = cut(tokens.join(buckets, "token"))
+    met = cut(_buckets(tokens))
     wanted = spark.sparkContext.broadcast(_bitmap(met.select("doc_id").distinct()))
     sets = cut(_whole_sets(known, counts, wanted))
     near = F.expr(f"100 * least(n, other_n) >= {THRESHOLD} * greatest(n, other_n)")
@@ -406,12 +434,17 @@ def join_classes(documents: DataFrame) -> DataFrame:
     classes = components(links)
 
     labelled = cut(
-        met.select("token", "m", "doc_id", "n")
+        met.select("token", "doc_id", "n")
         .join(classes, F.col("doc_id") == F.col("node"), "left")
-        .select("token", "m", "doc_id", "n", F.coalesce("root", "doc_id").alias("class"))
+        .select("token", "doc_id", "n", F.coalesce("root", "doc_id").alias("class"))
+    )
+    mixed = (
+        labelled.groupBy("token")
+        .agg(F.count("*").alias("m"), F.min("class").alias("x"), F.max("class").alias("y"))
+        .filter("x <> y")
+        .select("token", "m")
     )
-    mixed = labelled.groupBy("token").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y")
-    left = labelled.join(mixed.select("token"), "token")
+    left = cut(labelled.join(mixed, "token"))
     few = left.filter(F.col("m") <= SMALL)
     pairs = (
         few.select("token", F.col("doc_id").alias("node"), "n", "class")
