@@ -312,7 +312,7 @@ def footprint_area(spark, d):
     return programme.footprint_area(e).select("id", "footprint", "how")
 
 
-@query(f"select id, round(size * 10.0 * case when size % 5 = 0 then 2.0 when size % 5 = 1 then 1.0 when size % 5 = 2 then 0.6 else 1.5 end, 1) target_gfa_m2 from ({fx('fx_zone')})")
+@query(f"select id, round(cast(size as double) * 10 * case when size % 5 = 0 then 2.0 when size % 5 = 1 then 1.0 when size % 5 = 2 then 0.6 else 1.5 end, 1) target_gfa_m2 from ({fx('fx_zone')})")
 def default_gfa(spark, d):
     s = F.col("size") % 5
     z = view(spark, d, "fx_zone").select("id", (F.col("size") * 10.0).cast("double").alias("area"), F.lit(None).cast("double").alias("target_gfa_m2"),

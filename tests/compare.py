@@ -53,6 +53,13 @@ def duck(sf_dir: str):
     return con
 
 
+def _kind(name: str) -> str:
+    name = name.lower().split("(")[0]
+    if name in ("bigint", "int", "integer", "long", "smallint", "tinyint"):
+        return "int"
+    return {"float": "double", "varchar": "string", "bool": "boolean"}.get(name, name)
+
+
 def differences(df, sql: str, sf_dir: str) -> str:
     """Empty when both give the same rows."""
     cur = duck(sf_dir).execute(sql)
@@ -60,6 +67,10 @@ def differences(df, sql: str, sf_dir: str) -> str:
     want, got = bag(names, cur.fetchall()), bag(df.columns, df.collect())
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} against {sorted(names)}"
+    theirs = {d[0]: _kind(str(d[1])) for d in cur.description}
+    kinds = [(c, t, theirs[c]) for c, t in df.dtypes if _kind(t) != theirs[c] and "timestamp" not in t]
+    if kinds:
+        return f"types {kinds}"
     if want == got:
         return ""
     return f"{sum(got.values())} rows against {sum(want.values())}; only Spark {list((got - want).items())[:2]}; only DuckDB {list((want - got).items())[:2]}"
