@@ -6,7 +6,8 @@ A document's set holds the hashes of its distinct runs of five words.  Two docum
 1. Equal sets collapse to the smallest id; from here on a set has one representative.
 2. A global order of shingles, rare before frequent, comes from a table of counts of fixed size
    (``SLOTS``); any fixed order gives exact results, this one keeps common passages out of prefixes.
-3. Linked sets share a shingle among the first |A| - ceil(0.8 |A|) + 1 of each, so only those meet.
+3. Linked sets share a shingle among the first |A| - ceil(0.8 |A|) + 1 of each, so only those meet, and only where
+   the places of the shared shingle leave enough of both sets behind it.
    First every set meets the smallest id of each of its buckets.  What those links join needs no more
    work; buckets that still hold several classes are then finished: small ones pair by pair of different
    classes, large ones by pairs of chunks.
@@ -198,36 +199,54 @@ def _whole_sets(docs: DataFrame, counts, wanted) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, tokens array<long>")
 
 
+def _reach(n: np.ndarray, pos: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes n and m can link when their first common shingle is at places ``pos`` and ``other``."""
+    return np.minimum(n - pos, m - other) * (100 + THRESHOLD) >= THRESHOLD * (n + m)
+
+
 def _buckets(tokens: DataFrame) -> DataFrame:
-    """token, doc_id, n, pivot and pivot_n (the bucket's smallest id) of every row of ``tokens`` whose bucket has
-    a second member.  Rows come sorted, so a task holds a batch and the first row of a bucket."""
-    ddl = "token long, doc_id long, n long, pivot long, pivot_n long"
+    """Rows of ``tokens`` (token, doc_id, size: set size and place of the token in one number) whose bucket has a
+    second member that they may link with, and the bucket's smallest id as pivot.
+
+    The first shingle that two linked sets share is so early in both that the rest of either still holds the needed
+    overlap; two members that this rules out are dropped here, and so are buckets without an early member.  Rows come
+    sorted, so a task holds a batch and the first row of a bucket."""
+    ddl = "token long, doc_id long, n long, pos long, pivot long, pivot_n long, pivot_pos long"
     schema = pa_schema(ddl)
 
     def run(batches):
-        last: tuple[int, int, int] | None = None  # token, id and n of the first row of the bucket that is open
+        last: tuple[int, int, int] | None = None  # the first row of the bucket that is open
         told = False  # whether that first row has been passed on
         for batch in batches:
-            tok, doc, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            tok, doc, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if not len(tok):
                 continue
             if last is not None and not (told and tok[0] == last[0]):
-                tok, doc, n = np.r_[last[0], tok], np.r_[last[1], doc], np.r_[last[2], n]
+                tok, doc, size = np.r_[last[0], tok], np.r_[last[1], doc], np.r_[last[2], size]
                 told = False
+            n, pos = size >> 32, size & 0xFFFFFFFF
             starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
             sizes = np.diff(np.r_[starts, len(tok)])
-            pivot, pivot_n = np.repeat(doc[starts], sizes), np.repeat(n[starts], sizes)
-            keep = np.repeat(sizes, sizes) > 1
+            ends = starts + sizes - 1
+            alive = sizes > 1
+            alive &= np.logical_or.reduceat((n - pos) * (100 + THRESHOLD) >= 2 * THRESHOLD * n, starts)
+            alive &= (sizes > 2) | _reach(n[starts], pos[starts], n[ends], pos[ends])
+            if sizes[-1] > 1 and not (len(starts) == 1 and told):
+                alive[-1] = True  # the bucket may go on in the next batch
+            pivot = [np.repeat(x[starts], sizes) for x in (doc, n, pos)]
+            keep = np.repeat(alive, sizes)
             if told:  # the batch goes on with a bucket whose first row is out
-                pivot[: sizes[0]], pivot_n[: sizes[0]], keep[: sizes[0]] = last[1], last[2], True
+                for x, v in zip(pivot, (last[1], last[2] >> 32, last[2] & 0xFFFFFFFF), strict=True):
+                    x[: sizes[0]] = v
+                keep[: sizes[0]] = True
             if len(starts) > 1 or not told:
                 k = starts[-1]
-                last, told = (int(tok[k]), int(doc[k]), int(n[k])), bool(sizes[-1] > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tok, doc, n, pivot, pivot_n)], schema=schema)
+                last, told = (int(tok[k]), int(doc[k]), int(size[k])), bool(sizes[-1] > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tok, doc, n, pos, *pivot)], schema=schema)
 
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        tokens.select("token", "doc_id", "n").repartition(parts, "token").sortWithinPartitions("token", "doc_id")
+        tokens.select("token", "doc_id", "size").repartition(parts, "token").sortWithinPartitions("token", "doc_id")
         .mapInArrow(run, ddl)
     )
 
@@ -416,13 +435,16 @@ def join_classes(documents: DataFrame) -> DataFrame:
     nodes = reps.select(F.col("rep").alias("doc_id")).distinct()
     known = docs.filter("doc_id is not null")
     prefixes = cut(_prefixes(known, counts).filter("n > 0").join(nodes, "doc_id"))
-    tokens = prefixes.select("doc_id", "n", F.explode("prefix").alias("token"))
+    tokens = prefixes.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).select(
+        "token", "doc_id", F.expr("shiftleft(n, 32) | pos").alias("size")
+    )
     met = cut(_buckets(tokens))
     wanted = spark.sparkContext.broadcast(_bitmap(met.select("doc_id").distinct()))
     sets = cut(_whole_sets(known, counts, wanted))
-    near = F.expr(f"100 * least(n, other_n) >= {THRESHOLD} * greatest(n, other_n)")
+    # the same test as _reach; it includes the one on sizes
+    near = F.expr(f"least(n - pos, other_n - other_pos) * {100 + THRESHOLD} >= {THRESHOLD} * (n + other_n)")
     first = (
-        met.withColumnRenamed("pivot_n", "other_n")
+        met.withColumnsRenamed({"pivot_n": "other_n", "pivot_pos": "other_pos"})
         .filter(near & F.expr("doc_id <> pivot"))
         .select(
             F.col("pivot").alias("probe"), F.col("doc_id").alias("node"),
@@ -434,9 +456,9 @@ def join_classes(documents: DataFrame) -> DataFrame:
     classes = components(links)
 
     labelled = cut(
-        met.select("token", "doc_id", "n")
+        met.select("token", "doc_id", "n", "pos")
         .join(classes, F.col("doc_id") == F.col("node"), "left")
-        .select("token", "doc_id", "n", F.coalesce("root", "doc_id").alias("class"))
+        .select("token", "doc_id", "n", "pos", F.coalesce("root", "doc_id").alias("class"))
     )
     mixed = (
         labelled.groupBy("token")
@@ -447,8 +469,8 @@ def join_classes(documents: DataFrame) -> DataFrame:
     left = cut(labelled.join(mixed, "token"))
     few = left.filter(F.col("m") <= SMALL)
     pairs = (
-        few.select("token", F.col("doc_id").alias("node"), "n", "class")
-        .join(few.select("token", F.col("doc_id").alias("probe"), F.col("n").alias("other_n"), F.col("class").alias("probe_class")), "token")
+        few.select("token", F.col("doc_id").alias("node"), "n", "pos", "class")
+        .join(few.select("token", F.col("doc_id").alias("probe"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("class").alias("probe_class")), "token")
         .filter(near & F.expr("probe < node and class <> probe_class"))
         .select("probe", "node", "probe_class", "class")
         .distinct()
