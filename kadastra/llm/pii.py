@@ -71,12 +71,12 @@ _SECRET = re.compile(
 _HEXRUN = re.compile(r"(?<![0-9A-Za-z])(?=[a-fA-F]*\d)(?=\d*[a-fA-F])[0-9a-fA-F]{32,}(?![0-9A-Za-z])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _PHONE = re.compile(
-    r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}"
+    r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?\d{2,4}[ .-]?\d{2,4}(?:[.-]\d{2,4})?|\d{1,4}(?:[ .-]?\d{2,4}){1,4})|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}"
     r"|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"
 )
 _IP = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-_NUMBER = re.compile(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)")
+_NUMBER = re.compile(r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)")
 _NAME = re.compile(r"\b(" + "|".join(TITLES) + r")\b(\.?[  ]+)([^\W\d_][\w'’-]*(?:[  ][^\W\d_][\w'’-]*){0,2})")
 _DIGIT = re.compile(r"\d")
 _ASSIGN = re.compile(r"[=:]")
@@ -312,8 +312,13 @@ def registry(found: DataFrame, key: bytes = KEY) -> DataFrame:
     raise RuntimeError("surrogates still collide")
 
 
-def replace_entities(documents: DataFrame, key: bytes = KEY, broadcast_limit: int = BROADCAST_ENTITIES) -> DataFrame:
-    """``documents`` with surrogates in ``text``, and n_entities (int) and kinds (string) added at the end."""
+def replace_entities(
+    documents: DataFrame, key: bytes = KEY, broadcast_limit: int = BROADCAST_ENTITIES, report: bool = True
+) -> DataFrame:
+    """``documents`` with surrogates in ``text``; with ``report`` n_entities (int) and kinds (string) at the end, in
+    place of columns of these names."""
+    if report:
+        documents = documents.drop("n_entities", "kinds")
     found = _entities(documents)
     moved = cut(registry(found, key).filter("attempt > 0").select("kind", "canon", "attempt"))
     n = moved.count()
@@ -334,7 +339,9 @@ def replace_entities(documents: DataFrame, key: bytes = KEY, broadcast_limit: in
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import IntegerType, StringType, StructType
 
-    kept = StructType([*documents.schema.fields]).add("n_entities", IntegerType()).add("kinds", StringType())
+    kept = StructType([*documents.schema.fields])
+    if report:
+        kept = kept.add("n_entities", IntegerType()).add("kinds", StringType())
     schema = to_arrow_schema(kept)
     at_text, at_moved = names.index("text"), len(names)
 
@@ -352,6 +359,8 @@ def replace_entities(documents: DataFrame, key: bytes = KEY, broadcast_limit: in
                     kinds.append(",".join(sorted({k.split("-")[0] for _, _, k in spans})))
                 cols = [b.column(i).cast(schema[i].type) for i in range(len(names))]
                 cols[at_text] = pa.array(texts, schema[at_text].type)
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int32()), pa.array(kinds, pa.string())], schema=schema)
+                if report:
+                    cols += [pa.array(counts, pa.int32()), pa.array(kinds, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     return docs.mapInArrow(run, kept)
