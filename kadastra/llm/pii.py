@@ -82,45 +82,50 @@ _DIGIT = re.compile(r"\d")
 _ASSIGN = re.compile(r"[=:]")
 
 
+def _without(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with the spans blotted out, so that no later match reaches into them."""
+    if not spans:
+        return text
+    out, at = [], 0
+    for a, b, _ in sorted(spans):
+        out += [text[at:a], chr(1) * (b - a)]
+        at = b
+    return "".join([*out, text[at:]])
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities, in order, without overlaps; earlier kinds win."""
     found: list[tuple[int, int, str]] = []
-
-    def add(a: int, b: int, kind: str) -> None:
-        if all(b <= x or a >= y for x, y, _ in found):
-            found.append((a, b, kind))
-
     if "@" in text:
-        for m in _EMAIL.finditer(text):
-            add(*m.span(), "email")
+        found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
     if _ASSIGN.search(text):
-        for m in _SECRET.finditer(text):
-            add(*m.span(1), "secret")
+        found += [(*m.span(1), "secret") for m in _SECRET.finditer(_without(text, found))]
     if _DIGIT.search(text):
         for pattern, kind in (
             (_HEXRUN, "secret"), (_IBAN, "iban"), (_IP, "ip"), (_PHONE, "phone"), (_SSN, "ssn"), (_NUMBER, "number")
         ):
-            for m in pattern.finditer(text):
-                if kind != "ip" or all(int(x) < 256 for x in m[0].split(".")):
-                    add(*m.span(), kind)
+            found += [
+                (*m.span(), kind)
+                for m in pattern.finditer(_without(text, found))
+                if kind != "ip" or all(int(x) < 256 for x in m[0].split("."))
+            ]
     names: dict[str, str] = {}
+    left = None
     for m in _NAME.finditer(text):
+        left = left or _without(text, found)
         at, words = m.start(3), []
-        for w in re.split("([  ])", m[3]):
+        for w in re.split("([ \xa0])", m[3]):
             if w.strip():
-                if not w[0].isupper():
+                if not w[0].isupper() or left[at] == chr(1):
                     break
-                words.append((at, w))
+                words.append(w)
             at += len(w)
-        for i, (at, w) in enumerate(words):
+        for i, w in enumerate(words):
             # a family name has one surrogate whoever bears it
-            kind = f"name-given-{TITLES[m[1]]}" if i < len(words) - 1 else "name-family-"
-            kind = names.setdefault(w, kind)
-            add(at, at + len(w), kind)
+            names.setdefault(w, f"name-given-{TITLES[m[1]]}" if i < len(words) - 1 else "name-family-")
     if names:
-        for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b", text):
-            if len(m[0]) > 2:
-                add(*m.span(), names[m[0]])
+        one = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b")
+        found += [(*m.span(), names[m[0]]) for m in one.finditer(left) if len(m[0]) > 1]
     return sorted(found)
 
 
