@@ -154,12 +154,12 @@ def matches(text: Column, patterns: dict[str, list[str]]) -> Column:
     """array<struct<category, pattern, pos, quote, num>> of all matches of all patterns."""
 
     def one(category: str, k: int, p: str) -> Column:
-        whole, value = F.regexp_extract_all(text, F.lit(java(p)), F.lit(0)), F.regexp_extract_all(text, F.lit(java(p)), F.lit(1))
+        # the number is taken from the short match, so each pattern reads the text once
         return F.transform(
-            F.arrays_zip(whole.alias("q"), value.alias("v")),
-            lambda x, i: F.struct(
-                F.lit(category).alias("category"), F.lit(k).alias("pattern"), i.alias("pos"),
-                x["q"].alias("quote"), x["v"].alias("num"),
+            F.regexp_extract_all(text, F.lit(java(p)), F.lit(0)),
+            lambda q, i: F.struct(
+                F.lit(category).alias("category"), F.lit(k).alias("pattern"), i.alias("pos"), q.alias("quote"),
+                F.regexp_extract(q, java(p), 1).alias("num"),
             ),
         )
 
