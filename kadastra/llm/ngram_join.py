@@ -38,8 +38,10 @@ from ._common import LOWER_TABLE, cut, pa_schema, text_of
 WORDS = 5
 THRESHOLD = 80  # hundredths
 #: Slots of the count table and of the candidate bitmap: a fixed size that is broadcast.
-SLOTS = 1 << 20
+SLOTS = 1 << 24
 _CHUNKS = 64
+#: Tokens of a trie's edge that are compared before the bounds are looked at again.
+STEP = 24
 #: Members of a trie that one probe walks, members of a bucket that are paired directly, and of a chunk.
 MEMBERS, SMALL, CHUNK = 64, 64, 512
 #: Dropped ids that may be broadcast; beyond it the anti-join shuffles.
@@ -82,8 +84,19 @@ def in_order(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _pack_counts(counts: np.ndarray) -> list[tuple[int, bytes]]:
-    parts = counts.reshape(_CHUNKS, -1)
-    return [(i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(parts) if p.any()]
+    """(chunk, packed slots and counts) of the chunks that hold something."""
+    return [(i, _pack(part)) for i, part in enumerate(counts.reshape(_CHUNKS, -1)) if part.any()]
+
+
+def _pack(part: np.ndarray) -> bytes:
+    at = np.flatnonzero(part)  # gaps between slots are small numbers, which pack well
+    return zlib.compress(np.diff(at, prepend=0).astype("<u4").tobytes() + part[at].astype("<i8").tobytes(), 1)
+
+
+def _add_counts(into: np.ndarray, packed: bytes) -> None:
+    raw = zlib.decompress(packed)
+    n = len(raw) // 12
+    into[np.cumsum(np.frombuffer(raw, "<u4", n).astype(np.int64))] += np.frombuffer(raw, "<i8", n, 4 * n)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -104,7 +117,7 @@ def _survey(docs: DataFrame) -> DataFrame:
     schema = pa_schema("doc_id long, n long, sig binary, chunk int, counts binary")
 
     def run(batches):
-        counts = np.zeros(SLOTS, np.int64)
+        counts = np.zeros(SLOTS, np.int32)
         for batch in batches:
             for ids, texts in _slices(batch):
                 n, sig, got = [], [], []
@@ -113,7 +126,7 @@ def _survey(docs: DataFrame) -> DataFrame:
                     n.append(len(s))
                     sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     got.append(s)
-                counts += np.bincount(_slots(np.concatenate(got)), minlength=SLOTS)
+                np.add.at(counts, _slots(np.concatenate(got)), 1)
                 none = pa.nulls(len(ids))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
@@ -131,30 +144,37 @@ def _survey(docs: DataFrame) -> DataFrame:
 def _sum_counts(df: DataFrame) -> np.ndarray:
     """Adds up (chunk, counts) rows task by task; the result has SLOTS numbers whatever the input."""
     schema = pa_schema("chunk int, counts binary")
+    size = SLOTS // _CHUNKS
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(zlib.decompress(packed), np.int64)
-                total[chunk] = total[chunk] + x if chunk in total else x
-        rows = [(c, zlib.compress(x.tobytes(), 1)) for c, x in total.items()]
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if chunk not in total:
+                    total[chunk] = np.zeros(size, np.int64)
+                _add_counts(total[chunk], packed.as_py())
+        rows = [(c, _pack(x)) for c, x in total.items()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([c for c, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], schema=schema
         )
 
-    out = np.zeros((_CHUNKS, SLOTS // _CHUNKS), np.int64)
-    for r in df.repartition(_CHUNKS, "chunk").mapInArrow(run, "chunk int, counts binary").collect():
-        out[r.chunk] += np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
+    out = np.zeros((_CHUNKS, size), np.int64)
+    for r in df.repartition(_CHUNKS, "chunk").mapInArrow(run, "chunk int, counts binary").toLocalIterator():
+        _add_counts(out[r.chunk], bytes(r.counts))
     return out.reshape(-1)
 
 
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """Counts on a scale of quarter powers of two, one byte each; all the order needs."""
+    return (4 * np.log2(1.0 + counts)).astype(np.uint8)
+
+
 def _bitmap(ids: DataFrame) -> np.ndarray:
     """Which slots the ids of a one-column frame fall into."""
     schema = pa_schema("chunk int, counts binary")
 
     def run(batches):
-        seen = np.zeros(SLOTS, np.int64)
+        seen = np.zeros(SLOTS, np.int8)
         for batch in batches:
             seen[_slots(_spread(batch.column(0).to_numpy(zero_copy_only=False)))] = 1
         packed = _pack_counts(seen)
@@ -310,13 +330,20 @@ class Trie:
                 continue
             if 100 * large < t * nq or 100 * nq < t * small:
                 continue
-            for x in label.tolist():
-                at = place.get(x)
-                if at is not None:
-                    over += 1
-                    rest = nq - at - 1
-            # 100 * I >= t * (nq + n - I)  <=>  u * I >= t * (nq + n)
-            if u * (over + rest) < t * (nq + small) or u * (over + large - depth) < t * (nq + large):
+            done, alive = depth - len(label), True
+            for k in range(0, len(label), STEP):
+                step = label[k : k + STEP].tolist()
+                done += len(step)
+                for x in step:
+                    at = place.get(x)
+                    if at is not None:
+                        over += 1
+                        rest = nq - at - 1
+                # 100 * I >= t * (nq + n - I)  <=>  u * I >= t * (nq + n)
+                if u * (over + rest) < t * (nq + small) or u * (over + large - done) < t * (nq + large):
+                    alive = False
+                    break
+            if not alive:
                 continue
             for i in ends:
                 if u * over >= t * (nq + depth) and not skip(self.sets[i][1]):
@@ -430,7 +457,7 @@ def join_classes(documents: DataFrame) -> DataFrame:
     docs = text_of(documents, F.col("doc_id").cast("long").alias("doc_id"))
     survey = cut(_survey(docs))
     rows = survey.filter("chunk is null").select("doc_id", "n", "sig")
-    counts = spark.sparkContext.broadcast(_sum_counts(survey.filter("chunk is not null").select("chunk", "counts")))
+    counts = spark.sparkContext.broadcast(_ranks(_sum_counts(survey.filter("chunk is not null").select("chunk", "counts"))))
     reps = rows.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     nodes = reps.select(F.col("rep").alias("doc_id")).distinct()
     known = docs.filter("doc_id is not null")
