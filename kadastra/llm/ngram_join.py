@@ -274,10 +274,10 @@ def _buckets(tokens: DataFrame) -> DataFrame:
 class Trie:
     """Path-compressed trie over ordered sets.
 
-    ``sets`` are (label, class, tokens in one global order).  A node has the tokens on its edge, its depth,
+    ``sets`` are (label, class, tokens in one global order, anything else).  A node has the tokens on its edge, its depth,
     the smallest and largest set below, and the class below if it is one only."""
 
-    def __init__(self, sets: list[tuple[int, int, np.ndarray]]):
+    def __init__(self, sets: list[tuple]):
         self.sets = sorted(sets, key=lambda x: x[2].astype(">i8").tobytes())
         arrays = [x[2] for x in self.sets]
         common = [0] * (len(arrays) + 1)  # common[i]: length shared by i - 1 and i
@@ -312,20 +312,24 @@ class Trie:
                 work.append((at, end, shared, children))
                 at = end
             into.append(
-                (label, shared, min(sizes), max(sizes), classes.pop() if len(classes) == 1 else None, ends, children)
+                (label, shared, min(sizes), max(sizes), classes.pop() if len(classes) == 1 else None, ends, children, lo, hi)
             )
         return stack_root[0]
 
-    def probe(self, tokens: np.ndarray, skip=lambda c: False) -> Iterator[int]:
-        """Indices into ``sets`` of those that reach the threshold with ``tokens``."""
+    def probe(self, tokens: np.ndarray, skip=lambda c: False, may: np.ndarray | None = None) -> Iterator[int]:
+        """Indices into ``sets`` of those that reach the threshold with ``tokens``; subtrees in which ``may`` (a flag
+        a set) rules out all are left."""
         if self.root is None:
             return
+        upto = [0, *np.cumsum(may).tolist()] if may is not None else None
         nq = len(tokens)
         place = {t: i for i, t in enumerate(tokens.tolist())}
         t, u = THRESHOLD, 100 + THRESHOLD
         work = [(self.root, 0, nq)]  # node, overlap above it, tokens of the probe that can still match
         while work:
-            (label, depth, small, large, cls, ends, children), over, rest = work.pop()
+            (label, depth, small, large, cls, ends, children, lo, hi), over, rest = work.pop()
+            if upto is not None and upto[lo] == upto[hi]:
+                continue
             if cls is not None and skip(cls):
                 continue
             if 100 * large < t * nq or 100 * nq < t * small:
@@ -346,14 +350,15 @@ class Trie:
             if not alive:
                 continue
             for i in ends:
-                if u * over >= t * (nq + depth) and not skip(self.sets[i][1]):
+                if u * over >= t * (nq + depth) and (may is None or may[i]) and not skip(self.sets[i][1]):
                     yield i
             work.extend((c, over, rest) for c in children)
 
 
 def _compare(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Links found within blocks: rows (keys, role, node, class, tokens), where role 1 probes, 0 is stored,
-    2 is both.  Blocks are bounded, so a task holds one at a time."""
+    """Links found within blocks: rows (keys, role, node, class, pos, tokens), where role 1 probes, 0 is stored,
+    2 is both, and pos is the place of the first shingle that the block's sets share (0 where that is not known).
+    Blocks are bounded, so a task holds one at a time."""
     k = len(keys)
     schema = pa_schema("a long, b long")
     parent: dict[int, int] = {}
@@ -367,13 +372,18 @@ def _compare(blocks: DataFrame, keys: list[str]) -> DataFrame:
                 x = parent[x]
             return x
 
-        trie = Trie([(node, cls, tok) for role, node, cls, tok in rows if role != 1])
+        trie = Trie([(node, cls, tok, pos) for role, node, cls, pos, tok in rows if role != 1])
+        sizes = np.array([len(x[2]) for x in trie.sets])
+        places, classes = (np.array([x[i] for x in trie.sets]) for i in (3, 1))
         out = []
-        for role, node, cls, tok in rows:
+        for role, node, cls, pos, tok in rows:
             if role == 0:
                 continue
-            for i in trie.probe(tok, lambda c, cls=cls: find(c) == find(cls)):
-                other, oc, _ = trie.sets[i]
+            may = _reach(len(tok), pos, sizes, places) & (classes != cls)
+            if not may.any():
+                continue
+            for i in trie.probe(tok, lambda c, cls=cls: find(c) == find(cls), may):
+                other, oc = trie.sets[i][:2]
                 if other != node:
                     out.append((min(node, other), max(node, other)))
                     parent[find(oc)] = find(cls)
@@ -382,15 +392,15 @@ def _compare(blocks: DataFrame, keys: list[str]) -> DataFrame:
     def run(batches):
         key, rows, found = None, [], []
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns[: k + 3]]
-            lists = batch.column(k + 3)
+            cols = [c.to_pylist() for c in batch.columns[: k + 4]]
+            lists = batch.column(k + 4)
             flat, off = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             for i in range(batch.num_rows):
                 here = tuple(c[i] for c in cols[:k])
                 if here != key:
                     found += solve(rows) if rows else []
                     key, rows = here, []
-                rows.append((cols[k][i], cols[k + 1][i], cols[k + 2][i], flat[off[i] : off[i + 1]].copy()))
+                rows.append((cols[k][i], cols[k + 1][i], cols[k + 2][i], cols[k + 3][i], flat[off[i] : off[i + 1]].copy()))
         found += solve(rows) if rows else []
         yield pa.RecordBatch.from_arrays(
             [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=schema
@@ -400,7 +410,7 @@ def _compare(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return (
         blocks.repartition(n, *keys)
         .sortWithinPartitions(*keys, "role")
-        .select(*keys, "role", "node", "class", "tokens")
+        .select(*keys, "role", "node", "class", "pos", "tokens")
         .mapInArrow(run, "a long, b long")
         .distinct()
     )
@@ -414,12 +424,12 @@ def _compare_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         pairs.join(count.drop("probe_class"), "probe")
         .select("probe", F.pmod(F.xxhash64("node"), spread).cast("int").alias("salt"), "node", "class")
         .join(sets, F.col("node") == F.col("doc_id"))
-        .select("probe", "salt", F.lit(0).alias("role"), "node", "class", "tokens")
+        .select("probe", "salt", F.lit(0).alias("role"), "node", "class", F.lit(0).alias("pos"), "tokens")
     )
     probes = (
         count.join(sets, F.col("probe") == F.col("doc_id"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), spread - 1)))
-        .select("probe", "salt", F.lit(1).alias("role"), F.col("probe").alias("node"), F.col("probe_class").alias("class"), "tokens")
+        .select("probe", "salt", F.lit(1).alias("role"), F.col("probe").alias("node"), F.col("probe_class").alias("class"), F.lit(0).alias("pos"), "tokens")
     )
     return _compare(stored.unionByName(probes), ["probe", "salt"])
 
@@ -515,6 +525,7 @@ def join_classes(documents: DataFrame) -> DataFrame:
             F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("role"),
             F.col("doc_id").alias("node"),
             "class",
+            "pos",
         )
         .join(sets, F.col("node") == F.col("doc_id"))
     )
