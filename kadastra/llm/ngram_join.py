@@ -44,6 +44,8 @@ _CHUNKS = 64
 STEP = 24
 #: Members of a trie that one probe walks, members of a bucket that are paired directly, and of a chunk.
 MEMBERS, SMALL, CHUNK = 64, 64, 512
+#: Candidate rows (ids only) that may be broadcast to the sets; beyond it both sides are shuffled.
+BROADCAST_ROWS = 500_000
 #: Dropped ids that may be broadcast; beyond it the anti-join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -418,20 +420,24 @@ def _compare(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
 def _compare_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among candidate pairs (probe, node, probe_class, class): each probe walks tries of its partners."""
+    pairs = cut(pairs)
     count = pairs.groupBy("probe", "probe_class").agg(F.count("*").alias("m"))
     spread = F.ceil(F.col("m") / MEMBERS).cast("int")
-    stored = (
-        pairs.join(count.drop("probe_class"), "probe")
-        .select("probe", F.pmod(F.xxhash64("node"), spread).cast("int").alias("salt"), "node", "class")
-        .join(sets, F.col("node") == F.col("doc_id"))
-        .select("probe", "salt", F.lit(0).alias("role"), "node", "class", F.lit(0).alias("pos"), "tokens")
+    stored = pairs.join(count.drop("probe_class"), "probe").select(
+        "probe", F.pmod(F.xxhash64("node"), spread).cast("int").alias("salt"), F.lit(0).alias("role"), "node", "class"
     )
-    probes = (
-        count.join(sets, F.col("probe") == F.col("doc_id"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), spread - 1)))
-        .select("probe", "salt", F.lit(1).alias("role"), F.col("probe").alias("node"), F.col("probe_class").alias("class"), F.lit(0).alias("pos"), "tokens")
-    )
-    return _compare(stored.unionByName(probes), ["probe", "salt"])
+    probes = count.withColumn("salt", F.explode(F.sequence(F.lit(0), spread - 1))).select(
+        "probe", "salt", F.lit(1).alias("role"), F.col("probe").alias("node"), F.col("probe_class").alias("class")
+    )
+    rows = stored.unionByName(probes).withColumn("pos", F.lit(0))
+    return _compare(_with_sets(rows, sets), ["probe", "salt"])
+
+
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` with the ordered set of their node.  Few rows go to the sets, so that no set is shuffled for the join."""
+    rows = cut(rows)
+    few = rows.count() <= BROADCAST_ROWS
+    return sets.join(F.broadcast(rows) if few else rows, F.col("node") == F.col("doc_id")).drop("doc_id")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -527,9 +533,8 @@ def join_classes(documents: DataFrame) -> DataFrame:
             "class",
             "pos",
         )
-        .join(sets, F.col("node") == F.col("doc_id"))
     )
-    more = cut(more.unionByName(_compare(many, ["token", "i", "j"])))
+    more = cut(more.unionByName(_compare(_with_sets(many, sets), ["token", "i", "j"])))
     if not more.isEmpty():
         classes = components(links.unionByName(more))
     root_of = reps.join(classes, F.col("rep") == F.col("node"), "left").select(
