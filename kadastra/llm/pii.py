@@ -11,8 +11,10 @@ an entity has one surrogate everywhere (coreference):
 * name words become pronounceable words of the same script, case and, by the title, gender.
 
 ``registry`` collects the distinct entities of the corpus, and moves on to the next surrogate of an entity
-whose surrogate belongs to another entity too or is itself an entity of the corpus, until none is left.  The
-few entities moved on are broadcast up to a checked number, else joined per document.
+whose surrogate belongs to another entity too or is itself an entity of the corpus, until none is left.  After
+``OWN_SHAPE`` surrogates of its own shape (at once if nothing in it can change) an entity takes wider ones, which
+grow by a character or syllable with each further step, so a shape that is used up ends nothing.  The few
+entities moved on are broadcast up to a checked number, else joined per document.
 
 Defined cases: null text stays null and holds nothing; null ids are allowed; repeated rows change alike; an
 empty table gives no rows; further columns are kept as they are.
@@ -34,7 +36,8 @@ from ._common import cut, pa_schema
 KEY = b"kadastra-surrogates"
 #: Entities with a surrogate other than their first that may be broadcast.
 BROADCAST_ENTITIES = 50_000
-ROUNDS = 30
+#: Surrogates of its own shape that an entity tries; later ones are wider.
+OWN_SHAPE = 8
 
 #: Titles before a name and the gender they tell.
 TITLES = {
@@ -99,7 +102,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if "@" in text:
         found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
     if _ASSIGN.search(text):
-        found += [(*m.span(1), "secret") for m in _SECRET.finditer(_without(text, found))]
+        # a run of signs only ('Password: ________') hides nothing
+        found += [(*m.span(1), "secret") for m in _SECRET.finditer(_without(text, found)) if any(c in _PLACE for c in m[1])]
     if _DIGIT.search(text):
         for pattern, kind in (
             (_HEXRUN, "secret"), (_IBAN, "iban"), (_IP, "ip"), (_PHONE, "phone"), (_SSN, "ssn"), (_NUMBER, "number")
@@ -191,9 +195,9 @@ def luhn(digits: str) -> bool:
 
 
 def _fill(entity: str, letters: str) -> str:
-    """``letters`` put into the places of the letters and digits of ``entity``."""
+    """``letters`` put into the places of the letters and digits of ``entity``, the rest behind them."""
     it = iter(letters)
-    return "".join(next(it) if c.isalnum() else c for c in entity)
+    return "".join([next(it) if c.isalnum() else c for c in entity] + list(it))
 
 
 def _address_class(x: int) -> int:
@@ -201,15 +205,52 @@ def _address_class(x: int) -> int:
     return 1 if a == 10 or a == 172 and 16 <= b < 32 or a == 192 and b == 168 else 2 if a == 127 else 3 if a >= 224 else 0
 
 
+def _drawn(n: int, alphabet: str, key: bytes, *parts: object) -> str:
+    """``n`` keyed characters of ``alphabet``."""
+    return "".join(alphabet[_number(key, *parts, i) % len(alphabet)] for i in range(n))
+
+
+def _domain(canon: str) -> tuple[str, str, str]:
+    """Local part, the part of the domain that changes, and the part that stays."""
+    local, _, domain = canon.rpartition("@")
+    head, dot, last = domain.rpartition(".")
+    m = re.fullmatch(r"(.*?)((?:^|\.)example\.(?:com|net|org))", domain)
+    return (local, m[1], m[2]) if m else (local, head, dot + last)
+
+
+def _wider(canon: str, kind: str, key: bytes, step: int) -> str:
+    """A keyed surrogate outside the entity's own shape, of the same kind; longer with each step from 0."""
+    digits, small = ALPHABETS[0], ALPHABETS[1]
+    draw = lambda n, alphabet, part="": _drawn(n, alphabet, key, "wider", kind, step, part, canon)
+    if kind == "email":
+        _, head, last = _domain(canon)
+        return f"{draw(12 + step, small)}@{draw(8, small, 'domain') if head else ''}{last}"
+    if kind == "ip":  # addresses have one length only: one of the IPv6 block for documents
+        return "2001:db8:" + ":".join(draw(4, "0123456789abcdef", i) for i in range(6))
+    if kind == "number":
+        want = luhn(canon)
+        body = draw(len(canon) + 1 + step, digits)
+        return next(body + c for c in digits if luhn(body + c) == want)
+    if kind == "iban":
+        return canon[:2] + draw(2, digits, "check") + draw(len(canon) - 2 + step, digits + ALPHABETS[2])
+    if kind == "secret":
+        return draw(max(len(canon), 16) + 1 + step, digits + small)
+    lead = canon[:2] if canon.startswith("+") else ""
+    return lead + draw(len(canon) - len(lead) + 4 + step, digits)
+
+
 @lru_cache(maxsize=1 << 16)
 def surrogate_of(canon: str, kind: str, key: bytes, attempt: int) -> str:
     """Surrogate of a canonical entity, in canonical form."""
     tweak = f"{kind}/{attempt}"
+    if not kind.startswith("name"):
+        if attempt >= OWN_SHAPE:
+            return _wider(canon, kind, key, attempt - OWN_SHAPE)
+        fixed = len(_domain(canon)[2]) if kind == "email" else 0
+        if not any(c in _PLACE for c in canon[: len(canon) - fixed]) and kind not in ("ip", "number"):
+            return _wider(canon, kind, key, attempt)
     if kind == "email":
-        local, _, domain = canon.rpartition("@")
-        head, dot, last = domain.rpartition(".")
-        m = re.fullmatch(r"(.*?)((?:^|\.)example\.(?:com|net|org))", domain)
-        head, last = (m[1], m[2]) if m else (head, dot + last)
+        local, head, last = _domain(canon)
         both = shaped(f"{local}@{head}", key, f"{tweak}/{last}")
         return both + last
     if kind == "ip":
@@ -235,7 +276,7 @@ def surrogate_of(canon: str, kind: str, key: bytes, attempt: int) -> str:
         script = "cyrillic" if re.search("[а-яё]", canon) else "greek" if re.search("[α-ω]", canon) else "latin"
         x = _number(key, part, gender, attempt, canon)
         syllables, out = SYLLABLES[script], ""
-        for _ in range(3):
+        for _ in range(3 + max(0, attempt - OWN_SHAPE + 1)):
             x, i = divmod(x, len(syllables))
             out += syllables[i]
         ends = ENDINGS[script, gender if part == "given" else ""]
@@ -297,7 +338,7 @@ def registry(found: DataFrame, key: bytes = KEY) -> DataFrame:
     group = F.split("kind", "-")[0]
     all_of = cut(_assign(found.groupBy("kind", "canon").agg(F.lit(0).alias("attempt")), key).withColumn("class", group))
     real = all_of.select("class", F.col("canon").alias("surrogate"))
-    for _ in range(ROUNDS):
+    while True:
         twice = (
             all_of.groupBy("class", "surrogate")
             .agg(F.count("*").alias("n"), F.min(F.struct("canon", "kind")).alias("first"))
@@ -314,7 +355,6 @@ def registry(found: DataFrame, key: bytes = KEY) -> DataFrame:
             return all_of.drop("class")
         moved = _assign(bad.select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), key).withColumn("class", group)
         all_of = cut(all_of.join(bad, ["kind", "canon"], "left_anti").select(moved.columns).unionByName(moved))
-    raise RuntimeError("surrogates still collide")
 
 
 def replace_entities(

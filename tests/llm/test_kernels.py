@@ -263,3 +263,16 @@ def test_warc_links_and_digests():
     for bad in (b"", b"WARC/1.1\r\n\r\n", rec[:200]):
         with pytest.raises((ValueError, KeyError)):
             warc.parse(bad)
+
+
+def test_surrogates_past_their_own_shape():
+    cases = [("email", "7@example.com"), ("email", "用户@例子.公司"), ("phone", "+1234"), ("phone", "(123) 456-7890"), ("ssn", "123-45-6789"), ("ssn", "١٢٣-٤٥-٦٧٨٩"),
+             ("number", "4111 1111 1111 1111"), ("iban", "DE89370400440532013000"), ("ip", "127.0.0.1"), ("secret", "a......."), ("name-family-", "Smith"), ("name-given-f", "Анна")]
+    for kind, entity in cases:
+        canon = pii.canonical(entity, kind)
+        wide = [pii.surrogate_of(canon, kind, b"k", pii.OWN_SHAPE + i) for i in range(50)]
+        assert len({*wide, canon}) == 51 and all(pii.canonical(pii.show(w, entity, kind), kind) == w for w in wide)
+    assert pii.luhn(pii.surrogate_of("4111111111111111", "number", b"k", pii.OWN_SHAPE))
+    names = {pii.surrogate_of(f"n{i}", "name-family-", b"k", pii.OWN_SHAPE + 3) for i in range(20_000)}
+    assert len(names) == 20_000
+    assert pii.surrogate_of(pii.canonical("١٢٣-٤٥-٦٧٨٩", "ssn"), "ssn", b"k", 0) != pii.canonical("١٢٣-٤٥-٦٧٨٩", "ssn")

@@ -291,6 +291,19 @@ def test_pii_collisions_are_resolved(spark, monkeypatch):
     assert a == b
 
 
+def test_pii_without_a_free_surrogate(spark):
+    """Entities that have no other string of their shape get a wider surrogate, and signs only are no secret."""
+    texts = [f"write to {i}@example.com" for i in range(10)] + ["Password: ________", "token = ..........", "mail 用户@例子.公司 and 用户@例子.公司"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace_entities(df).collect()}
+    mails = [got[i].removeprefix("write to ") for i in range(10)]
+    assert len(set(mails)) == 10 and all(m.endswith("@example.com") and len(m) > len("0@example.com") for m in mails)
+    assert [got[10], got[11]] == texts[10:12]
+    _, a, _, b = got[12].split(" ")
+    assert a == b and a.endswith(".公司") and "用户" not in a and "例子" not in a
+    assert {k for t in got.values() for _, _, k in pii.find(t)} == {"email"}
+
+
 def test_codec_tables(spark, odd, none, docs):
     got = piece_codec.encode_documents(odd).collect()
     assert len(got) == odd.count() and all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
