@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, pa_schema
@@ -305,9 +305,14 @@ def replace(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY) -
     return "".join([*out, text[at:]]) if spans else text, spans
 
 
+def _row_key() -> Column:
+    """Key of a row, with a null id too; rows that share one only look up each other's moved entities besides."""
+    return F.xxhash64("doc_id", "text")
+
+
 def _entities(docs: DataFrame) -> DataFrame:
-    """doc_id, kind, canon of each document's distinct entities."""
-    schema = pa_schema("doc_id long, kind string, canon string")
+    """row_key, kind, canon of each document's distinct entities."""
+    schema = pa_schema("row_key long, kind string, canon string")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -317,7 +322,7 @@ def _entities(docs: DataFrame) -> DataFrame:
                 rows += [(i, k, c) for k, c in sorted({(k, canonical(t[a:b], k)) for a, b, k in find(t)})]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], schema[j].type) for j in range(3)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, kind string, canon string")
+    return docs.select(_row_key(), "text").mapInArrow(run, "row_key long, kind string, canon string")
 
 
 def _assign(entities: DataFrame, key: bytes) -> DataFrame:
@@ -374,12 +379,11 @@ def replace_entities(
     else:
         fixed = {}
         of_doc = (
-            found.filter("doc_id is not null")
-            .join(moved, ["kind", "canon"])
-            .groupBy(F.col("doc_id").alias("__id"))
+            found.join(moved, ["kind", "canon"])
+            .groupBy(F.col("row_key").alias("__key"))
             .agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("__moved"))
         )
-        docs = documents.join(of_doc, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+        docs = documents.join(of_doc, _row_key() == F.col("__key"), "left").drop("__key")
     share = spark.sparkContext.broadcast(fixed)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import IntegerType, StringType, StructType

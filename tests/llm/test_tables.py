@@ -304,6 +304,15 @@ def test_pii_without_a_free_surrogate(spark):
     assert {k for t in got.values() for _, _, k in pii.find(t)} == {"email"}
 
 
+def test_pii_null_ids_take_moved_surrogates(spark):
+    """Moved entities of rows without an id go the same way whether they are broadcast or joined."""
+    rows = [(i if i % 3 else None, f"write to {i}@example.com") for i in range(10)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a = sorted((r.doc_id or -1, r.text) for r in pii.replace_entities(df).collect())
+    b = sorted((r.doc_id or -1, r.text) for r in pii.replace_entities(df, broadcast_limit=0).collect())
+    assert a == b and len({t for _, t in a}) == 10 and not {t for _, t in a} & {t for _, t in rows}
+
+
 def test_codec_tables(spark, odd, none, docs):
     got = piece_codec.encode_documents(odd).collect()
     assert len(got) == odd.count() and all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
