@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Callable
 
@@ -22,7 +23,7 @@ from . import (
     tiff,
     warc,
 )
-from ._common import map_rows, table, text_of
+from ._common import map_rows, shared, table, text_of
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +36,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old layout: shard by source, so one hot source makes one shard far too large."""
-    placed = resharding.place(
-        table(spark, sf_dir, "documents").select("doc_id", "text", "source"), F.pmod(F.xxhash64("source"), F.lit(8)), 8
-    )
+    """Old layout: shard by source, so one hot source makes one shard far too large.  Whole rows move; size, CRC and
+    slot are read from the shards written to the shared folder."""
+    shared(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/resharding-{uuid.uuid4().hex}"
+    placed = resharding.reshard(table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("source"), F.lit(8)), 8, folder)
     return placed.select(
         "doc_id",
         "size",

@@ -4,6 +4,9 @@ From the bytes that each old shard holds and the capacity that each new shard ha
 many bytes go from where to where so that the fewest bytes move; documents are then cut into those
 flows along a fixed order of blocks, and only files of shards that lose or gain rows are rewritten.
 
+``reshard`` does the whole of it: rows keep all their columns through placement, the affected shards are
+written from the placed rows (no join back on an id), and what it returns is read from the written files.
+
 Block statistics (at most old shards x ``n_blocks`` rows, both parameters) are all that reaches the
 driver; rows never do.  Slots number the rows of a new shard from 0 without gaps.
 
@@ -77,6 +80,16 @@ def even_capacity(total: int, n: int) -> list[int]:
     return [total // n + (j < total % n) for j in range(n)]
 
 
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _measures(text: str) -> list[Column]:
+    """size and text_crc32 of a text."""
+    b = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    return [(F.octet_length(b) + 1).cast("long").alias("size"), F.crc32(b).alias("text_crc32")]
+
+
 def place(
     docs: DataFrame,
     old_shard: Column,
@@ -84,21 +97,23 @@ def place(
     capacity: list[int] | None = None,
     n_blocks: int = N_BLOCKS,
     n_old: int | None = None,
+    whole: str | None = None,
 ) -> DataFrame:
     """doc_id, size, text_crc32, old_shard, shard, slot for every row of ``docs`` (doc_id, text).
 
-    ``old_shard`` gives each row's present shard, 0 to ``n_old`` - 1 (default ``n_new``)."""
+    ``old_shard`` gives each row's present shard, 0 to ``n_old`` - 1 (default ``n_new``).  With ``whole``, a new
+    folder for the placed rows, each row also carries all its columns as ``row``; ``docs`` is then read twice."""
     spark = docs.sparkSession
     n_old = n_old or n_new
-    text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    slim = cut(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(text).alias("text_crc32"),
-            F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"),
-        ).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_blocks)).cast("int"))
-    )
+    slim = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        *_measures("text"),
+        F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"),
+        *([F.struct(*map(_quoted, docs.columns)).alias("row")] if whole else []),
+    ).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_blocks)).cast("int"))
+    row = ["row"] if whole else []
+    if not whole:
+        slim = cut(slim)
     stats = slim.groupBy("old_shard", "block").agg(F.sum("size").alias("b")).orderBy("old_shard", "block").collect()
     supply = [0] * n_old
     start: list[tuple[int, int, int]] = []
@@ -125,12 +140,19 @@ def place(
     )
     w = Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size")
     offset = F.col("start") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = cut(
-        slim.join(F.broadcast(blocks), ["old_shard", "block"])
-        .select("*", offset.alias("at"), F.row_number().over(w).alias("rn"))
+    dealt = slim.join(F.broadcast(blocks), ["old_shard", "block"])
+    if whole:  # the windows keep these ranges, so the placed files lie in the order of the slots
+        dealt = dealt.repartitionByRange("old_shard", "block")
+    placed = (
+        dealt.select("*", offset.alias("at"), F.row_number().over(w).alias("rn"))
         .withColumn("shard", F.expr("dests[size(filter(ends, e -> e <= at))]"))
-        .select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", "rn")
+        .select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", "rn", *row)
     )
+    if whole:
+        placed.write.parquet(whole)
+        placed = spark.read.schema(placed.schema).parquet(whole)
+    else:
+        placed = cut(placed)
     pieces = (
         placed.groupBy("shard", "old_shard", "block")
         .agg(F.count("*").alias("n"), F.min("rn").alias("low"))
@@ -144,7 +166,7 @@ def place(
         base[r.shard] = base.get(r.shard, 0) + r.n
     lift = spark.createDataFrame(rows or [(-1, -1, -1, 0)], "shard int, old_shard int, block int, lift long")
     return placed.join(F.broadcast(lift), ["shard", "old_shard", "block"]).select(
-        "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("lift") + F.col("rn")).alias("slot")
+        "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("lift") + F.col("rn")).alias("slot"), *row
     )
 
 
@@ -173,3 +195,35 @@ def rewrite(spark: SparkSession, old_dir: str, new_dir: str, docs: DataFrame, pl
             .parquet(new_dir)
         )
     return shards
+
+
+def reshard(
+    docs: DataFrame,
+    old_shard: Column,
+    n_new: int,
+    folder: str,
+    capacity: list[int] | None = None,
+    n_blocks: int = N_BLOCKS,
+    n_old: int | None = None,
+) -> DataFrame:
+    """Place the rows, write the affected shards under ``folder/shards/shard=N`` and read them back.
+
+    The files hold ``row`` (all columns of ``docs``), ``old_shard`` and ``slot``, each sorted by slot; rows are
+    shuffled once, by old shard and block.  ``folder`` must be new and seen by all executors.  Returns doc_id, size, text_crc32, old_shard, shard, slot: of affected shards
+    from the written texts, of the others, which stay as they are, from their own."""
+    spark, out = docs.sparkSession, f"{folder}/shards"
+    placed = place(docs, old_shard, n_new, capacity, n_blocks, n_old, whole=f"{folder}/placed")
+    held = placed.select("row", "old_shard", "slot", "shard")
+    shards = affected(placed)
+    rest = held.filter(~F.col("shard").isin(shards)) if shards else held
+    if shards:
+        (
+            held.filter(F.col("shard").isin(shards))
+            .sortWithinPartitions("shard", "slot")
+            .write.partitionBy("shard")
+            .parquet(out)
+        )
+        rest = spark.read.schema(held.schema).parquet(out).select(held.columns).unionByName(rest)
+    return rest.withColumn("text", F.col("row")["text"]).select(
+        F.col("row")["doc_id"].cast("long").alias("doc_id"), *_measures("text"), "old_shard", "shard", "slot"
+    )

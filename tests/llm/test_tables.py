@@ -98,6 +98,24 @@ def test_rewriting_affected_shards(spark, tmp_path):
     assert got == {0: 35, 2: 40}
 
 
+def test_resharding_moves_whole_rows(spark, tmp_path):
+    """Null and repeated ids keep every row and all its columns; what is returned comes from the written shards."""
+    rows = [(i % 7 if i % 3 else None, f"{'é' * (i % 5)} text {i // 2}" if i % 11 else None, f"s{i % 2}", i) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, `slot` int")
+    got = resharding.reshard(df, F.when(F.col("source") == "s0", 0).otherwise(1), 3, str(tmp_path), n_blocks=8).collect()
+    check_shards(got, 3, df)
+    held = spark.read.parquet(f"{tmp_path}/shards").select("row.*", F.col("slot").alias("at"), "shard").collect()
+    assert Counter(tuple(r)[:4] for r in held) == Counter(rows)
+    facts = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode()), r.shard, r["at"]) for r in held)
+    assert facts == Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got)
+    # a shard that neither loses nor gains stays unwritten, and its rows are returned
+    d = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("x" * 9).alias("text"))
+    old = F.when(F.col("doc_id") < 40, 0).when(F.col("doc_id") < 65, 1).otherwise(2)
+    assert len(resharding.reshard(d, old, 3, str(tmp_path / "b"), capacity=[350, 250, 400]).collect()) == 100
+    assert {r.shard for r in spark.read.parquet(str(tmp_path / "b/shards")).select("shard").distinct().collect()} == {0, 2}
+    assert resharding.reshard(df.filter("false"), F.lit(0), 3, str(tmp_path / "c")).count() == 0
+
+
 def test_chat(spark, sf):
     t = "</s>[INST] ok [/INST]"
     rows = [
