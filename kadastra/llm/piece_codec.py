@@ -189,24 +189,6 @@ class Model:
     def _fallback(self, piece: str) -> list[int]:
         return [self.bytes[b] for b in piece.encode()] if self.bytes[0] else [self.unknown]
 
-    def stretch(self, s: str) -> bytes:
-        """Ids of a stretch as 32-bit numbers."""
-        got = self._stretches.get(s)
-        if got is None:
-            if len(self._stretches) >= KEPT_STRETCHES:
-                self._stretches.clear()
-            out: list[int] = []
-            ids = self.ids
-            for piece in self._window(s) if self.model_type == BPE and len(s) <= 2 * self.longest else Stream(self).run(s):
-                if (k := ids.get(piece)) is not None:
-                    out.append(k)
-                else:
-                    out += self._fallback(piece)
-            got = array("i", out).tobytes()
-            if len(s) <= 64:
-                self._stretches[s] = got
-        return got
-
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         parts = []

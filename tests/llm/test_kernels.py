@@ -276,3 +276,21 @@ def test_surrogates_past_their_own_shape():
     names = {pii.surrogate_of(f"n{i}", "name-family-", b"k", pii.OWN_SHAPE + 3) for i in range(20_000)}
     assert len(names) == 20_000
     assert pii.surrogate_of(pii.canonical("١٢٣-٤٥-٦٧٨٩", "ssn"), "ssn", b"k", 0) != pii.canonical("١٢٣-٤٥-٦٧٨٩", "ssn")
+
+
+def test_bpe_model_with_pieces_of_unknown_signs():
+    """A BPE model that is not closed: merging reaches over signs that are no pieces themselves."""
+    import struct
+
+    def msg(n, data):
+        return bytes([n << 3 | 2, len(data)]) + data
+
+    pieces = {"▁": -1.0, "a": -1.1, "c": -1.2, "ab": -2.0, "bc": -1.5, "aba": -3.0, "bb": -2.5, "▁a": -2.2}
+    data = msg(1, msg(1, b"<unk>") + b"\x18\x02")
+    for p, score in pieces.items():
+        data += msg(1, msg(1, p.encode()) + b"\x15" + struct.pack("<f", score))
+    m = piece_codec.Model(data + msg(2, b"\x18\x02"))
+    assert not m.closed and m.model_type == piece_codec.BPE
+    texts = ["".join(R.choice("abcx ") for _ in range(R.randint(0, 40))) for _ in range(300)]
+    for t, ids in zip(texts, m.encode_all(texts), strict=True):
+        assert ids.tolist() == [m.ids.get(p, m.unknown) for p in m.merge(m.normalize(t))], t
