@@ -8,9 +8,10 @@ A document's set holds the hashes of its distinct runs of five words.  Two docum
    (``SLOTS``); any fixed order gives exact results, this one keeps common passages out of prefixes.
 3. Linked sets share a shingle among the first |A| - ceil(0.8 |A|) + 1 of each, so only those meet, and only where
    the places of the shared shingle leave enough of both sets behind it.
-   First every set meets the smallest id of each of its buckets.  What those links join needs no more
-   work; buckets that still hold several classes are then finished: small ones pair by pair of different
-   classes, large ones by pairs of chunks.
+   First every set meets the smallest id of each of its buckets (of a bucket split over tasks, first in each task,
+   then the smallest of all).  What those links join needs no more work; buckets that still hold several classes
+   are then finished by pairs of chunks of ids, from which only pairs of different classes that sizes and places
+   allow to link go on.  Sets are made from the texts where candidates meet; they are never stored.
 4. Sets that meet are compared in tries: they are stored in the global order (frequent first, so that
    near copies share paths), a probe walks down with the overlap so far, and a subtree is left as soon as
    what remains of the probe or of the longest set below cannot reach the needed overlap, or as soon as
@@ -33,19 +34,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER_TABLE, cut, pa_schema, text_of
+from ._common import LOWER_TABLE, cut, free_name, pa_schema, quoted, text_of
 
 WORDS = 5
 THRESHOLD = 80  # hundredths
-#: Slots of the count table and of the candidate bitmap: a fixed size that is broadcast.
-SLOTS = 1 << 24
+#: Slots of the count table: a fixed size, of which one byte a slot is broadcast.
+SLOTS = 1 << 22
 _CHUNKS = 64
 #: Tokens of a trie's edge that are compared before the bounds are looked at again.
 STEP = 24
-#: Members of a trie that one probe walks, members of a bucket that are paired directly, and of a chunk.
-MEMBERS, SMALL, CHUNK = 64, 64, 512
+#: Members of a trie that one probe walks, and of a chunk of a bucket.
+MEMBERS, CHUNK = 64, 512
 #: Candidate rows (ids only) that may be broadcast to the sets; beyond it both sides are shuffled.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 #: Dropped ids that may be broadcast; beyond it the anti-join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -75,14 +76,9 @@ def _slots(x: np.ndarray) -> np.ndarray:
     return (x & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def _spread(ids: np.ndarray) -> np.ndarray:
-    x = ids.astype(np.int64).view(np.uint64) * _MUL
-    return (x ^ (x >> np.uint64(31))) * _MIX
-
-
-def in_order(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def in_order(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """``s`` by the global order: rare slots first, then by hash."""
-    return s[np.lexsort((s, counts[_slots(s)]))]
+    return s[np.lexsort((s, ranks[_slots(s)]))]
 
 
 def _pack_counts(counts: np.ndarray) -> list[tuple[int, bytes]]:
@@ -143,9 +139,14 @@ def _survey(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, sig binary, chunk int, counts binary")
 
 
-def _sum_counts(df: DataFrame) -> np.ndarray:
-    """Adds up (chunk, counts) rows task by task; the result has SLOTS numbers whatever the input."""
-    schema = pa_schema("chunk int, counts binary")
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """Counts on a scale of quarter powers of two, one byte each; all the order needs."""
+    return (4 * np.log2(1.0 + counts)).astype(np.uint8)
+
+
+def _rank_table(df: DataFrame) -> np.ndarray:
+    """Adds up (chunk, counts) rows task by task; the driver gets SLOTS bytes whatever the input."""
+    schema = pa_schema("chunk int, ranks binary")
     size = SLOTS // _CHUNKS
 
     def run(batches):
@@ -155,43 +156,22 @@ def _sum_counts(df: DataFrame) -> np.ndarray:
                 if chunk not in total:
                     total[chunk] = np.zeros(size, np.int64)
                 _add_counts(total[chunk], packed.as_py())
-        rows = [(c, _pack(x)) for c, x in total.items()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([c for c, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], schema=schema
-        )
+        for chunk, x in total.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int32()), pa.array([zlib.compress(_ranks(x).tobytes(), 1)], pa.binary())], schema=schema
+            )
 
-    out = np.zeros((_CHUNKS, size), np.int64)
-    for r in df.repartition(_CHUNKS, "chunk").mapInArrow(run, "chunk int, counts binary").toLocalIterator():
-        _add_counts(out[r.chunk], bytes(r.counts))
+    out = np.zeros((_CHUNKS, size), np.uint8)
+    for r in df.repartition(_CHUNKS, "chunk").mapInArrow(run, "chunk int, ranks binary").toLocalIterator():
+        out[r.chunk] = np.frombuffer(zlib.decompress(bytes(r.ranks)), np.uint8)
     return out.reshape(-1)
 
 
-def _ranks(counts: np.ndarray) -> np.ndarray:
-    """Counts on a scale of quarter powers of two, one byte each; all the order needs."""
-    return (4 * np.log2(1.0 + counts)).astype(np.uint8)
-
-
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Which slots the ids of a one-column frame fall into."""
-    schema = pa_schema("chunk int, counts binary")
-
-    def run(batches):
-        seen = np.zeros(SLOTS, np.int8)
-        for batch in batches:
-            seen[_slots(_spread(batch.column(0).to_numpy(zero_copy_only=False)))] = 1
-        packed = _pack_counts(seen)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([c for c, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())], schema=schema
-        )
-
-    return _sum_counts(ids.mapInArrow(run, "chunk int, counts binary")) > 0
-
-
-def _prefixes(docs: DataFrame, counts) -> DataFrame:
+def _prefixes(docs: DataFrame, ranks) -> DataFrame:
     schema = pa_schema("doc_id long, n long, prefix array<long>")
 
     def run(batches):
-        c = counts.value
+        c = ranks.value
         for batch in batches:
             for ids, texts in _slices(batch):
                 sets = [shingles(t) for t in texts]
@@ -203,22 +183,32 @@ def _prefixes(docs: DataFrame, counts) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, prefix array<long>")
 
 
-def _whole_sets(docs: DataFrame, counts, wanted) -> DataFrame:
-    """Ordered sets, frequent first, of the documents whose id may be wanted."""
-    schema = pa_schema("doc_id long, tokens array<long>")
+def _with_sets(rows: DataFrame, keys: list[str], docs: DataFrame, ranks) -> DataFrame:
+    """``rows`` (keys, role, node, class, pos) with the node's set as ``tokens``, frequent first.
+
+    The rows go to the texts, if few by broadcast, and sets are made behind the join: no set is stored or shuffled
+    but to the block it is compared in.  A node's rows lie together there, so its set is made once for all of them."""
+    rows = cut(rows)
+    few = rows.count() <= BROADCAST_ROWS
+    names = [*keys, "role", "node", "class", "pos"]
+    joined = docs.join(F.broadcast(rows) if few else rows, F.col("doc_id") == F.col("node")).select(*names, "text")
+    ddl = ", ".join(f"{c} {t}" for c, t in joined.dtypes[:-1]) + ", tokens array<long>"
+    schema = pa_schema(ddl)
+    at_node, at_text = names.index("node"), len(names)
 
     def run(batches):
-        c, bits = counts.value, wanted.value
-        for batch in batches:
-            for ids, texts in _slices(batch):
-                keep = bits[_slots(_spread(np.array(ids, np.int64)))] if ids else []
-                rows = [(i, in_order(shingles(t), c)[::-1]) for i, t, k in zip(ids, texts, keep, strict=True) if k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _ in rows], pa.int64()), _lists([s for _, s in rows]).cast(schema.field(1).type)],
-                    schema=schema,
-                )
+        c, last, tokens = ranks.value, None, None
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                batch = big.slice(at, 256)
+                sets = []
+                for this in zip(batch.column(at_node).to_pylist(), batch.column(at_text).to_pylist(), strict=True):
+                    if this != last:
+                        last, tokens = this, in_order(shingles(this[1]), c)[::-1]
+                    sets.append(tokens)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at_text], _lists(sets).cast(schema.field(at_text).type)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, tokens array<long>")
+    return joined.mapInArrow(run, ddl)
 
 
 def _reach(n: np.ndarray, pos: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -228,23 +218,39 @@ def _reach(n: np.ndarray, pos: np.ndarray, m: np.ndarray, other: np.ndarray) ->
 
 def _buckets(tokens: DataFrame) -> DataFrame:
     """Rows of ``tokens`` (token, doc_id, size: set size and place of the token in one number) whose bucket has a
-    second member that they may link with, and the bucket's smallest id as pivot.
+    second member that they may link with, and the smallest id of the bucket's part in this task as pivot.
 
     The first shingle that two linked sets share is so early in both that the rest of either still holds the needed
-    overlap; two members that this rules out are dropped here, and so are buckets without an early member.  Rows come
-    sorted, so a task holds a batch and the first row of a bucket."""
-    ddl = "token long, doc_id long, n long, pos long, pivot long, pivot_n long, pivot_pos long"
+    overlap; two members that this rules out are dropped here, and so are buckets without an early member.  Rows are
+    dealt by ranges of (token, doc_id), so that a token in very many sets is split over several tasks; the rows of a
+    task's first and last token, which may go on elsewhere, are all kept, and their pivots are given once more, marked
+    as ``edge``.  Rows come sorted, so a task holds a batch and the first row of a bucket."""
+    ddl = "token long, doc_id long, n long, pos long, pivot long, pivot_n long, pivot_pos long, edge boolean"
     schema = pa_schema(ddl)
 
     def run(batches):
         last: tuple[int, int, int] | None = None  # the first row of the bucket that is open
         told = False  # whether that first row has been passed on
+        first: tuple[int, int, int] | None = None  # the first row of all
+
+        def out(cols: list, edge: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array(x, pa.int64()) for x in cols), pa.array(np.full(len(cols[0]), edge))], schema=schema
+            )
+
+        def alone(row: tuple[int, int, int], edge: bool) -> pa.RecordBatch:
+            n, pos = row[2] >> 32, row[2] & 0xFFFFFFFF
+            return out([[x] for x in (row[0], row[1], n, pos, row[1], n, pos)], edge)
+
         for batch in batches:
             tok, doc, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if not len(tok):
                 continue
-            if last is not None and not (told and tok[0] == last[0]):
+            if first is None:
+                first = int(tok[0]), int(doc[0]), int(size[0])
+            if last is not None and not told:
                 tok, doc, size = np.r_[last[0], tok], np.r_[last[1], doc], np.r_[last[2], size]
+            elif last is not None and tok[0] != last[0]:
                 told = False
             n, pos = size >> 32, size & 0xFFFFFFFF
             starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
@@ -253,6 +259,7 @@ def _buckets(tokens: DataFrame) -> DataFrame:
             alive = sizes > 1
             alive &= np.logical_or.reduceat((n - pos) * (100 + THRESHOLD) >= 2 * THRESHOLD * n, starts)
             alive &= (sizes > 2) | _reach(n[starts], pos[starts], n[ends], pos[ends])
+            alive |= tok[starts] == first[0]
             if sizes[-1] > 1 and not (len(starts) == 1 and told):
                 alive[-1] = True  # the bucket may go on in the next batch
             pivot = [np.repeat(x[starts], sizes) for x in (doc, n, pos)]
@@ -263,13 +270,19 @@ def _buckets(tokens: DataFrame) -> DataFrame:
                 keep[: sizes[0]] = True
             if len(starts) > 1 or not told:
                 k = starts[-1]
-                last, told = (int(tok[k]), int(doc[k]), int(size[k])), bool(sizes[-1] > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tok, doc, n, pos, *pivot)], schema=schema)
+                last, told = (int(tok[k]), int(doc[k]), int(size[k])), bool(alive[-1])
+            yield out([x[keep] for x in (tok, doc, n, pos, *pivot)], False)
+        if first is not None:
+            if not told:  # the last bucket has one row
+                yield alone(last, False)
+            yield alone(first, True)
+            if last[0] != first[0]:
+                yield alone(last, True)
 
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        tokens.select("token", "doc_id", "size").repartition(parts, "token").sortWithinPartitions("token", "doc_id")
-        .mapInArrow(run, ddl)
+        tokens.select("token", "doc_id", "size").repartitionByRange(parts, "token", "doc_id")
+        .sortWithinPartitions("token", "doc_id").mapInArrow(run, ddl)
     )
 
 
@@ -418,7 +431,7 @@ def _compare(blocks: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _compare_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _compare_pairs(pairs: DataFrame, docs: DataFrame, ranks) -> DataFrame:
     """Links among candidate pairs (probe, node, probe_class, class): each probe walks tries of its partners."""
     pairs = cut(pairs)
     count = pairs.groupBy("probe", "probe_class").agg(F.count("*").alias("m"))
@@ -430,14 +443,7 @@ def _compare_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         "probe", "salt", F.lit(1).alias("role"), F.col("probe").alias("node"), F.col("probe_class").alias("class")
     )
     rows = stored.unionByName(probes).withColumn("pos", F.lit(0))
-    return _compare(_with_sets(rows, sets), ["probe", "salt"])
-
-
-def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """``rows`` with the ordered set of their node.  Few rows go to the sets, so that no set is shuffled for the join."""
-    rows = cut(rows)
-    few = rows.count() <= BROADCAST_ROWS
-    return sets.join(F.broadcast(rows) if few else rows, F.col("node") == F.col("doc_id")).drop("doc_id")
+    return _compare(_with_sets(rows, ["probe", "salt"], docs, ranks), ["probe", "salt"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -467,62 +473,98 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _rivals(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs (probe, node, probe_class, class) of members of a block (keys, role, node, class, n, pos) that are of
+    different classes and that sizes and places allow to link.  Blocks are bounded and hold ids only."""
+    ddl = "probe long, node long, probe_class long, class long"
+    schema = pa_schema(ddl)
+    k = len(keys)
+
+    def solve(x: np.ndarray) -> np.ndarray:
+        role, node, cls, n, pos = x
+        out = []
+        stored = np.flatnonzero(role != 1)
+        for i in np.flatnonzero(role != 0):
+            may = stored[(cls[stored] != cls[i]) & _reach(n[i], pos[i], n[stored], pos[stored])]
+            if role[i] == 2:
+                may = may[node[may] > node[i]]
+            if len(may):
+                out.append(np.stack([np.full(len(may), node[i]), node[may], np.full(len(may), cls[i]), cls[may]]))
+        return np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ks = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(k)])
+            xs = np.stack([batch.column(k + i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
+            cuts = [0, *(np.flatnonzero((ks[:, 1:] != ks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                here = tuple(ks[:, lo].tolist())
+                if here != key and held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in solve(np.concatenate(held, axis=1))], schema=schema)
+                    held = []
+                key = here
+                held.append(xs[:, lo:hi])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in solve(np.concatenate(held, axis=1))], schema=schema)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        rows.select(*keys, "role", "node", "class", "n", "pos").repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
+    )
+
+
 def join_classes(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = documents.sparkSession
     docs = text_of(documents, F.col("doc_id").cast("long").alias("doc_id"))
     survey = cut(_survey(docs))
     rows = survey.filter("chunk is null").select("doc_id", "n", "sig")
-    counts = spark.sparkContext.broadcast(_ranks(_sum_counts(survey.filter("chunk is not null").select("chunk", "counts"))))
-    reps = rows.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    nodes = reps.select(F.col("rep").alias("doc_id")).distinct()
+    ranks = spark.sparkContext.broadcast(_rank_table(survey.filter("chunk is not null").select("chunk", "counts")))
+    reps = cut(rows.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")))
     known = docs.filter("doc_id is not null")
-    prefixes = cut(_prefixes(known, counts).filter("n > 0").join(nodes, "doc_id"))
+    # texts without a set of their own take no part; if few, by broadcast, so that no prefix is shuffled for it
+    spare = rows.filter("doc_id is not null").select("doc_id").distinct().join(reps, F.col("doc_id") == F.col("rep"), "left_anti")
+    spare = cut(spare)
+    few = spare.count() <= BROADCAST_IDS
+    prefixes = _prefixes(known.join(F.broadcast(spare) if few else spare, "doc_id", "left_anti"), ranks)
     tokens = prefixes.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).select(
         "token", "doc_id", F.expr("shiftleft(n, 32) | pos").alias("size")
     )
     met = cut(_buckets(tokens))
-    wanted = spark.sparkContext.broadcast(_bitmap(met.select("doc_id").distinct()))
-    sets = cut(_whole_sets(known, counts, wanted))
     # the same test as _reach; it includes the one on sizes
     near = F.expr(f"least(n - pos, other_n - other_pos) * {100 + THRESHOLD} >= {THRESHOLD} * (n + other_n)")
     first = (
-        met.withColumnsRenamed({"pivot_n": "other_n", "pivot_pos": "other_pos"})
+        met.filter("not edge").withColumnsRenamed({"pivot_n": "other_n", "pivot_pos": "other_pos"})
         .filter(near & F.expr("doc_id <> pivot"))
         .select(
             F.col("pivot").alias("probe"), F.col("doc_id").alias("node"),
             F.col("pivot").alias("probe_class"), F.col("doc_id").alias("class"),
         )
-        .distinct()
     )
-    links = cut(_compare_pairs(first, sets))
-    classes = components(links)
+    # a token split over tasks has a pivot in each; they meet the smallest of them
+    ends = met.filter("edge").select("token", "pivot", "n", "pos")
+    lowest = ends.groupBy("token").agg(F.min(F.struct("pivot", "n", "pos")).alias("low"), F.count("*").alias("parts"))
+    across = (
+        ends.join(lowest.filter("parts > 1").select("token", "low.pivot", F.col("low.n").alias("other_n"), F.col("low.pos").alias("other_pos")).withColumnRenamed("pivot", "probe"), "token")
+        .filter(near & F.expr("pivot <> probe"))
+        .select("probe", F.col("pivot").alias("node"), F.col("probe").alias("probe_class"), F.col("pivot").alias("class"))
+    )
+    first = first.unionByName(across).distinct()
+    links = cut(_compare_pairs(first, known, ranks))
+    classes = cut(components(links))
 
-    labelled = cut(
-        met.select("token", "doc_id", "n", "pos")
+    labelled = (
+        met.filter("not edge").select("token", "doc_id", "n", "pos")
         .join(classes, F.col("doc_id") == F.col("node"), "left")
         .select("token", "doc_id", "n", "pos", F.coalesce("root", "doc_id").alias("class"))
     )
-    mixed = (
-        labelled.groupBy("token")
-        .agg(F.count("*").alias("m"), F.min("class").alias("x"), F.max("class").alias("y"))
-        .filter("x <> y")
-        .select("token", "m")
-    )
-    left = cut(labelled.join(mixed, "token"))
-    few = left.filter(F.col("m") <= SMALL)
-    pairs = (
-        few.select("token", F.col("doc_id").alias("node"), "n", "pos", "class")
-        .join(few.select("token", F.col("doc_id").alias("probe"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("class").alias("probe_class")), "token")
-        .filter(near & F.expr("probe < node and class <> probe_class"))
-        .select("probe", "node", "probe_class", "class")
-        .distinct()
-    )
-    more = _compare_pairs(pairs, sets)
+    left = cut(_mixed(labelled))
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    many = (
-        left.filter(F.col("m") > SMALL)
-        .withColumn("own", F.pmod(F.xxhash64("doc_id"), chunks).cast("int"))
+    blocks = (
+        left.withColumn("own", F.pmod(F.xxhash64("doc_id"), chunks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
         .select(
             "token",
@@ -531,12 +573,19 @@ def join_classes(documents: DataFrame) -> DataFrame:
             F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("role"),
             F.col("doc_id").alias("node"),
             "class",
+            "n",
             "pos",
         )
     )
-    more = cut(more.unionByName(_compare(_with_sets(many, sets), ["token", "i", "j"])))
+    pairs = _rivals(blocks, ["token", "i", "j"]).select(
+        F.least("probe", "node").alias("probe"), F.greatest("probe", "node").alias("node"),
+        F.when(F.col("probe") < F.col("node"), F.col("probe_class")).otherwise(F.col("class")).alias("probe_class"),
+        F.when(F.col("probe") < F.col("node"), F.col("class")).otherwise(F.col("probe_class")).alias("class"),
+    ).distinct()
+    more = cut(_compare_pairs(pairs, known, ranks))
     if not more.isEmpty():
-        classes = components(links.unionByName(more))
+        classes = cut(components(links.unionByName(more)))
+    ranks.destroy()
     root_of = reps.join(classes, F.col("rep") == F.col("node"), "left").select(
         F.col("sig").alias("its_sig"), F.coalesce("root", "rep").alias("root")
     )
@@ -547,17 +596,35 @@ def join_classes(documents: DataFrame) -> DataFrame:
     )
 
 
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several classes, with the bucket's size m."""
+    of = (
+        labelled.groupBy("token")
+        .agg(F.count("*").alias("m"), F.min("class").alias("x"), F.max("class").alias("y"))
+        .filter("x <> y")
+        .select("token", "m")
+    )
+    return labelled.join(of, "token")
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` without near duplicates: of each class the row with the smallest id stays.
 
-    Rows without an id stay; of rows that share an id one stays."""
-    classes = cut(join_classes(documents))
-    gone = classes.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    n = gone.count()
-    out = documents.join(
-        F.broadcast(gone) if n <= BROADCAST_IDS else gone, F.col("doc_id") == F.col("__gone"), "left_anti"
-    )
-    ids = classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if not ids.isEmpty():
-        out = out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
-    return out
+    Rows without an id and rows without words stay.  Rows that share an id are told apart, so each goes only if a
+    row that its own text links it to stays."""
+    known = documents.filter("doc_id is not null")
+    if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        classes = join_classes(documents)
+        key, whole, name = F.col("doc_id"), documents, free_name(documents, "gone")
+        gone = cut(classes.filter("component_id <> doc_id").select(F.col("doc_id").alias(name)))
+    else:
+        row = free_name(documents, "row")
+        whole = cut(documents.withColumn(row, F.monotonically_increasing_id()))
+        key, name = F.col(row), free_name(whole, "gone")
+        classes = cut(join_classes(whole.select(F.when(F.col("doc_id").isNotNull(), key).alias("doc_id"), "text")))
+        ids = whole.select(key.alias("node"), F.col("doc_id").alias("id"))
+        classed = classes.filter("doc_id is not null").join(ids, F.col("doc_id") == F.col("node"))
+        first = classed.groupBy("component_id").agg(F.min(F.struct("id", "node"))["node"].alias("first"))
+        gone = cut(classed.join(first, "component_id").filter("first <> node").select(F.col("node").alias(name)))
+    few = gone.count() <= BROADCAST_IDS
+    return whole.join(F.broadcast(gone) if few else gone, key == F.col(name), "left_anti").select(*map(quoted, documents.columns))

@@ -211,13 +211,38 @@ def test_join_odd_rows(odd, none):
     assert sorted((r.doc_id for r in kept.collect()), key=lambda i: (i is not None, i)) == [None, -3, 1, 2, 3, 4, 6, 8, 9, 10, 12, 13]
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    """Only rows that their own text links to a row that stays go."""
+    far = " ".join(f"f{i}" for i in range(20))
+    rows = [(1, BASE), (2, BASE), (2, far), (2, far), (3, far + " more"), (None, BASE), (4, ""), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("gone", F.lit(2))
+    got = ngram_join.keep_one(df)
+    assert got.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, BASE), (2, far), (None, BASE), (4, ""), (4, "")])
+
+
+def test_join_splits_a_token_over_tasks(spark):
+    """One passage in every text: ranges cut its buckets, and the classes are whole."""
+    import random
+
+    r = random.Random(3)
+    base = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(base[: 60 - i % 9] + [f"u{i}" for _ in range(i % 3)] + [f"t{r.randrange(40)}"])) for i in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.join_classes(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == classes_by_force(rows)
+
+
 def test_join_against_brute_force(spark, monkeypatch):
     """Chains, a large mixed bucket and small batches, with limits so low that every path is taken."""
     import random
 
     r = random.Random(11)
     monkeypatch.setattr(ngram_join, "MEMBERS", 4)
-    monkeypatch.setattr(ngram_join, "SMALL", 3)
     monkeypatch.setattr(ngram_join, "CHUNK", 4)
     vocabulary = [f"v{i}" for i in range(3000)]
     shared = [r.choice(vocabulary) for _ in range(40)]
