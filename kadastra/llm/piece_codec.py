@@ -6,8 +6,10 @@ Unigram models keep the path of the highest score.  In BPE models the merges lea
 boundary: a piece may follow another if and only if merging the two alone gives the two back; so the ids are
 those of the merge algorithm.
 
-Places that no piece of the vocabulary spans (before a word's leading blank) always end the window; the
-stretches between them are kept in a bounded store.  Missing characters fall back to byte pieces.
+Places that no piece of the vocabulary spans (before a word's leading blank) are boundaries that all paths share, so
+the stream commits there too and starts anew; what it gives for a stretch between two of them is kept for the task in a
+bounded store, as words recur.  Every sign of every text goes through ``Stream``, and nothing else finds pieces.
+Missing characters fall back to byte pieces.
 
 The vocabulary file's path is a parameter; the bytes are read through Spark, so any store will do.
 
@@ -37,7 +39,10 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 BLANK = "▁"
-KEPT_STRETCHES, KEPT_PAIRS = 1 << 20, 1 << 20
+#: Stretches and pairs of pieces that a task keeps (some 30 MB each); a full store is emptied, which changes no id.
+KEPT_STRETCHES, KEPT_PAIRS = 1 << 17, 1 << 18
+#: Stretches of more signs are not kept.
+KEPT_SIGNS = 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -97,10 +102,6 @@ class Model:
         #: No piece spans the place between another sign and a blank.
         self.parted = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
         self.lowest = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
-        #: Every sign of a piece is a piece, so nothing merges with a sign that is none.
-        self.closed = set("".join(self.ids)) <= self.ids.keys()
-        self._pairs: dict[int, bool] = {}
-        self._stretches: dict[str, bytes] = {}
         self._raw = [
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else p.replace(BLANK, " ").encode()
             for p, k in zip(self.pieces, self.kinds, strict=True)
@@ -130,77 +131,11 @@ class Model:
         """Whether merging the two alone keeps them; with an empty ``a``, whether merges can build ``b``."""
         return self.merge(a + b) == ([a, b] if a else [b])
 
-    def stretch(self, s: str) -> bytes:
-        """Ids of a stretch as 32-bit numbers, by the streaming search."""
-        out: list[int] = []
-        for piece in Stream(self).run(s):
-            out += [k] if (k := self.ids.get(piece)) is not None else self._fallback(piece)
-        return array("i", out).tobytes()
-
-    def learn(self, stretches: set[str]) -> None:
-        """Adds the ids of unknown stretches to the store.
-
-        A BPE stretch that fits the window takes the same steps as ``Stream`` does.  Taken in sorted order,
-        it starts from the boundaries that it shares with the one before."""
-        known = self._stretches
-        todo = sorted(s for s in stretches if s not in known)
-        if len(known) + len(todo) > KEPT_STRETCHES:
-            known.clear()
-            todo = sorted(stretches)
-        ids, pairs, longest, size, fits_size = self.ids, self._pairs, self.longest, len(self.pieces), 2 * self.longest
-        bpe = self.model_type == BPE and self.closed
-        last, begin = [-1] * (fits_size + 1), [0] * (fits_size + 1)
-        prev = ""
-        for s in todo:
-            n = len(s)
-            if n > fits_size or not bpe:
-                known[s] = self.stretch(s)
-                continue
-            same, m = 0, min(n, len(prev))
-            while same < m and s[same] == prev[same]:
-                same += 1
-            prev = s
-            for i in range(same + 1, n + 1):
-                for start in range(i - 1, (i - longest if i > longest else 0) - 1, -1):
-                    k = ids.get(s[start:i])
-                    if k is None:
-                        continue
-                    key = last[start] * size + k if start else k - 2 * size
-                    fits = pairs.get(key)
-                    if fits is None:
-                        fits = pairs[key] = self.may_follow(self.pieces[last[start]] if start and last[start] >= 0 else "", s[start:i])
-                    if fits:
-                        last[i], begin[i] = k, start
-                        break
-                else:
-                    last[i], begin[i] = -1, i - 1
-            out, i = array("i"), n
-            while i:
-                if last[i] >= 0:
-                    out.append(last[i])
-                else:
-                    out.extend(reversed(self._fallback(s[i - 1])))
-                i = begin[i]
-            out.reverse()
-            known[s] = out.tobytes()
-        if len(pairs) > KEPT_PAIRS:
-            pairs.clear()
-
-    def _fallback(self, piece: str) -> list[int]:
+    def fallback(self, piece: str) -> list[int]:
         return [self.bytes[b] for b in piece.encode()] if self.bytes[0] else [self.unknown]
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        parts = []
-        for t in texts:
-            s = self.normalize(t)
-            parts.append(_STRETCH.findall(s) if self.parted else [s] if s else [])
-        self.learn(set().union(*parts))
-        known = self._stretches
-        return [np.frombuffer(b"".join([known[p] for p in x]), np.int32) for x in parts]
-
     def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
+        return Encoder(self).encode(text)
 
     def decode(self, ids) -> str:
         text = b"".join(map(self._raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -211,75 +146,109 @@ _STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
 class Stream:
-    """Feeds signs, yields committed pieces."""
+    """Takes signs, keeps the best path to each boundary of its window, yields committed pieces as (id, sign).
 
-    def __init__(self, model: Model):
-        self.model = model
-        self.text = ""  # signs since the last committed boundary
-        self.before = ""  # the piece that ends there
-        self.best: list[tuple[float, int, str] | None] = [(0.0, -1, "")]  # boundary -> score, start, piece
-
-    def _extend(self, i: int) -> None:
-        """Best path to boundary i of the window's text."""
-        m, text, best = self.model, self.text, self.best
-        found: tuple[float, int, str] | None = None
-        ids, bpe = m.ids, m.model_type == BPE
-        for start in range(max(0, i - m.longest), i):
-            at = best[start]
-            if at is None:
-                continue
-            piece = text[start:i]
-            k = ids.get(piece)
-            if k is None:
-                continue
-            if bpe:
-                last = at[2] if start else self.before
-                if m.may_follow(last, piece):
-                    found = (0.0, start, piece)
-                    break
-            elif found is None or at[0] + m.scores[k] > found[0]:
-                found = (at[0] + m.scores[k], start, piece)
-        if (at := best[i - 1]) is not None and text[i - 1] not in ids:
-            score = at[0] + m.lowest
-            if found is None or (not bpe and score > found[0]):
-                found = (score, i - 1, text[i - 1])
-        best.append(found)
-
-    def _path(self, i: int) -> list[str]:
-        out = []
-        while i > 0:
-            _, i, piece = self.best[i]
-            out.append(piece)
-        return out[::-1]
+    id is -1 for a sign that is no piece, else sign is empty.  A boundary has the start of its last piece (-1: not
+    reached), that piece, and the path's score; boundaries before the window are forgotten."""
 
-    def run(self, signs: str) -> Iterator[str]:
-        """Pieces of ``signs``; retained are the signs behind the last boundary that all paths share."""
-        longest = self.model.longest
-        for c in signs:
-            self.text += c
-            self._extend(len(self.text))
-            n = len(self.text)
+    def __init__(self, model: Model, pairs: dict | None = None):
+        self.model = model
+        self.pairs: dict = {} if pairs is None else pairs
+        self.widest = 0  # most boundaries held at once
+
+    def _fits(self, before: int, sign: str, k: int) -> bool:
+        """Whether piece ``k`` may come after a piece (or a sign that is none; neither: at the start)."""
+        key = (before, k) if before >= 0 else (sign, k)
+        got = self.pairs.get(key)
+        if got is None:
+            if len(self.pairs) >= KEPT_PAIRS:
+                self.pairs.clear()
+            a = self.model.pieces[before] if before >= 0 else sign
+            got = self.pairs[key] = self.model.may_follow(a, self.model.pieces[k])
+        return got
+
+    def run(self, signs: str) -> Iterator[tuple[int, str]]:
+        m = self.model
+        ids, longest, bpe, scores = m.ids, m.longest, m.model_type == BPE, m.scores
+        text, base = signs, 0  # the window's boundary j lies behind sign base + j
+        start, piece, sign, score = [0], [-1], [""], [0.0]
+        for i in range(1, len(signs) + 1):
+            at, k, own, best = -1, -1, "", 0.0
+            for j in range(max(i - longest, base), i):
+                w = j - base
+                if start[w] < 0 or (found := ids.get(text[j:i])) is None:
+                    continue
+                if bpe:
+                    if self._fits(piece[w], sign[w], found):
+                        at, k = w, found
+                        break
+                elif at < 0 or score[w] + scores[found] > best:
+                    at, k, best = w, found, score[w] + scores[found]
+            w = i - 1 - base
+            if text[i - 1] not in ids and start[w] >= 0 and (at < 0 or not bpe and score[w] + m.lowest > best):
+                at, k, own, best = w, -1, text[i - 1], score[w] + m.lowest
+            start.append(at)
+            piece.append(k)
+            sign.append(own)
+            score.append(best)
+            n = len(start) - 1
             if n >= 2 * longest and n % longest == 0:
-                alive = {j for j in range(n - longest + 1, n + 1) if self.best[j] is not None}
+                self.widest = max(self.widest, n)
+                # paths that can go on end at one of the last boundaries: follow them back until they are one
+                alive = {j for j in range(n - longest + 1, n + 1) if start[j] >= 0}
                 while len(alive) > 1:
                     j = max(alive)
                     alive.remove(j)
-                    alive.add(self.best[j][1])
-                if (j := alive.pop()) > 0:
-                    path = self._path(j)
-                    yield from path
-                    self.before = path[-1]
-                    base = self.best[j][0]
-                    self.text = self.text[j:]
-                    self.best = [(0.0, -1, "")] + [
-                        x and (x[0] - base, x[1] - j, x[2]) if x and x[1] >= j else None for x in self.best[j + 1 :]
-                    ]
-        yield from self._path(len(self.text))
+                    alive.add(start[j])
+                if alive and (j := alive.pop()) > 0:
+                    yield from self._path(start, piece, sign, j)
+                    base += j
+                    start = [0] + [x - j if x >= j else -1 for x in start[j + 1 :]]
+                    score = [x - score[j] for x in score[j:]]
+                    piece, sign = piece[j:], sign[j:]
+        yield from self._path(start, piece, sign, len(start) - 1)
+
+    @staticmethod
+    def _path(start: list[int], piece: list[int], sign: list[str], j: int) -> list[tuple[int, str]]:
+        out = []
+        while j > 0:
+            out.append((piece[j], sign[j]))
+            j = start[j]
+        return out[::-1]
+
+
+class Encoder:
+    """Ids of texts, by one ``Stream`` a stretch, with the task's bounded store."""
+
+    def __init__(self, model: Model):
+        self.model, self.known, self.stream = model, {}, Stream(model)
+
+    def stretch(self, s: str) -> bytes:
+        """Ids of a stretch as 32-bit numbers."""
+        got = self.known.get(s)
+        if got is None:
+            out = array("i")
+            for k, sign in self.stream.run(s):
+                if k >= 0:
+                    out.append(k)
+                else:
+                    out.extend(self.model.fallback(sign))
+            got = out.tobytes()
+            if len(s) <= KEPT_SIGNS:
+                if len(self.known) >= KEPT_STRETCHES:
+                    self.known.clear()
+                self.known[s] = got
+        return got
+
+    def encode(self, text: str) -> np.ndarray:
+        s = self.model.normalize(text)
+        parts = _STRETCH.findall(s) if self.model.parted else [s] if s else []
+        return np.frombuffer(b"".join(map(self.stretch, parts)), np.int32)
 
 
 @lru_cache(maxsize=1)
 def _model(data: bytes) -> Model:
-    """One model a worker process, so that its store outlives a task."""
+    """One model a worker process; what encoding keeps goes with the task's ``Encoder``."""
     return Model(data)
 
 
@@ -304,11 +273,12 @@ def encode_documents(documents: DataFrame, path: str = MODEL_PATH) -> DataFrame:
 
     def run(batches):
         model = _model(share.value)
+        encoder = Encoder(model)
         for big in batches:
-            for at in range(0, big.num_rows, 2000):
-                b = big.slice(at, 2000)
+            for at in range(0, big.num_rows, 500):
+                b = big.slice(at, 500)
                 texts = b.column(1).to_pylist()
-                ids = model.encode_all(texts)
+                ids = [encoder.encode(t) for t in texts]
                 back = [model.decode(i.tolist()) == t.replace(BLANK, " ") for i, t in zip(ids, texts, strict=True)]
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(i) for i in ids], out=offsets[1:])
