@@ -98,13 +98,38 @@ def test_classifier_learns_and_is_stable():
         w = [R.choice(words) for _ in range(R.randint(5, 60))]
         labels.append(i % 2)
         texts.append(" ".join(w if i % 2 else [x + R.choice(["!!", "$$"]) for x in w]))
-    m = quality.train(texts[:200], labels[:200])
+    known: dict = {}
+    packed = [quality.pack(*quality.featurize(t, known)) for t in texts]
+    m = quality.train(packed[:200], labels[:200])
     one = quality.scorer(*m)
     assert sum((one(t) >= 0.5) == y for t, y in zip(texts[200:], labels[200:], strict=True)) >= 97
-    again = quality.train(texts[:200], labels[:200])
+    again = quality.train(packed[:200], labels[:200])
     assert (m[0] == again[0]).all() and m[1] == again[1]
     assert one("") == one("  ") and 0 <= one("") <= 1 and one("zz " * 50000) == pytest.approx(one("zz " * 50001), abs=1e-3)
-    assert quality.train([], [])[1] == 0.0 and quality.train(["a"], [1])[1] > 0
+    assert quality.train([], [])[1] == 0.0 and quality.train([packed[0]], [1])[1] > 0
+
+
+def test_scores_against_a_plain_forward_pass():
+    """The folded, kept and vectorised score is the softmax of the mean of all features, counted one by one."""
+    import zlib
+
+    rng = np.random.default_rng(1)
+    numbers, bias = rng.normal(size=quality.BUCKETS).astype(np.float32), 0.3
+    one, mask = quality.scorer(numbers, bias), quality.BUCKETS - 1
+    for _ in range(60):
+        words = [R.choice(["a", "bb", "Ü", "漢字", "the", "the"]) for _ in range(R.randint(0, 40))]
+        got = []
+        for w in words:
+            b = f"<{w}>".encode()
+            got += [zlib.crc32(b, 1) & mask, *(zlib.crc32(b[i : i + k]) & mask for k in (2, 3) for i in range(len(b) - k + 1))]
+        for v, w in zip(words, words[1:]):
+            x = (zlib.crc32(f"<{v}>".encode(), 1) * 0x9E3779B1 + zlib.crc32(f"<{w}>".encode(), 1)) % (1 << 48)
+            got += [(x ^ x >> 23) & mask, int(v == w)]
+        z = bias + (float(np.mean(numbers[got].astype(float))) if got else 0.0)
+        text = " ".join(words)
+        assert one(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+        ids, share = quality.unpack(quality.pack(*quality.featurize(text, {})))
+        assert bias + float(share @ numbers[ids].astype(float)) == pytest.approx(z, abs=1e-9)
 
 
 # --- n-gram join
@@ -205,7 +230,9 @@ def test_codec_equals_the_library(model):
     signs = "ab the▁ing \n\tÄö漢🤖ééchlich0'"
     texts = ["", " ", "  a  ", "a" * 700, " " * 90 + "x", "internationalisierung" * 60, "Hello  world\n"]
     texts += ["".join(R.choice(signs) for _ in range(R.randint(0, 90))) for _ in range(400)]
-    for t, ids in zip(texts, model.encode_all(texts), strict=True):
+    encoder = piece_codec.Encoder(model)
+    for t in texts:
+        ids = encoder.encode(t)
         assert ids.tolist() == sp.encode(t), t
         assert model.decode(ids.tolist()) == t.replace("▁", " ")
 
@@ -213,11 +240,23 @@ def test_codec_equals_the_library(model):
 def test_stream_is_bounded_and_right(model):
     s = model.normalize("abcdefg" * 400)
     stream = piece_codec.Stream(model)
-    widest, out = 0, []
-    for piece in stream.run(s):
-        widest = max(widest, len(stream.text))
-        out.append(piece)
-    assert "".join(out) == s and out == model.merge(s) and widest <= 6 * model.longest
+    out = [model.pieces[k] if k >= 0 else sign for k, sign in stream.run(s)]
+    assert "".join(out) == s and out == model.merge(s) and 0 < stream.widest <= 6 * model.longest
+
+
+def test_stream_commits_before_the_end(model):
+    """Ids come out while most of the signs are still to come."""
+    s = model.normalize("abcdefg" * 400)
+    seen = []
+
+    class Signs(str):
+        def __getitem__(self, at):
+            seen.append(at.stop if isinstance(at, slice) else at + 1)
+            return str.__getitem__(self, at)
+
+    run = piece_codec.Stream(model).run(Signs(s))
+    next(run)
+    assert max(seen) <= 6 * model.longest < len(s)
 
 
 def test_unigram_viterbi_against_brute_force():
@@ -290,7 +329,7 @@ def test_bpe_model_with_pieces_of_unknown_signs():
     for p, score in pieces.items():
         data += msg(1, msg(1, p.encode()) + b"\x15" + struct.pack("<f", score))
     m = piece_codec.Model(data + msg(2, b"\x18\x02"))
-    assert not m.closed and m.model_type == piece_codec.BPE
+    assert m.model_type == piece_codec.BPE and "b" not in m.ids
     texts = ["".join(R.choice("abcx ") for _ in range(R.randint(0, 40))) for _ in range(300)]
-    for t, ids in zip(texts, m.encode_all(texts), strict=True):
-        assert ids.tolist() == [m.ids.get(p, m.unknown) for p in m.merge(m.normalize(t))], t
+    for t in texts:
+        assert m.encode(t).tolist() == [m.ids.get(p, m.unknown) for p in m.merge(m.normalize(t))], t
