@@ -38,8 +38,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old layout: shard by source, so one hot source makes one shard far too large.  Whole rows move; size, CRC and
     slot are read from the shards written to the shared folder."""
-    shared(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/resharding-{uuid.uuid4().hex}"
+    folder = f"{shared(spark)}/resharding-{uuid.uuid4().hex}"
     placed = resharding.reshard(table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("source"), F.lit(8)), 8, folder)
     return placed.select(
         "doc_id",
@@ -62,8 +61,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     done = chat_format.format_conversations(rows.unionByName(own))
-    read = done.select("conv_id", "formatted", "valid", chat_format.read_back(F.col("formatted")).alias("turns"))
-    lost = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    read = done.select(
+        "conv_id", "formatted", "valid", "segments", chat_format.read_back(F.col("formatted")).alias("turns")
+    )
+    lost = F.array_join(
+        F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat_format.unescape(s["text"])), ""
+    )
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
@@ -155,13 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op1_pii_surrogates, op2_license_scan, op3_resharding, op4_chat_format, op5_tiff, op6_piece_codec,
             op7_quality, op8_warc_derivatives, op9_ngram_join, op10_decontaminate,
         )
-    } | {"pipeline": _pipeline}
-
-
-def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    }
 
 
 def _sql_escape(c: str) -> str:

@@ -19,13 +19,14 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import cut
+from ._common import cut, quoted
 
-N_BLOCKS = 256
+#: Least and most blocks of an old shard, and the bytes a block should hold; a window sorts one block.
+LEAST_BLOCKS, MOST_BLOCKS, BLOCK_BYTES = 256, 1 << 16, 64 << 20
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -80,10 +81,6 @@ def even_capacity(total: int, n: int) -> list[int]:
     return [total // n + (j < total % n) for j in range(n)]
 
 
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def _measures(text: str) -> list[Column]:
     """size and text_crc32 of a text."""
     b = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
@@ -95,21 +92,26 @@ def place(
     old_shard: Column,
     n_new: int,
     capacity: list[int] | None = None,
-    n_blocks: int = N_BLOCKS,
+    n_blocks: int | None = None,
     n_old: int | None = None,
     whole: str | None = None,
 ) -> DataFrame:
     """doc_id, size, text_crc32, old_shard, shard, slot for every row of ``docs`` (doc_id, text).
 
-    ``old_shard`` gives each row's present shard, 0 to ``n_old`` - 1 (default ``n_new``).  With ``whole``, a new
+    ``old_shard`` gives each row's present shard, 0 to ``n_old`` - 1 (default ``n_new``); others are an error.  Blocks
+    number ``n_blocks``, by default so many that the largest old shard has ``BLOCK_BYTES`` in each.  With ``whole``, a new
     folder for the placed rows, each row also carries all its columns as ``row``; ``docs`` is then read twice."""
     spark = docs.sparkSession
     n_old = n_old or n_new
+    if n_blocks is None:
+        shard_bytes = docs.groupBy(F.coalesce(old_shard, F.lit(0)).alias("s")).agg(F.sum(_measures("text")[0]).alias("b"))
+        most = shard_bytes.agg(F.max("b")).first()[0] or 0
+        n_blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, most // BLOCK_BYTES))
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         *_measures("text"),
         F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"),
-        *([F.struct(*map(_quoted, docs.columns)).alias("row")] if whole else []),
+        *([F.struct(*map(quoted, docs.columns)).alias("row")] if whole else []),
     ).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_blocks)).cast("int"))
     row = ["row"] if whole else []
     if not whole:
@@ -118,6 +120,8 @@ def place(
     supply = [0] * n_old
     start: list[tuple[int, int, int]] = []
     for r in stats:
+        if not 0 <= r.old_shard < n_old:
+            raise ValueError(f"old shard {r.old_shard} is not one of 0 to {n_old - 1}")
         start.append((r.old_shard, r.block, supply[r.old_shard]))
         supply[r.old_shard] += r.b
     if capacity is None:
@@ -176,34 +180,13 @@ def affected(placed: DataFrame) -> list[int]:
     return sorted(r.s for r in moved.collect())
 
 
-def rewrite(spark: SparkSession, old_dir: str, new_dir: str, docs: DataFrame, placed: DataFrame) -> list[int]:
-    """Write the affected shards under ``new_dir/shard=N``; the others stay as they are in ``old_dir``.
-
-    ``docs`` carries every column of the rows; doc_id must be unique in it.  Returns the shards written."""
-    shards = affected(placed)
-    if shards:
-        place_of = placed.filter(F.col("shard").isin(shards)).select(
-            F.col("doc_id").alias("__id"), F.col("shard").alias("shard"), F.col("slot").alias("__slot")
-        )
-        (
-            docs.join(place_of, docs["doc_id"] == F.col("__id"))
-            .repartitionByRange("shard", "__slot")
-            .sortWithinPartitions("shard", "__slot")
-            .drop("__id", "__slot")
-            .write.mode("overwrite")
-            .partitionBy("shard")
-            .parquet(new_dir)
-        )
-    return shards
-
-
 def reshard(
     docs: DataFrame,
     old_shard: Column,
     n_new: int,
     folder: str,
     capacity: list[int] | None = None,
-    n_blocks: int = N_BLOCKS,
+    n_blocks: int | None = None,
     n_old: int | None = None,
 ) -> DataFrame:
     """Place the rows, write the affected shards under ``folder/shards/shard=N`` and read them back.

@@ -88,14 +88,9 @@ def test_resharding(spark, docs, odd, none):
     assert resharding.place(none, F.lit(0), 3).count() == 0
 
 
-def test_rewriting_affected_shards(spark, tmp_path):
-    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("x" * 9).alias("text"))
-    placed = resharding.place(docs, F.when(F.col("doc_id") < 40, 0).when(F.col("doc_id") < 65, 1).otherwise(2), 3, capacity=[350, 250, 400])
-    out = str(tmp_path / "new")
-    written = resharding.rewrite(spark, "", out, docs, placed)
-    assert written == [0, 2]
-    got = {r.shard: r.n for r in spark.read.parquet(out).groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    assert got == {0: 35, 2: 40}
+def test_resharding_names_a_shard_that_is_not_there(spark):
+    with pytest.raises(ValueError, match="old shard 3"):
+        resharding.place(spark.range(4).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), F.lit(3), 2)
 
 
 def test_resharding_moves_whole_rows(spark, tmp_path):
@@ -129,6 +124,7 @@ def test_chat(spark, sf):
         own = sorted(((x[1] if x[1] is not None else -1, x[2] or "", x[3] or "") for x in rows if x[0] == k))
         assert [(b.role, b.text) for b in r.back] == [x[1:] for x in own]
         assert "".join(s.text for s in r.segments) == r.formatted
+        assert not any(s.loss for s in r.segments if s not in r.segments[2::3])
         assert [s.loss for s in r.segments[2::3]] == [b.loss for b in r.back] == [b.role == "assistant" for b in r.back]
     assert {k: r.valid for k, r in got.items()} == {1: True, 2: False, 3: False, 4: False, None: False, 5: False, 6: True}
     assert (got[2].bad_turn, got[4].bad_turn, got[6].bad_turn) == (1, 2, None)
