@@ -1,10 +1,13 @@
 """TIFF as a media column: a reader that emits one row a page, and a small writer for round trips.
 
 The reader walks the chain of image directories in either byte order, decodes strips or tiles stored
-plain, as PackBits, LZW or deflate, undoes horizontal differencing, and returns the samples of each page.
+plain, as PackBits, LZW or deflate, undoes horizontal differencing of integers and of floats, and returns the samples
+of each page in row order, one byte, or 2 or 4 in the file's byte order, a sample.  Samples of 1, 2 and 4 bits are
+unpacked to a byte each; separate planes are interleaved.
 
-Defined cases: a null, empty or damaged file gives one row with ``page`` null and an ``error``; a loop in
-the chain of directories ends the walk; extra columns are kept out of the result.
+Defined cases: a null, empty or damaged file gives one row with ``page`` null and an ``error``; a damaged page gives
+a row with its number and an ``error``, and the other pages are read; pages of more than ``MOST_SAMPLES`` samples are
+an error; a loop in the chain of directories ends the walk; extra columns are kept out of the result.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from ._common import map_rows
 #: Values fixed by the TIFF format: compression schemes, field type sizes.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+#: Samples of a page that are read; beyond it the page is an error, as a damaged size would ask for any memory.
+MOST_SAMPLES = 1 << 28
 _RUN = re.compile(rb"(.)\1{2,127}", re.S)
 SCHEMA = (
     "id long, page int, width int, height int, bits int, samples_per_pixel int, compression int, "
@@ -243,50 +248,94 @@ def directories(data: bytes) -> Iterator[dict[int, list]]:
             place = at + 10 + 12 * i
             if total > 4:
                 place = struct.unpack_from(order + "I", data, place)[0]
-            if kind in (1, 3, 4):
+            if kind in (1, 3, 4) and total <= len(data):
                 tags[tag] = list(struct.unpack_from(f"{order}{count}" + {1: "B", 3: "H", 4: "I"}[kind], data, place))
         yield tags
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
+def _chunk(raw: bytes, bits: int, rows: int, width: int, spp: int, order: str, pred: int) -> np.ndarray:
+    """Samples of one decoded strip or tile, predictor undone."""
+    if bits < 8:
+        packed = np.frombuffer(raw, np.uint8).reshape(rows, -1)
+        per = 8 // bits
+        shifts = np.arange(8 - bits, -1, -bits, dtype=np.uint8)
+        flat = (packed[:, :, None] >> shifts & ((1 << bits) - 1)).reshape(rows, packed.shape[1] * per)
+        return flat[:, : width * spp].reshape(rows, width, spp)
+    kind = np.dtype("u1" if bits == 8 else f"{order}u{bits // 8}")
+    if pred == 3:  # bytes of a row by significance, then differences of bytes
+        size = bits // 8
+        rows_of = np.frombuffer(raw, np.uint8).reshape(rows, width * size, spp)
+        summed = np.cumsum(rows_of, axis=1, dtype=np.uint8).reshape(rows, size, width * spp)
+        big = np.ascontiguousarray(summed.transpose(0, 2, 1))
+        return big.view(f">u{size}").reshape(rows, width, spp).astype(kind)
+    block = np.frombuffer(raw, kind).reshape(rows, width, spp)
+    if pred == 2:
+        block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("=")).astype(kind)
+    elif pred != 1:
+        raise ValueError(f"predictor {pred}")
+    return block
+
+
+def _page(data: bytes, tags: dict[int, list]) -> dict:
+    one = lambda tag, default=None: tags.get(tag, [default])[0]
+    order, w, h = tags[0][0], one(256), one(257)
+    if not w or not h:
+        raise ValueError("no image size")
+    spp, bits, comp, pred, planes = one(277, 1), one(258, 1), one(259, 1), one(317, 1), one(284, 1)
+    if bits not in (1, 2, 4, 8, 16, 32) or len({*tags.get(258, [1])}) > 1:
+        raise ValueError(f"{tags.get(258)} bits a sample")
+    if pred == 3 and bits < 16 or pred == 2 and bits < 8:
+        raise ValueError(f"predictor {pred} with {bits} bits")
+    if not 0 < w * h * spp <= MOST_SAMPLES:
+        raise ValueError("image too large")
+    tiled = 322 in tags
+    cw, ch = (one(322), one(323)) if tiled else (w, min(one(278, h) or h, h))
+    if not cw or not ch or cw * ch * spp > MOST_SAMPLES:
+        raise ValueError("no chunk size")
+    offsets, counts = tags.get(324 if tiled else 273, []), tags.get(325 if tiled else 279, [])
+    across, down = -(-w // cw), -(-h // ch)
+    separate = planes == 2 and spp > 1
+    if len(offsets) != len(counts) or len(offsets) < across * down * (spp if separate else 1):
+        raise ValueError("chunks are missing")
+    deep = 1 if separate else spp
+    image = np.zeros((h, w, spp), np.uint8 if bits <= 8 else f"{order}u{bits // 8}")
+    for i in range(across * down * (spp if separate else 1)):
+        plane, k = divmod(i, across * down)
+        y, x = k // across * ch, k % across * cw
+        rows = ch if tiled else min(ch, h - y)
+        want = rows * (-(-cw * deep * bits // 8))
+        raw = _unpack(data[offsets[i] : offsets[i] + counts[i]], comp, want)
+        if len(raw) < want:
+            raise ValueError("chunk too short")
+        block = _chunk(raw, bits, rows, cw, deep, order, pred)
+        into = image[y : y + rows, x : x + cw, plane : plane + 1] if separate else image[y : y + rows, x : x + cw]
+        into[...] = block[: h - y, : w - x]
+    return {
+        "width": w, "height": h, "bits": bits, "samples_per_pixel": spp, "compression": comp, "predictor": pred,
+        "tiled": tiled, "n_chunks": len(offsets), "samples": image.tobytes(), "error": None,
+    }
+
+
 def pages(data: bytes) -> Iterator[dict]:
     """One dict a page: geometry, how it was stored, and its samples as bytes in row order."""
     for k, tags in enumerate(directories(data)):
-        one = lambda tag, default=None, tags=tags: tags.get(tag, [default])[0]
-        w, h = one(256), one(257)
-        if not w or h is None:
-            raise ValueError("no image size")
-        spp, bits, comp, pred = one(277, 1), one(258, 1), one(259, 1), one(317, 1)
-        if bits not in (8, 16) or one(284, 1) != 1 and spp > 1:
-            raise ValueError("only 8 or 16 bits in one plane")
-        kind = np.dtype("u1" if bits == 8 else tags[0][0] + "u2")
-        tiled = 322 in tags
-        cw, ch = (one(322), one(323)) if tiled else (w, min(one(278, h) or h, h) or 1)
-        offsets, counts = tags.get(324 if tiled else 273, []), tags.get(325 if tiled else 279, [])
-        across = -(-w // cw)
-        image = np.zeros((h, w, spp), kind)
-        for i, (o, c) in enumerate(zip(offsets, counts, strict=True)):
-            y, x = i // across * ch, i % across * cw
-            rows = ch if tiled else min(ch, h - y)
-            want = rows * cw * spp * kind.itemsize
-            raw = _unpack(data[o : o + c], comp, want)
-            if len(raw) < want:
-                raise ValueError("chunk too short")
-            block = np.frombuffer(raw, kind).reshape(rows, cw, spp)
-            if pred == 2:
-                block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
-            image[y : y + rows, x : x + cw] = block[: h - y, : w - x]
-        yield {
-            "page": k, "width": w, "height": h, "bits": bits, "samples_per_pixel": spp, "compression": comp,
-            "predictor": pred, "tiled": tiled, "n_chunks": len(offsets), "samples": image.tobytes(), "error": None,
-        }
+        yield {"page": k} | _page(data, tags)
 
 
 def page_rows(data: bytes | None) -> list[dict]:
+    """A row a page, good or with an error; a row without a page where the chain of directories breaks."""
+    out: list[dict] = []
+    empty = dict.fromkeys(_KEYS)
     try:
-        return list(pages(data or b""))
-    except (ValueError, struct.error, zlib.error, IndexError) as e:
-        return [dict.fromkeys(_KEYS) | {"error": str(e) or type(e).__name__}]
+        for k, tags in enumerate(directories(data or b"")):
+            try:
+                out.append({"page": k} | _page(data, tags))
+            except Exception as e:  # noqa: BLE001 - whatever a damaged page brings about is told in its row
+                out.append(empty | {"page": k, "error": f"{type(e).__name__}: {e}"})
+    except Exception as e:  # noqa: BLE001
+        out.append(empty | {"error": f"{type(e).__name__}: {e}"})
+    return out or [empty | {"error": "no pages"}]
 
 
 def decode_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
@@ -313,5 +362,5 @@ def store(payload: bytes, pick: int) -> bytes:
         np.frombuffer(payload, np.uint8, min(PAGE_BYTES, len(payload) - i), i).reshape(-1, 64)
         for i in range(0, len(payload), PAGE_BYTES)
     ]
-    kind = LZW if pick % 16 == 0 else PACKBITS if pick % 16 < 5 else DEFLATE
+    kind = (LZW, PACKBITS, DEFLATE)[pick % 3]
     return encode(grey, kind, 2 if pick >> 4 & 1 and kind != PACKBITS else 1, 64 if pick >> 5 & 1 else 0)

@@ -90,6 +90,78 @@ def test_tiff_pages_orders_and_damage():
         assert tiff.page_rows(bad)[0]["error"]
 
 
+def raw_tiff(w, h, bits, chunks, order="<", comp=1, pred=1, spp=1, planes=1, rows=None, tile=None, **more):
+    """A file of one page with the given stored chunks."""
+    import struct
+
+    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8 + sum(map(len, chunks)))
+    offsets, at = [], 8
+    for c in chunks:
+        offsets.append(at)
+        at += len(c)
+    tags = {256: [w], 257: [h], 258: [bits] * spp, 259: [comp], 277: [spp], 284: [planes], 317: [pred]}
+    tags |= {322: [tile[0]], 323: [tile[1]], 324: offsets, 325: [len(c) for c in chunks]} if tile else {278: [rows or h], 273: offsets, 279: [len(c) for c in chunks]}
+    tags |= {int(k[1:]): v for k, v in more.items()}
+    tags = {k: v for k, v in tags.items() if v}
+    at += 2 + 12 * len(tags) + 4
+    body, tail = struct.pack(order + "H", len(tags)), b""
+    for tag, v in sorted(tags.items()):
+        data = struct.pack(f"{order}{len(v)}I", *v)
+        body += struct.pack(order + "HHI", tag, 4, len(v))
+        if len(data) <= 4:
+            body += data
+        else:
+            body += struct.pack(order + "I", at + len(tail))
+            tail += data
+    return head + b"".join(chunks) + body + bytes(4) + tail
+
+
+def test_tiff_depths_planes_and_predictors():
+    rng = np.random.default_rng(3)
+    for bits in (1, 2, 4):
+        for w in (1, 7, 16, 21):
+            a = rng.integers(0, 1 << bits, (5, w), dtype=np.uint8)
+            per = [[sum(int(v) << (8 - bits * (i % (8 // bits) + 1)) for i, v in enumerate(row) if i // (8 // bits) == k) for k in range(-(-w * bits // 8))] for row in a]
+            stored = bytes(x for row in per for x in row)
+            for comp, data in ((1, stored), (tiff.PACKBITS, tiff.packbits_encode(stored))):
+                assert next(tiff.pages(raw_tiff(w, 5, bits, [data], comp=comp)))["samples"] == a.tobytes()
+    for order in "<>":
+        for bits in (16, 32):
+            a = rng.integers(0, 1 << bits, (4, 6, 3), dtype=f"u{bits // 8}").astype(f"{order}u{bits // 8}")
+            assert next(tiff.pages(raw_tiff(6, 4, bits, [a.tobytes()], order, spp=3)))["samples"] == a.tobytes()
+            d = a.copy()
+            d[:, 1:] -= a[:, :-1]
+            assert next(tiff.pages(raw_tiff(6, 4, bits, [d.tobytes()], order, spp=3, pred=2)))["samples"] == a.tobytes()
+            # separate planes in strips of three rows
+            strips = [np.ascontiguousarray(a[y : y + 3, :, p]).tobytes() for p in range(3) for y in (0, 3)]
+            assert next(tiff.pages(raw_tiff(6, 4, bits, strips, order, spp=3, planes=2, rows=3)))["samples"] == a.tobytes()
+        f = rng.normal(size=(3, 5)).astype(f"{order}f4")
+        rows = []
+        for row in f.astype(">f4"):
+            by = np.frombuffer(row.tobytes(), np.uint8).reshape(5, 4).T.reshape(-1)
+            rows.append(np.diff(by, prepend=np.uint8(0)).astype(np.uint8).tobytes())
+        assert next(tiff.pages(raw_tiff(5, 3, 32, [b"".join(rows)], order, pred=3)))["samples"] == f.tobytes()
+
+
+def test_tiff_damaged_pages_leave_the_good_ones():
+    a = np.arange(64, dtype=np.uint8).reshape(8, 8)
+    f = bytearray(tiff.encode([a, a, a], tiff.DEFLATE))
+    offsets = [d[273][0] for d in tiff.directories(bytes(f))]
+    f[offsets[1] : offsets[1] + 4] = b"junk"
+    got = tiff.page_rows(bytes(f))
+    assert [(r["page"], r["samples"] == a.tobytes(), r["error"] is None) for r in got] == [(0, True, True), (1, False, False), (2, True, True)]
+    for bad in (
+        raw_tiff(8, 8, 8, [a.tobytes()], tile=(0, 8)), raw_tiff(8, 8, 8, [a.tobytes()], tile=(8, 0)), raw_tiff(8, 8, 8, [a.tobytes()], t279=[]),
+        raw_tiff(1 << 20, 1 << 20, 8, [b"x"]), raw_tiff(8, 8, 8, [a.tobytes()], tile=(1 << 31, 1 << 30)), raw_tiff(8, 8, 8, [a.tobytes()], pred=9), raw_tiff(8, 8, 7, [a.tobytes()]),
+    ):
+        assert len(got := tiff.page_rows(bad)) == 1 and got[0]["error"]
+    for _ in range(400):  # whatever bytes are broken, a file gives rows
+        g = bytearray(f)
+        for _ in range(R.randint(1, 9)):
+            g[R.randrange(len(g))] = R.randrange(256)
+        assert tiff.page_rows(bytes(g))
+
+
 # --- quality
 def test_classifier_learns_and_is_stable():
     words = ["".join(R.choice("abcdefgh") for _ in range(R.randint(2, 7))) for _ in range(400)]
