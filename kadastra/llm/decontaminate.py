@@ -4,15 +4,15 @@ A seed is a fixed mask over neighbouring words: the words under its ones are has
 ignored, so a substituted word at an ignored place does no harm.  Seeds of all benchmark positions are
 joined with seeds of all document positions; a hit fixes item and diagonal (document position less item
 position), and each distinct diagonal is verified word by word: a document is contaminated when some
-window of ``WINDOW`` words of the item (all of it, if shorter) agrees in ``AGREE`` hundredths or more.
-The masks find every window with as many substitutions as that allows (tested exhaustively).
+window of ``WINDOW`` words of the item agrees in ``AGREE`` hundredths or more.  The masks find every window with as
+many substitutions as that allows (tested exhaustively).  Items shorter than a window must stand in the document
+whole and unchanged; those too short for a mask get a seed of all their words.
 
-A word is a lower-cased run of letters and digits.  Items of fewer than ``LEAST`` words are too short to
-tell from ordinary prose and match nothing; the masks need windows of that size.
+A word is a lower-cased run of letters and digits.
 
 Defined cases: null and empty texts have no words and match nothing; an empty benchmark matches nothing;
-repeated rows are judged alike; null ids are judged too in ``verdicts`` only if not null, and rows with a
-null id stay in ``clean``; further columns are kept by ``clean`` as they are.
+repeated rows are judged alike; ``verdicts`` tells documents by doc_id and has no row for null ids; ``clean`` judges
+each row by its own text, with or without an id; further columns are kept by ``clean`` as they are.
 """
 
 from __future__ import annotations
@@ -20,13 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, free_name
 
 #: Ones are compared, zeros ignored.
 MASKS = ("1111011", "111010011")
 WINDOW = 13
 AGREE = 80
-LEAST = 13
 #: Rows of benchmark seeds that may be broadcast; beyond it the join shuffles.
 BROADCAST_SEEDS = 500_000
 BROADCAST_IDS = 1_000_000
@@ -38,31 +37,47 @@ def hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each position and mask: the kept columns, pos and seed."""
+def _seeds(df: DataFrame, keep: list[str], short: list[int] = (), item: bool = False) -> DataFrame:
+    """A row for each position and mask: the kept columns, pos and seed.  ``short`` lists lengths under the shortest
+    mask; a window of that length has a seed of its own (of an item, only if it is all of it)."""
     least = min(len(m) for m in MASKS)
 
     def seed(k: int, mask: str) -> Column:
         at = [F.get("h", F.col("pos") + i) for i, c in enumerate(mask) if c == "1"]
         return F.xxhash64(F.lit(k), *at)
 
-    return (
+    long = (
         df.filter(F.size("h") >= least)
         .select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - least)).alias("pos"))
         .select(*keep, "pos", F.explode(F.array(*(seed(k, m) for k, m in enumerate(MASKS)))).alias("seed"))
     )
+    if not short:
+        return long
+    fits = F.filter(F.array(*map(F.lit, short)), lambda n: F.size("h") == n if item else F.size("h") >= n)
+    windows = F.flatten(
+        F.transform(
+            fits,
+            lambda n: F.transform(
+                F.sequence(F.lit(0), F.size("h") - n),
+                lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(-1), n, F.slice("h", i + 1, n)).alias("seed")),
+            ),
+        )
+    )
+    brief = df.filter(F.size("h") >= min(short)).select(*keep, F.explode(windows).alias("w"))
+    return long.unionByName(brief.select(*keep, "w.pos", "w.seed"))
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, diagonal, matched (words that agree in the best window), window: verified overlaps."""
-    items = cut(
-        benchmark.select("item_id", hashes(F.col("text")).alias("h")).filter(F.size("h") >= LEAST).distinct()
-    )
-    seeds = cut(_seeds(items, ["item_id"]).withColumnRenamed("pos", "item_pos"))
+    items = cut(benchmark.select("item_id", hashes(F.col("text")).alias("h")).filter(F.size("h") > 0).distinct())
+    least = min(len(m) for m in MASKS)
+    lengths = items.select(F.size("h").alias("n")).filter(F.col("n") < least).distinct().collect()
+    short = sorted(r.n for r in lengths)  # fewer numbers than the shortest mask is long
+    seeds = cut(_seeds(items, ["item_id"], short, True).withColumnRenamed("pos", "item_pos"))
     small = seeds.count() <= BROADCAST_SEEDS
     docs = documents.filter("doc_id is not null").select("doc_id", hashes(F.col("text")).alias("h"))
     hits = cut(
-        _seeds(docs, ["doc_id"])
+        _seeds(docs, ["doc_id"], short)
         .join(F.broadcast(seeds) if small else seeds, "seed")
         .select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
         .groupBy("doc_id", "item_id", "diagonal")
@@ -87,7 +102,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         .select(
             "doc_id", "item_id", "diagonal", best.alias("matched"), F.least(F.size("h"), F.lit(w)).alias("window")
         )
-        .filter(F.col("matched") * 100 >= F.col("window") * AGREE)
+        .filter(F.expr(f"if(window < {w}, matched = window, matched * 100 >= window * {AGREE})"))
     )
 
 
@@ -108,9 +123,11 @@ def verdicts(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` that are not contaminated, columns unchanged."""
-    gone = cut(verdicts(documents, benchmark).select(F.col("doc_id").alias("__gone")))
+    key, name = F.xxhash64("doc_id", "text"), free_name(documents, "gone")  # rows of one key have one id and text
+    rows = documents.select(key.alias("doc_id"), "text")
+    gone = cut(verdicts(rows, benchmark).select(F.col("doc_id").alias(name)))
     few = gone.count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return documents.join(F.broadcast(gone) if few else gone, key == F.col(name), "left_anti")
 
 
 def finds_all(masks: tuple[str, ...] = MASKS, window: int = WINDOW, agree: int = AGREE) -> bool:

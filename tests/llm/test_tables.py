@@ -136,6 +136,8 @@ def test_chat(spark, sf):
 def test_native_plans(spark, sf, docs):
     for df in (
         queries.op4_chat_format(spark, sf),
+        queries.op10_decontaminate(spark, sf),
+        decontaminate.overlaps(docs, spark.read.parquet(f"{sf}/benchmark.parquet")),
         decontaminate._seeds(docs.select("doc_id", decontaminate.hashes(F.col("text")).alias("h")), ["doc_id"]),
     ):
         plan = df._jdf.queryExecution().executedPlan().toString()
@@ -290,18 +292,64 @@ def test_decontamination(spark, docs, odd, none, sf):
     ]
     df = spark.createDataFrame([(i, ", ".join(t)) for i, t in d], "doc_id long, text string").withColumn("item_id", F.lit(5))
     got = {x.doc_id: x.first_item for x in decontaminate.verdicts(df, b).collect()}
-    assert got == {1: 0, 2: 0, 3: 0, 6: 1}
-    assert sorted(x.doc_id for x in decontaminate.clean(df, b).collect()) == [4, 5, 7, 8] and decontaminate.clean(df, b).columns == df.columns
+    assert got == {1: 0, 2: 0, 3: 0, 6: 1, 7: 3}
+    assert sorted(x.doc_id for x in decontaminate.clean(df, b).collect()) == [4, 5, 8] and decontaminate.clean(df, b).columns == df.columns
     assert decontaminate.clean(df, b.filter("false")).count() == 8 and decontaminate.verdicts(none, b).count() == 0
     assert decontaminate.clean(odd, b).count() == odd.count()
-    # the given tables hold whole items: all of them, and no others, by plain search
-    items = [[w for w in x.text.lower().replace(",", " ").replace(".", " ").split()] for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    want = set()
-    for x in docs.collect():
-        s = " " + " ".join(x.text.lower().replace(",", " ").replace(".", " ").split()) + " "
-        if any(f" {' '.join(i)} " in s for i in items):
-            want.add(x.doc_id)
-    assert {x.doc_id for x in queries.op10_decontaminate(spark, sf).collect()} >= want
+
+
+def contaminated(texts, items):
+    """Indices of texts that hold 11 of 13 words of an item in place, or a shorter item whole, by trying all places."""
+    import regex
+
+    def words(t):
+        return [x for x in regex.split(r"[^\p{L}\p{M}\p{N}]+", (t or "").lower()) if x]
+
+    items = [w for w in map(words, items) if w]
+    out = set()
+    for k, t in enumerate(texts):
+        d = words(t)
+        where = {}
+        for i, x in enumerate(d):
+            where.setdefault(x, []).append(i)
+        for it in items:
+            n = min(len(it), 13)
+            diagonals = {}
+            for j, x in enumerate(it):
+                for i in where.get(x, ()):
+                    diagonals.setdefault(i - j, set()).add(j)
+            need = n if len(it) < 13 else 11
+            if any(len(js) >= need and any(sum(j in js for j in range(a, a + n)) >= need for a in range(len(it) - n + 1)) for js in diagonals.values()):
+                out.add(k)
+                break
+    return out
+
+
+def test_decontamination_against_brute_force(spark, docs, sf):
+    """The given tables, and made-up texts with substitutions, short items and rows without an id."""
+    import random
+
+    r = random.Random(8)
+    items = [x.text for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = [(x.doc_id, x.text) for x in docs.collect()]
+    want = {rows[k][0] for k in contaminated([t for _, t in rows], items)}
+    assert want and {x.doc_id for x in queries.op10_decontaminate(spark, sf).collect()} == want
+    few = [f"w{i}" for i in range(12)]
+    made = [" ".join(r.choice(few) for _ in range(n)) for n in (2, 4, 6, 7, 9, 12, 13, 14, 30)]
+    texts = []
+    for _ in range(250):
+        t = made[r.randrange(len(made))].split()
+        for _ in range(r.randrange(5)):
+            t[r.randrange(len(t))] = r.choice(few)
+        cut = r.randrange(len(t))
+        texts.append(" ".join([r.choice(few) for _ in range(r.randrange(9))] + t[cut * (r.random() < 0.3) :] + [r.choice(few) for _ in range(r.randrange(9))]))
+    bad = contaminated(texts, made)
+    assert 20 < len(bad) < 230
+    df = spark.createDataFrame([(i if i % 3 else None, t, i) for i, t in enumerate(texts)], "doc_id long, text string, gone int")
+    b = spark.createDataFrame(list(enumerate(made)), "item_id long, text string")
+    assert {x.doc_id for x in decontaminate.verdicts(df, b).collect()} == {i for i in bad if i % 3}
+    kept = decontaminate.clean(df, b)
+    assert kept.columns == df.columns and {x.gone for x in kept.collect()} == set(range(250)) - bad
 
 
 def test_pii_tables(spark, odd, none):
