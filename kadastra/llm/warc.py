@@ -4,6 +4,10 @@
 two derivatives of a response.  Both refer to the response by WARC-Refers-To, keep its target, date and
 identifier, and carry the digests of the response and their own.
 
+Headers are lists of (name, value): a name may come again, and names are compared without regard to case.  Chunked and
+gzip or deflate bodies are decoded before text is taken; the payload digest stays that of the bytes as sent.  Pages are
+read by one scanner that goes forward only, so unclosed tags and comments cost no more than others.
+
 Defined cases: null or empty html gives a response without payload and derivatives with empty text; a null
 url is an empty target; damaged records give one row of type ``error``; repeated pages give equal records;
 an empty table gives no rows; columns besides the named ones are ignored.
@@ -17,6 +21,7 @@ import html
 import json
 import re
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame
 
@@ -25,17 +30,17 @@ from ._common import map_rows
 VERSION = "WARC/1.1"
 #: The date of records whose page has none.
 DATE = "1970-01-01T00:00:00Z"
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", re.S | re.I)
-_BREAK = re.compile(
-    r"<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer|title|body|head|pre|blockquote|main|aside)|br|hr)\b[^>]*>",
-    re.I,
+#: Elements whose content is not text.
+_SILENT = ("script", "style", "noscript", "template")
+#: Elements that break lines.
+_BREAKING = frozenset(
+    "p div li ul ol h1 h2 h3 h4 h5 h6 tr table section article nav header footer title body head pre blockquote main aside br hr".split()
 )
-_TAG = re.compile(r"</?[A-Za-z!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
+_LINKING = {"a": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "source": "src"}
+_NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9:-]*)")
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
-_LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"<(a|link|img|script|iframe|source)\b[^>]*?\b(href|src)\s*=\s*[\"']?([^\"'\s>]*)", re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_LINES = re.compile(r"\n[ \n]*")
 
 
 def digest(data: bytes) -> str:
@@ -47,8 +52,16 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha1(repr(parts).encode()).digest()[:16], version=5)}>"
 
 
-def build(kind: str, headers: dict[str, str], block: bytes) -> bytes:
-    lines = [VERSION, f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in headers.items()), f"Content-Length: {len(block)}"]
+Headers = list[tuple[str, str]]
+
+
+def header(headers: Headers, name: str, default: str | None = None) -> str | None:
+    """The first value of a header, whatever the case of its name."""
+    return next((v for k, v in headers if k.lower() == name.lower()), default)
+
+
+def build(kind: str, headers: Headers, block: bytes) -> bytes:
+    lines = [VERSION, f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -62,85 +75,191 @@ def respond(url: str, body: str, key: object = None, date: str = DATE) -> bytes:
     target = re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url)
     return build(
         "response",
-        {
-            "WARC-Record-ID": record_id("response", key, url),
-            "WARC-Date": date,
-            "WARC-Target-URI": target,
-            "WARC-Payload-Digest": digest(payload),
-            "WARC-Block-Digest": digest(message),
-            "Content-Type": "application/http; msgtype=response",
-        },
+        [
+            ("WARC-Record-ID", record_id("response", key, url)),
+            ("WARC-Date", date),
+            ("WARC-Target-URI", target),
+            ("WARC-Payload-Digest", digest(payload)),
+            ("WARC-Block-Digest", digest(message)),
+            ("Content-Type", "application/http; msgtype=response"),
+        ],
         message,
     )
 
 
-def _headers(data: bytes) -> tuple[str, dict[str, str]]:
+def _headers(data: bytes) -> tuple[str, Headers]:
     first, *rest = data.decode("utf-8", "replace").split("\r\n")
-    out: dict[str, str] = {}
-    last = None
+    out: Headers = []
     for line in rest:
-        if line[:1] in (" ", "\t") and last:
-            out[last] += " " + line.strip()
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = out[-1][0], f"{out[-1][1]} {line.strip()}"
         elif ":" in line:
-            last, _, value = line.partition(":")
-            out[last] = value.strip()
+            name, _, value = line.partition(":")
+            out.append((name.strip(), value.strip()))
     return first, out
 
 
-def parse(record: bytes) -> tuple[dict[str, str], bytes]:
+def parse(record: bytes) -> tuple[Headers, bytes]:
     """Headers and block of one record."""
     head, sep, rest = record.partition(b"\r\n\r\n")
     first, headers = _headers(head)
     if not sep or not first.startswith("WARC/"):
         raise ValueError("no WARC record")
-    low = {k.lower(): v for k, v in headers.items()}
-    n = int(low["content-length"])
-    if len(rest) < n:
+    size = header(headers, "Content-Length", "")
+    if not size.isdecimal():
+        raise ValueError("no content length")
+    if len(rest) < int(size):
         raise ValueError("record is cut off")
-    return headers, rest[:n]
+    if not header(headers, "WARC-Type"):
+        raise ValueError("no record type")
+    return headers, rest[: int(size)]
+
+
+def unchunk(body: bytes) -> bytes:
+    """A chunked body as one piece; what follows a malformed size is left out."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        try:
+            n = int(size, 16)
+        except ValueError:
+            break
+        if n <= 0:
+            break
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out)
+
+
+def decoded(payload: bytes, http: Headers) -> bytes:
+    """The payload without transfer and content encodings; an encoding that fails leaves it as it is."""
+    if "chunked" in (header(http, "Transfer-Encoding") or "").lower():
+        payload = unchunk(payload)
+    for coding in reversed((header(http, "Content-Encoding") or "").lower().split(",")):
+        bits = {"gzip": (47,), "x-gzip": (47,), "deflate": (47, -15)}.get(coding.strip(), ())
+        for b in bits:
+            try:
+                payload = zlib.decompressobj(b).decompress(payload)
+                break
+            except zlib.error:
+                continue
+    return payload
+
+
+def read_page(source: str) -> tuple[str, str, str, list[dict[str, str]]]:
+    """(text, title, language, links) of a page: hidden elements and tags go, block elements break lines, references are
+    resolved.  One pass; a mark that is never closed is looked for once."""
+    out: list[str] = []
+    title: list[str] | None = None
+    lang, links, at, n = "", [], 0, len(source)
+    low = source.lower() if source.isascii() else "".join(c.lower() if c.isascii() else c for c in source)
+    never: set[str] = set()  # closing marks that do not come any more
+
+    def find(mark: str, start: int) -> int:
+        if mark in never:
+            return -1
+        got = low.find(mark, start)
+        if got < 0:
+            never.add(mark)
+        return got
+
+    def tag_end(start: int) -> int:
+        """Place behind the '>' of a tag, quoted values passed over; the next '>' if a quote is not closed."""
+        i = start
+        while True:
+            close = find(">", i)
+            if close < 0:
+                return -1
+            q = min((x for x in (source.find('"', i, close), source.find("'", i, close)) if x >= 0), default=-1)
+            if q < 0:
+                return close + 1
+            other = find(source[q], q + 1)
+            if other < 0:
+                return close + 1
+            i = other + 1
+
+    while at < n:
+        lt = source.find("<", at)
+        if lt < 0:
+            out.append(source[at:])
+            break
+        out.append(source[at:lt])
+        if low.startswith("<!--", lt):
+            end = find("-->", lt + 4)
+            at = lt + 4 if end < 0 else end + 3
+            out.append(" ")
+            continue
+        m = _NAME.match(source, lt + 1)
+        if not m and source[lt + 1 : lt + 2] not in ("!", "?"):
+            out.append("<")
+            at = lt + 1
+            continue
+        end = tag_end(m.end() if m else lt + 1)
+        if end < 0:
+            out.append(source[lt:])
+            break
+        name, closing = (m[1].lower(), source[lt + 1] == "/") if m else ("", False)
+        at = end
+        if not closing and name in _LINKING or name == "html":
+            seen = set()
+            for a in _ATTRIBUTE.finditer(source, m.end(), end - 1):
+                key, value = a[1].lower(), next((v for v in a.groups()[1:] if v is not None), "")
+                if key in seen:
+                    continue
+                seen.add(key)
+                if name == "html" and key == "lang" and not lang:
+                    lang = value.lower()
+                elif key == _LINKING.get(name):
+                    links.append({"path": f"{name.upper()}@/{key}", "url": html.unescape(value)})
+        if name in _SILENT and not closing and source[end - 2] != "/":
+            close = find(f"</{name}", end)
+            if close >= 0:
+                stop = find(">", close)
+                at = n if stop < 0 else stop + 1
+            out.append(" ")
+        elif name in _BREAKING:
+            if name == "title" and title is None and not closing:
+                close = find("</title", end)
+                title = [source[end : close if close >= 0 else n]]
+            out.append("\n")
+    return _tidy("".join(out)), _tidy(title[0]) if title else "", lang, links
+
+
+def _tidy(t: str) -> str:
+    t = _BLANKS.sub(" ", html.unescape(t) if "&" in t else t)
+    return _LINES.sub("\n", t.replace(" \n", "\n")).strip()
 
 
 def plain_text(source: str) -> str:
-    """Text of a page: hidden elements and tags go, block elements break lines, references are resolved."""
-    t = _BREAK.sub("\n", _HIDDEN.sub(" ", source))
-    t = _TAG.sub("", t)
-    if "&" in t:
-        t = html.unescape(t)
-    return _LINES.sub("\n", _BLANKS.sub(" ", t)).strip()
+    return read_page(source)[0]
 
 
-def derive(record: bytes) -> list[tuple[str, dict[str, str], bytes]]:
+def derive(record: bytes) -> list[tuple[str, Headers, bytes]]:
     """(type, headers, block) of the metadata and the conversion record of a response."""
     headers, block = parse(record)
-    if headers.get("WARC-Type") != "response":
+    if header(headers, "WARC-Type").lower() != "response":
         return []
     head, _, payload = block.partition(b"\r\n\r\n")
     status, http = _headers(head)
-    charset = re.search(r"charset=([\w-]+)", http.get("Content-Type", ""))
+    charset = re.search(r"charset=[\"']?([\w-]+)", header(http, "Content-Type", ""), re.I)
+    body = decoded(payload, http)
     try:
-        source = payload.decode(charset[1] if charset else "utf-8", "replace")
+        source = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        source = payload.decode("utf-8", "replace")
-    text = plain_text(source)
-    title, lang = _TITLE.search(source), _LANG.search(source)
-    links = [{"path": f"{tag.upper()}@/{at.lower()}", "url": html.unescape(u)} for tag, at, u in _LINK.findall(source)]
-    origin = headers.get("WARC-Record-ID", "")
+        source = body.decode("utf-8", "replace")
+    text, title, lang, links = read_page(source)
+    origin = header(headers, "WARC-Record-ID", "")
     about = {
         "Envelope": {
             "WARC-Header-Metadata": headers,
             "Payload-Metadata": {
-                "Actual-Content-Type": headers.get("Content-Type", ""),
+                "Actual-Content-Type": header(headers, "Content-Type", ""),
                 "HTTP-Response-Metadata": {
                     "Response-Message": status,
                     "Headers": http,
                     "Entity-Length": len(payload),
                     "Entity-Digest": digest(payload),
-                    "HTML-Metadata": {
-                        "Title": plain_text(title[1]) if title else "",
-                        "Language": lang[1].lower() if lang else "",
-                        "Links": links,
-                        "Text-Length": len(text),
-                    },
+                    "HTML-Metadata": {"Title": title, "Language": lang, "Links": links, "Text-Length": len(text)},
                 },
             },
         }
@@ -152,17 +271,17 @@ def derive(record: bytes) -> list[tuple[str, dict[str, str], bytes]]:
     ):
         out.append((
             kind,
-            {
-                "WARC-Record-ID": record_id(kind, origin),
-                "WARC-Refers-To": origin,
-                "WARC-Refers-To-Target-URI": headers.get("WARC-Target-URI", ""),
-                "WARC-Refers-To-Date": headers.get("WARC-Date", ""),
-                "WARC-Date": headers.get("WARC-Date", DATE),
-                "WARC-Target-URI": headers.get("WARC-Target-URI", ""),
-                "WARC-Source-Payload-Digest": headers.get("WARC-Payload-Digest", digest(payload)),
-                "WARC-Block-Digest": digest(data),
-                "Content-Type": content,
-            },
+            [
+                ("WARC-Record-ID", record_id(kind, origin)),
+                ("WARC-Refers-To", origin),
+                ("WARC-Refers-To-Target-URI", header(headers, "WARC-Target-URI", "")),
+                ("WARC-Refers-To-Date", header(headers, "WARC-Date", "")),
+                ("WARC-Date", header(headers, "WARC-Date", DATE)),
+                ("WARC-Target-URI", header(headers, "WARC-Target-URI", "")),
+                ("WARC-Source-Payload-Digest", header(headers, "WARC-Payload-Digest") or digest(payload)),
+                ("WARC-Block-Digest", digest(data)),
+                ("Content-Type", content),
+            ],
             data,
         ))
     return out
@@ -186,14 +305,14 @@ def derivatives(responses: DataFrame) -> DataFrame:
                 try:
                     source = parse(bytes(r or b""))[0]
                     for kind, h, data in derive(bytes(r)):
-                        whole = build(kind, h, data)
+                        whole, of = build(kind, h, data), dict(h)
                         rows.append((
-                            i, kind, h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Target-URI"], h["WARC-Date"],
-                            h["Content-Type"], len(data), h["WARC-Block-Digest"], h["WARC-Source-Payload-Digest"],
-                            source.get("WARC-Block-Digest"), json.dumps(source, ensure_ascii=False, sort_keys=True),
+                            i, kind, of["WARC-Record-ID"], of["WARC-Refers-To"], of["WARC-Target-URI"], of["WARC-Date"],
+                            of["Content-Type"], len(data), of["WARC-Block-Digest"], of["WARC-Source-Payload-Digest"],
+                            header(source, "WARC-Block-Digest"), json.dumps(source, ensure_ascii=False),
                             data.decode(), len(whole), digest(whole),
                         ))
-                except (ValueError, KeyError) as e:
+                except ValueError as e:
                     rows.append((i, "error", *[None] * 10, str(e), None, None))
             return {k: [r[j] for r in rows] for j, k in enumerate(names)}
 

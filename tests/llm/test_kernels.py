@@ -360,7 +360,9 @@ def test_warc_links_and_digests():
     html = "<html lang='DE'><title>T &amp; x</title><script>no</script><p>a<b>b</b><!-- c --><p>d &lt;<a href='/u?a=1&amp;b'>l</a>"
     rec = warc.respond("http://e.example/a b", html, 1)
     headers, block = warc.parse(rec)
-    (k1, h1, meta), (k2, h2, text) = warc.derive(rec)
+    headers = dict(headers)
+    (k1, h1, meta), (k2, pairs, text) = warc.derive(rec)
+    h1, h2 = dict(h1), dict(pairs)
     assert (k1, k2) == ("metadata", "conversion") and h1["WARC-Refers-To"] == h2["WARC-Refers-To"] == headers["WARC-Record-ID"]
     assert text.decode() == "T & x\nab\nd <l" and h2["WARC-Block-Digest"] == warc.digest(text)
     assert h2["WARC-Source-Payload-Digest"] == headers["WARC-Payload-Digest"] == warc.digest(html.encode())
@@ -369,13 +371,80 @@ def test_warc_links_and_digests():
 
     about = json.loads(meta)["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["HTML-Metadata"]
     assert about["Title"] == "T & x" and about["Language"] == "de" and about["Links"] == [{"path": "A@/href", "url": "/u?a=1&b"}]
-    back, data = warc.parse(warc.build(k2, h2, text))
-    assert data == text and back["WARC-Type"] == "conversion"
-    for bad in (b"", b"WARC/1.1\r\n\r\n", rec[:200]):
-        with pytest.raises((ValueError, KeyError)):
+    back, data = warc.parse(warc.build(k2, pairs, text))
+    assert data == text and dict(back)["WARC-Type"] == "conversion" and back[1:-1] == pairs
+    for bad in (b"", b"WARC/1.1\r\n\r\n", rec[:200], b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: -1\r\n\r\nx", b"WARC/1.1\r\nContent-Length: 0\r\n\r\n"):
+        with pytest.raises(ValueError):
             warc.parse(bad)
 
 
+def test_warc_headers_and_bodies():
+    """Repeated headers stay, names have no case, chunked and packed bodies are text again."""
+    import gzip
+    import json
+    import zlib
+
+    page = "<p>caf\u00e9</p><p>x".encode("latin-1")
+    gz = gzip.compress(page)
+    chunked = b"".join(b"%x;e=1\r\n%s\r\n" % (len(p), p) for p in (gz[:5], gz[5:])) + b"0\r\n\r\n"
+    deflated = zlib.compressobj(9, zlib.DEFLATED, -15)
+    raw = deflated.compress(page) + deflated.flush()
+    for body, extra in (
+        (page, ""), (gz, "content-encoding: gzip\r\n"), (chunked, "Transfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n"),
+        (zlib.compress(page), "Content-Encoding: deflate\r\n"), (raw, "Content-Encoding: deflate\r\n"),
+    ):
+        message = ("HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nset-cookie: b=2\r\nContent-Type: text/html; charset=iso-8859-1\r\n" + extra + "\r\n").encode() + body
+        record = b"WARC/1.0\r\nwarc-type: Response\r\nWARC-Record-ID: <urn:x>\r\nWARC-Concurrent-To: <urn:1>\r\nWARC-Concurrent-To: <urn:2>\r\ncontent-length: %d\r\n\r\n" % len(message) + message
+        (_, h, meta), (_, _, text) = warc.derive(record)
+        assert text.decode() == "café\nx" and ("WARC-Refers-To", "<urn:x>") in h
+        about = json.loads(meta)["Envelope"]
+        assert [v for k, v in about["WARC-Header-Metadata"] if k == "WARC-Concurrent-To"] == ["<urn:1>", "<urn:2>"]
+        http = about["Payload-Metadata"]["HTTP-Response-Metadata"]
+        assert [v for k, v in http["Headers"] if k.lower() == "set-cookie"] == ["a=1", "b=2"] and http["Entity-Digest"] == warc.digest(body)
+
+
+def test_pages_against_the_standard_parser():
+    """Text outside tags and hidden elements is what the standard library's parser gives for well-formed pages."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style")
+            if tag in warc._BREAKING:
+                self.out.append("\n")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style")
+            if tag in warc._BREAKING:
+                self.out.append("\n")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data)
+
+    parts = ["<p>", "</p>", "<b class='a>b'>", "</b>", "one ", " two\n", "&amp; ", "<script>if (a<b) x</script>", "<br>", "<a href=\"x'y\">", "</a>", "a < b ", "<div id=q>", "</div>"]
+    for _ in range(300):
+        page = "".join(R.choice(parts) for _ in range(R.randint(0, 20)))
+        p = Plain()
+        p.feed(page)
+        p.close()
+        assert warc.plain_text(page) == "\n".join(x for x in (" ".join(y.split()) for y in "".join(p.out).split("\n")) if x), page
+
+
+@pytest.mark.parametrize("piece", ["<script>", "<!--", "<a ", "<a href=", "<a b='", "<a b=\"x", "<", "<p", "</script", "<title>", "&", "< !", "<html lang"])
+def test_hostile_pages_take_no_longer(piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    t = time.process_time()
+    warc.read_page(page)
+    assert time.process_time() - t < 5
+
+
 def test_surrogates_past_their_own_shape():
     cases = [("email", "7@example.com"), ("email", "用户@例子.公司"), ("phone", "+1234"), ("phone", "(123) 456-7890"), ("ssn", "123-45-6789"), ("ssn", "١٢٣-٤٥-٦٧٨٩"),
              ("number", "4111 1111 1111 1111"), ("iban", "DE89370400440532013000"), ("ip", "127.0.0.1"), ("secret", "a......."), ("name-family-", "Smith"), ("name-given-f", "Анна")]
