@@ -8,8 +8,8 @@ A document's set holds the hashes of its distinct runs of five words.  Two docum
    (``SLOTS``); any fixed order gives exact results, this one keeps common passages out of prefixes.
 3. Linked sets share a shingle among the first |A| - ceil(0.8 |A|) + 1 of each, so only those meet, and only where
    the places of the shared shingle leave enough of both sets behind it.
-   First every set meets the smallest id of each of its buckets (of a bucket split over tasks, first in each task,
-   then the smallest of all).  What those links join needs no more work; buckets that still hold several classes
+   First every set meets the smallest id of each of its buckets (a token in very many sets is dealt into parts, whose
+   smallest ids then meet the smallest of all).  What those links join needs no more work; buckets that still hold several classes
    are then finished by pairs of chunks of ids, from which only pairs of different classes that sizes and places
    allow to link go on.  Sets are made from the texts where candidates meet; they are never stored.
 4. Sets that meet are compared in tries: they are stored in the global order (frequent first, so that
@@ -41,6 +41,10 @@ THRESHOLD = 80  # hundredths
 #: Slots of the count table: a fixed size, of which one byte a slot is broadcast.
 SLOTS = 1 << 22
 _CHUNKS = 64
+#: Sets that a token must count at least to be dealt into parts.
+LEAST_PART = 1 << 12
+#: Words whose hashes a worker keeps (some 15 MB).
+KEPT_WORDS = 1 << 16
 #: Tokens of a trie's edge that are compared before the bounds are looked at again.
 STEP = 24
 #: Members of a trie that one probe walks, and of a chunk of a bucket.
@@ -50,17 +54,33 @@ BROADCAST_ROWS = 200_000
 #: Dropped ids that may be broadcast; beyond it the anti-join shuffles.
 BROADCAST_IDS = 1_000_000
 
+#: Bit of a prefix row's size that tells that its token has parts.
+PARTED = 1 << 62
+
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+class _Words(dict):
+    """Hashes of words, kept up to a number."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        got = self[word] = xxhash.xxh64_intdigest(word)
+        return got
+
+
+_KNOWN = _Words()
+
+
 def shingles(text: str, k: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes of a text."""
     words = text.encode().translate(LOWER_TABLE).split()  # splits at blanks and 0x09 to 0x0D
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+    h = np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, n)
     k = min(k, n)
     m = n - k + 1
     x = h[:m] + np.uint64(k)
@@ -77,8 +97,8 @@ def _slots(x: np.ndarray) -> np.ndarray:
 
 
 def in_order(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """``s`` by the global order: rare slots first, then by hash."""
-    return s[np.lexsort((s, ranks[_slots(s)]))]
+    """``s``, which is sorted, by the global order: rare slots first, then by hash."""
+    return s[np.argsort(ranks[_slots(s)], kind="stable")]
 
 
 def _pack_counts(counts: np.ndarray) -> list[tuple[int, bytes]]:
@@ -167,20 +187,37 @@ def _rank_table(df: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _prefixes(docs: DataFrame, ranks) -> DataFrame:
-    schema = pa_schema("doc_id long, n long, prefix array<long>")
+def _prefixes(docs: DataFrame, ranks, most: int) -> DataFrame:
+    """A row a prefix shingle: token, part, doc_id, and size, which holds set size, place and whether the token has parts.
+
+    A token whose slot counts more than ``most`` sets is dealt into parts of about that many by document."""
+    ddl = "token long, part int, doc_id long, size long"
+    schema = pa_schema(ddl)
+    parts_of = np.maximum(1, np.ceil(2 ** (np.arange(256) / 4) / most)).astype(np.int64)
 
     def run(batches):
         c = ranks.value
         for batch in batches:
             for ids, texts in _slices(batch):
-                sets = [shingles(t) for t in texts]
-                pre = [in_order(s, c)[: len(s) - -(-THRESHOLD * len(s) // 100) + 1] if len(s) else s for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                     _lists(pre).cast(schema.field(2).type)], schema=schema)
-
-    return docs.mapInArrow(run, "doc_id long, n long, prefix array<long>")
+                tokens, parts, docs, sizes = [], [], [], []
+                for i, t in zip(ids, texts, strict=True):
+                    s = shingles(t)
+                    n = len(s)
+                    if not n:
+                        continue
+                    pre = in_order(s, c)[: n - -(-THRESHOLD * n // 100) + 1]
+                    k = parts_of[c[_slots(pre)]]
+                    tokens.append(pre)
+                    parts.append((i * 0x9E3779B1 >> 16 & 0x7FFFFFFF) % k)
+                    docs.append(np.full(len(pre), i))
+                    sizes.append((k > 1) * PARTED | n << 32 | np.arange(len(pre)))
+                if tokens:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(x).astype(t)) for x, t in ((tokens, np.int64), (parts, np.int32), (docs, np.int64), (sizes, np.int64))],
+                        schema=schema,
+                    )
+
+    return docs.mapInArrow(run, ddl)
 
 
 def _with_sets(rows: DataFrame, keys: list[str], docs: DataFrame, ranks) -> DataFrame:
@@ -217,71 +254,62 @@ def _reach(n: np.ndarray, pos: np.ndarray, m: np.ndarray, other: np.ndarray) ->
 
 
 def _buckets(tokens: DataFrame) -> DataFrame:
-    """Rows of ``tokens`` (token, doc_id, size: set size and place of the token in one number) whose bucket has a
-    second member that they may link with, and the smallest id of the bucket's part in this task as pivot.
+    """Rows (token, doc_id, n: set size, pos: place of the token) whose bucket has a second member that they may link
+    with, and the smallest id of the bucket in this task as pivot.
 
     The first shingle that two linked sets share is so early in both that the rest of either still holds the needed
-    overlap; two members that this rules out are dropped here, and so are buckets without an early member.  Rows are
-    dealt by ranges of (token, doc_id), so that a token in very many sets is split over several tasks; the rows of a
-    task's first and last token, which may go on elsewhere, are all kept, and their pivots are given once more, marked
-    as ``edge``.  Rows come sorted, so a task holds a batch and the first row of a bucket."""
+    overlap; two members that this rules out are dropped here, and so are buckets without an early member.  A token
+    with parts lies in several tasks: its rows are all kept, and its pivot of each task is given once more, marked as
+    ``edge``.  Rows come sorted, so a task holds a batch and the first row of a bucket."""
     ddl = "token long, doc_id long, n long, pos long, pivot long, pivot_n long, pivot_pos long, edge boolean"
     schema = pa_schema(ddl)
 
     def run(batches):
         last: tuple[int, int, int] | None = None  # the first row of the bucket that is open
         told = False  # whether that first row has been passed on
-        first: tuple[int, int, int] | None = None  # the first row of all
-
         def out(cols: list, edge: bool) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [*(pa.array(x, pa.int64()) for x in cols), pa.array(np.full(len(cols[0]), edge))], schema=schema
             )
 
-        def alone(row: tuple[int, int, int], edge: bool) -> pa.RecordBatch:
-            n, pos = row[2] >> 32, row[2] & 0xFFFFFFFF
-            return out([[x] for x in (row[0], row[1], n, pos, row[1], n, pos)], edge)
-
         for batch in batches:
             tok, doc, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if not len(tok):
                 continue
-            if first is None:
-                first = int(tok[0]), int(doc[0]), int(size[0])
             if last is not None and not told:
                 tok, doc, size = np.r_[last[0], tok], np.r_[last[1], doc], np.r_[last[2], size]
             elif last is not None and tok[0] != last[0]:
                 told = False
-            n, pos = size >> 32, size & 0xFFFFFFFF
+            parted = size >= PARTED
+            n, pos = (size & PARTED - 1) >> 32, size & 0xFFFFFFFF
             starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
             sizes = np.diff(np.r_[starts, len(tok)])
             ends = starts + sizes - 1
             alive = sizes > 1
             alive &= np.logical_or.reduceat((n - pos) * (100 + THRESHOLD) >= 2 * THRESHOLD * n, starts)
             alive &= (sizes > 2) | _reach(n[starts], pos[starts], n[ends], pos[ends])
-            alive |= tok[starts] == first[0]
+            alive |= parted[starts]
             if sizes[-1] > 1 and not (len(starts) == 1 and told):
                 alive[-1] = True  # the bucket may go on in the next batch
             pivot = [np.repeat(x[starts], sizes) for x in (doc, n, pos)]
             keep = np.repeat(alive, sizes)
+            ends = parted[starts]
             if told:  # the batch goes on with a bucket whose first row is out
-                for x, v in zip(pivot, (last[1], last[2] >> 32, last[2] & 0xFFFFFFFF), strict=True):
+                for x, v in zip(pivot, (last[1], (last[2] & PARTED - 1) >> 32, last[2] & 0xFFFFFFFF), strict=True):
                     x[: sizes[0]] = v
                 keep[: sizes[0]] = True
+                ends[0] = False
             if len(starts) > 1 or not told:
                 k = starts[-1]
                 last, told = (int(tok[k]), int(doc[k]), int(size[k])), bool(alive[-1])
             yield out([x[keep] for x in (tok, doc, n, pos, *pivot)], False)
-        if first is not None:
-            if not told:  # the last bucket has one row
-                yield alone(last, False)
-            yield alone(first, True)
-            if last[0] != first[0]:
-                yield alone(last, True)
+            if ends.any():
+                at = starts[ends]
+                yield out([x[at] for x in (tok, doc, n, pos, doc, n, pos)], True)
 
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        tokens.select("token", "doc_id", "size").repartitionByRange(parts, "token", "doc_id")
+        tokens.repartition(parts, "token", "part").select("token", "doc_id", "size")
         .sortWithinPartitions("token", "doc_id").mapInArrow(run, ddl)
     )
 
@@ -482,15 +510,16 @@ def _rivals(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     def solve(x: np.ndarray) -> np.ndarray:
         role, node, cls, n, pos = x
-        out = []
-        stored = np.flatnonzero(role != 1)
-        for i in np.flatnonzero(role != 0):
-            may = stored[(cls[stored] != cls[i]) & _reach(n[i], pos[i], n[stored], pos[stored])]
-            if role[i] == 2:
-                may = may[node[may] > node[i]]
-            if len(may):
-                out.append(np.stack([np.full(len(may), node[i]), node[may], np.full(len(may), cls[i]), cls[may]]))
-        return np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
+        out = [np.zeros((4, 0), np.int64)]
+        stored, probes = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+        for at in range(0, len(probes), 128):
+            p = probes[at : at + 128, None]
+            may = (cls[p] != cls[stored]) & _reach(n[p], pos[p], n[stored], pos[stored])
+            may &= (role[p] == 1) | (node[p] < node[stored])
+            i, j = np.nonzero(may)
+            i, j = p[i, 0], stored[j]
+            out.append(np.stack([node[i], node[j], cls[i], cls[j]]))
+        return np.concatenate(out, axis=1)
 
     def run(batches):
         key, held = None, []
@@ -529,10 +558,10 @@ def join_classes(documents: DataFrame) -> DataFrame:
     spare = rows.filter("doc_id is not null").select("doc_id").distinct().join(reps, F.col("doc_id") == F.col("rep"), "left_anti")
     spare = cut(spare)
     few = spare.count() <= BROADCAST_IDS
-    prefixes = _prefixes(known.join(F.broadcast(spare) if few else spare, "doc_id", "left_anti"), ranks)
-    tokens = prefixes.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).select(
-        "token", "doc_id", F.expr("shiftleft(n, 32) | pos").alias("size")
-    )
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = max(LEAST_PART, total * (100 - THRESHOLD) // 100 // parts)  # prefix rows of a task
+    tokens = _prefixes(known.join(F.broadcast(spare) if few else spare, "doc_id", "left_anti"), ranks, most)
     met = cut(_buckets(tokens))
     # the same test as _reach; it includes the one on sizes
     near = F.expr(f"least(n - pos, other_n - other_pos) * {100 + THRESHOLD} >= {THRESHOLD} * (n + other_n)")
@@ -544,7 +573,7 @@ def join_classes(documents: DataFrame) -> DataFrame:
             F.col("pivot").alias("probe_class"), F.col("doc_id").alias("class"),
         )
     )
-    # a token split over tasks has a pivot in each; they meet the smallest of them
+    # a token with parts has a pivot in each; they meet the smallest of them
     ends = met.filter("edge").select("token", "pivot", "n", "pos")
     lowest = ends.groupBy("token").agg(F.min(F.struct("pivot", "n", "pos")).alias("low"), F.count("*").alias("parts"))
     across = (

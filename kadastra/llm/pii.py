@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, pa_schema
+from ._common import cut, free_name, pa_schema
 
 KEY = b"kadastra-surrogates"
 #: Entities with a surrogate other than their first that may be broadcast.
@@ -67,7 +67,8 @@ ENDINGS = {
     ("greek", "m"): ("ος", "ης"), ("greek", "f"): ("να", "ρα"), ("greek", ""): ("ου", "ις"),
 }
 
-_EMAIL = re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+")
+_LOCAL = re.compile(r"[\w.+%-]")
+_DOMAIN = re.compile(r"@[\w-]+(?:\.[\w-]+)+")
 _SECRET = re.compile(
     r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_\-/+.]{8,})"
 )
@@ -96,11 +97,26 @@ def _without(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of e-mail addresses: from each ``@`` to the left over the local part, to the right over the domain.  No
+    place is looked at for two signs, so a long run without blanks costs no more than others."""
+    least = 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > least and _LOCAL.match(text, start - 1):
+            start -= 1
+        m = _DOMAIN.match(text, at) if start < at else None
+        least = m.end() if m else at + 1
+        if m:
+            yield start, least
+        at = text.find("@", least)
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities, in order, without overlaps; earlier kinds win."""
     found: list[tuple[int, int, str]] = []
-    if "@" in text:
-        found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
+    found += [(a, b, "email") for a, b in _emails(text)]
     if _ASSIGN.search(text):
         # a run of signs only ('Password: ________') hides nothing
         found += [(*m.span(1), "secret") for m in _SECRET.finditer(_without(text, found)) if any(c in _PLACE for c in m[1])]
@@ -239,7 +255,7 @@ def _wider(canon: str, kind: str, key: bytes, step: int) -> str:
     return lead + draw(len(canon) - len(lead) + 4 + step, digits)
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 14)
 def surrogate_of(canon: str, kind: str, key: bytes, attempt: int) -> str:
     """Surrogate of a canonical entity, in canonical form."""
     tweak = f"{kind}/{attempt}"
@@ -373,17 +389,18 @@ def replace_entities(
     moved = cut(registry(found, key).filter("attempt > 0").select("kind", "canon", "attempt"))
     n = moved.count()
     spark, names = documents.sparkSession, documents.columns
+    own_key, own_moved = free_name(documents, "row_key"), free_name(documents, "moved")
     if n <= broadcast_limit:
         fixed = {(r.kind, r.canon): r.attempt for r in moved.collect()}
-        docs = documents.withColumn("__moved", F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>"))
+        docs = documents.withColumn(own_moved, F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>"))
     else:
         fixed = {}
         of_doc = (
             found.join(moved, ["kind", "canon"])
-            .groupBy(F.col("row_key").alias("__key"))
-            .agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("__moved"))
+            .groupBy(F.col("row_key").alias(own_key))
+            .agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias(own_moved))
         )
-        docs = documents.join(of_doc, _row_key() == F.col("__key"), "left").drop("__key")
+        docs = documents.join(of_doc, _row_key() == F.col(own_key), "left").drop(own_key)
     share = spark.sparkContext.broadcast(fixed)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import IntegerType, StringType, StructType

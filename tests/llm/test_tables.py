@@ -219,10 +219,12 @@ def test_rows_that_share_an_id_are_told_apart(spark):
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, BASE), (2, far), (None, BASE), (4, ""), (4, "")])
 
 
-def test_join_splits_a_token_over_tasks(spark):
-    """One passage in every text: ranges cut its buckets, and the classes are whole."""
+def test_join_splits_a_token_over_tasks(spark, monkeypatch):
+    """One passage in every text: its tokens are dealt into parts, and the classes are whole."""
     import random
 
+    monkeypatch.setattr(ngram_join, "LEAST_PART", 1)
+
     r = random.Random(3)
     base = [f"p{i}" for i in range(60)]
     rows = [(i, " ".join(base[: 60 - i % 9] + [f"u{i}" for _ in range(i % 3)] + [f"t{r.randrange(40)}"])) for i in range(300)]
