@@ -3,8 +3,10 @@
 ``scan(text)`` works on one text, ``scan_documents(df)`` on a table.  The text is cut into words
 (lower-cased A-Z; a word is a run of letters, digits and bytes from 0x80), the words are joined by
 single blanks, and one automaton finds every phrase at once, overlaps included.  An identifier tag is
-a phrase too; the raw text behind it is parsed as a licence expression: ``or`` binds weakest, then
-``and``, then ``with``; brackets group.
+a phrase too; the text behind the place that the automaton gives is parsed as a licence expression up to the end of the
+line: ``or`` binds weakest, then ``and``, then ``with``; brackets group.  Operands are identifiers of a list
+(``LICENSES``, ``EXCEPTIONS`` behind ``with``) or of the forms ``LicenseRef-x`` and ``DocumentRef-x:LicenseRef-y``;
+the first word that is none ends the expression, and operators left before it go.
 
 Defined cases: null text is an empty text; a text without words has ``n_words`` 0, null positions,
 empty labels and score 0; a malformed expression gives the label ``spdx-invalid``; repeated rows are
@@ -42,30 +44,61 @@ TAG = "spdx license identifier"
 ALLOWED = frozenset(
     "mit apache-2.0 bsd-2-clause bsd-3-clause isc zlib unlicense cc0-1.0 cc-by-4.0 0bsd bsl-1.0 python-2.0".split()
 )
+#: Licence identifiers in wide use, lower case.
+LICENSES = ALLOWED | frozenset(
+    "0bsd aal afl-2.1 afl-3.0 agpl-1.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.0 apache-1.1 apsl-2.0 artistic-1.0 "
+    "artistic-2.0 blueoak-1.0.0 bsd-3-clause-clear bsd-4-clause cal-1.0 cc-by-3.0 cc-by-nc-4.0 cc-by-nc-nd-4.0 cc-by-nc-sa-4.0 "
+    "cc-by-nd-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 ecl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 "
+    "gfdl-1.3 gfdl-1.3-only gfdl-1.3-or-later gpl-1.0-only gpl-1.0-or-later gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 "
+    "gpl-3.0-only gpl-3.0-or-later hpnd icu ijg ipl-1.0 jasper-2.0 json lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only "
+    "lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later libpng-2.0 lppl-1.3c mit-0 mpl-1.0 mpl-1.1 mpl-2.0 ms-pl ms-rl "
+    "mulanpsl-2.0 ncsa ofl-1.1 openssl osl-3.0 php-3.01 postgresql psf-2.0 qpl-1.0 ruby sleepycat sspl-1.0 unicode-3.0 "
+    "unicode-dfs-2016 upl-1.0 vim w3c wtfpl x11 zpl-2.1".split()
+)
+#: Exceptions that may stand behind ``with``, lower case.
+EXCEPTIONS = frozenset(
+    "autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 "
+    "font-exception-2.0 gcc-exception-2.0 gcc-exception-3.1 gpl-3.0-linking-exception libtool-exception "
+    "linux-syscall-note llvm-exception openjdk-assembly-exception-1.0 qt-gpl-exception-1.0 swift-exception "
+    "universal-foss-exception-1.0 wxwindows-exception-3.1".split()
+)
+_OWN = re.compile(r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[ \t]*(?:([()])|([A-Za-z0-9][A-Za-z0-9.+:\-]*))")
-_RAW_TAG = re.compile(r"spdx[-_ ]license[-_ ]identifier[ \t]*:?", re.I)
+_COLON = re.compile(r"[ \t]*:?")
+#: A word of the lower-cased text, and of the text as it is.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_RAW_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
     "labels string, score double, expressions array<string>, allowed boolean"
 )
 
 
-def tokens(line: str) -> list[str]:
-    """Tokens of an expression at the start of ``line``; stops where no expression goes on.
+def is_operand(word: str, behind_with: bool) -> bool:
+    low = word.lower()
+    if behind_with:
+        return low in EXCEPTIONS
+    return low.removesuffix("+") in LICENSES or bool(_OWN.fullmatch(low))
+
 
-    Two licence names in a row end the expression, so prose after it is not taken in."""
+def tokens(line: str, at: int = 0, end: int | None = None) -> list[str]:
+    """Tokens of an expression at the start of ``line``; stops where no expression goes on, so prose behind it is not
+    taken in."""
     out: list[str] = []
-    at = 0
-    while m := _TOKEN.match(line, at):
+    while m := _TOKEN.match(line, at, len(line) if end is None else end):
         t = m[1] or m[2].rstrip(".:-")
         low = t.lower()
-        operand = low not in _PRECEDENCE and t not in "()"
-        if out and operand and out[-1] not in "()" and out[-1].lower() not in _PRECEDENCE:
+        last = out[-1].lower() if out else ""
+        if low not in _PRECEDENCE and t not in "()":
+            if last and last not in _PRECEDENCE and last != "(" or not is_operand(t, last == "with"):
+                break
+        elif t == ")" and out.count("(") <= out.count(")"):
             break
         out.append(t)
         at = m.end()
+    while len(out) > 1 and out[-1].lower() in _PRECEDENCE:
+        out.pop()
     return out
 
 
@@ -139,7 +172,7 @@ def automaton() -> ahocorasick.Automaton:
 def scan(text: str, auto: ahocorasick.Automaton) -> dict:
     words = text.encode().translate(WORD_TABLE).split()
     line = f" {b' '.join(words).decode()} "
-    starts, base, labels, exprs, tag = [], set(), set(), [], False
+    starts, base, labels, exprs, tags = [], set(), set(), [], []
     at = seen = 0
     for end, (k, label, is_base) in auto.iter(line):
         seen += line.count(" ", at, end)
@@ -148,20 +181,28 @@ def scan(text: str, auto: ahocorasick.Automaton) -> dict:
             starts.append(seen - k)
             base.add(label)
         if label is None:
-            tag = True
+            tags.append(seen - 1)  # the tag's last word
         else:
             labels.add(label)
     allowed = None
-    if tag:
-        for m in _RAW_TAG.finditer(text):
-            post = to_postfix(tokens(text[m.end() : text.find("\n", m.end()) if "\n" in text[m.end() :] else len(text)]))
+    if tags:
+        wanted = iter(tags)
+        tag = next(wanted)
+        for i, m in enumerate(_RAW_WORD.finditer(text)):
+            if i < tag:
+                continue
+            line_end = text.find("\n", m.end())
+            colon = _COLON.match(text, m.end())
+            post = to_postfix(tokens(text, colon.end(), len(text) if line_end < 0 else line_end))
             got = evaluate(post) if post else None
             if got is None:
                 labels.add("spdx-invalid")
-                continue
-            allowed = got[0] if allowed is None else allowed and got[0]
-            exprs.append(got[1])
-            labels.update(f"spdx:{x}" for x in got[2])
+            else:
+                allowed = got[0] if allowed is None else allowed and got[0]
+                exprs.append(got[1])
+                labels.update(f"spdx:{x}" for x in got[2])
+            if (tag := next(wanted, None)) is None:
+                break
     notices = len(labels)
     return {
         "n_words": len(words),
