@@ -54,6 +54,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, giving unused Arrow memory back when the task ends, as workers live on."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
     """``mapInArrow`` over whole batches: ``make()`` runs once a task and returns a function
     from a dict of Python column lists to a dict of output columns (lists or Arrow arrays)."""
@@ -69,7 +81,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
                     [c if isinstance(c := cols[x.name], pa.Array) else pa.array(c, x.type) for x in out], schema=out
                 )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def pa_schema(ddl: str) -> pa.Schema:

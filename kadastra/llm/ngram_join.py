@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER_TABLE, cut, free_name, pa_schema, quoted, text_of
+from ._common import LOWER_TABLE, cut, free_name, frugal, pa_schema, quoted, text_of
 
 WORDS = 5
 THRESHOLD = 80  # hundredths
@@ -156,7 +156,7 @@ def _survey(docs: DataFrame) -> DataFrame:
              pa.array([c for c, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())],
             schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, chunk int, counts binary")
+    return docs.mapInArrow(frugal(run), "doc_id long, n long, sig binary, chunk int, counts binary")
 
 
 def _ranks(counts: np.ndarray) -> np.ndarray:
@@ -182,7 +182,7 @@ def _rank_table(df: DataFrame) -> np.ndarray:
             )
 
     out = np.zeros((_CHUNKS, size), np.uint8)
-    for r in df.repartition(_CHUNKS, "chunk").mapInArrow(run, "chunk int, ranks binary").toLocalIterator():
+    for r in df.repartition(_CHUNKS, "chunk").mapInArrow(frugal(run), "chunk int, ranks binary").toLocalIterator():
         out[r.chunk] = np.frombuffer(zlib.decompress(bytes(r.ranks)), np.uint8)
     return out.reshape(-1)
 
@@ -217,7 +217,7 @@ def _prefixes(docs: DataFrame, ranks, most: int) -> DataFrame:
                         schema=schema,
                     )
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(frugal(run), ddl)
 
 
 def _with_sets(rows: DataFrame, keys: list[str], docs: DataFrame, ranks) -> DataFrame:
@@ -245,7 +245,7 @@ def _with_sets(rows: DataFrame, keys: list[str], docs: DataFrame, ranks) -> Data
                     sets.append(tokens)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:at_text], _lists(sets).cast(schema.field(at_text).type)], schema=schema)
 
-    return joined.mapInArrow(run, ddl)
+    return joined.mapInArrow(frugal(run), ddl)
 
 
 def _reach(n: np.ndarray, pos: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -310,7 +310,7 @@ def _buckets(tokens: DataFrame) -> DataFrame:
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         tokens.repartition(parts, "token", "part").select("token", "doc_id", "size")
-        .sortWithinPartitions("token", "doc_id").mapInArrow(run, ddl)
+        .sortWithinPartitions("token", "doc_id").mapInArrow(frugal(run), ddl)
     )
 
 
@@ -454,7 +454,7 @@ def _compare(blocks: DataFrame, keys: list[str]) -> DataFrame:
         blocks.repartition(n, *keys)
         .sortWithinPartitions(*keys, "role")
         .select(*keys, "role", "node", "class", "pos", "tokens")
-        .mapInArrow(run, "a long, b long")
+        .mapInArrow(frugal(run), "a long, b long")
         .distinct()
     )
 
@@ -541,7 +541,7 @@ def _rivals(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        rows.select(*keys, "role", "node", "class", "n", "pos").repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
+        rows.select(*keys, "role", "node", "class", "n", "pos").repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(frugal(run), ddl)
     )
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import pa_schema, text_of
+from ._common import frugal, pa_schema, text_of
 
 #: The public vocabulary used where no path is given.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -288,4 +288,4 @@ def encode_documents(documents: DataFrame, path: str = MODEL_PATH) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)).cast(schema.field(2).type),
                      pa.array([len(t) for t in texts], pa.int64()), pa.array(back, pa.bool_())], schema=schema)
 
-    return text_of(documents, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, SCHEMA)
+    return text_of(documents, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(frugal(run), SCHEMA)

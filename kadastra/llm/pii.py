@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, free_name, pa_schema
+from ._common import cut, free_name, frugal, pa_schema
 
 KEY = b"kadastra-surrogates"
 #: Entities with a surrogate other than their first that may be broadcast.
@@ -338,7 +338,7 @@ def _entities(docs: DataFrame) -> DataFrame:
                 rows += [(i, k, c) for k, c in sorted({(k, canonical(t[a:b], k)) for a, b, k in find(t)})]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], schema[j].type) for j in range(3)], schema=schema)
 
-    return docs.select(_row_key(), "text").mapInArrow(run, "row_key long, kind string, canon string")
+    return docs.select(_row_key(), "text").mapInArrow(frugal(run), "row_key long, kind string, canon string")
 
 
 def _assign(entities: DataFrame, key: bytes) -> DataFrame:
@@ -351,7 +351,7 @@ def _assign(entities: DataFrame, key: bytes) -> DataFrame:
             s = [surrogate_of(y, x, key, z) for x, y, z in zip(k, c, n, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.string()), pa.array(n, pa.int32()), pa.array(s, pa.string())], schema=schema)
 
-    return entities.select("kind", "canon", "attempt").mapInArrow(run, "kind string, canon string, attempt int, surrogate string")
+    return entities.select("kind", "canon", "attempt").mapInArrow(frugal(run), "kind string, canon string, attempt int, surrogate string")
 
 
 def registry(found: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -429,4 +429,4 @@ def replace_entities(
                     cols += [pa.array(counts, pa.int32()), pa.array(kinds, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return docs.mapInArrow(run, kept)
+    return docs.mapInArrow(frugal(run), kept)

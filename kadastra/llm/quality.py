@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_rows, text_of
+from ._common import frugal, map_rows, text_of
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -204,4 +204,4 @@ def keep_good(df: DataFrame, model: tuple[np.ndarray, float], threshold: float =
             keep = [one(t.as_py() or "") >= threshold for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
