@@ -28,10 +28,25 @@ TYPOLOGIES = {
     "single_tower": (0.35, 1), "plinth_tower": (0.70, 2), "perimeter_block": (0.55, 3), "row_houses": (0.45, 4),
     "courtyard": (0.50, 1), "campus": (0.30, 4), "infill": (0.75, 1),
 }
+#: Types a vote may name.
 VOTE_TYPES = [
-    "plot_boundary", "zone_boundary", "parcel_line", "buildable_envelope", "landscape_zone", "infrastructure_zone", "filled_zone",
-    "restriction_line", "sub_zone", "uncategorized_zone", "minor_context", "context_line", "artifact", "plinth",
+    "plot_boundary", "buildable_envelope", "landscape_zone", "infrastructure_zone", "traffic_zone", "sub_zone", "no_build_zone",
+    "restriction_line", "artifact",
 ]
+#: Colour family of each type that a colour stands for.
+FAMILY_NAMES = {
+    "buildable_envelope": "orange_fill", "infrastructure_zone": "gray_fill", "landscape_zone": "green_fill", "restriction_line": "red_stroke",
+    "zone_boundary": "orange_stroke", "parcel_line": "cyan_stroke", "context_line": "dark_gray",
+}
+#: Further reference colours of a type, for the finer colour class.
+COLOUR_REFERENCES = {
+    "buildable_envelope": [(1.0, 0.75, 0.53), (1.0, 0.65, 0.40), (0.95, 0.70, 0.50)],
+    "infrastructure_zone": [(0.80, 0.80, 0.80), (0.75, 0.75, 0.75), (0.85, 0.85, 0.85)],
+    "landscape_zone": [(0.16, 0.78, 0.27), (0.0, 0.80, 0.20), (0.20, 0.70, 0.30)],
+    "restriction_line": [(0.87, 0.0, 0.0), (1.0, 0.0, 0.0), (0.80, 0.10, 0.10)],
+    "zone_boundary": [(1.0, 0.61, 0.0), (0.95, 0.55, 0.0), (1.0, 0.50, 0.0)],
+    "parcel_line": [(0.0, 1.0, 1.0), (0.0, 0.90, 0.90), (0.0, 0.80, 1.0)],
+}
 # ---------------------------------------------------------------------------------------------------------
 
 
@@ -90,37 +105,80 @@ def simple_class(valid: Column, aspect: Column, area: Column, page_area: Column,
     )
 
 
+def _verdict(zone_type: str | Column, confidence: float | Column, method: str | Column) -> Column:
+    def col(x: object) -> Column:
+        return x if isinstance(x, Column) else F.lit(x)
+
+    return F.struct(col(zone_type).alias("zone_type"), col(confidence).cast("double").alias("confidence"), col(method).alias("method"))
+
+
 def rule_class(
-    is_plot: Column, filled: Column, fill_family: Column, stroke_family: Column, artifact: Column, building: Column,
-    inside: Column, width: Column, area: Column, plot_area: Column, rebuilt: Column,
+    is_plot: Column, filled: Column, fill_type: Column, stroke_type: Column, artifact: Column, building: Column,
+    inside: Column, width: Column, area: Column, plot_area: Column, strategy: Column,
 ) -> Column:
-    """struct<zone_type, confidence, method>: plot, fill, artifact, stroke colour, shape, width, size; being inside the
-    plot lifts the confidence of all but the first two."""
-
-    def res(t: str | Column, c: float, m: str, lift: bool = True) -> Column:
-        t = F.lit(t) if isinstance(t, str) else t
-        up = inside & (t != "minor_context") if lift else F.lit(False)
-        return F.struct(
-            t.alias("zone_type"),
-            F.when(up, F.greatest(F.lit(c), F.lit(0.75))).otherwise(F.lit(c)).alias("confidence"),
-            F.when(up, m + "+containment").otherwise(m).alias("method"),
+    """struct<zone_type, confidence, method>: plot, fill, artifact, stroke colour, shape, width, size.  Being inside the
+    plot lifts what is neither plot nor filled to 0.75 at least, but for context."""
+    rebuilt = strategy.isin("chain_join", "planar_face")
+    unfilled = (
+        F.when(artifact, _verdict("minor_context", 0.20, "artifact_shape"))
+        .when(stroke_type.isNotNull(), _verdict(stroke_type, 0.80, F.concat(F.lit("stroke:"), lookup(stroke_type, FAMILY_NAMES))))
+        .when(inside & building & rebuilt, _verdict("sub_zone", 0.80, F.concat(F.lit("building_shape+"), strategy)))
+        .when(inside & building & (area > plot_area * 0.10), _verdict("uncategorized_zone", 0.70, "large_unfilled_inside_plot"))
+        .when(inside & building, _verdict("sub_zone", 0.75, "building_shape"))
+        .when(width >= 1.0, _verdict("major_boundary", 0.75, "thick_stroke"))
+        .when(inside & (width >= 0.5), _verdict("major_boundary", 0.60, "medium_stroke"))
+        .when(inside & (area > plot_area * 0.01), _verdict("uncategorized_zone", 0.55, "thin_stroke_significant_area"))
+        .otherwise(_verdict("minor_context", 0.40, "thin_stroke"))
+    )
+    lifted = _verdict(unfilled["zone_type"], F.greatest(unfilled["confidence"], F.lit(0.75)), F.concat(unfilled["method"], F.lit("+containment")))
+    return (
+        F.when(is_plot, _verdict("plot_boundary", 0.95, "area_rank"))
+        .when(filled & fill_type.isNotNull(), _verdict(fill_type, 0.85, F.concat(F.lit("fill:"), lookup(fill_type, FAMILY_NAMES))))
+        .when(filled, _verdict("filled_zone", 0.60, "fill_unknown"))
+        .when(inside & (unfilled["zone_type"] != "minor_context"), lifted)
+        .otherwise(unfilled)
+    )
+
+
+def open_class(stroke_type: Column, no_stroke: Column) -> Column:
+    """struct<zone_type, confidence, method> of an open line."""
+    family = F.when(no_stroke, "none").otherwise(lookup(stroke_type, FAMILY_NAMES, "unknown"))
+    return _verdict(F.coalesce(stroke_type, F.lit("context_line")), 0.50, F.concat(F.lit("open:"), family))
+
+
+def colour_class(r: Column, g: Column, b: Column, is_fill: Column) -> Column:
+    """struct<zone_type, confidence> by the nearest of all reference colours; surer when near, and for fills."""
+    refs = [(t, c) for t, cs in COLOUR_REFERENCES.items() for c in cs]
+    near = F.array_min(
+        F.array(
+            *(
+                F.struct(F.sqrt(F.pow(r - x, 2) + F.pow(g - y, 2) + F.pow(b - z, 2)).alias("d"), F.lit(i).alias("i"), F.lit(t).alias("t"))
+                for i, (t, (x, y, z)) in enumerate(refs)
+            )
         )
+    )
+    sure = F.greatest(F.lit(0.5), 1.0 - near["d"] * 2)
+    sure = F.round(F.when(is_fill, F.least(sure + 0.1, F.lit(1.0))).otherwise(sure), 2)
+    known = r.isNotNull() & (near["d"] <= 0.35)
+    return F.struct(F.when(known, near["t"]).otherwise("unknown").alias("zone_type"), F.when(known, sure).otherwise(0.3).alias("confidence"))
+
 
-    large = area > plot_area * 0.10
+def surest(*classes: Column) -> Column:
+    """The struct<zone_type, confidence> of most confidence, the first of equals."""
+    out = classes[0]
+    for c in classes[1:]:
+        out = F.when(c["confidence"] > out["confidence"], c).otherwise(out)
+    return out
+
+
+def guess(filled: Column, strategy: Column, share: Column, realistic: Column) -> Column:
+    """A first guess at a shape, for those who vote: boundary, zone or building candidate."""
+    rebuilt = F.coalesce(strategy.isin("chain_join", "planar_face"), F.lit(False))
+    house = F.when(realistic, "building_candidate")
     return (
-        F.when(is_plot, res("plot_boundary", 0.95, "largest_boundary", False))
-        .when(filled & fill_family.isNotNull(), res(fill_family, 0.85, "fill_colour", False))
-        .when(filled, res("filled_zone", 0.60, "fill", False))
-        .when(artifact, res("minor_context", 0.20, "artifact_shape"))
-        .when(stroke_family.isNotNull(), res(stroke_family, 0.80, "stroke_colour"))
-        .when(inside & building & rebuilt, res("sub_zone", 0.80, "rebuilt_shape"))
-        .when(inside & building & large, res("uncategorized_zone", 0.70, "large_shape"))
-        .when(inside & building, res("sub_zone", 0.75, "building_shape"))
-        .when(width >= 1, res("major_boundary", 0.75, "stroke_width"))
-        .when(width >= 0.5, res("major_boundary", 0.60, "stroke_width"))
-        .when(inside & (area > plot_area * 0.01), res("uncategorized_zone", 0.55, "area"))
-        .otherwise(res("minor_context", 0.40, "default"))
-    )
+        F.when((share > 0.15) & ~filled, "boundary_candidate").when(rebuilt, F.coalesce(house, F.lit("boundary_candidate")))
+        .when((share > 0.04) & ~filled, "zone_candidate").when(filled & (share > 0.005), "zone_candidate").otherwise(F.coalesce(house, F.lit("zone_candidate")))
+    )
 
 
 def is_kept(ztype: Column, label: Column, closed: Column, area: Column, page_area: Column, width: Column, box_area: Column) -> Column:

@@ -53,6 +53,27 @@ VIEWS: dict[str, tuple[str, str]] = {
         """select o_orderkey id, case o_orderkey % 8 when 0 then 'Rooilijn-' when 1 then 'A-SETBACK-' when 2 then 'No-Build ' when 3 then 'Kavelgrens ' when 4 then 'furniture '
         when 5 then 'Site_' when 6 then 'Vrijgebied ' else 'misc ' end || o_orderpriority layer, o_totalprice price, o_custkey % 360 a0, o_orderkey % 360 a1, o_custkey cx, o_orderkey cy from {orders}""",
     ),
+    "fx_shape": (  # shapes of a page of 1000 x 1000; every fourth twice; fk and sk number fill and stroke colours
+        "part",
+        f"""select p_partkey + k * 1000000 id, {KEY} site, p_partkey % 7 <> 3 or p_partkey % 20 = 1 closed, case when p_partkey % 20 = 1 then 0 else (p_partkey * 37) % 600 end x0,
+        case when p_partkey % 20 = 1 then 0 else (p_partkey * 53) % 500 end y0, case when p_partkey % 20 = 1 then 700 else (p_partkey * 37) % 600 + 2 + (p_size * 3) % 160 end x1,
+        case when p_partkey % 20 = 1 then 600 else (p_partkey * 53) % 500 + 4 + (p_partkey * 7) % 110 end y1, case when p_partkey % 5 = 0 then 1 when p_partkey % 5 = 2 then 2 when p_partkey % 5 = 4 and p_size % 2 = 0 then 3 end fk,
+        case when p_partkey % 9 = 2 then 1 when p_partkey % 9 = 4 then 2 when p_partkey % 9 <> 6 then 3 end sk, (p_size + k) % 4 / 3.0 width, case when p_partkey % 8 = 5 then 'chain_join' when p_partkey % 8 = 6 then 'planar_face' else 'direct' end strategy,
+        4 + p_partkey % 5 n_points, p_size size from {{part}}, (select 0 k union all select 1 k) c where k = 0 or p_partkey % 4 = 0""",
+    ),
+    "fx_ptext": (
+        "part",
+        f"""select p_partkey id, {KEY} site, (p_partkey * 37) % 600 + 1.5 + p_partkey % 2 x, (p_partkey * 53) % 500 + 2.5 y, case p_partkey % 6 when 0 then 'GD' when 1 then 'V' when 2 then '[sba-' || p_size || ']' when 3 then 'tekst' when 4 then p_size || ',5' else ' ' end
+        || chr(10) || case when p_partkey % 4 = 0 then '(m)' when p_partkey % 4 = 1 then cast(p_size as string) else 'x' end || chr(10) || case when p_partkey % 3 = 0 then '(sgd-' || (p_partkey % 9) || ')' else ' hoogte ' end text from {{part}}""",
+    ),
+    "fx_block": (  # sites of four envelopes, buildings in the first three, a plot and an oversized building
+        "part",
+        f"""select p_partkey id, {KEY} site, p_partkey % 20 k, case when p_partkey % 20 < 3 then 'buildable_envelope' when p_partkey % 20 = 3 then 'filled_zone' when p_partkey % 20 < 12 or p_partkey % 20 = 13 then 'sub_zone' when p_partkey % 20 = 12 then 'plot_boundary' else 'landscape_zone' end zone_type,
+        case when p_partkey % 20 = 2 and p_partkey % 3 = 0 then 'Hoofdweg' when p_partkey % 20 < 4 then 'Blok ' || (p_partkey % 20) when p_partkey % 2 = 0 then 'Huis ' || p_size end label, p_partkey % 29 <> 7 closed,
+        case when p_partkey % 20 < 4 then p_partkey % 20 * 200 when p_partkey % 20 < 12 then (p_partkey % 20) % 3 * 200 + 5 + cast(floor((p_partkey % 20 - 4) / 3.0) as int) * 18 else 0 end x0, case when p_partkey % 20 between 4 and 11 then 5 else 0 end y0,
+        case when p_partkey % 20 < 4 then p_partkey % 20 * 200 + 60 + p_size * 2 when p_partkey % 20 < 12 then (p_partkey % 20) % 3 * 200 + 5 + cast(floor((p_partkey % 20 - 4) / 3.0) as int) * 18 + case when p_partkey % 9 = 0 then 3 else 10 + p_size % 6 end when p_partkey % 20 = 12 then 800 else 600 end x1,
+        case when p_partkey % 20 < 4 then 80 + (p_partkey * 7) % 60 when p_partkey % 20 < 12 then 15 + p_partkey % 30 else 200 end y1, p_size size from {{part}}""",
+    ),
     "fx_label": (
         "part",
         """select p_partkey id, case p_partkey % 6 when 0 then 'GD' when 1 then 'V' when 2 then 'WR-A' else 'x' end || chr(10) || case p_partkey % 5 when 0 then '(sgd-' || (p_partkey % 9) || ')'

@@ -406,9 +406,9 @@ def to_metres(spark, d):
 
 
 @query(f"""with l as (select *, 5.0 radius, case when a1 < a0 then a1 + 360 else a1 end stop from ({fx('fx_layer')})), e as (select *, unnest(range(17)) i from l)
-select id, cast(i as int) i, round(cx + radius * cos(radians(a0 + (stop - a0) * i / 16.0)), 4) x, round(cy + radius * sin(radians(a0 + (stop - a0) * i / 16.0)), 4) y from e where id % 10 = 0""")
+select id, cast(i as int) i, round(cx + radius * cos(radians(a0 + (stop - a0) * i / 16.0)), 4) x, round(cy + radius * sin(radians(a0 + (stop - a0) * i / 16.0)), 4) y from e""")
 def arc_points(spark, d):
-    a = view(spark, d, "fx_layer").filter("id % 10 = 0")
+    a = view(spark, d, "fx_layer")
     p = geometry.arc(F.col("cx").cast("double"), F.col("cy").cast("double"), F.lit(5.0), F.col("a0").cast("double"), F.col("a1").cast("double"))
     return a.select("id", F.posexplode(p).alias("i", "p")).select("id", "i", F.round(F.col("p")[0], 4).alias("x"), F.round(F.col("p")[1], 4).alias("y"))
 
@@ -495,29 +495,15 @@ def near_text(spark, d):
     return spatial.near_text(s, t, ["site"], 40.0, CELL)
 
 
-@query(f"""with z as (select site, id, zone_type, x0, y0, x0 + 20 x1, y0 + 20 y1 from ({fx('fx_zone')})), g as (select site, id, x0 + 20 x0, y0 x_y0, x0 + 40 x1, y0 + 5 y0, y0 + 30 y1 from z where id % 3 = 0),
+@query(f"""with z as (select site, id, zone_type, x0, y0, x0 + 20 x1, y0 + 20 y1 from ({fx('fx_zone')})), g as (select site, id, x0 + 20 x0, y0 x_y0, x0 + 40 x1, y0 + 5 y0, y0 + 30 y1 from z),
 m as (select g.site, g.id, z.zone_type, count(*) n, min(z.id) seen from g join z on g.site = z.site where ((least(g.x1, z.x1) - greatest(g.x0, z.x0) = 0 and least(g.y1, z.y1) - greatest(g.y0, z.y0) > 1) or (least(g.y1, z.y1) - greatest(g.y0, z.y0) = 0 and least(g.x1, z.x1) - greatest(g.x0, z.x0) > 1)) group by 1, 2, 3)
 select site, id, zone_type from (select *, row_number() over (partition by site, id order by n desc, seen) k from m) where k = 1""")
 def gap_neighbours(spark, d):
     z = view(spark, d, "fx_zone").select("site", "id", "zone_type", "x0", "y0", (F.col("x0") + 20).alias("x1"), (F.col("y0") + 20).alias("y1"))
-    g = z.filter("id % 3 = 0").select("site", "id", (F.col("x0") + 20).alias("x0"), (F.col("x0") + 40).alias("x1"), (F.col("y0") + 5).alias("y0"), (F.col("y0") + 30).alias("y1"))
+    g = z.select("site", "id", (F.col("x0") + 20).alias("x0"), (F.col("x0") + 40).alias("x1"), (F.col("y0") + 5).alias("y0"), (F.col("y0") + 30).alias("y1"))
     return spatial.neighbour_type(g, z, ["site"], CELL)
 
 
-@query(f"with {_Z} select site, id, zone_type from (select *, row_number() over (partition by site order by (zone_type = 'buildable_envelope') desc, (x1 - x0) * (y1 - y0) desc, id) k from z) where k = 1")
-def plot_pick(spark, d):
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    order = F.struct((F.col("zone_type") == "buildable_envelope").cast("int"), area, -F.col("id"))
-    return view(spark, d, "fx_zone").groupBy("site").agg(F.max_by(F.struct("id", "zone_type"), order).alias("p")).select("site", "p.id", "p.zone_type")
-
-
-@query(f"""with k as (select *, x0 % 10 * 10 bx, y0 % 10 * 10 bz from ({fx('fx_zone')}))
-select site, bx, bz, max_by(id, closed::int * 1000000 + size * 10000 - id) best, max_by(zone_type, size * 1000000 - id) sure_type, count(*) n from k group by 1, 2, 3""")
-def zone_dedup(spark, d):
-    k = view(spark, d, "fx_zone").withColumns({"bx": F.col("x0") % 10 * 10, "bz": F.col("y0") % 10 * 10})
-    return k.groupBy("site", "bx", "bz").agg(F.max_by("id", F.struct("closed", "size", -F.col("id"))).alias("best"), F.max_by("zone_type", F.struct("size", -F.col("id"))).alias("sure_type"), F.count("*").alias("n"))
-
-
 # --- classification --------------------------------------------------------------------------------------
 def _any_sql(c: str, words: list[str]) -> str:
     return "(" + " or ".join(f"contains(lower(coalesce({c}, '')), '{w}')" for w in words) + ")"
@@ -552,21 +538,19 @@ def shape_rules(spark, d):
     )
 
 
-_LIFT = "case when ins and t <> 'minor_context' and k > 2 then greatest(c, 0.75) else c end"
-
-
-@query(f"""with m as (select *, id % 10 = 0 plot, id % 4 = 1 filled, case when id % 8 = 1 then 'landscape_zone' end ff, case when id % 9 = 2 then 'parcel_line' end sf, asp > 10 art, asp < 6 bld, id % 3 > 0 ins, id % 5 = 3 reb from {_M}),
-r as (select *, case when plot then ['plot_boundary', '0.95', '1'] when filled and ff is not null then [ff, '0.85', '2'] when filled then ['filled_zone', '0.6', '2'] when art then ['minor_context', '0.2', '3'] when sf is not null then [sf, '0.8', '4']
-when ins and bld and reb then ['sub_zone', '0.8', '5'] when ins and bld and ar > 600 then ['uncategorized_zone', '0.7', '5'] when ins and bld then ['sub_zone', '0.75', '5'] when sw >= 1 then ['major_boundary', '0.75', '6'] when sw >= 0.5 then ['major_boundary', '0.6', '7']
-when ins and ar > 60 then ['uncategorized_zone', '0.55', '8'] else ['minor_context', '0.4', '9'] end x from m), s as (select id, ins, x[1] t, cast(x[2] as double) c, cast(x[3] as int) k from r)
-select id, t zone_type, {_LIFT} confidence, ins and t <> 'minor_context' and k > 2 contained from s""")
+@query(f"""with m as (select *, id % 10 = 0 plot, id % 4 = 1 filled, case when id % 8 = 1 then 'landscape_zone' end ff, case when id % 9 = 2 then 'parcel_line' end sf, asp > 10 art, asp < 6 bld, id % 3 > 0 ins, case when id % 5 = 3 then 'chain_join' else 'direct' end strat from {_M}),
+r as (select *, case when plot then ['plot_boundary', '0.95', 'area_rank'] when filled and ff is not null then [ff, '0.85', 'fill:green_fill'] when filled then ['filled_zone', '0.6', 'fill_unknown'] when art then ['minor_context', '0.2', 'artifact_shape'] when sf is not null then [sf, '0.8', 'stroke:cyan_stroke']
+when ins and bld and strat = 'chain_join' then ['sub_zone', '0.8', 'building_shape+chain_join'] when ins and bld and ar > 600 then ['uncategorized_zone', '0.7', 'large_unfilled_inside_plot'] when ins and bld then ['sub_zone', '0.75', 'building_shape']
+when sw >= 1 then ['major_boundary', '0.75', 'thick_stroke'] when ins and sw >= 0.5 then ['major_boundary', '0.6', 'medium_stroke'] when ins and ar > 60 then ['uncategorized_zone', '0.55', 'thin_stroke_significant_area'] else ['minor_context', '0.4', 'thin_stroke'] end x from m),
+s as (select id, x[1] t, cast(x[2] as double) c, x[3] k, ins and x[1] <> 'minor_context' and not plot and not filled lift from r)
+select id, t zone_type, cast(case when lift then greatest(c, 0.75) else c end as double) confidence, case when lift then k || '+containment' else k end as "method" from s""")
 def rule_class(spark, d):
     c = F.col
     r = classify.rule_class(
         c("id") % 10 == 0, c("id") % 4 == 1, F.when(c("id") % 8 == 1, "landscape_zone"), F.when(c("id") % 9 == 2, "parcel_line"), c("asp") > 10, c("asp") < 6,
-        c("id") % 3 > 0, c("sw"), c("ar"), F.lit(6000.0), c("id") % 5 == 3,
+        c("id") % 3 > 0, c("sw"), c("ar"), F.lit(6000.0), F.when(c("id") % 5 == 3, "chain_join").otherwise("direct"),
     )
-    return _m(spark, d).select("id", r.alias("r")).select("id", "r.zone_type", "r.confidence", F.endswith("r.method", F.lit("+containment")).alias("contained"))
+    return _m(spark, d).select("id", r.alias("r")).select("id", "r.zone_type", "r.confidence", "r.method")
 
 
 @query(f"""select id, case when zone_type in ('plot_boundary', 'zone_boundary', 'parcel_line', 'uncategorized_zone') then true when coalesce(label, '') <> '' then true
@@ -767,3 +751,6 @@ def floors_under_cap(spark, d):
         F.array().cast("array<struct<floor:int,use:string>>").alias("uses"),
     )
     return programme.floor_volumes(p, ["site"]).select("site", "building_id", "floor_index", F.col("y_bottom").cast("double").alias("y_bottom"))
+
+
+from . import page_queries as _pages  # noqa: E402, F401 - adds its queries to the same tables

@@ -56,12 +56,6 @@ def essential_texts(texts: DataFrame) -> DataFrame:
     return texts.filter(has_any(F.col("text"), ESSENTIAL_TEXT) | (layer_type(F.col("layer")) != "cad_context"))
 
 
-def plan_texts(texts: DataFrame) -> DataFrame:
-    """Short texts with a digit, or essential ones."""
-    short = F.col("text").rlike(r"\d") & (F.length("text") < 20)
-    return texts.filter(has_any(F.col("text"), ESSENTIAL_TEXT) | short)
-
-
 # --- ASCII DXF -------------------------------------------------------------------------------------------
 DXF = (
     "file string, seq int, kind string, layer string, points array<array<double>>, cx double, cy double, radius double, "
@@ -109,6 +103,8 @@ def dxf_entities(text: str) -> Iterator[dict]:
                 cur["layer"] = v
             elif c in (1, 3):
                 cur["text"] = (cur["text"] or "") + v
+            elif c in (10, 20) and cur["kind"] == "POLYLINE":
+                pass  # its own point only tells the height
             elif c in (10, 11):
                 cur["points"].append([float(v), 0.0])
                 if c == 10:

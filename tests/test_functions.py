@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kadastra.functions import classify, geometry, text
-from kadastra.operators import export, greedy, programme, spatial, votes
+from kadastra.operators import export, greedy, pages, programme, spatial, votes
 from kadastra.sources import readers
 from kadastra.streaming import progress
 
@@ -190,4 +190,76 @@ def test_streaming_progress_equals_batch(spark, sf, tmp_path):
     got = {r.event_type: r.n_events for r in spark.table("runs").collect()}
     assert got == {r.event_type: r.n_events for r in progress.progress(events, ["event_type"]).collect()}
     z = spark.createDataFrame([(1, "3", "a"), (1, "3", "a"), (1, "4", "b")], "run int, stage string, zone_type string")
-    assert sorted(r.line for r in progress.snapshots(z, ["run"]).collect())[0] == '{"run":1,"stage":"3","counts":{"a":2}}'
+    got = {r.stage: r.line for r in progress.snapshots(z, ["run"]).collect()}
+    assert got == {
+        "3": '{"run":1,"stage":"3","total":2,"counts":{"a":2}}', "4": '{"run":1,"stage":"4","total":3,"counts":{"a":2,"b":1}}',
+        "done": '{"run":1,"stage":"done","total":3,"counts":{"a":2,"b":1}}',
+    }
+
+
+def test_progress_goes_on_from_its_checkpoint(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.json").write_text(f'{{"event_type": "a", "ts": "2024-01-0{k + 1}T00:00:00Z", "value": 1}}\n')
+        q = progress.follow(spark, str(tmp_path / "in"), "event_type string, ts timestamp, value double", ["event_type"], "again", str(tmp_path / "cp"))
+        assert q.awaitTermination(120)
+    assert spark.table("again").first().n_events == 2
+
+
+def test_dxf_is_read_back(spark, tmp_path):
+    """A written drawing has the shapes that went in: outlines, rings, edges, walls and notes."""
+    sq = [[0.0, 0.0, 0.0], [4.0, 0.0, 0.0], [4.0, 0.0, 3.0], [0.0, 0.0, 3.0]]
+    rows = [(1, 1, "plot_boundary", sq, True, None, None, ["id=1"]), (1, 2, "building_floor", [*sq, sq[0]], True, 0.0, 3.0, ["id=2", "use=retail"]), (1, 3, "context_line", sq[:2], False, None, None, []), (1, 4, "sub_zone", sq[:1], True, None, None, [])]
+    o = spark.createDataFrame(rows, "site int, id int, zone_type string, points array<array<double>>, closed boolean, y_bottom double, y_top double, pairs array<string>")
+    c = spark.createDataFrame([(1, "Max", 12.0, "m", "height"), (1, None, 3.0, None, "setback"), (2, "x", 1.0, "m", "gfa")], "site int, name string, value double, unit string, category string")
+    doc = export.dxf_document(o, ["site"], c)
+    export.write_dxf(doc, ["site"], str(tmp_path / "out"))
+    text = "".join(p.read_text() for p in (tmp_path / "out" / "site=1").glob("*.txt"))
+    assert text.startswith("0\nSECTION\n2\nHEADER") and text.rstrip().endswith("0\nEOF") and len(text.splitlines()) % 2 == 0
+    got = list(readers.dxf_entities(text))
+    kinds = [e["kind"] for e in got]
+    assert sorted(kinds) == ["LINE"] * 4 + ["POLYLINE"] * 4 + ["TEXT"] * 2 and text.count("3DFACE") == 4
+    rings = [e for e in got if e["kind"] == "POLYLINE"]
+    assert sorted((e["layer"], e["closed"], len(e["points"])) for e in rings) == [("00_Boundaries-Plot_Boundary", True, 4), ("04_Generated_Volumes-Building_Floor", True, 4), ("04_Generated_Volumes-Building_Floor", True, 4), ("05_Infrastructure-Context_Line", False, 2)]
+    assert [e["text"] for e in got if e["kind"] == "TEXT"] == ["Max: 12.0 m [height]", "Constraint: 3.0  [setback]"] and "1000\nuse=retail" in text
+    with pytest.raises(ValueError):
+        export.write_dxf(export.dxf_document(o.filter("false"), ["site"]), ["site"], str(tmp_path / "none"))
+
+
+def test_one_plot_boundary_stays(spark):
+    rows = [(1, 1, "plot_boundary", 9), (1, 2, "plot_boundary", 6), (1, 3, "plot_boundary", 7), (2, 4, "plot_boundary", 5)]
+    z = spark.createDataFrame(rows, "site int, id int, zone_type string, n_points int").selectExpr("*", "null label", "true closed", "9e5 area", "1e6 page_area", "1.0 width", "0 x0", "0 y0", "9 x1", "9 y1")
+    assert sorted(r.id for r in pages.keep_zones(z.withColumn("label", F.lit(None).cast("string")), ["site"]).collect()) == [1, 3, 4]
+
+
+def test_subzones_from_dashes(spark):
+    """Thirty dashes around a house become one shape; a page with few dashes gives none."""
+    import math
+
+    def dashes(site, x, y, w, h, n, first):
+        corners = [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+        out = []
+        for (ax, ay), (bx, by) in zip(corners, corners[1:]):
+            for i in range(n):
+                t0, t1 = i / n, (i + 0.8) / n
+                out.append((site, "k", first + len(out), ax + (bx - ax) * t0, ay + (by - ay) * t0, ax + (bx - ax) * t1, ay + (by - ay) * t1))
+        return out
+
+    seg = spark.createDataFrame(dashes(1, 100, 100, 80, 60, 8, 1) + dashes(1, 900, 900, 20, 20, 8, 100) + dashes(2, 100, 100, 80, 60, 1, 500), "site int, style string, id long, x0 double, y0 double, x1 double, y1 double")
+    edge = [(s, s * 10, True, None, [0.0, 0.0, 0.0], 1.0, 360000.0, 1e6, 0.0, 0.0, 600.0, 600.0) for s in (1, 2)]
+    b = spark.createDataFrame(edge, "site int, id int, closed boolean, fill array<double>, stroke array<double>, width double, area double, page_area double, x0 double, y0 double, x1 double, y1 double")
+    got = pages.adaptive_subzones(seg, b, ["site"], ["style"]).collect()
+    assert [(r.site, r.strategy) for r in got] == [(1, "chain_join")] and math.isclose(got[0].area, 4800, rel_tol=0.1)
+
+
+def test_classes_of_colours_and_ties(spark):
+    one_ = lambda e: spark.range(1).select(e.alias("x")).first().x
+    lit = lambda *v: [F.lit(x) for x in v]
+    c = one_(classify.colour_class(*lit(1.0, 0.75, 0.53), F.lit(True)))
+    assert (c.zone_type, c.confidence) == ("buildable_envelope", 1.0)
+    none = F.lit(None).cast("double")
+    assert one_(classify.colour_class(none, none, none, F.lit(True))).zone_type == "unknown"
+    a, b = (F.struct(F.lit(t).alias("zone_type"), F.lit(v).alias("confidence")) for t, v in (("a", 0.5), ("b", 0.5)))
+    assert one_(classify.surest(a, b)).zone_type == "a"
+    o = one_(classify.open_class(F.lit(None).cast("string"), F.lit(False)))
+    assert (o.zone_type, o.method) == ("context_line", "open:unknown")
