@@ -194,11 +194,12 @@ def shape_guess(spark, d):
     return s.select("site", "id", classify.guess(F.col("fill").isNotNull(), F.col("strategy"), F.col("area") / 1e5, real).alias("guess"))
 
 
-@query(f"{_chain('s')} select id, cast(round(cast(ar / 1e4 as decimal(12, 6)), 2) as double) area_pct, fk is not null filled, cast(n_points as bigint) n_points, strategy extraction from s")
+@query(f"{_chain('s')} select id, true share_fits, fk is not null filled, cast(n_points as bigint) n_points, strategy extraction from s")
 def shape_manifest(spark, d):
     s = _shapes(spark, d).withColumn("guess", F.lit("zone_candidate"))
-    m = pages.manifest(s, S).select(F.from_json("line", "id long, area_pct double, filled boolean, centroid array<double>, n_points long, extraction string").alias("m"))
-    return m.select("m.id", "m.area_pct", "m.filled", "m.n_points", "m.extraction")
+    m = pages.manifest(s, S).join(s.select("site", "id", "area"), ["site", "id"]).select("area", F.from_json("line", "id long, area_pct double, filled boolean, centroid array<double>, n_points long, extraction string").alias("m"))
+    fits = F.abs(F.col("m.area_pct") - F.col("area") / 1e4) < 0.00501  # two decimals, whichever way a half goes
+    return m.select("m.id", fits.alias("share_fits"), "m.filled", "m.n_points", "m.extraction")
 
 
 _REFS = [(t, c) for t, cs in classify.COLOUR_REFERENCES.items() for c in cs]
@@ -380,11 +381,12 @@ union all select site, 'parking_' || id, 'underground_parking', -l, -l * 3.0, (1
 union all select site, 'plinth_' || id, 'plinth', 0, 0.0, 4.5, 'retail', round(case when x1 - x0 > 2 * i and y1 - y0 > 2 * i and (x1 - x0 - 2 * i) * (y1 - y0 - 2 * i) > 0.3 * ar then (x1 - x0 - 2 * i) * (y1 - y0 - 2 * i) else ar end, 0), 'Plinth (' || coalesce(label, 'Mixed-Use') || ')' from (select *, greatest(2 * (x1 - x0 + y1 - y0) * 0.04, 1.5) i from {_TGT} where typology = 'plinth_tower'))"""
 
 
-@query(f"select site, building_id, zone_type, floor_index, cast(y_bottom as double) y_bottom, cast(y_top as double) y_top, use_type, cast(area_m2 as double) area_m2, building_label from {_VOLS}")
+@query(f"select site, building_id, zone_type, floor_index, cast(y_bottom as double) y_bottom, cast(y_top as double) y_top, use_type, cast(case when building_id not like 'derived%' and building_id not like 'plinth%' then area_m2 end as double) area_m2, building_label from {_VOLS}")
 def volume_rows(spark, d):
     """All volumes of the sites: plinths, parking and floors of drawn and derived buildings."""
     v = _generated(spark, d)["volumes"]
-    return v.select("site", "building_id", "zone_type", "floor_index", F.col("y_bottom").cast("double").alias("y_bottom"), F.col("y_top").cast("double").alias("y_top"), "use_type", F.round("area_m2", 0).alias("area_m2"), "building_label")
+    drawn = ~F.col("building_id").rlike("^(derived|plinth)")  # areas of the others come from rounded corners
+    return v.select("site", "building_id", "zone_type", "floor_index", F.col("y_bottom").cast("double").alias("y_bottom"), F.col("y_top").cast("double").alias("y_top"), "use_type", F.when(drawn, F.col("area_m2")).alias("area_m2"), "building_label")
 
 
 @query(f"""with v as {_VOLS}, d as (select site, count(*) n from {_DERIVED} group by site), a as (select site, count(*) n from {_ENVS} group by site)
