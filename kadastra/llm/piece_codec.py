@@ -39,8 +39,8 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 BLANK = "▁"
-#: Stretches and pairs of pieces that a task keeps (some 30 MB each); a full store is emptied, which changes no id.
-KEPT_STRETCHES, KEPT_PAIRS = 1 << 17, 1 << 18
+#: Stretches and pairs of pieces that a task keeps (some 50 and 20 MB); a full store is emptied, which changes no id.
+KEPT_STRETCHES, KEPT_PAIRS = 1 << 18, 1 << 18
 #: Stretches of more signs are not kept.
 KEPT_SIGNS = 64
 
@@ -102,6 +102,8 @@ class Model:
         #: No piece spans the place between another sign and a blank.
         self.parted = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
         self.lowest = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
+        #: Pairs of pieces and whether one may follow the other, as far as asked; at most ``KEPT_PAIRS``.
+        self.pairs: dict = {}
         self._raw = [
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else p.replace(BLANK, " ").encode()
             for p, k in zip(self.pieces, self.kinds, strict=True)
@@ -149,16 +151,18 @@ class Stream:
     """Takes signs, keeps the best path to each boundary of its window, yields committed pieces as (id, sign).
 
     id is -1 for a sign that is no piece, else sign is empty.  A boundary has the start of its last piece (-1: not
-    reached), that piece, and the path's score; boundaries before the window are forgotten."""
+    reached), that piece, and the path's score; boundaries before the window are forgotten.  The window of the last run
+    is taken up again as far as its signs are the same, so runs in sorted order share the work of common beginnings."""
 
-    def __init__(self, model: Model, pairs: dict | None = None):
-        self.model = model
-        self.pairs: dict = {} if pairs is None else pairs
+    def __init__(self, model: Model):
+        self.model, self.pairs = model, model.pairs
         self.widest = 0  # most boundaries held at once
+        self.last = ""  # signs of the last run, if its window goes back to the beginning
+        self.window: tuple[list, list, list, list] = ([0], [-1], [""], [0.0])
 
     def _fits(self, before: int, sign: str, k: int) -> bool:
         """Whether piece ``k`` may come after a piece (or a sign that is none; neither: at the start)."""
-        key = (before, k) if before >= 0 else (sign, k)
+        key = before * len(self.model.pieces) + k if before >= 0 else (sign, k)
         got = self.pairs.get(key)
         if got is None:
             if len(self.pairs) >= KEPT_PAIRS:
@@ -169,24 +173,35 @@ class Stream:
 
     def run(self, signs: str) -> Iterator[tuple[int, str]]:
         m = self.model
-        ids, longest, bpe, scores = m.ids, m.longest, m.model_type == BPE, m.scores
+        get, longest, bpe, scores, pairs, size = m.ids.get, m.longest, m.model_type == BPE, m.scores, self.pairs, len(m.pieces)
         text, base = signs, 0  # the window's boundary j lies behind sign base + j
-        start, piece, sign, score = [0], [-1], [""], [0.0]
-        for i in range(1, len(signs) + 1):
+        same, most = 0, min(len(signs), len(self.last))
+        while same < most and signs[same] == self.last[same]:
+            same += 1
+        start, piece, sign, score = (x[: same + 1] for x in self.window)
+        for i in range(same + 1, len(signs) + 1):
             at, k, own, best = -1, -1, "", 0.0
-            for j in range(max(i - longest, base), i):
+            for j in range(i - 1, max(i - longest, base) - 1, -1):
+                found = get(text[j:i])
+                if found is None:
+                    continue
                 w = j - base
-                if start[w] < 0 or (found := ids.get(text[j:i])) is None:
+                if start[w] < 0:
                     continue
                 if bpe:
-                    if self._fits(piece[w], sign[w], found):
+                    before = piece[w]
+                    fits = pairs.get(before * size + found) if before >= 0 else None
+                    if fits is None:
+                        fits = self._fits(before, sign[w], found)
+                    if fits:
                         at, k = w, found
                         break
-                elif at < 0 or score[w] + scores[found] > best:
+                elif at < 0 or score[w] + scores[found] >= best:
                     at, k, best = w, found, score[w] + scores[found]
-            w = i - 1 - base
-            if text[i - 1] not in ids and start[w] >= 0 and (at < 0 or not bpe and score[w] + m.lowest > best):
-                at, k, own, best = w, -1, text[i - 1], score[w] + m.lowest
+            if at < 0 or not bpe:
+                w = i - 1 - base
+                if start[w] >= 0 and get(text[i - 1]) is None and (at < 0 or score[w] + m.lowest > best):
+                    at, k, own, best = w, -1, text[i - 1], score[w] + m.lowest
             start.append(at)
             piece.append(k)
             sign.append(own)
@@ -206,6 +221,10 @@ class Stream:
                     start = [0] + [x - j if x >= j else -1 for x in start[j + 1 :]]
                     score = [x - score[j] for x in score[j:]]
                     piece, sign = piece[j:], sign[j:]
+        if base or len(signs) > KEPT_SIGNS:
+            self.last, self.window = "", ([0], [-1], [""], [0.0])
+        else:
+            self.last, self.window = signs, (start, piece, sign, score)
         yield from self._path(start, piece, sign, len(start) - 1)
 
     @staticmethod
@@ -240,15 +259,26 @@ class Encoder:
                 self.known[s] = got
         return got
 
-    def encode(self, text: str) -> np.ndarray:
+    def _parts(self, text: str) -> list[str]:
         s = self.model.normalize(text)
-        parts = _STRETCH.findall(s) if self.model.parted else [s] if s else []
-        return np.frombuffer(b"".join(map(self.stretch, parts)), np.int32)
+        return _STRETCH.findall(s) if self.model.parted else [s] if s else []
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.stretch, self._parts(text))), np.int32)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; unknown stretches are taken in sorted order first."""
+        new: set[str] = set()
+        for t in texts:
+            new.update(self._parts(t))
+        for s in sorted(s for s in new if s not in self.known and len(s) <= KEPT_SIGNS):
+            self.stretch(s)
+        return [self.encode(t) for t in texts]
 
 
 @lru_cache(maxsize=1)
 def _model(data: bytes) -> Model:
-    """One model a worker process; what encoding keeps goes with the task's ``Encoder``."""
+    """One model a worker process, with its bounded table of pairs; the stretches kept go with the task's ``Encoder``."""
     return Model(data)
 
 
@@ -275,10 +305,10 @@ def encode_documents(documents: DataFrame, path: str = MODEL_PATH) -> DataFrame:
         model = _model(share.value)
         encoder = Encoder(model)
         for big in batches:
-            for at in range(0, big.num_rows, 500):
-                b = big.slice(at, 500)
+            for at in range(0, big.num_rows, 1000):
+                b = big.slice(at, 1000)
                 texts = b.column(1).to_pylist()
-                ids = [encoder.encode(t) for t in texts]
+                ids = encoder.encode_all(texts)
                 back = [model.decode(i.tolist()) == t.replace(BLANK, " ") for i, t in zip(ids, texts, strict=True)]
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(i) for i in ids], out=offsets[1:])

@@ -352,6 +352,7 @@ def test_codec_equals_the_library(model):
         ids = encoder.encode(t)
         assert ids.tolist() == sp.encode(t), t
         assert model.decode(ids.tolist()) == t.replace("▁", " ")
+    assert [x.tolist() for x in piece_codec.Encoder(model).encode_all(texts)] == [sp.encode(t) for t in texts]
 
 
 def test_stream_is_bounded_and_right(model):

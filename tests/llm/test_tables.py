@@ -437,3 +437,20 @@ def test_pipeline(spark, sf):
     assert {r.doc_id for r in got} == first - bad and all(r.round_trip for r in got)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns, name
+
+
+def test_stages_on_odd_rows(spark, sf, odd, none):
+    """Null ids, empty and very long texts, repeated rows and clashing columns go through all stages; an empty table too."""
+    import corpus_pipeline
+
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        if name != "encoding":
+            assert out.columns == odd.columns and out.schema == odd.schema, name
+        rows = out.collect()
+        assert 0 < len(rows) <= docs.count(), name
+        assert stage(spark, none, sf).count() == 0, name
+        if name != "encoding":
+            docs = spark.createDataFrame(rows, odd.schema).repartition(3)
+    assert len(rows) == docs.count() and all(r.round_trip for r in rows)
