@@ -182,7 +182,7 @@ def _rank_table(df: DataFrame) -> np.ndarray:
             )
 
     out = np.zeros((_CHUNKS, size), np.uint8)
-    for r in df.repartition(_CHUNKS, "chunk").mapInArrow(frugal(run), "chunk int, ranks binary").toLocalIterator():
+    for r in df.repartition(_CHUNKS, "chunk").mapInArrow(frugal(run), "chunk int, ranks binary").collect():  # SLOTS bytes at most
         out[r.chunk] = np.frombuffer(zlib.decompress(bytes(r.ranks)), np.uint8)
     return out.reshape(-1)
 
