@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from . import (
     chat_format,
     decontaminate,
+    lexical_search,
     license_scan,
     ngram_join,
     pii,
     piece_codec,
+    prefix_counts,
     quality,
     resharding,
     tiff,
     warc,
+    whitening,
 )
 from ._common import map_rows, shared, table, text_of
 
@@ -151,12 +154,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return prefix_counts.count_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_pii_surrogates, op2_license_scan, op3_resharding, op4_chat_format, op5_tiff, op6_piece_codec,
-            op7_quality, op8_warc_derivatives, op9_ngram_join, op10_decontaminate,
+            op7_quality, op8_warc_derivatives, op9_ngram_join, op10_decontaminate, op11_lexical_search,
+            op12_whitening, op13_token_counts,
         )
     }
 
@@ -169,6 +187,10 @@ def _sql_escape(c: str) -> str:
     return c
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_sql_terms = rf"regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
 def oracle_sql() -> dict[str, str]:
     t = chat_format.DEFAULT
     marks = " ".join(f"when '{r}' then {len(a) + len(b)}" for r, (a, b) in t.marks.items())
@@ -189,7 +211,19 @@ select conv_id, count(*) n_turns,
   cast({len(t.bos)} + sum(length({_sql_escape("text")}) + case role {marks} else {sum(map(len, t.other))} + {role_length} end)
     as bigint) formatted_chars,
   bool_and((before, role) in (select (a, b) from m)) and bool_or(after is null and role = 'assistant') valid
-from p group by conv_id"""
+from p group by conv_id""",
+        "op11_lexical_search": rf"""
+with d as (select row_number() over () r, doc_id, unnest({_sql_terms}) term from documents),
+f as (select r, doc_id, term, count(*) tf from d group by all),
+l as (select r, count(*) n from d group by r),
+s as (select count(*) docs, sum(n)::bigint total from l),
+w as (select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint w from f, s group by term),
+q as (select distinct item_id, unnest({_sql_terms}) term from benchmark),
+g as (select q.item_id, f.r, f.doc_id,
+    sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (10 + (90 * l.n * s.docs) // s.total))))::bigint score
+  from q join f using (term) join w using (term) join l using (r), s group by all)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id nulls last))::int rank, doc_id, score
+from g where score > 0 qualify rank <= 10""",
     }
 
 
