@@ -7,16 +7,19 @@ an entity has one surrogate everywhere (coreference):
 
 * structured entities go through a keyed permutation of all strings of the same shape: letters stay letters
   of their alphabet and case, digits digits, separators stay, Luhn-valid numbers stay valid, addresses stay
-  public or private; two entities of a shape can't meet;
-* name words become pronounceable words of the same script, case and, by the title, gender.
+  public or private; two entities of a shape can't meet.  Long ones are permuted in blocks of ``BLOCK`` signs, each
+  keyed by all before it, so that the time is in proportion to the length;
+* name words become pronounceable words of the same script, case and gender.  A given name is one entity whatever title
+  stands before it: its gender is that of any title with one in the corpus, and none if titles disagree.  Cyrillic family
+  names keep the form they are in (a feminine one takes the surrogate of the masculine, in feminine form).
 
 ``registry`` collects the distinct entities of the corpus, and moves on to the next surrogate of an entity
-whose surrogate belongs to another entity too or is itself an entity of the corpus, until none is left.  After
+whose surrogate belongs to another entity too or is itself an entity of the corpus, of whatever kind, until none is left.  After
 ``OWN_SHAPE`` surrogates of its own shape (at once if nothing in it can change) an entity takes wider ones, which
 grow by a character or syllable with each further step, so a shape that is used up ends nothing.  The few
 entities moved on are broadcast up to a checked number, else joined per document.
 
-Defined cases: null text stays null and holds nothing; null ids are allowed; repeated rows change alike; an
+Defined cases: entities of any length are replaced whole; null text stays null and holds nothing; null ids are allowed; repeated rows change alike; an
 empty table gives no rows; further columns are kept as they are.
 """
 
@@ -38,6 +41,10 @@ KEY = b"kadastra-surrogates"
 BROADCAST_ENTITIES = 50_000
 #: Surrogates of its own shape that an entity tries; later ones are wider.
 OWN_SHAPE = 8
+#: Signs that are permuted together.
+BLOCK = 64
+#: Longest entity whose surrogate a worker keeps.
+KEPT_SIGNS = 256
 
 #: Titles before a name and the gender they tell.
 TITLES = {
@@ -129,20 +136,24 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 for m in pattern.finditer(_without(text, found))
                 if kind != "ip" or all(int(x) < 256 for x in m[0].split("."))
             ]
-    names: dict[str, str] = {}
+    names: dict[str, str] = {}  # name -> its kind, for given names with the genders of the titles before it
     left = None
-    for m in _NAME.finditer(text):
+    upto = 0
+    while m := _NAME.search(text, upto):
         left = left or _without(text, found)
-        at, words = m.start(3), []
+        upto, at, words = m.end(2), m.start(3), []
         for w in re.split("([ \xa0])", m[3]):
             if w.strip():
-                if not w[0].isupper() or left[at] == chr(1):
+                if not w[0].isupper() or left[at] == chr(1) or w in TITLES:
                     break
                 words.append(w)
+                upto = at + len(w)
             at += len(w)
         for i, w in enumerate(words):
             # a family name has one surrogate whoever bears it
-            names.setdefault(w, f"name-given-{TITLES[m[1]]}" if i < len(words) - 1 else "name-family-")
+            kind = names.setdefault(w, "name-given-" if i < len(words) - 1 else "name-family-")
+            if i < len(words) - 1 and kind.startswith("name-given-"):
+                names[w] = "name-given-" + "".join(sorted({*kind[11:], *TITLES[m[1]]}))
     if names:
         one = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b")
         found += [(*m.span(), names[m[0]]) for m in one.finditer(left) if len(m[0]) > 1]
@@ -183,7 +194,21 @@ def _wide(key: bytes, tweak: str, r: int, x: int) -> int:
 
 
 def shaped(s: str, key: bytes, tweak: str, places: dict = _PLACE) -> str:
-    """Keyed permutation of the strings with the shape of ``s``."""
+    """Keyed permutation of the strings with the shape of ``s``.
+
+    Two strings that first differ in some block get different ones there, as the blocks before it, by which it is keyed,
+    are the same."""
+    if len(s) <= BLOCK:
+        return _shaped(s, key, tweak, places)
+    before, out = hashlib.blake2b(key=key, digest_size=16), []
+    for at in range(0, len(s), BLOCK):
+        part = s[at : at + BLOCK]
+        out.append(_shaped(part, key, f"{tweak}/{at}/{before.hexdigest()}", places))
+        before.update(part.encode("utf-8", "surrogatepass"))
+    return "".join(out)
+
+
+def _shaped(s: str, key: bytes, tweak: str, places: dict) -> str:
     x, size = 0, 1
     for c in s:
         if c in places:
@@ -255,9 +280,16 @@ def _wider(canon: str, kind: str, key: bytes, step: int) -> str:
     return lead + draw(len(canon) - len(lead) + 4 + step, digits)
 
 
-@lru_cache(maxsize=1 << 14)
+#: Endings of masculine Cyrillic family names that take an "а" in the feminine.
+_FAMILY = ("ов", "ев", "ёв", "ин", "ын")
+
+
 def surrogate_of(canon: str, kind: str, key: bytes, attempt: int) -> str:
     """Surrogate of a canonical entity, in canonical form."""
+    return (_kept if len(canon) <= KEPT_SIGNS else _surrogate_of)(canon, kind, key, attempt)
+
+
+def _surrogate_of(canon: str, kind: str, key: bytes, attempt: int) -> str:
     tweak = f"{kind}/{attempt}"
     if not kind.startswith("name"):
         if attempt >= OWN_SHAPE:
@@ -290,16 +322,23 @@ def surrogate_of(canon: str, kind: str, key: bytes, attempt: int) -> str:
     if kind.startswith("name"):
         _, part, gender = kind.split("-")
         script = "cyrillic" if re.search("[а-яё]", canon) else "greek" if re.search("[α-ω]", canon) else "latin"
-        x = _number(key, part, gender, attempt, canon)
+        if part == "family" and canon.endswith(tuple(e + "а" for e in _FAMILY)):
+            return surrogate_of(canon[:-1], kind, key, attempt) + "а"
+        x = _number(key, part, attempt, canon)
         syllables, out = SYLLABLES[script], ""
         for _ in range(3 + max(0, attempt - OWN_SHAPE + 1)):
             x, i = divmod(x, len(syllables))
             out += syllables[i]
-        ends = ENDINGS[script, gender if part == "given" else ""]
+        ends = ENDINGS[script, gender if part == "given" and gender in ("m", "f") else ""]
+        if part == "family" and canon.endswith(_FAMILY):
+            ends = _FAMILY
         return out + ends[x % len(ends)]
     return shaped(canon, key, tweak)
 
 
+_kept = lru_cache(maxsize=1 << 14)(_surrogate_of)
+
+
 def show(surrogate: str, entity: str, kind: str) -> str:
     """A canonical surrogate in the format of the mention."""
     if kind in ("phone", "number", "ssn", "iban"):
@@ -311,12 +350,19 @@ def show(surrogate: str, entity: str, kind: str) -> str:
     return surrogate
 
 
-def replace(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with surrogates, and the spans that were replaced (in the old text)."""
+def base_kind(kind: str) -> str:
+    """The kind without the genders that titles tell."""
+    return "name-given-" if kind.startswith("name-given-") else kind
+
+
+def replace(text: str, settled: dict[tuple[str, str], tuple[str, int]], key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with surrogates, and the spans that were replaced (in the old text).  ``settled`` has kind and attempt of
+    entities for which they are not those that the text itself gives."""
     spans, out, at = find(text), [], 0
     for a, b, kind in spans:
         canon = canonical(text[a:b], kind)
-        out += [text[at:a], show(surrogate_of(canon, kind, key, attempts.get((kind, canon), 0)), text[a:b], kind)]
+        own, attempt = settled.get((base_kind(kind), canon), (kind, 0))
+        out += [text[at:a], show(surrogate_of(canon, own, key, attempt), text[a:b], kind)]
         at = b
     return "".join([*out, text[at:]]) if spans else text, spans
 
@@ -354,28 +400,41 @@ def _assign(entities: DataFrame, key: bytes) -> DataFrame:
     return entities.select("kind", "canon", "attempt").mapInArrow(frugal(run), "kind string, canon string, attempt int, surrogate string")
 
 
+def _shown(c: str) -> Column:
+    """What two texts of any kind are compared by."""
+    return F.regexp_replace(F.lower(c), r"^\+", "")
+
+
 def registry(found: DataFrame, key: bytes = KEY) -> DataFrame:
-    """kind, canon, attempt, surrogate: one row an entity, surrogates distinct and no entity of the corpus."""
-    group = F.split("kind", "-")[0]
-    all_of = cut(_assign(found.groupBy("kind", "canon").agg(F.lit(0).alias("attempt")), key).withColumn("class", group))
-    real = all_of.select("class", F.col("canon").alias("surrogate"))
+    """base, kind, canon, attempt, surrogate, mixed: one row an entity, surrogates distinct and no entity of the corpus.
+
+    kind has the gender settled for a given name; ``mixed`` tells that some document by itself would take another."""
+    base = F.when(F.col("kind").startswith("name-given-"), "name-given-").otherwise(F.col("kind"))
+    sexes = F.split("kind", "-")[2]
+    m, f = (F.max(F.coalesce(F.contains(sexes, F.lit(x)), F.lit(False))) for x in "mf")
+    known = cut(
+        found.groupBy(base.alias("base"), "canon")
+        .agg(m.alias("m"), f.alias("f"), (F.min("kind") != F.max("kind")).alias("mixed"))
+        .withColumn("kind", F.when(F.col("base") != "name-given-", F.col("base")).otherwise(F.concat("base", F.when(F.expr("f and not m"), "f").when(F.expr("m and not f"), "m").otherwise(""))))
+        .select("base", "kind", "canon", "mixed")
+    )
+    all_of = cut(_assign(known.withColumn("attempt", F.lit(0)), key).withColumn("shown", _shown("surrogate")))
+    real = known.select(_shown("canon").alias("shown"))
+    new = all_of
     while True:
-        twice = (
-            all_of.groupBy("class", "surrogate")
-            .agg(F.count("*").alias("n"), F.min(F.struct("canon", "kind")).alias("first"))
-            .filter("n > 1")
-        )
+        # only what is new can be an entity of the corpus or meet another surrogate; of those that meet, the settled one stays
+        met = all_of if new is all_of else all_of.join(new.select("shown").distinct(), "shown", "left_semi")
+        who = F.struct("attempt", "canon", "kind")
+        twice = met.groupBy("shown").agg(F.count("*").alias("n"), F.min(who).alias("first")).filter("n > 1")
         bad = cut(
-            all_of.join(twice, ["class", "surrogate"])
-            .filter(F.struct("canon", "kind") != F.col("first"))
-            .select("kind", "canon", "attempt")
-            .unionByName(all_of.join(real, ["class", "surrogate"], "left_semi").select("kind", "canon", "attempt"))
+            met.join(twice, "shown").filter(who != F.col("first")).select("kind", "canon", "attempt")
+            .unionByName(new.join(real, "shown", "left_semi").select("kind", "canon", "attempt"))
             .distinct()
-        )
+        )
         if bad.isEmpty():
-            return all_of.drop("class")
-        moved = _assign(bad.select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), key).withColumn("class", group)
-        all_of = cut(all_of.join(bad, ["kind", "canon"], "left_anti").select(moved.columns).unionByName(moved))
+            return known.join(all_of.drop("shown"), ["kind", "canon"])
+        new = cut(_assign(bad.select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), key).withColumn("shown", _shown("surrogate")))
+        all_of = cut(all_of.join(bad, ["kind", "canon"], "left_anti").unionByName(new))
 
 
 def replace_entities(
@@ -386,19 +445,20 @@ def replace_entities(
     if report:
         documents = documents.drop("n_entities", "kinds")
     found = _entities(documents)
-    moved = cut(registry(found, key).filter("attempt > 0").select("kind", "canon", "attempt"))
+    moved = cut(registry(found, key).filter("attempt > 0 or mixed").select("base", "canon", "kind", "attempt"))
     n = moved.count()
     spark, names = documents.sparkSession, documents.columns
     own_key, own_moved = free_name(documents, "row_key"), free_name(documents, "moved")
     if n <= broadcast_limit:
-        fixed = {(r.kind, r.canon): r.attempt for r in moved.collect()}
-        docs = documents.withColumn(own_moved, F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>"))
+        fixed = {(r.base, r.canon): (r.kind, r.attempt) for r in moved.collect()}
+        docs = documents.withColumn(own_moved, F.lit(None).cast("array<struct<base:string,canon:string,kind:string,attempt:int>>"))
     else:
         fixed = {}
         of_doc = (
-            found.join(moved, ["kind", "canon"])
+            found.withColumn("base", F.when(F.col("kind").startswith("name-given-"), "name-given-").otherwise(F.col("kind")))
+            .drop("kind").join(moved, ["base", "canon"])
             .groupBy(F.col("row_key").alias(own_key))
-            .agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias(own_moved))
+            .agg(F.collect_set(F.struct("base", "canon", "kind", "attempt")).alias(own_moved))
         )
         docs = documents.join(of_doc, _row_key() == F.col(own_key), "left").drop(own_key)
     share = spark.sparkContext.broadcast(fixed)
@@ -418,8 +478,8 @@ def replace_entities(
                 texts, counts, kinds = [], [], []
                 for t, own in zip(b.column(at_text), b.column(at_moved), strict=True):
                     t, own = t.as_py(), own.as_py()
-                    attempts = share.value if not own else {(x["kind"], x["canon"]): x["attempt"] for x in own}
-                    new, spans = replace(t, attempts, key) if t is not None else (None, [])
+                    settled = share.value if not own else {(x["base"], x["canon"]): (x["kind"], x["attempt"]) for x in own}
+                    new, spans = replace(t, settled, key) if t is not None else (None, [])
                     texts.append(new)
                     counts.append(len(spans))
                     kinds.append(",".join(sorted({k.split("-")[0] for _, _, k in spans})))
