@@ -4,9 +4,9 @@ A seed is a fixed mask over neighbouring words: the words under its ones are has
 ignored, so a substituted word at an ignored place does no harm.  Seeds of all benchmark positions are
 joined with seeds of all document positions; a hit fixes item and diagonal (document position less item
 position), and each distinct diagonal is verified word by word: a document is contaminated when some
-window of ``WINDOW`` words of the item agrees in ``AGREE`` hundredths or more.  The masks find every window with as
-many substitutions as that allows (tested exhaustively).  Items shorter than a window must stand in the document
-whole and unchanged; those too short for a mask get a seed of all their words.
+window of ``WINDOW`` words of the item (all of a shorter item) agrees in ``AGREE`` hundredths or more.  The masks find
+every window with as many substitutions as that allows (tested exhaustively).  Shorter items have masks as wide as they
+are, by their number of words (``short_masks``); those under five words allow no substitution.
 
 A word is a lower-cased run of letters and digits.
 
@@ -17,6 +17,8 @@ each row by its own text, with or without an id; further columns are kept by ``c
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,42 +39,49 @@ def hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def allowed(window: int, agree: int = AGREE) -> int:
+    """Substitutions that a window may hold."""
+    return window - -(-agree * window // 100)
+
+
+def short_masks(n: int) -> tuple[str, ...]:
+    """Masks over a whole item of ``n`` words, under ``WINDOW``: places are dealt into groups, and each mask ignores as
+    many groups as substitutions are allowed, so whichever they hit, some mask sees none of them."""
+    k = allowed(n)
+    groups = 2 * k if k > 1 else k + 2
+    return tuple(
+        "".join("0" if i % groups in ignored else "1" for i in range(n)) for ignored in combinations(range(groups), k)
+    ) if k else ("1" * n,)
+
+
 def _seeds(df: DataFrame, keep: list[str], short: list[int] = (), item: bool = False) -> DataFrame:
-    """A row for each position and mask: the kept columns, pos and seed.  ``short`` lists lengths under the shortest
-    mask; a window of that length has a seed of its own (of an item, only if it is all of it)."""
+    """A row for each position and mask: the kept columns, pos and seed.  ``short`` lists lengths under ``WINDOW`` that
+    items have; those items, and the windows of documents of that length, have seeds by their own masks."""
     least = min(len(m) for m in MASKS)
 
-    def seed(k: int, mask: str) -> Column:
-        at = [F.get("h", F.col("pos") + i) for i, c in enumerate(mask) if c == "1"]
-        return F.xxhash64(F.lit(k), *at)
+    def seed(k: int, mask: str, n: int, at: Column) -> Column:
+        return F.xxhash64(F.lit(n), F.lit(k), *(F.get("h", at + i) for i, c in enumerate(mask) if c == "1"))
 
+    # an item under a window has seeds of its own masks only
     long = (
-        df.filter(F.size("h") >= least)
+        df.filter(F.size("h") >= (WINDOW if item else least))
         .select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - least)).alias("pos"))
-        .select(*keep, "pos", F.explode(F.array(*(seed(k, m) for k, m in enumerate(MASKS)))).alias("seed"))
+        .select(*keep, "pos", F.explode(F.array(*(seed(k, m, 0, F.col("pos")) for k, m in enumerate(MASKS)))).alias("seed"))
     )
-    if not short:
-        return long
-    fits = F.filter(F.array(*map(F.lit, short)), lambda n: F.size("h") == n if item else F.size("h") >= n)
-    windows = F.flatten(
-        F.transform(
-            fits,
-            lambda n: F.transform(
-                F.sequence(F.lit(0), F.size("h") - n),
-                lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(-1), n, F.slice("h", i + 1, n)).alias("seed")),
-            ),
-        )
-    )
-    brief = df.filter(F.size("h") >= min(short)).select(*keep, F.explode(windows).alias("w"))
-    return long.unionByName(brief.select(*keep, "w.pos", "w.seed"))
+    for n in short:
+        edge = 0 if item else allowed(n)  # words that a document's start or end may cut off
+        fits = F.size("h") == n if item else F.size("h") >= n - edge
+        own = df.filter(fits).select(*keep, "h", F.explode(F.sequence(F.lit(-edge), F.size("h") - n + edge)).alias("pos"))
+        seeds = F.array(*(seed(k, m, n, F.col("pos")) for k, m in enumerate(short_masks(n))))
+        long = long.unionByName(own.select(*keep, "pos", F.explode(seeds).alias("seed")))
+    return long
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, diagonal, matched (words that agree in the best window), window: verified overlaps."""
     items = cut(benchmark.select("item_id", hashes(F.col("text")).alias("h")).filter(F.size("h") > 0).distinct())
-    least = min(len(m) for m in MASKS)
-    lengths = items.select(F.size("h").alias("n")).filter(F.col("n") < least).distinct().collect()
-    short = sorted(r.n for r in lengths)  # fewer numbers than the shortest mask is long
+    lengths = items.select(F.size("h").alias("n")).filter(F.col("n") < WINDOW).distinct().collect()
+    short = sorted(r.n for r in lengths)  # fewer numbers than a window is long
     seeds = cut(_seeds(items, ["item_id"], short, True).withColumnRenamed("pos", "item_pos"))
     small = seeds.count() <= BROADCAST_SEEDS
     docs = documents.filter("doc_id is not null").select("doc_id", hashes(F.col("text")).alias("h"))
@@ -102,7 +111,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         .select(
             "doc_id", "item_id", "diagonal", best.alias("matched"), F.least(F.size("h"), F.lit(w)).alias("window")
         )
-        .filter(F.expr(f"if(window < {w}, matched = window, matched * 100 >= window * {AGREE})"))
+        .filter(F.expr(f"matched * 100 >= window * {AGREE}"))
     )
 
 
@@ -123,7 +132,8 @@ def verdicts(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` that are not contaminated, columns unchanged."""
-    key, name = F.xxhash64("doc_id", "text"), free_name(documents, "gone")  # rows of one key have one id and text
+    # 128 bits: rows of one key have one id and text
+    key, name = F.struct(F.xxhash64("doc_id", "text"), F.xxhash64("text", F.lit(1), "doc_id")), free_name(documents, "gone")
     rows = documents.select(key.alias("doc_id"), "text")
     gone = cut(verdicts(rows, benchmark).select(F.col("doc_id").alias(name)))
     few = gone.count() <= BROADCAST_IDS
@@ -132,12 +142,11 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def finds_all(masks: tuple[str, ...] = MASKS, window: int = WINDOW, agree: int = AGREE) -> bool:
     """Whether every placing of the allowed substitutions leaves some mask whole inside the window."""
-    from itertools import combinations
-
-    allowed = window - -(-agree * window // 100)
     spots = [
         {at + i for i, c in enumerate(m) if c == "1"} for m in masks for at in range(window - len(m) + 1)
     ]
     return all(
-        any(not s & set(bad) for s in spots) for k in range(allowed + 1) for bad in combinations(range(window), k)
+        any(not s & set(bad) for s in spots)
+        for k in range(allowed(window, agree) + 1)
+        for bad in combinations(range(window), k)
     )
