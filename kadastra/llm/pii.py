@@ -410,7 +410,7 @@ def registry(found: DataFrame, key: bytes = KEY) -> DataFrame:
 
     kind has the gender settled for a given name; ``mixed`` tells that some document by itself would take another."""
     base = F.when(F.col("kind").startswith("name-given-"), "name-given-").otherwise(F.col("kind"))
-    sexes = F.split("kind", "-")[2]
+    sexes = F.when(F.col("kind").startswith("name-given-"), F.substring("kind", 12, 2))
     m, f = (F.max(F.coalesce(F.contains(sexes, F.lit(x)), F.lit(False))) for x in "mf")
     known = cut(
         found.groupBy(base.alias("base"), "canon")

@@ -44,6 +44,19 @@ END = "</w>"
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Signs that the library lower-cases otherwise than Python does (one by its place, two by its newer tables).
 LOWER = {"\u03a3": "\u03c3", "\ua7cb": "\u0264", "\ua7dc": "\u019b"}
+#: Ranges of signs newer than the library's tables, which takes them for neither letters nor numbers.
+NEWER = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D,
+    0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1,
+    0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE),
+    (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475,
+    0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF),
+    (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123,
+    0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96),
+    (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0,
+    0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479),
+    (0x3D000, 0x3FC3F),
+]
 #: Contractions of which a part would be read otherwise, as an apostrophe and a word.
 _LONG = ("'re", "'ve", "'ll")
 
@@ -149,7 +162,13 @@ class Counter:
         self.whole = _Whole(self)
         #: Of the last word walked: bytes, and by place the last open token, the tokens up to it and those of the closed prefix.
         self.raw, self.last, self.count, self.closed = b"", [-1], [0], [0]
-        self.find = regex.compile(WORD)
+        newer = "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER)
+        self.newer = regex.compile(f"[{newer}]")
+        self.plain = regex.compile(WORD)
+        letters, numbers, rest = r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"
+        self.careful = regex.compile(
+            WORD.replace(rest, rf"(?:[^\s\p{{L}}\p{{N}}]|[{newer}])+").replace(letters, rf"(?:(?![{newer}])\p{{L}})+").replace(f"|{numbers}|", rf"|(?![{newer}])\p{{N}}|")
+        )
         self.special = regex.compile("|".join(map(regex.escape, vocabulary.special))) if vocabulary.special else None
 
     def _fits(self, a: int, b: int) -> bool:
@@ -235,6 +254,10 @@ class Counter:
             text = text.replace(a, b)
         return text.lower()
 
+    def words(self, signs: str) -> list[str]:
+        """The words of a normalised text, as the vocabulary's file parts them."""
+        return (self.careful if not signs.isascii() and self.newer.search(signs) else self.plain).findall(signs)
+
     def between(self, text: str) -> list[tuple[str, int]]:
         """The text's parts, and the length of the special string behind each (0 behind the last)."""
         out, at = [], 0
@@ -246,7 +269,7 @@ class Counter:
     def read(self, text: str) -> list[tuple[str, list[str], int]]:
         """Signs, words and length of the special string behind, of each part."""
         parts = [(self.normalize(part), mark) for part, mark in self.between(text)]
-        return [(signs, self.find.findall(signs), mark) for signs, mark in parts]
+        return [(signs, self.words(signs), mark) for signs, mark in parts]
 
     def prefixes(self, text: str) -> Prefixes:
         return Prefixes(self, self.read(text))
@@ -273,13 +296,14 @@ class Prefixes:
             total += n + (mark > 0)
             start += len(signs) + mark
         self.total, self.length = total, start
+        self._counts: np.ndarray | None = None
 
     def _inside(self, k: int) -> tuple[str, list[str]]:
         """Part ``k`` with all but the last sign of its special string read as ordinary text."""
         _, signs, _, _, mark = self.parts[k]
         special = next(s for s in self.counter.vocabulary.special if len(s) == mark) if mark else ""
         signs += special[: mark - 1] if mark else ""
-        return signs, self.counter.find.findall(signs)
+        return signs, self.counter.words(signs)
 
     def count(self, i: int) -> int:
         """Tokens of the first ``i`` signs."""
@@ -288,7 +312,12 @@ class Prefixes:
         return int(self.counts()[i])
 
     def counts(self) -> np.ndarray:
-        """Tokens of the prefixes of 0, 1, ... all signs."""
+        """Tokens of the prefixes of 0, 1, ... all signs, written out once."""
+        if self._counts is None:
+            self._counts = self._every()
+        return self._counts
+
+    def _every(self) -> np.ndarray:
         out = np.zeros(self.length + 1, np.int64)
         for k, (start, signs, words, _, mark) in enumerate(self.parts):
             if mark:

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kadastra.llm import license_scan, ngram_join, pii, piece_codec, quality, resharding, tiff, warc
+from kadastra.llm import license_scan, ngram_join, pii, piece_codec, prefix_counts, quality, resharding, tiff, warc
 
 R = random.Random(5)
 
@@ -520,3 +520,80 @@ def test_bpe_model_with_pieces_of_unknown_signs():
     texts = ["".join(R.choice("abcx ") for _ in range(R.randint(0, 40))) for _ in range(300)]
     for t in texts:
         assert m.encode(t).tolist() == [m.ids.get(p, m.unknown) for p in m.merge(m.normalize(t))], t
+
+
+# --- prefix counts
+@pytest.fixture(scope="module")
+def counter():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        return prefix_counts.Counter(prefix_counts.Vocabulary(f.read()))
+
+
+@pytest.fixture(scope="module")
+def size():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return lambda t: len(library.encode(t, add_special_tokens=False).ids)
+
+
+def normalised(counter, text):
+    out, at = "", 0
+    for m in counter.special.finditer(text):
+        out, at = out + counter.normalize(text[at : m.start()]) + m[0], m.end()
+    return out + counter.normalize(text[at:])
+
+
+def test_every_prefix_costs_what_the_library_says(counter, size):
+    words = ["don't", "'re", "we'll've", "İstanbul", "ΣΊΣΥΦΟΣ", "naïve", "e\u0301te", "漢字", "🤖", "<|endoftext|>", "<|startoftext|>", "12", "...", "!'s", "''ve", "\n\n", "x" * 70, "<|", "ﬁ", "Ǆ", "internationalization"]
+    for _ in range(60):
+        text = "".join(R.choice(words) + R.choice(["", " ", "  "]) for _ in range(R.randint(0, 12)))
+        p, signs = counter.prefixes(text), normalised(counter, text)
+        counts = p.counts()
+        assert len(signs) == p.length and p.total == counts[-1] == size(text)
+        assert counts.tolist() == [size(signs[:i]) for i in range(len(signs) + 1)]
+        assert all(p.count(i) == counts[min(i, p.length)] for i in (0, p.length // 2, p.length, p.length + 5))
+        for budget in (0, 1, 2, 5, 9, 17):
+            i, n = p.longest(budget)
+            best = max(j for j in range(len(signs) + 1) if counts[j] <= budget)
+            assert (i, n) == (best, counts[best]), (text, budget)
+
+
+@given(st.text(max_size=60))
+@settings(max_examples=150, deadline=None)
+def test_counts_of_any_text(counter, size, text):
+    assert counter.prefixes(text).total == size(text)
+
+
+def test_pairs_fit_as_merging_says(counter):
+    v = counter.vocabulary
+    ids = list(v.tokens)
+    for _ in range(3000):
+        a, b = R.choice(ids[:3000]), R.choice(ids)
+        s, t = v.tokens[a], v.tokens[b]
+        if not s.endswith(prefix_counts.END) and counter.vocabulary.fits(-1, a) and v.fits(-1, b):
+            assert v.fits(a, b) == (v.merge(v.split(s) + v.split(t)) == [s, t])
+
+
+def test_long_words_take_time_in_proportion(counter, size):
+    import time
+
+    for unit in ("y", "ab1", "?!", "漢"):
+        took = []
+        for n in (20_000, 200_000):
+            began = time.process_time()
+            counter.prefixes(unit * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 1 + 30 * took[0], (unit, took)
+        assert counter.prefixes(unit * 500).total == size(unit * 500)
+
+
+def test_seams_of_pieces(model):
+    """Undoing merges at the seam tells what merging the pair tells."""
+    pieces = list(model.ids)
+    for _ in range(3000):
+        a, b = R.choice(pieces[:4000]), R.choice(pieces)
+        assert model.may_follow(a, b) == (model.merge(a + b) == [a, b]), (a, b)
