@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
+from . import overlay
+
 # --- fixed values: colour families and default colours --------------------------------------------------
 COLOUR_FAMILIES = [
     ("buildable_envelope", (1.0, 0.75, 0.53)), ("infrastructure_zone", (0.8, 0.8, 0.8)), ("landscape_zone", (0.16, 0.78, 0.27)),
@@ -188,6 +190,28 @@ def hsl_hex(h: Column, s: float = 0.7, lum: float = 0.5) -> Column:
     return rgb_hex(pick(F.lit(c), x, zero, zero, x, F.lit(c)), pick(x, F.lit(c), F.lit(c), x, zero, zero), pick(zero, zero, x, F.lit(c), F.lit(c), x))
 
 
+def ring_holds(ring: Column, x: Column, y: Column) -> Column:
+    """Whether a ring of any shape holds a point: a ray to the right crosses its sides an odd number of times."""
+    c = closed(ring)
+    n = F.greatest(F.size(c) - 1, F.lit(0))
+    sides = F.zip_with(
+        F.slice(c, 1, n), F.slice(c, 2, n),
+        lambda p, q: ((p[1] > y) != (q[1] > y)) & (x < (q[0] - p[0]) * (y - p[1]) / F.nullif(q[1] - p[1], F.lit(0.0)) + p[0]),
+    )
+    return F.coalesce(F.size(F.filter(sides, lambda s: F.coalesce(s, F.lit(False)))) % 2 == 1, F.lit(False))
+
+
+def sides_meet(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether the box of some side meets the box: no side does where it is false."""
+    c = closed(ring)
+    n = F.greatest(F.size(c) - 1, F.lit(0))
+    meet = F.zip_with(
+        F.slice(c, 1, n), F.slice(c, 2, n),
+        lambda p, q: (F.least(p[0], q[0]) <= x1) & (F.greatest(p[0], q[0]) >= x0) & (F.least(p[1], q[1]) <= y1) & (F.greatest(p[1], q[1]) >= y0),
+    )
+    return F.exists(meet, lambda m: m)
+
+
 # --- plain Python kernels ---------------------------------------------------------------------------------
 Point = tuple[float, float]
 
@@ -305,25 +329,9 @@ def simplify_ring(ring: list[Point]) -> list[Point]:
 
 
 def inset(ring: list[Point], d: float) -> list[Point]:
-    """A convex ring moved inwards by ``d`` (mitred); empty when nothing is left."""
-    pts = ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else list(ring)
-    if ring_area(pts) < 0:
-        pts = pts[::-1]
-    out = pts
-    for p, q in zip(pts, pts[1:] + pts[:1], strict=True):
-        n = math.dist(p, q)
-        if n == 0:
-            continue
-        ox, oy = -(q[1] - p[1]) / n * d, (q[0] - p[0]) / n * d
-        far = 4 * (n + abs(d)) + sum(math.dist(a, b) for a, b in zip(pts, pts[1:] + pts[:1], strict=True))
-        ux, uy = (q[0] - p[0]) / n * far, (q[1] - p[1]) / n * far
-        a = (p[0] + ox - ux, p[1] + oy - uy)
-        b = (q[0] + ox + ux, q[1] + oy + uy)
-        c, e = (b[0] - uy, b[1] + ux), (a[0] - uy, a[1] + ux)
-        out = clip(out, [a, b, c, e])
-        if len(out) < 3:
-            return []
-    return out if abs(ring_area(out)) > 1e-9 else []
+    """The largest part of a ring of any shape moved inwards by ``d`` (mitred); empty when nothing is left."""
+    parts = overlay.offset(ring, d)
+    return parts[0].outer if parts and parts[0].area > 1e-9 else []
 
 
 def _rows(s: pd.Series) -> Iterator[list[Point]]:

@@ -1,8 +1,8 @@
 """From the shapes of a page to its zones: plot, hierarchy, rule classes, nesting, labels, the output table.
 
 Shapes are rows of ``keys`` (a page), ``id``, ``closed``, ``area``, their box ``x0 y0 x1 y1`` and what each step
-names.  What lies in what is decided on boxes, by the grid joins of ``spatial``; a page has one plot, so joins with
-it are on the page's keys and its side has one row a page.
+names.  What lies in what is decided on the shapes' ``ring`` where the table has one, else on boxes, by the grid joins of
+``spatial``; a page has one plot, so joins with it are on the page's keys and its side has one row a page.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, geometry
+from ..functions import classify, geometry, overlay
 from . import greedy
-from .spatial import box_area, box_join, common_area, containers, inherited_fill, smallest_container
+from .spatial import box_area, box_join, box_ring, containers, inherited_fill, smallest_container
 from .steps import settled
 
 # --- fixed values ------------------------------------------------------------------------------------------
@@ -24,6 +24,8 @@ PLAN_TEXT = [
 #: Types whose members are never promoted for lying in one of their own type.
 NOT_NESTED = ["plot_boundary", "sub_zone", "minor_context", "context_line"]
 REBUILT = ["chain_join", "planar_face"]
+#: Added to the method of a zone whose fill is its parent's.
+INHERITED = "+inherited_fill→building"
 # -----------------------------------------------------------------------------------------------------------
 
 
@@ -34,12 +36,21 @@ def pick_plot(shapes: DataFrame, keys: list[str], width: float = 0.5) -> DataFra
     ``shapes``: fill, width, page_area besides.  Pages without closed shapes have no row."""
     fits = F.col("fill").isNull() & (F.col("area") > F.col("page_area") * 0.05) & (F.col("width") >= width)
     order = F.struct(F.coalesce(fits, F.lit(False)).cast("int"), "area", -F.col("id"))
-    top = shapes.filter("closed").groupBy(*keys).agg(F.max_by(F.struct("id", "area", "x0", "y0", "x1", "y1"), order).alias("p"))
-    return top.select(*keys, F.col("p.id").alias("plot_id"), F.col("p.area").alias("plot_area"), *(F.col(f"p.{c}").alias(f"plot_{c}") for c in ("x0", "y0", "x1", "y1")))
+    more = _ring(shapes)
+    top = shapes.filter("closed").groupBy(*keys).agg(F.max_by(F.struct("id", "area", "x0", "y0", "x1", "y1", *more), order).alias("p"))
+    return top.select(*keys, F.col("p.id").alias("plot_id"), F.col("p.area").alias("plot_area"), *(F.col(f"p.{c}").alias(f"plot_{c}") for c in ("x0", "y0", "x1", "y1", *more)))
 
 
-def _in_plot() -> Column:
-    """Whether a shape's box lies in the plot's, or over 0.8 of its area does."""
+def _ring(shapes: DataFrame) -> list[str]:
+    return ["ring"] if "ring" in shapes.columns else []
+
+
+def _in_plot(shapes: DataFrame) -> Column:
+    """Whether a shape lies in the plot (its box, where there are no rings), or over 0.8 of its area does."""
+    if _ring(shapes):
+        a, b = F.coalesce("ring", box_ring()), F.coalesce("plot_ring", box_ring("plot_"))
+        meet = F.col("plot_id").isNotNull() & (F.col("x0") <= F.col("plot_x1")) & (F.col("x1") >= F.col("plot_x0")) & (F.col("y0") <= F.col("plot_y1")) & (F.col("y1") >= F.col("plot_y0"))
+        return F.coalesce(F.when(meet, overlay.common_ring_area(F.when(meet, a), F.when(meet, b))) > F.col("area") * 0.8, F.lit(False))
     w = F.least("x1", "plot_x1") - F.greatest("x0", "plot_x0")
     h = F.least("y1", "plot_y1") - F.greatest("y0", "plot_y0")
     common = F.greatest(w, F.lit(0)) * F.greatest(h, F.lit(0))
@@ -51,12 +62,12 @@ def hierarchy(boundaries: DataFrame, keys: list[str]) -> DataFrame:
     """``boundaries`` with their ``role``: plot, zone (large or drawn in a colour), subzone_candidate or unclassified
     (outside the plot).  ``stroke`` array<double> besides the columns of ``pick_plot``."""
     b = boundaries.filter("area > 0")
-    j = b.join(pick_plot(b, keys, 0.3), keys, "left")
+    j = b.join(pick_plot(b, keys, 0.3), keys, "left").withColumn("in_plot_", _in_plot(b))
     s = F.col("stroke")
     black = (s[0] < 0.15) & (s[1] < 0.15) & (s[2] < 0.15)
     coloured = F.coalesce(s.isNotNull() & ~black & ~geometry.is_gray(s[0], s[1], s[2]), F.lit(False))
     role = (
-        F.when(F.col("id") == F.col("plot_id"), "plot").when(~_in_plot(), "unclassified")
+        F.when(F.col("id") == F.col("plot_id"), "plot").when(~F.col("in_plot_"), "unclassified")
         .when((F.col("area") / F.col("page_area") > 0.015) | coloured, "zone").otherwise("subzone_candidate")
     )
     return j.select(*boundaries.columns, role.alias("role"))
@@ -117,7 +128,7 @@ def classify_zones(shapes: DataFrame, keys: list[str]) -> DataFrame:
     c = F.col
     j = shapes.join(pick_plot(shapes, keys), keys, "left").withColumns(
         {
-            "inside": _in_plot(), "building": classify.is_building_shape(m[0], m[1], m[3], m[2], m[4]), "artifact_": classify.is_artifact_shape(m[0], m[1], m[3], m[4]),
+            "inside": _in_plot(shapes), "building": classify.is_building_shape(m[0], m[1], m[3], m[2], m[4]), "artifact_": classify.is_artifact_shape(m[0], m[1], m[3], m[4]),
             "fill_": geometry.colour_family(fill[0], fill[1], fill[2]), "stroke_": geometry.colour_family(stroke[0], stroke[1], stroke[2]), "plot_area": F.coalesce("plot_area", "page_area"),
         }
     )
@@ -157,7 +168,7 @@ def demote_inherited(zones: DataFrame, keys: list[str], size: float) -> DataFram
         F.coalesce(F.max(F.when(F.col("zone_type") == "plot_boundary", F.col("area"))), F.max("area")).cast("double").alias("plot_area")
     )
     z = zones.join(plot, keys, "left")
-    hit = inherited_fill(z.select(*keys, "id", "zone_type", "closed", "fill", "plot_area", "x0", "y0", "x1", "y1"), keys, size).select(*keys, "id", "parent")
+    hit = inherited_fill(z.select(*keys, "id", "zone_type", "closed", "fill", "plot_area", "x0", "y0", "x1", "y1", *_ring(z)), keys, size).select(*keys, "id", "parent")
     j = zones.join(hit, [*keys, "id"], "left")
     is_in = F.col("parent").isNotNull()
     return j.select(
@@ -165,7 +176,7 @@ def demote_inherited(zones: DataFrame, keys: list[str], size: float) -> DataFram
             F.when(is_in, F.lit("sub_zone")).otherwise(F.col(c)).alias(c) if c == "zone_type"
             else F.when(is_in, F.greatest("confidence", F.lit(0.75))).otherwise(F.col(c)).alias(c) if c == "confidence"
             else F.when(is_in, F.lit(None)).otherwise(F.col(c)).alias(c) if c == "fill"
-            else F.when(is_in, F.concat("method", F.lit("+inherited_fill"))).otherwise(F.col(c)).alias(c) if c == "method"
+            else F.when(is_in, F.concat("method", F.lit(INHERITED))).otherwise(F.col(c)).alias(c) if c == "method"
             else F.col(c)
             for c in zones.columns
         )
@@ -176,11 +187,16 @@ def promote_nested(zones: DataFrame, keys: list[str]) -> DataFrame:
     """Closed zones over 0.8 in the largest of their own type: an unfilled building shape becomes a building, a filled
     one is marked.  The parent is one row a key and type.  ``zones``: building (boolean) besides."""
     ring = zones.filter(F.col("closed") & ~F.col("zone_type").isin(*NOT_NESTED))
-    top = ring.groupBy(*keys, "zone_type").agg(F.max_by(F.struct("id", "x0", "y0", "x1", "y1"), F.struct("area", -F.col("id"))).alias("p"))
+    top = ring.groupBy(*keys, "zone_type").agg(F.max_by(F.struct("id", "x0", "y0", "x1", "y1", *_ring(zones)), F.struct("area", -F.col("id"))).alias("p"))
     j = zones.join(top, [*keys, "zone_type"], "left")
     w = F.least(F.col("x1"), F.col("p.x1")) - F.greatest(F.col("x0"), F.col("p.x0"))
     h = F.least(F.col("y1"), F.col("p.y1")) - F.greatest(F.col("y0"), F.col("p.y0"))
     common = F.greatest(w, F.lit(0)) * F.greatest(h, F.lit(0))
+    if _ring(zones):
+        some = F.col("closed") & (common > 0)
+        both = overlay.common_ring_area(F.when(some, F.coalesce("ring", box_ring())), F.when(some, F.coalesce("p.ring", box_ring("p."))))
+        j = j.withColumn("common_", F.when(some, both).otherwise(0.0))
+        common = F.col("common_")
     nested = F.coalesce(F.col("closed") & (F.col("id") != F.col("p.id")) & (common > F.col("area") * 0.8), F.lit(False))
     house = nested & F.col("fill").isNull() & F.coalesce("building", F.lit(False))
     marked = nested & F.col("fill").isNotNull()
@@ -194,7 +210,7 @@ def promote_nested(zones: DataFrame, keys: list[str]) -> DataFrame:
 
 def envelopes_of_buildings(zones: DataFrame, keys: list[str], size: float) -> DataFrame:
     """Buildings that hold other buildings become buildable envelopes of confidence 0.80 at least."""
-    houses = zones.filter("closed and zone_type = 'sub_zone'").select(*keys, "id", "x0", "y0", "x1", "y1")
+    houses = zones.filter("closed and zone_type = 'sub_zone'").select(*keys, "id", "x0", "y0", "x1", "y1", *_ring(zones))
     outer = containers(houses, keys, size).select(*keys, "id", "n_inner")
     j = zones.join(outer, [*keys, "id"], "left")
     hit = F.col("n_inner") >= 1
@@ -209,7 +225,7 @@ def envelopes_of_buildings(zones: DataFrame, keys: list[str], size: float) -> Da
 def label_zones(zones: DataFrame, texts: DataFrame, keys: list[str], size: float) -> DataFrame:
     """``zones`` with ``label`` from the texts (id, x, y, text) whose smallest closed zone they are; context and nameless
     shapes with a name or tag become buildings of 0.85 at least."""
-    held = smallest_container(texts.filter("trim(text) <> ''").select(*keys, "id", "x", "y"), zones.filter("closed").select(*keys, "id", "x0", "y0", "x1", "y1"), keys, size)
+    held = smallest_container(texts.filter("trim(text) <> ''").select(*keys, "id", "x", "y"), zones.filter("closed").select(*keys, "id", "x0", "y0", "x1", "y1", *_ring(zones)), keys, size)
     lines = held.join(texts.select(*keys, "id", "text"), [*keys, "id"])
     joined = lines.groupBy(*keys, F.col("shape").alias("id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("id").alias("t"), "text"))), lambda x: x["text"]), "\n").alias("said")
@@ -234,7 +250,7 @@ def marker_labels(markers: DataFrame, texts: DataFrame, zones: DataFrame, keys:
     t = texts.filter("trim(text) <> ''").select(*keys, "id", "x", "y", F.trim("text").alias("text"), F.col("x").alias("x0"), F.col("x").alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"))
     near = box_join(around, t, keys, size, F.expr("(cx - r_x) * (cx - r_x) + (cy - r_y) * (cy - r_y) < reach * reach"))
     first = near.groupBy(*keys, "id", "cx", "cy").agg(F.min(F.struct("r_id", "r_text"))["r_text"].alias("text"))
-    held = smallest_container(first.select(*keys, "id", F.col("cx").alias("x"), F.col("cy").alias("y")), zones.filter("closed").select(*keys, "id", "x0", "y0", "x1", "y1"), keys, size)
+    held = smallest_container(first.select(*keys, "id", F.col("cx").alias("x"), F.col("cy").alias("y")), zones.filter("closed").select(*keys, "id", "x0", "y0", "x1", "y1", *_ring(zones)), keys, size)
     return held.join(first.select(*keys, "id", "text"), [*keys, "id"]).groupBy(*keys, F.col("shape").alias("id")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(F.col("id").alias("m"), "text"))), lambda x: x["text"]).alias("labels")
     )

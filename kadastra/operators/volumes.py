@@ -7,10 +7,14 @@ from its programme, else from its zone's GFA.  Every step is a join on the site
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from ..functions import geometry
+from ..functions import geometry, overlay
 from ..functions.classify import has_any, lookup
 from . import greedy, programme
 from .spatial import empty_envelopes, first_envelope
@@ -66,22 +70,107 @@ def scaled(ring: Column, centre: Column, factor: Column) -> Column:
     return F.transform(ring, lambda p: F.array(F.round(c[0] + (p[0] - c[0]) * factor, 4), F.round(c[1] + (p[1] - c[1]) * factor, 4)))
 
 
-def derive_footprints(targets: DataFrame, keys: list[str]) -> DataFrame:
-    """A footprint for each envelope of ``with_targets`` (those without a building): the envelope set back, then scaled to
-    GFA / floors, FSI * area / floors or density * area; where that leaves 0.95 of it or more, or nothing is known, inset
-    by 3 hundredths of its perimeter (2 m at least) and scaled to 0.6.  Convex rings.
+def laid_out(ring: overlay.Ring, setback: float, count: int, spacing: float, width: float, length: float) -> list[overlay.Part]:
+    """A row of ``count`` equal rectangles along the longest side of a ring, in the middle of it: closer together, then
+    shorter, where they do not fit; each clipped to the ring set back (rounded) where over 0.3 of it is inside, else whole.
+    None where the ring is longer across that side than along it."""
+    room = next(iter(overlay.offset(ring, setback, True)), None) if setback > 0 else None
+    back = room.outer if room else ring
+    a, b = max(zip(back, back[1:] + back[:1]), key=lambda s: math.dist(*s))
+    turn = math.atan2(b[1] - a[1], b[0] - a[0])
+    cos, sin = math.cos(turn), math.sin(turn)
+    flat = [(x * cos + y * sin, y * cos - x * sin) for x, y in back]
+    low_x, high_x, low_y, high_y = min(x for x, _ in flat), max(x for x, _ in flat), min(y for _, y in flat), max(y for _, y in flat)
+    along, across = high_x - low_x, high_y - low_y
+    if along < across:
+        return []
+    if count * length + (count - 1) * spacing > along:
+        if count > 1:
+            spacing = max(2.0, (along - count * length) / (count - 1))
+        if count * length + (count - 1) * spacing > along:
+            length = max(5.0, (along - (count - 1) * spacing) / count)
+    if width > across:
+        width = max(4.0, across - 1.0)
+    at, low, out = low_x + (along - count * length - (count - 1) * spacing) / 2, (low_y + high_y - width) / 2, []
+    for k in range(count):
+        x = at + k * (length + spacing)
+        box = [(x, low), (x + length, low), (x + length, low + width), (x, low + width)]
+        inside = overlay.intersection(flat, box)
+        if sum(p.area for p in inside) > 0.3 * length * width:
+            out.append(inside[0])
+        else:
+            out.append(overlay.Part(length * width, box))
+    return [overlay.Part(p.area, [(x * cos - y * sin, x * sin + y * cos) for x, y in p.outer]) for p in out]
+
+
+@F.pandas_udf(ArrayType(StructType().add("points", ArrayType(ArrayType(DoubleType()))).add("area", DoubleType())))
+def layout_of(rings: pd.Series, setback: pd.Series, count: pd.Series, spacing: pd.Series, width: pd.Series, length: pd.Series) -> pd.Series:
+    """``laid_out`` of each ring; bounds of the sizes as the proposals have them; null rings give null."""
+    out = []
+    for r, d, n, s, w, h in zip(rings, setback, count, spacing, width, length, strict=True):
+        ring = overlay.open_ring(r)
+        got = laid_out(ring, max(0.0, d), max(1, int(n)), max(0.0, s), max(4.0, w), max(5.0, h)) if len(ring) > 2 else []
+        out.append([{"points": [[round(x, 4), round(y, 4)] for x, y in p.outer], "area": float(p.area)} for p in got])
+    return pd.Series(out)
+
+
+def lay_out_footprints(targets: DataFrame, keys: list[str], proposals: DataFrame | None = None) -> DataFrame:
+    """Footprints in rows for envelopes of ``with_targets``, tried before any scaling: one to four blocks of 12 m (of 16 m where
+    the typology names no homes) that together have the wanted area, 15 to 50 m long and 6 m apart.
+
+    ``proposals`` (keys, id, count, spacing_m, width_m, length_m, from a model or a person) come first where they are: their
+    width is 18 m at most, 14 m for homes.  Envelopes where nothing is wanted, or as much as there is room, have none.
+    Returns keys, id, envelope, points, area, method, confidence, as ``derive_footprints``."""
+    t = _wanted(targets, keys)
+    low = F.lower(F.coalesce("typology", F.lit("")))
+    homes = (low == "") | F.contains(low, F.lit("res")) | F.contains(low, F.lit("home"))
+    width = F.when(homes, 12.0).otherwise(16.0)
+    count = F.least(F.lit(4), F.greatest(F.lit(1), F.rint(F.col("want") / (width * 35.0)).cast("int")))
+    length = F.greatest(F.lit(15.0), F.least(F.lit(50.0), F.col("want") / (count * width)))
+    t = t.withColumns({"_w": width, "_n": count, "_l": length, "_s": F.lit(6.0), "_how": F.lit("CAD_rule_fallback"), "_ok": F.col("want") < F.col("room"), "_sure": F.lit(0.55)})
+    if proposals is not None:
+        p = proposals.select(*keys, "id", F.col("count").alias("p_n"), F.col("spacing_m").alias("p_s"), F.col("width_m").alias("p_w"), F.col("length_m").alias("p_l"))
+        t = t.join(p, [*keys, "id"], "left")
+        cap = F.when(homes, 14.0).otherwise(18.0)
+        given = F.col("p_n").isNotNull()
+        t = t.withColumns(
+            {
+                "_n": F.coalesce("p_n", "_n").cast("int"), "_s": F.coalesce("p_s", "_s").cast("double"), "_l": F.coalesce("p_l", "_l").cast("double"),
+                "_w": F.coalesce(F.least("p_w", cap), "_w").cast("double"), "_how": F.when(given, "CAD_AI_proposal").otherwise(F.col("_how")),
+                "_ok": given | F.col("_ok"), "_sure": F.when(given, 0.65).otherwise(F.col("_sure")),
+            }
+        )
+    t = t.filter("_ok").withColumn("blocks", layout_of("ring", F.coalesce(programme.nonzero(F.col("setback")), F.lit(3.0)).cast("double"), "_n", "_s", "_w", "_l"))
+    b = t.select(*keys, "id", "_how", "_sure", F.posexplode("blocks").alias("k", "b"))
+    return b.select(
+        *keys, F.concat(F.lit("derived_"), F.col("id").cast("string"), F.lit("_"), (F.col("k") + 1).cast("string")).alias("id"), F.col("id").alias("envelope"), F.col("b.points").alias("points"),
+        F.round("b.area", 4).alias("area"), F.col("_how").alias("method"), F.col("_sure").alias("confidence"),
+    )
 
-    Returns keys, id (``derived_`` and the envelope's), envelope, points, area, method, confidence."""
+
+def _wanted(targets: DataFrame, keys: list[str]) -> DataFrame:
+    """``targets`` with ``ring`` (set back where over a tenth is left), its ``room`` and perimeter, ``floors``, the footprint
+    that is wanted (null: unknown) and ``how``."""
     back = geometry.inset_ring(F.col("points"), F.coalesce("setback", F.lit(0.0)).cast("double"))
     t = targets.withColumn("back", F.when(F.col("setback") > 0, back))
     fits = (F.size("back") > 2) & (geometry.area(F.col("back")) > geometry.area(F.col("points")) * 0.1)
     t = settled(t.withColumn("ring", F.when(F.coalesce(fits, F.lit(False)), F.col("back")).otherwise(F.col("points"))))
-    t = settled(t.withColumns({"room": geometry.area(F.col("ring")), "around": geometry.perimeter(F.col("ring"))}))
+    t = t.withColumns({"room": geometry.area(F.col("ring")), "around": geometry.perimeter(F.col("ring"))})
     t = t.withColumns({"floors": F.greatest(F.floor(F.least("max_height_m", F.coalesce("site_height", "max_height_m")) / programme.FLOOR_HEIGHT), F.lit(1))})
     gfa = F.greatest("target_gfa_m2", F.coalesce("site_gfa", F.lit(0.0)))
     want = F.coalesce(programme.nonzero(gfa) / F.col("floors"), programme.nonzero(F.col("fsi")) * F.col("room") / F.col("floors"), programme.nonzero(F.col("density")) * F.col("room"))
     how = F.when(programme.nonzero(gfa).isNotNull(), "gfa_derived").when(programme.nonzero(F.col("fsi")).isNotNull(), "fsi_derived").otherwise("density_derived")
-    t = t.withColumn("want", F.when(want > F.col("room"), F.col("room") * 0.85).otherwise(want))
+    return t.withColumns({"want": F.when(want > F.col("room"), F.col("room") * 0.85).otherwise(want), "how": how})
+
+
+def derive_footprints(targets: DataFrame, keys: list[str]) -> DataFrame:
+    """A footprint for each envelope of ``with_targets`` (those without a building): the envelope set back, then scaled to
+    GFA / floors, FSI * area / floors or density * area; where that leaves 0.95 of it or more, or nothing is known, inset
+    by 3 hundredths of its perimeter (2 m at least) and scaled to 0.6.  ``lay_out_footprints`` is tried before it where
+    a typology is known.
+
+    Returns keys, id (``derived_`` and the envelope's), envelope, points, area, method, confidence."""
+    t = _wanted(targets, keys)
     whole = F.col("want").isNull() | (F.col("want") >= F.col("room") * 0.95)
     inset = geometry.inset_ring(F.col("ring"), F.greatest(F.col("around") * 0.03, F.lit(2.0)))
     t = settled(t.withColumn("inset", F.when(whole, inset)))
@@ -92,7 +181,7 @@ def derive_footprints(targets: DataFrame, keys: list[str]) -> DataFrame:
     left = F.when(F.size("inset") > 2, geometry.area(F.col("inset"))).otherwise(F.col("room"))
     return t.withColumn("shape", shape).select(
         *keys, F.concat(F.lit("derived_"), F.col("id").cast("string")).alias("id"), F.col("id").alias("envelope"), F.col("shape").alias("points"),
-        F.round(F.when(whole, left * 0.6).otherwise(F.col("want")), 4).alias("area"), F.when(whole, "inset_60pct").otherwise(how).alias("method"), F.when(whole, 0.45).otherwise(0.55).alias("confidence"),
+        F.round(F.when(whole, left * 0.6).otherwise(F.col("want")), 4).alias("area"), F.when(whole, "inset_60pct").otherwise(F.col("how")).alias("method"), F.when(whole, 0.45).otherwise(0.55).alias("confidence"),
     )
 
 

@@ -74,6 +74,31 @@ VIEWS: dict[str, tuple[str, str]] = {
         case when p_partkey % 20 < 4 then p_partkey % 20 * 200 + 60 + p_size * 2 when p_partkey % 20 < 12 then (p_partkey % 20) % 3 * 200 + 5 + cast(floor((p_partkey % 20 - 4) / 3.0) as int) * 18 + case when p_partkey % 9 = 0 then 3 else 10 + p_size % 6 end when p_partkey % 20 = 12 then 800 else 600 end x1,
         case when p_partkey % 20 < 4 then 80 + (p_partkey * 7) % 60 when p_partkey % 20 < 12 then 15 + p_partkey % 30 else 200 end y1, p_size size from {{part}}""",
     ),
+    "fx_item": (  # drawing items of a path: pens that go on, move a little or far, and kinds that are not known
+        "lineitem",
+        """select page, path, seq, kind, px + case seq % 3 when 0 then 0.25 when 1 then 0 else 3 end ax, py + case seq % 4 when 0 then 0.5 else 0 end ay, case kind when 'c' then px + 5 when 'qu' then px + 9 else qx end bx,
+        case kind when 'c' then py - 3 when 'qu' then py + 4 else qy end by_, case kind when 'c' then qx + 2 else qx end cx, case kind when 'c' then qy - 8 else qy end cy, qx dx, qy dy, stroke from (
+        select page, path, seq, stroke, case (pk + seq) % 7 when 0 then 'c' when 1 then 'qu' when 2 then 're' when 3 then 'arc' else 'l' end kind, cast((path * 7 + seq * 13) % 200 as double) px, cast((path * 3 + seq * 29) % 150 as double) py,
+        cast((path * 7 + (seq + 1) * 13) % 200 as double) qx, cast((path * 3 + (seq + 1) * 29) % 150 as double) qy from (
+        select l_orderkey % 50 page, l_orderkey path, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) seq, l_partkey pk, l_suppkey % 3 stroke from {lineitem}) a) b""",
+    ),
+    "fx_ell": (  # boxes of a site, two of three with their upper right corner cut out
+        "part",
+        f"""select site, id, x0, y0, x1, y1, x0 + cast(floor((x1 - x0) / 2.0) as int) nx, y0 + cast(floor((y1 - y0) / 3.0) as int) ny, notch from (
+        select {KEY} site, p_partkey id, cast((p_partkey * 37) % 40 as int) x0, cast((p_partkey * 53) % 30 as int) y0, cast((p_partkey * 37) % 40 + 4 + p_size % 12 as int) x1, cast((p_partkey * 53) % 30 + 4 + (p_partkey * 7) % 11 as int) y1, p_partkey % 3 <> 0 notch from {{part}}) a""",
+    ),
+    "fx_plot": (  # a plot with a notch for each site
+        "part",
+        f"select {KEY} site, 2 x0, 1 y0, 50 x1, 40 y1, 30 nx, 25 ny, true notch from {{part}} group by {KEY}",
+    ),
+    "fx_mark": (
+        "lineitem",
+        "select cast(floor(l_partkey / 20.0) as bigint) site, l_orderkey * 10 + l_linenumber id, (l_partkey * 7 + l_linenumber * 11) % 52 + 0.5 x, (l_suppkey * 13 + l_linenumber * 5) % 44 + 0.25 y, cast(l_linenumber as bigint) colour from {lineitem}",
+    ),
+    "fx_knot": (
+        "part",
+        f"select {KEY} site, p_partkey id, case p_partkey % 5 when 0 then 'bow' when 1 then 'spike' when 2 then 'twice' when 3 then 'flat' else 'box' end kind, 4 + p_size % 12 w, 3 + p_partkey % 8 h, (1 + p_partkey % 4) / 5.0 s from {{part}}",
+    ),
     "fx_label": (
         "part",
         """select p_partkey id, case p_partkey % 6 when 0 then 'GD' when 1 then 'V' when 2 then 'WR-A' else 'x' end || chr(10) || case p_partkey % 5 when 0 then '(sgd-' || (p_partkey % 9) || ')'

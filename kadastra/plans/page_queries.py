@@ -81,7 +81,7 @@ join (select *, row_number() over (partition by site, x0, y0, x1, y1, n_points,
     ("par", f"""select a.site, a.id, b.fk pfk, a.fk, row_number() over (partition by a.site, a.id order by b.ar desc, b.id) k2 from ded a join ded b on a.site = b.site and a.id <> b.id and b.ar > a.ar join pa on pa.site = a.site
 where a.closed and b.closed and a.fk is not null and b.fk is not null and a.zone_type not in ('plot_boundary', 'minor_context') and b.zone_type not in ('plot_boundary', 'sub_zone', 'minor_context') and a.ar <= par * 0.1 and {_COMMON} > 0.8 * a.ar"""),
     ("dem", """select d.* exclude (zone_type, confidence, "method", fk), case when p.id is null then fk end fk, case when p.id is null then zone_type else 'sub_zone' end zone_type, case when p.id is null then confidence else greatest(confidence, 0.75) end confidence,
-case when p.id is null then "method" else "method" || '+inherited_fill' end as "method" from ded d left join (select site, id from par where k2 = 1 and fk = pfk) p using (site, id)"""),
+case when p.id is null then "method" else "method" || '+inherited_fill→building' end as "method" from ded d left join (select site, id from par where k2 = 1 and fk = pfk) p using (site, id)"""),
     ("big", "select * from (select site, zone_type, id pid, x0 bx0, y0 by0, x1 bx1, y1 by1, row_number() over (partition by site, zone_type order by ar desc, id) kb from dem where closed and zone_type not in ('plot_boundary', 'sub_zone', 'minor_context', 'context_line')) where kb = 1"),
     ("nes", "select dem.*, coalesce(closed and id <> pid and greatest(least(x1, bx1) - greatest(x0, bx0), 0) * greatest(least(y1, by1) - greatest(y0, by0), 0) > ar * 0.8, false) nst from dem left join big using (site, zone_type)"),
     ("pro", """select * exclude (zone_type, confidence, "method", nst), case when nst and fk is null and bld then 'sub_zone' else zone_type end zone_type, case when nst and fk is null and bld then greatest(confidence, 0.8) else confidence end confidence,

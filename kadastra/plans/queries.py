@@ -753,4 +753,5 @@ def floors_under_cap(spark, d):
     return programme.floor_volumes(p, ["site"]).select("site", "building_id", "floor_index", F.col("y_bottom").cast("double").alias("y_bottom"))
 
 
-from . import page_queries as _pages  # noqa: E402, F401 - adds its queries to the same tables
+from . import page_queries as _pages  # noqa: E402, F401 - these add their queries to the same tables
+from . import ring_queries as _rings  # noqa: E402, F401
