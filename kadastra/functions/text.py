@@ -177,13 +177,15 @@ def constraint_name(category: Column, quote: Column) -> Column:
     return out
 
 
-def extract_constraints(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Constraints of each key (a site, a file): the first match of each (category, value).
+def extract_constraints(blocks: DataFrame, keys: list[str], categories: list[str] | None = None) -> DataFrame:
+    """Constraints of each key (a site, a file): the first match of each (category, value); with ``categories`` only the
+    patterns of these are tried.
 
     ``blocks`` has the keys, ``seq`` (order) and ``text``.  Percentages of building coverage become ratios
     before duplicates are removed."""
+    patterns = {c: p for c, p in CONSTRAINT_PATTERNS.items() if categories is None or c in categories}
     found = blocks.select(
-        *keys, "seq", F.explode(matches(F.col("text"), CONSTRAINT_PATTERNS)).alias("m")
+        *keys, "seq", F.explode(matches(F.col("text"), patterns)).alias("m")
     ).select(*keys, "seq", "m.*", number_plain(F.col("m.num")).alias("value"))
     cover = (F.col("category") == "density") & F.lower("quote").rlike("grz|bebouwing")
     found = found.withColumn("value", F.when(cover & (F.col("value") > 1), F.col("value") / 100).otherwise(F.col("value")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import BUILDABLE_TYPES, TYPOLOGIES, has_any, is_road, lookup, typology
+from .matching import either_holds, stands_in
 
 # --- fixed values ------------------------------------------------------------------------------------------
 FLOOR_HEIGHT, PLINTH_HEIGHT, PARKING_DEPTH, HEIGHT_CAP = 3.0, 4.5, 3.0, 45.0
@@ -75,15 +76,10 @@ def buildable(zones: DataFrame, keys: list[str]) -> DataFrame:
 
 def match_rules(zones: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     """``zones`` (keys, zone_id, zone_index, label) with the rule of the first label that holds or is held by theirs,
-    else the rule of the same index; prefix ``r_``.  Rules are few a key, so this joins on the key."""
+    else the rule of the same index; prefix ``r_``.  Labels meet by their parts (``matching``)."""
     r = rules.select(*keys, *(F.col(c).alias(f"r_{c}") for c in rules.columns if c not in keys))
-    a, b = F.lower("label"), F.lower("r_zone_label")
-    by_label = (
-        zones.join(r, keys)
-        .filter((F.length(a) > 0) & (F.length(b) > 0) & (F.contains(a, b) | F.contains(b, a)))
-        .groupBy(*keys, "zone_id")
-        .agg(F.min("r_zone_index").alias("m_index"))
-    )
+    held = either_holds(zones.select(*keys, F.col("zone_id").alias("id"), "label"), rules.select(*keys, F.col("zone_index").alias("id"), F.col("zone_label").alias("label")), keys)
+    by_label = held.groupBy(*keys, F.col("left_id").alias("zone_id")).agg(F.min("right_id").alias("m_index"))
     with_index = zones.join(by_label, [*keys, "zone_id"], "left").withColumn("r_zone_index", F.coalesce("m_index", "zone_index"))
     return with_index.join(r, [*keys, "r_zone_index"], "left").drop("m_index")
 
@@ -268,9 +264,9 @@ def constraint_overrides(rules: DataFrame, matched: DataFrame, keys: list[str])
 def match_constraints(constraints: DataFrame, zones: DataFrame, keys: list[str]) -> DataFrame:
     """Constraints with the first zone (least id) of their key whose label, over two characters, stands in what they apply
     to or in their quote."""
-    z = zones.filter(F.length("label") > 2).select(*keys, F.col("zone_id").alias("z_id"), F.lower("label").alias("z_label"))
-    hit = constraints.join(z, keys).filter(F.contains(F.lower("raw_quote"), F.col("z_label")) | F.contains(F.lower("applies_to"), F.col("z_label")))
-    first = hit.groupBy(*keys, "constraint_id").agg(F.min("z_id").alias("zone_id"))
+    z = zones.filter(F.length("label") > 2).select(*keys, F.col("zone_id").alias("label_id"), F.lower("label").alias("label"))
+    said = [constraints.select(*keys, F.col("constraint_id").alias("text_id"), F.lower(c).alias("text")) for c in ("raw_quote", "applies_to")]
+    first = stands_in(z, said[0].unionByName(said[1]), keys).groupBy(*keys, F.col("text_id").alias("constraint_id")).agg(F.min("label_id").alias("zone_id"))
     return constraints.join(first, [*keys, "constraint_id"], "left")
 
 

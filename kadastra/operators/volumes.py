@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 from ..functions import geometry, overlay
 from ..functions.classify import has_any, lookup
 from . import greedy, programme
+from .matching import either_holds
 from .spatial import empty_envelopes, first_envelope
 from .steps import settled
 
@@ -58,12 +59,27 @@ def site_limits(constraints: DataFrame, keys: list[str]) -> DataFrame:
 
 def with_targets(envs: DataFrame, programmes: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
     """Envelopes with their programme (zone id, typology, use, target_gfa_m2, max_height_m, parking_levels): a missing
-    height is the site's or 15 m, a missing GFA the area times the index of the use."""
-    j = envs.join(programmes.withColumnRenamed("zone_id", "id"), [*keys, "id"], "left").join(limits, keys, "left")
+    height is the site's or 15 m, a missing GFA the area times the index of the use.
+
+    A zone whose id has no programme takes the first (by zone_index) whose zone_label holds its label or is held by it, if
+    the programmes have these columns."""
+    own = programmes.drop("zone_label", "zone_index").withColumnRenamed("zone_id", "id")
+    j = envs.join(own, [*keys, "id"], "left")
+    if {"zone_label", "zone_index"} <= set(programmes.columns):
+        j = j.filter(F.col("typology").isNotNull()).unionByName(_by_label(envs.join(own, [*keys, "id"], "left_anti"), programmes, keys), allowMissingColumns=True)
+    j = j.join(limits, keys, "left")
     j = j.withColumns({"use": F.coalesce("use", F.lit("residential")), "max_height_m": F.coalesce(programme.nonzero(F.col("max_height_m")), "site_height", F.lit(DEFAULT_HEIGHT))})
     return programme.default_gfa(j)
 
 
+def _by_label(envs: DataFrame, programmes: DataFrame, keys: list[str]) -> DataFrame:
+    """``envs`` with the first programme whose label and theirs are one in the other."""
+    held = either_holds(envs.select(*keys, "id", "label"), programmes.select(*keys, F.col("zone_index").alias("id"), F.col("zone_label").alias("label")), keys)
+    first = held.groupBy(*keys, F.col("left_id").alias("id")).agg(F.min("right_id").alias("zone_index"))
+    p = programmes.drop("zone_id", "zone_label").dropDuplicates([*keys, "zone_index"])
+    return envs.join(first, [*keys, "id"], "left").join(p, [*keys, "zone_index"], "left").drop("zone_index")
+
+
 def scaled(ring: Column, centre: Column, factor: Column) -> Column:
     """A ring scaled about a point, four decimals."""
     c = centre

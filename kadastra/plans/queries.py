@@ -58,13 +58,13 @@ r as (select *, row_number() over (partition by site, category, "value" order by
 select site, category, "value", case category {" ".join(names)} end as "name", substr(trim(q), 1, 200) raw_quote from r where k = 1"""
 
 
-def _constraints(spark: SparkSession, d: str) -> DataFrame:
-    return text.extract_constraints(view(spark, d, "fx_text"), ["site"])
+def _constraints(spark: SparkSession, d: str, categories: list[str] | None = None) -> DataFrame:
+    return text.extract_constraints(view(spark, d, "fx_text"), ["site"], categories)
 
 
 for _c in text.CONSTRAINT_PATTERNS:
     query(_constraint_sql(_c), f"text_{_c}")(
-        lambda spark, d, c=_c: _constraints(spark, d).filter(F.col("category") == c).select("site", "category", "value", "name", "raw_quote")
+        lambda spark, d, c=_c: _constraints(spark, d, [c]).select("site", "category", "value", "name", "raw_quote")
     )
 
 
@@ -320,15 +320,19 @@ def default_gfa(spark, d):
     return programme.default_gfa(z).select("id", F.col("target_gfa_m2").cast("double").alias("target_gfa_m2"))
 
 
-@query(f"""with c as ({_constraint_sql()}), h as (select site, count(*) n, list(distinct category) cats from c where category in ('height', 'parking') and "value" > 30 group by site),
-s as (select distinct site from ({fx('fx_text')})), e as (select unnest(['height', 'setback', 'density', 'parking']) category)
-select s.site, e.category from s cross join e left join h using (site) where coalesce(n, 0) < 3 and not list_contains(coalesce(cats, []), e.category)""")
+#: Constraints of each text by itself, so that categories are missing.
+_OWN_TEXT = f"select * replace (seq as site) from ({fx('fx_text')})"
+
+
+@query(f"""with c as ({_constraint_sql().replace(fx('fx_text'), _OWN_TEXT, 1)}), h as (select site, count(*) n, list(distinct category) cats from c group by site),
+s as (select distinct site from ({_OWN_TEXT})), e as (select unnest(['height', 'setback', 'density', 'parking']) category)
+select s.site seq, e.category from s cross join e left join h using (site) where coalesce(n, 0) < 3 and not list_contains(coalesce(cats, []), e.category)""")
 def gap_categories(spark, d):
-    c = _constraints(spark, d).filter("category in ('height', 'parking') and value > 30")
-    return programme.gap_categories(c, view(spark, d, "fx_text").select("site").distinct(), ["site"], text.ESSENTIAL_CATEGORIES)
+    t = view(spark, d, "fx_text").withColumn("site", F.col("seq"))
+    return programme.gap_categories(text.extract_constraints(t, ["site"]), t.select("site").distinct(), ["site"], text.ESSENTIAL_CATEGORIES).withColumnRenamed("site", "seq")
 
 
-_CONS = "select {k} site, p_partkey constraint_id, case p_partkey % 3 when 0 then 'height' when 1 then 'setback' else 'gfa' end category, cast(p_size as double) as \"value\", 'rule for zone ' || (1 + p_size % 3) raw_quote, case when p_partkey % 2 = 0 then 'blok ' || (p_size % 5) else '' end applies_to from {part} where p_partkey % 2 = 1 or p_size < 20"
+_CONS = "select {k} site, p_partkey constraint_id, case p_partkey % 3 when 0 then 'height' when 1 then 'setback' else 'gfa' end category, cast(p_size as double) as \"value\", 'rule for zone ' || (1 + p_size % 3) raw_quote, case when p_partkey % 2 = 0 then 'blok ' || (p_size % 5) else '' end applies_to from {part}"
 
 
 @query(f"""with c as ({_duck(_CONS)}), z as (select site, id, lower(label) l from ({fx('fx_zone')}) where length(label) > 2)
@@ -347,14 +351,13 @@ def rule_overrides(spark, d):
     return r.select("site", "zone_index", "max_height_m", "target_gfa_m2", F.col("setback_m").cast("double").alias("setback_m"))
 
 
-@query(f"""with c as (select site, min("value") filter (where category = 'setback') s, max("value") filter (where category = 'height') h from ({_duck(_CONS)}) where category <> 'setback' or "value" < 20 group by site),
+@query(f"""with c as (select site, min("value") filter (where category = 'setback') s, max("value") filter (where category = 'height') h from ({_duck(_CONS)}) group by site),
 z as (select site, id zone_id, case when zone_type = 'buildable_envelope' then 'plot_boundary' else zone_type end zone_type, x0, y0, x1, y1 from ({fx('fx_zone')})), j as (select * from z join c using (site))
 select site, zone_id, 'setback_line' zone_type, cast(x0 + s as double) x0, cast(y0 + s as double) y0, cast(x1 - s as double) x1, cast(y1 - s as double) y1, cast(0.0 as double) y_top from j where zone_type = 'plot_boundary' and s is not null and x1 - x0 > 2 * s and y1 - y0 > 2 * s
 union all select site, zone_id, 'height_limit', cast(x0 as double), cast(y0 as double), cast(x1 as double), cast(y1 as double), h from j where zone_type = 'sub_zone' and h is not null""")
 def constraint_rings(spark, d):
     z = view(spark, d, "fx_zone").select("site", F.col("id").alias("zone_id"), F.when(F.col("zone_type") == "buildable_envelope", "plot_boundary").otherwise(F.col("zone_type")).alias("zone_type"), "x0", "y0", "x1", "y1")
-    c = _part_sql(spark, d, _CONS).filter("category <> 'setback' or value < 20")
-    return programme.constraint_rings(z, c, ["site"]).withColumn("y_top", F.col("y_top").cast("double"))
+    return programme.constraint_rings(z, _part_sql(spark, d, _CONS), ["site"]).withColumn("y_top", F.col("y_top").cast("double"))
 
 
 # --- geometry --------------------------------------------------------------------------------------------
@@ -744,7 +747,7 @@ def simplified(spark, d):
 e as (select *, unnest(range(n)) i from f) select site, id building_id, cast(i as int) floor_index, cast(i * 3.0 as double) y_bottom from e""")
 def floors_under_cap(spark, d):
     """Text to floors: how many floors each building may have under the site's lowest height limit."""
-    cap = _constraints(spark, d).filter("category = 'height'").groupBy("site").agg(F.min("value").alias("cap"))
+    cap = _constraints(spark, d, ["height"]).groupBy("site").agg(F.min("value").alias("cap"))
     b = view(spark, d, "fx_zone").filter("zone_type = 'sub_zone'").select("site", F.col("id").alias("building_id")).join(cap, "site")
     p = b.select(
         "site", "building_id", F.greatest(F.floor(F.col("cap") / 3.0), F.lit(1)).cast("int").alias("floors"), F.lit(3.0).alias("floor_height"), F.lit(0.0).alias("base_y"), "cap",
@@ -754,4 +757,4 @@ def floors_under_cap(spark, d):
 
 
 from . import page_queries as _pages  # noqa: E402, F401 - these add their queries to the same tables
-from . import ring_queries as _rings  # noqa: E402, F401
+from . import ring_queries as _ring_queries  # noqa: E402, F401
