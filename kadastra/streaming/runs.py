@@ -36,12 +36,12 @@ def totals(events: DataFrame) -> DataFrame:
     )
 
 
-def accumulate(events: DataFrame, idle_ms: int = 600_000) -> DataFrame:
+def accumulate(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """A stream of ``TOTALS`` in update mode: with every batch the new totals of the runs that it touches.
 
     The state of a run is its counts, its cost in millionths and 16 bytes for each distinct text; it lives in the query's
-    checkpoint, so a restart goes on where it stopped.  A run without events for ``idle_ms`` is told once more, as closed, and
-    its state goes."""
+    checkpoint, so a restart goes on where it stopped.  With ``idle_ms`` a run without events for so long is told once
+    more, as closed, and its state goes; a query with it runs until it is stopped."""
     last = F.col("_rank")
     events = events.withColumn("_rank", stage_rank(F.col("stage")))
     names = [x.split()[0] for x in TOTALS.split(", ")]
@@ -60,11 +60,12 @@ def accumulate(events: DataFrame, idle_ms: int = 600_000) -> DataFrame:
             own = p[p["kind"] == "call"]
             calls, micro = calls + len(own), micro + _micro(own["cost_usd"])
         state.update((rank, objects, sorted(known), calls, micro))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], rank, objects, len(known), calls, micro / 1e6, False)], columns=names)
 
     return events.select("run", "kind", "text", "cost_usd", last).groupBy("run").applyInPandasWithState(
-        step, TOTALS, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout
+        step, TOTALS, _STATE, "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
