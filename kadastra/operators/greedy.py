@@ -151,7 +151,7 @@ def faces(df: DataFrame, keys: list[str], grid: float = 2.0, least: float = 1.0)
             if a != b:
                 around.setdefault(a, set()).add(b)
                 around.setdefault(b, set()).add(a)
-        order = {v: sorted(n, key=lambda p, v=v: math.atan2(p[1] - v[1], p[0] - v[0])) for v, n in around.items()}
+        order = {v: sorted(n, key=lambda p, v=v: (math.atan2(p[1] - v[1], p[0] - v[0]), p)) for v, n in around.items()}
         place = {v: {p: i for i, p in enumerate(n)} for v, n in order.items()}
         seen, found = set(), []
         for u in sorted(order):

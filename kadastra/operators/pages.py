@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, geometry, overlay
-from . import greedy
+from . import graph, greedy
 from .spatial import box_area, box_join, box_ring, containers, inherited_fill, smallest_container
 from .steps import settled
 
@@ -111,7 +111,7 @@ def adaptive_subzones(segments: DataFrame, boundaries: DataFrame, keys: list[str
         *keys, *style, F.col("e.p")[0].alias("x0"), F.col("e.p")[1].alias("y0"), F.col("e.q")[0].alias("x1"), F.col("e.q")[1].alias("y1"),
         F.monotonically_increasing_id().alias("id"),
     )
-    faces = greedy.faces(mega, [*keys, *style]).join(page, keys).select(*keys, *style, F.lit("planar_face").alias("strategy"), "points", "page_area")
+    faces = graph.faces(mega, [*keys, *style]).join(page, keys).select(*keys, *style, F.lit("planar_face").alias("strategy"), "points", "page_area")
     found = chains.filter("kind = 'shape'").select(*keys, *style, F.lit("chain_join").alias("strategy"), "points", "page_area").unionByName(faces)
     found = found.withColumns({"area": geometry.area(F.col("points")), "m": geometry.shape_metrics("points")})
     thin = (F.col("m.aspect_ratio") > 10.0) | (F.col("m.elongation") > 0.92) | (F.col("m.min_dim") < 1.5)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, geometry, text
-from ..operators import export, greedy, programme, spatial, votes
+from ..operators import export, graph, greedy, programme, spatial, votes
 from ..streaming import progress as stream
 from .fixtures import sql as fx
 from .fixtures import view
@@ -714,9 +714,26 @@ def chain_join(spark, d):
     return greedy.chain(_segments(spark, d), ["site", "colour"])
 
 
-@query()
+def _faces_sql() -> str:
+    sides = " union all ".join(f"select site, {a} ax, {b} ay, {c} bx, {e} by_ from z" for a, b, c, e in (("x0", "y0", "x1", "y0"), ("x1", "y0", "x1", "y1"), ("x1", "y1", "x0", "y1"), ("x0", "y1", "x0", "y0")))
+    snapped = ", ".join(f"round_even({c} / 2.0, 0) * 2 {n}" for c, n in (("ax", "ux"), ("ay", "uy"), ("bx", "vx"), ("by_", "vy")))
+    rounds = "".join(
+        f", l{k} as materialized (select a.h, b.nxt, least(a.lab, b.lab) lab from l{k - 1} a join l{k - 1} b on b.h = a.nxt)" for k in range(1, 15)
+    )
+    return f"""with z as ({fx("fx_zone")}), s as ({sides}), n as (select site, {snapped} from s), b as (select * from n union all select site, vx, vy, ux, uy from n),
+o as materialized (select *, atan2(vy - uy, vx - ux) ang, row_number() over (order by site, ux, uy, atan2(vy - uy, vx - ux), vx, vy) h from (select distinct * from b where ux <> vx or uy <> vy)),
+t as (select *, coalesce(lag(h) over (partition by site, ux, uy order by ang, vx, vy), last_value(h) over (partition by site, ux, uy order by ang, vx, vy rows between unbounded preceding and unbounded following)) go from o),
+l0 as materialized (select a.h, b.go nxt, a.h lab from o a join t b on a.site = b.site and b.ux = a.vx and b.uy = a.vy and b.vx = a.ux and b.vy = a.uy){rounds},
+f as (select o.site, lab, sum(ux * vy - vx * uy) / 2 area, count(*) n_points from l14 join o using (h) group by 1, 2), g as (select f.*, o.ux start_x, o.uy start_y from f join o on o.h = f.lab where area > 1 and n_points > 2),
+r as (select *, row_number() over (partition by site order by area desc) k, lead(area) over (partition by site order by area desc) below from g)
+select site, area, n_points, start_x, start_y from r where not (k = 1 and below is not null and area > 3 * below)"""
+
+
+@query(_faces_sql())
 def faces(spark, d):
-    return greedy.faces(_segments(spark, d), ["site"])
+    """Faces of the sides of all zones of a site, by pointer doubling."""
+    f = graph.faces(_segments(spark, d), ["site"])
+    return f.select("site", "area", F.size("points").cast("long").alias("n_points"), F.col("points")[0][0].alias("start_x"), F.col("points")[0][1].alias("start_y"))
 
 
 @query()

@@ -201,3 +201,21 @@ def test_paths(spark):
     assert [tuple(p) for p in got[1].points[:10]] == [(0, 0), (10, 0), (10, 10), (11, 10), (0, 10), (0, 0), (2, 0), (2, 3), (0, 3), (0, 0)] and len(got[1].points) == 20
     assert len(got[5].points) == 11 and got[5].y1 == 2.5 and got[1].pen == "s"
     assert drawings.reconstruct_paths(d.filter("false"), ["page"]).count() == 0
+
+
+def test_faces_equal_the_walk(spark):
+    """Pointer doubling finds what walking finds, corner by corner; one page of many cells is shared out."""
+    from kadastra.operators import graph, greedy
+
+    r = random.Random(9)
+    rows = []
+    for k in range(12):
+        pts = [(r.randrange(0, 24) * 2.0, r.randrange(0, 24) * 2.0) for _ in range(8)]
+        rows += [(k, *a, *b) for a, b in zip(pts, pts[1:])]
+    rows += [(50, 10.0 * x, 10.0 * y, 10.0 * x + 10 * dx, 10.0 * y + 10 * dy) for x in range(12) for y in range(12) for dx, dy in ((1, 0), (0, 1))]
+    rows += [(60, 0.0, 0.0, 0.4, 0.3), (61, 0.0, 0.0, 10.0, 0.0)]
+    d = spark.createDataFrame(rows, "site int, x0 double, y0 double, x1 double, y1 double")
+    got = {(x.site, x.area, tuple(map(tuple, x.points))) for x in graph.faces(d, ["site"]).collect()}
+    want = {(x.site, x.area, tuple(map(tuple, x.points))) for x in greedy.faces(d, ["site"]).collect()}
+    assert got == want and sum(s == 50 for s, _, _ in got) == 121
+    assert graph.faces(d.filter("false"), ["site"]).count() == 0
