@@ -99,6 +99,11 @@ VIEWS: dict[str, tuple[str, str]] = {
         "part",
         f"select {KEY} site, p_partkey id, case p_partkey % 5 when 0 then 'bow' when 1 then 'spike' when 2 then 'twice' when 3 then 'flat' else 'box' end kind, 4 + p_size % 12 w, 3 + p_partkey % 8 h, (1 + p_partkey % 4) / 5.0 s from {{part}}",
     ),
+    "fx_rule": (  # constraints of a site; every fourth site has no setbacks
+        "part",
+        f"""select {KEY} site, p_partkey id, case when p_partkey % 3 = 0 then 'height' when p_partkey % 3 = 1 and cast(floor(p_partkey / 20.0) as int) % 4 <> 0 then 'setback' else 'parking' end category,
+        case p_size % 4 when 0 then 'Front line' when 1 then 'Achter grens' when 2 then 'zijdelings' else 'Setback' end nm, cast(p_size as double) v from {{part}}""",
+    ),
     "fx_label": (
         "part",
         """select p_partkey id, case p_partkey % 6 when 0 then 'GD' when 1 then 'V' when 2 then 'WR-A' else 'x' end || chr(10) || case p_partkey % 5 when 0 then '(sgd-' || (p_partkey % 9) || ')'

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, overlay
-from ..operators import drawings, spatial
+from ..operators import drawings, pipelines, spatial
 from .fixtures import sql as fx
 from .fixtures import view
-from .queries import query
+from .queries import _BPROG, ORACLES, QUERIES, _building_programmes, _constraint_sql, query
 
 S = ["site"]
 CELL = 24.0
@@ -173,3 +173,51 @@ def valid_rings(spark, d):
     )
     r = b.withColumn("ring", ring)
     return r.select("site", "id", overlay.is_valid_ring("ring").alias("valid"), F.round(overlay.repaired("ring")["area"], 4).alias("area"))
+
+
+# --- constraints from end to end ---------------------------------------------------------------------------------
+_ZTYPE = "case when id % 20 = 0 then 'plot_boundary' when id % 10 = 1 then 'no_build_zone' when id % 10 = 7 then 'buildable_envelope' else zone_type end"
+
+
+def _constraint_zones(spark, d) -> DataFrame:
+    p = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")]
+    z = view(spark, d, "fx_zone").withColumns({"zone_type": F.expr(_ZTYPE), "points": F.array(*(F.array(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in p)), "confidence": F.lit(0.8)})
+    return z.select("site", "id", "zone_type", "label", "closed", F.expr("cast((x1 - x0) * (y1 - y0) as double)").alias("area"), "points", "confidence")
+
+
+@query(f"""with z as (select site, id, {_ZTYPE} zt, label, x0, y0, x1, y1 from ({fx('fx_zone')}) where closed), c as ({fx('fx_rule')}),
+pl as (select site, min_by(struct_pack(x0, y0, x1, y1), id) b from z where zt = 'plot_boundary' group by 1), en as (select site, min_by(struct_pack(x0, y0, x1, y1), id) b from z where zt = 'buildable_envelope' group by 1),
+s as (select site, 'setback_line' zone_type, nm || ' (' || v || 'm)' zone_label, (b.x1 - b.x0 - 2 * v) * (b.y1 - b.y0 - 2 * v) area, case when contains(lower(nm), 'front') or contains(lower(nm), 'voor') then '#ef4444'
+when contains(lower(nm), 'rear') or contains(lower(nm), 'achter') then '#f97316' when contains(lower(nm), 'side') or contains(lower(nm), 'zij') then '#eab308' else '#ef4444' end color_hint, 'constraint_offset' classification_method, null::double y_top
+from c join pl using (site) where category = 'setback' and v > 0 and b.x1 - b.x0 > 2 * v and b.y1 - b.y0 > 2 * v),
+h as (select site, max(v) v from c where category = 'height' group by 1)
+select site, zone_type, zone_label, round(area, 4) area, color_hint, classification_method, y_top from s
+union all select site, 'setback_line', 'Buildable Envelope (bouwvlak)', ((b.x1 - b.x0) * (b.y1 - b.y0))::double, '#ef4444', 'derived_from_buildable_envelope', null from en where site not in (select site from s)
+union all select site, 'height_limit', 'Max Height ' || v || 'm', ((x1 - x0) * (y1 - y0))::double, '#f59e0b', 'height_limit_contour', v from z join h using (site) where zt = 'sub_zone'
+union all select site, 'setback_line', case when coalesce(label, '') <> '' then 'No-Build Zone (' || label || ')' else 'No-Build Zone' end, ((x1 - x0) * (y1 - y0))::double, '#dc2626', 'no_build_boundary', null from z where zt = 'no_build_zone'""")
+def constraint_outlines(spark, d):
+    """Setbacks, the envelope where there are none, height limits, and where nobody may build."""
+    c = view(spark, d, "fx_rule").withColumnsRenamed({"nm": "name", "v": "value"}).withColumns({"unit": F.lit("m"), "constraint_id": F.col("id").cast("string"), "confidence": F.lit(0.8)})
+    g = pipelines.constraint_geometry(c.drop("id"), _constraint_zones(spark, d), S)
+    return g.select("site", "zone_type", "zone_label", F.round(geometry.area(F.col("points")), 4).alias("area"), "color_hint", "classification_method", "y_top")
+
+
+@query(f"""with f as ({_constraint_sql()}), n as (select site, count(*) regex_extracted, list(distinct category) cats from f group by 1), r as ({fx('fx_rule')}), a as (select site, count(*) ai, list(distinct category) acats from r where category <> 'parking' group by 1),
+t as (select coalesce(n.site, a.site) site, coalesce(regex_extracted, 0) x, coalesce(ai, 0) y, list_distinct(list_concat(coalesce(cats, []), coalesce(acats, []))) cats from n full join a on n.site = a.site),
+u as (select t.site, x, y, case when x + y < 3 and not list_has_all(cats, ['height', 'setback', 'density', 'parking']) then (select count(*) from r where r.site = t.site and category = 'parking') else 0 end w, cats from t)
+select site, x + y + w total, x regex_extracted, y ai_extracted, w ai_suggested, array_to_string(list_sort(case when w > 0 then list_distinct(list_append(cats, 'parking')) else cats end), ',') categories from u""")
+def constraint_pipeline(spark, d):
+    """Texts, a model's rows and suggestions become constraints, counted by where they come from."""
+    r = view(spark, d, "fx_rule").withColumnsRenamed({"nm": "name", "v": "value"})
+    done = pipelines.extract_constraints(view(spark, d, "fx_text"), _constraint_zones(spark, d), S, None, r.filter("category <> 'parking'").drop("id"), r.filter("category = 'parking'").drop("id"))
+    s = done["summary"].filter("total > 0")
+    return s.select("site", "total", "regex_extracted", "ai_extracted", "ai_suggested", F.array_join("categories", ",").alias("categories"))
+
+
+@query(f"""with p as (select site, count(*) n, sum(case when area > 0 then area * n else 0 end) gfa, sum(n) floors, bool_or(coalesce(plinth, false)) plinth from {_BPROG} group by 1),
+z as (select site, count(*) zn, bool_or(parking_levels > 0) under from ({ORACLES['zone_programme']}) group by 1)
+select coalesce(p.site, z.site) site, coalesce(n, 0) total_buildings, 0::bigint extracted, 0::bigint ai_extracted, 0::bigint ai_suggested, coalesce(n, 0) inferred, coalesce(zn, 0) zone_programmes, coalesce(floors, 0)::bigint total_floors,
+round(coalesce(gfa, 0)::double, 1) total_gfa, coalesce(plinth, false) has_plinth, coalesce(under, false) has_underground_parking from p full join z on p.site = z.site""")
+def programme_summary(spark, d):
+    """Building and zone programmes of a site, counted by where they come from."""
+    return pipelines.programme_summary(_building_programmes(spark, d), QUERIES["zone_programme"](spark, d), S)
