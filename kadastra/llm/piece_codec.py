@@ -39,8 +39,8 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 BLANK = "▁"
-#: Stretches and pairs of pieces that a task keeps (some 50 and 20 MB); a full store is emptied, which changes no id.
-KEPT_STRETCHES, KEPT_PAIRS = 1 << 18, 1 << 18
+#: Stretches and pairs of pieces that a task keeps (some 100 and 20 MB); a full store is emptied, which changes no id.
+KEPT_STRETCHES, KEPT_PAIRS = 1 << 19, 1 << 18
 #: Stretches of more signs are not kept.
 KEPT_SIGNS = 64
 
@@ -99,6 +99,17 @@ class Model:
         self.bytes = [next((i for i, p in enumerate(self.pieces) if p == f"<0x{b:02X}>"), 0) for b in range(256)]
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
         self.longest = max(map(len, self.ids))
+        #: Trie of the pieces from their last sign back: sign -> [id of the piece that starts here or -1, below].
+        self.back: dict[str, list] = {}
+        for p, i in self.ids.items():
+            at = self.back
+            for c in reversed(p):
+                node = at.setdefault(c, [-1, {}])
+                at = node[1]
+            node[0] = i
+        self._made: dict[str, tuple[float, str, str] | None] = {}
+        #: Pairs of signs that stand side by side in some piece; between any other two all paths have a boundary.
+        self.side_by_side = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         #: No piece spans the place between another sign and a blank.
         self.parted = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
         self.lowest = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
@@ -129,9 +140,47 @@ class Model:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def made(self, piece: str) -> tuple[float, str, str] | None:
+        """Score and parts of the last merge that makes a piece; parts are empty for one sign; None where merges make none."""
+        if piece not in self._made:
+            got: tuple[float, str, str] | None = (float("inf"), "", "")
+            if len(piece) > 1:
+                parts, got = list(piece), None
+                while len(parts) > 1:
+                    steps = [(-self.scores[k], i) for i in range(len(parts) - 1) if (k := self.ids.get(parts[i] + parts[i + 1])) is not None]
+                    if not steps:
+                        break
+                    i = min(steps)[1]
+                    got = (self.scores[self.ids[parts[i] + parts[i + 1]]], parts[i], parts[i + 1])
+                    parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                got = got if len(parts) == 1 else None
+            self._made[piece] = got
+        return self._made[piece]
+
     def may_follow(self, a: str, b: str) -> bool:
-        """Whether merging the two alone keeps them; with an empty ``a``, whether merges can build ``b``."""
-        return self.merge(a + b) == ([a, b] if a else [b])
+        """Whether merging the two alone keeps them; with an empty ``a``, whether merges can build ``b``.
+
+        Merges at the seam are undone from the last back: a merge across it that would have come before the one just
+        undone (of equal score: farther left) rules the pair out."""
+        right = self.made(b)
+        if not a or right is None:
+            return right is not None
+        left = self.made(a)
+        if left is None:
+            return False
+        floor, tied = -float("inf"), False
+        while True:
+            k = self.ids.get(a + b)
+            if k is not None and (self.scores[k] > floor or tied and self.scores[k] == floor):
+                return False
+            if not left[1] and not right[1]:
+                return True
+            if left[1] and (not right[1] or left[0] < right[0]):  # the left one's merge came later
+                floor, tied, a = left[0], False, left[2]
+                left = self.made(a)
+            else:
+                floor, tied, b = right[0], True, right[1]
+                right = self.made(b)
 
     def fallback(self, piece: str) -> list[int]:
         return [self.bytes[b] for b in piece.encode()] if self.bytes[0] else [self.unknown]
@@ -174,23 +223,26 @@ class Stream:
     def run(self, signs: str) -> Iterator[tuple[int, str]]:
         m = self.model
         get, longest, bpe, scores, pairs, size = m.ids.get, m.longest, m.model_type == BPE, m.scores, self.pairs, len(m.pieces)
+        back = m.back
         text, base = signs, 0  # the window's boundary j lies behind sign base + j
         same, most = 0, min(len(signs), len(self.last))
         while same < most and signs[same] == self.last[same]:
             same += 1
         start, piece, sign, score = (x[: same + 1] for x in self.window)
+        known = pairs.get
         for i in range(same + 1, len(signs) + 1):
-            at, k, own, best = -1, -1, "", 0.0
-            for j in range(i - 1, max(i - longest, base) - 1, -1):
-                found = get(text[j:i])
-                if found is None:
-                    continue
-                w = j - base
-                if start[w] < 0:
+            at, k, own, best, below, w = -1, -1, "", 0.0, back, i - base
+            while w:  # the trie ends before a piece would be longer than any
+                w -= 1
+                node = below.get(text[base + w])
+                if node is None:
+                    break
+                found, below = node
+                if found < 0 or start[w] < 0:
                     continue
                 if bpe:
                     before = piece[w]
-                    fits = pairs.get(before * size + found) if before >= 0 else None
+                    fits = known(before * size + found) if before >= 0 else None
                     if fits is None:
                         fits = self._fits(before, sign[w], found)
                     if fits:
@@ -206,7 +258,7 @@ class Stream:
             piece.append(k)
             sign.append(own)
             score.append(best)
-            n = len(start) - 1
+            n = i - base
             if n >= 2 * longest and n % longest == 0:
                 self.widest = max(self.widest, n)
                 # paths that can go on end at one of the last boundaries: follow them back until they are one
@@ -242,8 +294,8 @@ class Encoder:
     def __init__(self, model: Model):
         self.model, self.known, self.stream = model, {}, Stream(model)
 
-    def stretch(self, s: str) -> bytes:
-        """Ids of a stretch as 32-bit numbers."""
+    def _run(self, s: str) -> bytes:
+        """Ids, as 32-bit numbers, of signs between two places that no piece spans."""
         got = self.known.get(s)
         if got is None:
             out = array("i")
@@ -252,11 +304,32 @@ class Encoder:
                     out.append(k)
                 else:
                     out.extend(self.model.fallback(sign))
-            got = out.tobytes()
-            if len(s) <= KEPT_SIGNS:
-                if len(self.known) >= KEPT_STRETCHES:
-                    self.known.clear()
-                self.known[s] = got
+            got = self._keep(s, out.tobytes())
+        return got
+
+    def _keep(self, s: str, ids: bytes) -> bytes:
+        if len(s) <= KEPT_SIGNS:
+            if len(self.known) >= KEPT_STRETCHES:
+                self.known.clear()
+            self.known[s] = ids
+        return ids
+
+    def _cut(self, s: str) -> list[str]:
+        """``s`` cut wherever no piece spans."""
+        joined, at, out = self.model.side_by_side, 0, []
+        for i in range(1, len(s)):
+            if s[i - 1 : i + 1] not in joined:
+                out.append(s[at:i])
+                at = i
+        out.append(s[at:])
+        return out
+
+    def stretch(self, s: str) -> bytes:
+        """Ids of a stretch as 32-bit numbers."""
+        got = self.known.get(s)
+        if got is None:
+            parts = self._cut(s)
+            got = self._run(s) if len(parts) == 1 else self._keep(s, b"".join(map(self._run, parts)))
         return got
 
     def _parts(self, text: str) -> list[str]:
@@ -271,8 +344,12 @@ class Encoder:
         new: set[str] = set()
         for t in texts:
             new.update(self._parts(t))
-        for s in sorted(s for s in new if s not in self.known and len(s) <= KEPT_SIGNS):
-            self.stretch(s)
+        cuts = {s: self._cut(s) for s in new if s not in self.known and len(s) <= KEPT_SIGNS}
+        for s in sorted(set().union(*cuts.values())):
+            self._run(s)
+        for s, parts in cuts.items():
+            if len(parts) > 1:
+                self._keep(s, b"".join(map(self._run, parts)))
         return [self.encode(t) for t in texts]
 
 
