@@ -5,11 +5,14 @@ two derivatives of a response.  Both refer to the response by WARC-Refers-To, ke
 identifier, and carry the digests of the response and their own.
 
 Headers are lists of (name, value): a name may come again, and names are compared without regard to case.  Chunked and
-gzip or deflate bodies are decoded before text is taken; the payload digest stays that of the bytes as sent.  Pages are
-read by one scanner that goes forward only, so unclosed tags and comments cost no more than others.
+gzip or deflate bodies (all members) are decoded before text is taken; the payload digest stays that of the bytes as sent.
+The content type tells how a body is read: pages by one scanner that goes forward only, so unclosed tags and comments cost
+no more than others; other text as it stands; anything else has no text.  The character set is that of a byte order mark,
+of the header, of the page's ``meta``, else UTF-8.
 
 Defined cases: null or empty html gives a response without payload and derivatives with empty text; a null
-url is an empty target; damaged records give one row of type ``error``; repeated pages give equal records;
+url is an empty target; bodies of other types, of encodings that are not known or damaged, and bodies that unpack to over
+``LARGEST`` bytes have a metadata record that tells so and no conversion record; a body without a type is a page; damaged records give one row of type ``error``; repeated pages give equal records;
 an empty table gives no rows; columns besides the named ones are ignored.
 """
 
@@ -30,6 +33,11 @@ from ._common import map_rows
 VERSION = "WARC/1.1"
 #: The date of records whose page has none.
 DATE = "1970-01-01T00:00:00Z"
+#: Bytes that a body may unpack to.
+LARGEST = 1 << 26
+PAGES, PLAIN = ("text/html", "application/xhtml+xml", ""), ("text/", "application/json", "application/xml", "application/javascript")
+_META = re.compile(rb"<meta[^>]{0,300}?charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+_MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
 #: Elements whose content is not text.
 _SILENT = ("script", "style", "noscript", "template")
 #: Elements that break lines.
@@ -131,19 +139,62 @@ def unchunk(body: bytes) -> bytes:
     return b"".join(out)
 
 
-def decoded(payload: bytes, http: Headers) -> bytes:
-    """The payload without transfer and content encodings; an encoding that fails leaves it as it is."""
+def unpacked(data: bytes, bits: int, largest: int) -> bytes:
+    """All members of a compressed body; zlib.error if the first is damaged, OverflowError past ``largest`` bytes."""
+    out, size = [], 0
+    while data:
+        one = zlib.decompressobj(bits)
+        try:
+            while not one.eof and data:
+                out.append(one.decompress(data, largest - size + 1))
+                size += len(out[-1])
+                if size > largest:
+                    raise OverflowError
+                data = one.unconsumed_tail
+        except zlib.error:
+            if size:
+                break  # what follows the last whole member is no member
+            raise
+        data = one.unused_data if one.eof else b""
+    return b"".join(out)
+
+
+def decoded(payload: bytes, http: Headers, largest: int = LARGEST) -> tuple[bytes, str]:
+    """The payload without transfer and content encodings, and what stands against it ('' if nothing does)."""
     if "chunked" in (header(http, "Transfer-Encoding") or "").lower():
         payload = unchunk(payload)
     for coding in reversed((header(http, "Content-Encoding") or "").lower().split(",")):
-        bits = {"gzip": (47,), "x-gzip": (47,), "deflate": (47, -15)}.get(coding.strip(), ())
-        for b in bits:
+        coding = coding.strip()
+        if coding in ("", "identity"):
+            continue
+        kinds = {"gzip": (47,), "x-gzip": (47,), "deflate": (47, -15)}.get(coding)
+        if not kinds:
+            return payload, f"encoding {coding} is not known"
+        for bits in kinds:
             try:
-                payload = zlib.decompressobj(b).decompress(payload)
+                payload = unpacked(payload, bits, largest)
                 break
+            except OverflowError:
+                return b"", f"the body unpacks to over {largest} bytes"
             except zlib.error:
                 continue
-    return payload
+        else:
+            return payload, f"the body is no {coding}"
+    return payload, ""
+
+
+def text_of_bytes(body: bytes, content_type: str, page: bool) -> str:
+    """A body's characters."""
+    told = re.search(r"charset=[\"']?([\w.:-]+)", content_type, re.I)
+    meta = _META.search(body, 0, 2048) if page else None
+    mark = next((name for sign, name in _MARKS if body.startswith(sign)), None)
+    for name in (mark, told and told[1], meta and meta[1].decode("ascii", "replace")):
+        try:
+            if name:
+                return body.decode(name, "replace")
+        except LookupError:
+            continue
+    return body.decode("utf-8", "replace")
 
 
 def read_page(source: str) -> tuple[str, str, str, list[dict[str, str]]]:
@@ -235,19 +286,22 @@ def plain_text(source: str) -> str:
 
 
 def derive(record: bytes) -> list[tuple[str, Headers, bytes]]:
-    """(type, headers, block) of the metadata and the conversion record of a response."""
+    """(type, headers, block) of the metadata and, where there is text, the conversion record of a response."""
     headers, block = parse(record)
     if header(headers, "WARC-Type").lower() != "response":
         return []
     head, _, payload = block.partition(b"\r\n\r\n")
     status, http = _headers(head)
-    charset = re.search(r"charset=[\"']?([\w-]+)", header(http, "Content-Type", ""), re.I)
-    body = decoded(payload, http)
-    try:
-        source = body.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        source = body.decode("utf-8", "replace")
-    text, title, lang, links = read_page(source)
+    content_type = header(http, "Content-Type") or ""
+    kind = content_type.split(";")[0].strip().lower()
+    body, problem = decoded(payload, http)
+    text, title, lang, links = "", "", "", []
+    if not problem and kind in PAGES:
+        text, title, lang, links = read_page(text_of_bytes(body, content_type, True))
+    elif not problem and kind.startswith(PLAIN):
+        text = text_of_bytes(body, content_type, False)
+    elif not problem:
+        problem = f"no text in {kind}"
     origin = header(headers, "WARC-Record-ID", "")
     about = {
         "Envelope": {
@@ -260,15 +314,16 @@ def derive(record: bytes) -> list[tuple[str, Headers, bytes]]:
                     "Entity-Length": len(payload),
                     "Entity-Digest": digest(payload),
                     "HTML-Metadata": {"Title": title, "Language": lang, "Links": links, "Text-Length": len(text)},
+                    **({"Conversion-Problem": problem} if problem else {}),
                 },
             },
         }
     }
     out = []
-    for kind, data, content in (
-        ("metadata", json.dumps(about, ensure_ascii=False, sort_keys=True).encode(), "application/json"),
-        ("conversion", text.encode(), "text/plain"),
-    ):
+    made = [("metadata", json.dumps(about, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace"), "application/json")]
+    if not problem:
+        made.append(("conversion", text.encode("utf-8", "replace"), "text/plain"))
+    for kind, data, content in made:
         out.append((
             kind,
             [

@@ -424,6 +424,51 @@ def test_warc_links_and_digests():
             warc.parse(bad)
 
 
+def test_identifiers_outside_the_list():
+    """Behind the tag any identifier counts; it has a label of its own and is not allowed."""
+    auto = license_scan.automaton()
+    for name in ("curl", "BSD-3-Clause-LBNL", "Some.License-9"):
+        got = license_scan.scan(f"x\nSPDX-License-Identifier: {name}\ny", auto)
+        assert (got["labels"], got["expressions"], got["allowed"]) == (f"spdx:{name.lower()}", [name.lower()], False)
+    got = license_scan.scan("SPDX-License-Identifier: (curl OR MIT) and more", auto)
+    assert got["expressions"] == ["(curl OR mit)"] and got["allowed"] is True
+    got = license_scan.scan("SPDX-License-Identifier: MIT OR BSD-3-Clause-LBNL WITH My-exception-1.0 and so on", auto)
+    assert got["expressions"] == ["(mit OR bsd-3-clause-lbnl WITH my-exception-1.0)"]
+    assert license_scan.scan("the spdx license identifier tells more", auto)["labels"] == "spdx-invalid"  # prose, no colon
+
+
+def response(body, *heads):
+    message = b"HTTP/1.1 200 OK\r\n" + b"".join(h.encode() + b"\r\n" for h in heads) + b"\r\n" + body
+    return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: %d\r\n\r\n" % len(message) + message
+
+
+def test_warc_bodies_by_type():
+    import gzip
+    import json
+    import zlib
+
+    def text(body, *heads):
+        got = warc.derive(response(body, *heads))
+        about = json.loads(got[0][2])["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]
+        assert [k for k, _, _ in got] == (["metadata"] if "Conversion-Problem" in about else ["metadata", "conversion"])
+        return about.get("Conversion-Problem"), got[1][2].decode() if len(got) > 1 else None
+
+    assert text(b"\x89PNG\r\n<b>", "Content-Type: image/png") == ("no text in image/png", None)
+    assert text(b"if a <b and c> d\n", "Content-Type: text/plain") == (None, "if a <b and c> d\n")
+    assert text(b"<p>x", "Content-Type: text/html", "Content-Encoding: br") == ("encoding br is not known", None)
+    two = gzip.compress(b"<p>one") + gzip.compress(b" two")
+    assert text(two, "Content-Type: text/html", "Content-Encoding: gzip") == (None, "one two")
+    assert text(two + b"rest", "Content-Encoding: x-gzip") == (None, "one two")
+    assert text(zlib.compress(b"<p>z"), "Content-Encoding: deflate") == text(zlib.compress(b"<p>z")[2:-4], "Content-Encoding: deflate") == (None, "z")
+    assert text(b"no gzip", "Content-Encoding: gzip") == ("the body is no gzip", None)
+    bomb = gzip.compress(bytes(warc.LARGEST + 1), 9)
+    assert text(bomb, "Content-Encoding: gzip") == (f"the body unpacks to over {warc.LARGEST} bytes", None)
+    assert text("<meta charset=latin-1><p>é".encode("latin-1"), "Content-Type: text/html") == (None, "é")
+    assert text('<meta http-equiv=x content="text/html; charset=windows-1251"><p>да'.encode("cp1251")) == (None, "да")
+    assert text("<p>é".encode("latin-1"), "Content-Type: text/html; charset=nonsense") == (None, "\ufffd")
+    assert text("\ufeff<p>é".encode("utf-16-le"), "Content-Type: text/html; charset=utf-8") == (None, "é")
+
+
 def test_warc_headers_and_bodies():
     """Repeated headers stay, names have no case, chunked and packed bodies are text again."""
     import gzip
