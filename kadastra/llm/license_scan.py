@@ -4,9 +4,11 @@
 (lower-cased A-Z; a word is a run of letters, digits and bytes from 0x80), the words are joined by
 single blanks, and one automaton finds every phrase at once, overlaps included.  An identifier tag is
 a phrase too; the text behind the place that the automaton gives is parsed as a licence expression up to the end of the
-line: ``or`` binds weakest, then ``and``, then ``with``; brackets group.  Operands are identifiers of a list
-(``LICENSES``, ``EXCEPTIONS`` behind ``with``) or of the forms ``LicenseRef-x`` and ``DocumentRef-x:LicenseRef-y``;
-the first word that is none ends the expression, and operators left before it go.
+line: ``or`` binds weakest, then ``and``, then ``with``; brackets group.  Behind the tag and its colon any well-formed
+identifier is the first operand.  Further ones, where prose may follow, are identifiers of a list (``LICENSES``,
+``EXCEPTIONS`` behind ``with``), of the forms ``LicenseRef-x`` and ``DocumentRef-x:LicenseRef-y``, or words that hold a hyphen
+and a digit (``x-exception`` behind ``with``); the first word that is none ends the expression, and operators left before it go.
+An identifier outside the list is a label of its own and is not allowed.
 
 Defined cases: null text is an empty text; a text without words has ``n_words`` 0, null positions,
 empty labels and score 0; a malformed expression gives the label ``spdx-invalid``; repeated rows are
@@ -78,20 +80,22 @@ SCHEMA = (
 def is_operand(word: str, behind_with: bool) -> bool:
     low = word.lower()
     if behind_with:
-        return low in EXCEPTIONS
-    return low.removesuffix("+") in LICENSES or bool(_OWN.fullmatch(low))
+        return low in EXCEPTIONS or "-exception" in low
+    return low.removesuffix("+") in LICENSES or bool(_OWN.fullmatch(low)) or "-" in low and any(c.isdigit() for c in low)
 
 
-def tokens(line: str, at: int = 0, end: int | None = None) -> list[str]:
+def tokens(line: str, at: int = 0, end: int | None = None, tagged: bool = False) -> list[str]:
     """Tokens of an expression at the start of ``line``; stops where no expression goes on, so prose behind it is not
-    taken in."""
+    taken in.  ``tagged``: the first operand may be any identifier."""
     out: list[str] = []
     while m := _TOKEN.match(line, at, len(line) if end is None else end):
         t = m[1] or m[2].rstrip(".:-")
         low = t.lower()
         last = out[-1].lower() if out else ""
         if low not in _PRECEDENCE and t not in "()":
-            if last and last not in _PRECEDENCE and last != "(" or not is_operand(t, last == "with"):
+            if last and last not in _PRECEDENCE and last != "(":
+                break
+            if not (is_operand(t, last == "with") or tagged and all(x == "(" for x in out)):
                 break
         elif t == ")" and out.count("(") <= out.count(")"):
             break
@@ -193,7 +197,7 @@ def scan(text: str, auto: ahocorasick.Automaton) -> dict:
                 continue
             line_end = text.find("\n", m.end())
             colon = _COLON.match(text, m.end())
-            post = to_postfix(tokens(text, colon.end(), len(text) if line_end < 0 else line_end))
+            post = to_postfix(tokens(text, colon.end(), len(text) if line_end < 0 else line_end, colon[0].endswith(":")))
             got = evaluate(post) if post else None
             if got is None:
                 labels.add("spdx-invalid")
