@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions import geometry, overlay
 from ..functions.classify import has_any, lookup
-from . import greedy, programme
+from . import ordered, programme
 from .matching import either_holds
 from .spatial import empty_envelopes, first_envelope
 from .steps import settled
@@ -305,7 +305,7 @@ def generate(zones: DataFrame, zone_programmes: DataFrame, programmes: DataFrame
     home = first_envelope(houses.select(*boxes), envs.select(*boxes), keys, size)
     bare = empty_envelopes(envs.select(*boxes), houses.select(*boxes), keys, size).select(*keys, "id")
     derived = settled(derive_footprints(targets.join(bare, [*keys, "id"], "left_semi"), keys))
-    free = greedy.skip_overlaps(houses.select(*boxes), keys).withColumn("kept", F.lit(True))
+    free = ordered.skip_overlaps(houses.select(*boxes), keys, size).withColumn("kept", F.lit(True))
     own = houses.join(free, [*keys, "id"], "left").join(home, [*keys, "id"], "left").select(
         *keys, F.col("id").cast("string").alias("id"), "envelope", "label", "points", F.col("area").cast("double").alias("area"), F.lit(False).alias("derived"), F.coalesce("kept", F.lit(False)).alias("kept")
     )

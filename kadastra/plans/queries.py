@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, geometry, text
-from ..operators import export, graph, greedy, programme, spatial, votes
+from ..operators import export, graph, greedy, ordered, programme, spatial, votes
 from ..streaming import progress as stream
 from .fixtures import sql as fx
 from .fixtures import view
@@ -685,22 +685,46 @@ def progress(spark, d):
     return stream.progress(spark.read.parquet(f"{d}/events.parquet"), ["event_type"])
 
 
-# --- order-dependent steps: tested against plain Python -----------------------------------------------------
-@query()
+# --- order-dependent steps -----------------------------------------------------------------------------------
+def _gone_sql(rounds: int = 12) -> str:
+    """CTEs from e0 (site, a, b: b goes if a stays) to gone (site, id), in so many rounds."""
+    out = ""
+    for k in range(rounds):
+        out += f""", f{k} as materialized (select distinct x.site, x.a from e{k} x anti join e{k} y on x.site = y.site and x.a = y.b),
+h{k} as materialized (select distinct x.site, x.b id from e{k} x semi join f{k} y on x.site = y.site and x.a = y.a),
+e{k + 1} as materialized (select w.* from (select v.* from (select x.* from e{k} x anti join f{k} y on x.site = y.site and x.a = y.a) v anti join h{k} y on v.site = y.site and v.a = y.id) w anti join h{k} y on w.site = y.site and w.b = y.id)"""
+    return out + ", gone as materialized (" + " union all ".join(f"select * from h{k}" for k in range(rounds)) + ")"
+
+
+_MEET = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"
+_FIRST = "(a.ar > b.ar or (a.ar = b.ar and a.id < b.id))"
+
+
+@query(f"""with z as (select site, id, x0, y0, x1, y1, (x1 - x0) * (y1 - y0) ar, case when id % 4 <> 0 then colour end fill from ({fx('fx_zone')})),
+n as materialized (select a.site, a.id a, b.id b, a.ar a_ar, b.ar b_ar, b.fill b_fill from z a join z b on a.site = b.site and a.id <> b.id and {_FIRST} and (greatest(a.ar, b.ar) = 0 or least(a.ar, b.ar)::double / greatest(a.ar, b.ar) > 0.98)
+  and abs(a.x0 - b.x0) < 10 and abs(a.y0 - b.y0) < 10 and abs(a.x1 - b.x1) < 10 and abs(a.y1 - b.y1) < 10), e0 as materialized (select site, a, b from n){_gone_sql()},
+t as (select n.* from n anti join gone g on n.site = g.site and n.a = g.id qualify row_number() over (partition by n.site, n.b order by n.a_ar desc, n.a) = 1),
+u as (select * from t where b_fill is not null qualify row_number() over (partition by site, a order by b_ar desc, b) = 1)
+select z.site, z.id, coalesce(z.fill, u.b_fill) fill from z left join u on z.site = u.site and z.id = u.a anti join gone g on z.site = g.site and z.id = g.id""")
 def dedup_boxes(spark, d):
     z = view(spark, d, "fx_zone").select("site", "id", "x0", "y0", "x1", "y1", F.when(F.col("id") % 4 != 0, F.col("colour")).alias("fill"))
-    return greedy.dedup_boxes(z, ["site"])
+    return ordered.dedup_boxes(z, ["site"], CELL)
 
 
-@query()
+@query(f"""with z as (select * from ({fx('fx_zone')}) where zone_type = 'sub_zone'), e0 as materialized (select a.site, a.id a, b.id b from z a join z b on a.site = b.site and a.id < b.id and {_MEET} > 0.2 * (b.x1 - b.x0) * (b.y1 - b.y0)){_gone_sql()}
+select z.site, z.id from z anti join gone g on z.site = g.site and z.id = g.id""")
 def skip_overlaps(spark, d):
-    return greedy.skip_overlaps(_type(spark, d, "sub_zone"), ["site"])
+    return ordered.skip_overlaps(_type(spark, d, "sub_zone"), ["site"], CELL)
 
 
-@query()
+@query(f"""with z as (select site, id, (x0 + x1) / 2.0 cx, (y0 + y1) / 2.0 cy, (x1 - x0) * (y1 - y0) ar from ({fx('fx_zone')}) where zone_type = 'sub_zone'),
+n as materialized (select a.site, a.id a, b.id b, a.ar a_ar from z a join z b on a.site = b.site and a.id <> b.id and {_FIRST} and sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) <= 80), e0 as materialized (select site, a, b from n){_gone_sql()},
+t as (select n.site, n.b id, n.a head from n anti join gone g on n.site = g.site and n.a = g.id qualify row_number() over (partition by n.site, n.b order by n.a_ar desc, n.a) = 1),
+m as (select * from t union all select distinct site, head, head from t), k as (select site, head, row_number() over (partition by site order by count(*) desc, min(id)) - 1 c from m group by 1, 2)
+select m.site, m.id, head, c::int "cluster" from m join k using (site, head)""")
 def clusters(spark, d):
     z = _type(spark, d, "sub_zone").withColumns({"cx": (F.col("x0") + F.col("x1")) / 2.0, "cy": (F.col("y0") + F.col("y1")) / 2.0, "area": spatial.box_area()})
-    return greedy.cluster(z, ["site"])
+    return ordered.cluster(z, ["site"], CELL)
 
 
 def _segments(spark, d):

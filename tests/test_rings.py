@@ -219,3 +219,24 @@ def test_faces_equal_the_walk(spark):
     want = {(x.site, x.area, tuple(map(tuple, x.points))) for x in greedy.faces(d, ["site"]).collect()}
     assert got == want and sum(s == 50 for s, _, _ in got) == 121
     assert graph.faces(d.filter("false"), ["site"]).count() == 0
+
+
+def test_ordered_steps_equal_the_walk(spark):
+    """Rounds over many tasks keep what the loop in order keeps; long chains of rows that hang on each other too."""
+    from kadastra.operators import greedy, ordered
+
+    r = random.Random(12)
+    rows = []
+    for k in range(260):
+        x, y = r.randrange(60), r.randrange(40)
+        rows.append((k % 3, k, float(x), float(y), float(x + r.choice([6, 6, 7, 20])), float(y + r.choice([5, 5, 12])), r.choice([None, 1, 2])))
+    rows += [(7, k, 3.0 * k, 0.0, 3.0 * k + 5, 5.0, None) for k in range(40)]  # each lies on the one before it
+    rows += [(8, 1, 0.0, 0.0, 0.0, 5.0, 1), (8, 2, 0.0, 0.0, 0.0, 5.0, None)]
+    d = spark.createDataFrame(rows, "site int, id long, x0 double, y0 double, x1 double, y1 double, fill long")
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    box = d.drop("fill")
+    assert same(ordered.skip_overlaps(box, ["site"], 16.0).select("site", "id"), greedy.skip_overlaps(box, ["site"]))
+    assert same(ordered.dedup_boxes(d, ["site"], 16.0).select("site", "id", "fill"), greedy.dedup_boxes(d, ["site"]))
+    c = box.select("site", "id", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
+    assert same(ordered.cluster(c, ["site"], 16.0, 6.0).select("site", "id", "cluster"), greedy.cluster(c, ["site"], 6.0))
+    assert ordered.skip_overlaps(box.filter("false"), ["site"], 16.0).count() == 0
