@@ -48,12 +48,12 @@ when 're' then [[ax, ay], [bx, ay], [bx, by_], [ax, by_], [ax, ay]] end pts from
 g as (select *, lag(pts[-1]) over (partition by page, path order by seq) b from p),
 r as (select page, path, seq, stroke, case when kind <> 're' and abs(b[1] - pts[1][1]) <= 0.5 and abs(b[2] - pts[1][2]) <= 0.5 then pts[2:] else pts end pts from g),
 f as (select page, path, flatten(list(pts order by seq)) points, min_by(stroke, seq) stroke from r group by 1, 2)
-select page, path, stroke, len(points) n_points, {_OUT_SQL} outline, round((list_max(list_transform(points, lambda p: p[1])) - list_min(list_transform(points, lambda p: p[1])))
-* (list_max(list_transform(points, lambda p: p[2])) - list_min(list_transform(points, lambda p: p[2]))), 2) bbox_area from f where len(points) >= 2""")
+select page, path, stroke, len(points) n_points, {_OUT_SQL} outline, round((list_max(list_transform(points, lambda p: p[1])) - list_min(list_transform(points, lambda p: p[1]))) * 1e5)::bigint
+* round((list_max(list_transform(points, lambda p: p[2])) - list_min(list_transform(points, lambda p: p[2]))) * 1e5)::bigint bbox_area from f where len(points) >= 2""")
 def reconstructed_paths(spark, d):
     """Items of a path in order, a new start only where the pen moved, curves in ten steps."""
     p = drawings.reconstruct_paths(_items(spark, d), ["page"], ["stroke"])
-    return p.select("page", "path", "stroke", F.size("points").cast("long").alias("n_points"), _outline(F.col("points")).alias("outline"), F.round("bbox_area", 2).alias("bbox_area"))
+    return p.select("page", "path", "stroke", F.size("points").cast("long").alias("n_points"), _outline(F.col("points")).alias("outline"), (F.round((F.col("x1") - F.col("x0")) * 1e5).cast("long") * F.round((F.col("y1") - F.col("y0")) * 1e5).cast("long")).alias("bbox_area"))
 
 
 # --- rings -----------------------------------------------------------------------------------------------------
