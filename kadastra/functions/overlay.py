@@ -294,10 +294,14 @@ _RINGS = ArrayType(ArrayType(DoubleType()))
 SHAPE = StructType().add("points", _RINGS).add("holes", ArrayType(_RINGS)).add("area", DoubleType()).add("parts", IntegerType())
 
 
+def _lists(ring: Ring) -> list[list[float]]:
+    return [[float(x), float(y)] for x, y in ring]
+
+
 def _shape(parts: list[Part]) -> dict | None:
     if not parts:
         return None
-    return {"points": [list(p) for p in parts[0].outer], "holes": [[list(p) for p in h] for h in parts[0].holes], "area": sum(p.area for p in parts), "parts": len(parts)}
+    return {"points": _lists(parts[0].outer), "holes": [_lists(h) for h in parts[0].holes], "area": float(sum(p.area for p in parts)), "parts": len(parts)}
 
 
 def _column(rows: list) -> pd.DataFrame:
@@ -318,14 +322,13 @@ def moved_inwards(rings: pd.Series, d: pd.Series, join: pd.Series) -> pd.DataFra
     return _column([_shape(offset(r, float(x), j == "round")) if x is not None else None for r, x, j in zip(rings, d, join, strict=True)])
 
 
-@F.pandas_udf(StructType().add("area", DoubleType()).add("parts", ArrayType(SHAPE)))
-def uncovered(rings: pd.Series, others: pd.Series) -> pd.DataFrame:
-    """What the others (an array of rings) leave of each ring: its area, and the parts, largest first."""
-    rows = []
-    for r, zs in zip(rings, others, strict=True):
-        parts = difference(open_ring(r), [z for z in map(open_ring, zs if zs is not None else ()) if len(z) > 2])
-        rows.append((sum(p.area for p in parts), [_shape([p]) for p in parts]))
-    return pd.DataFrame(rows, columns=["area", "parts"])
+@F.pandas_udf(ArrayType(SHAPE))
+def uncovered(rings: pd.Series) -> pd.Series:
+    """Of each array of rings the parts of the first that the others leave, largest first."""
+    out = []
+    for first, *others in (list(map(open_ring, rs)) for rs in rings):
+        out.append([_shape([p]) for p in difference(first, [z for z in others if len(z) > 2])])
+    return pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(DoubleType())

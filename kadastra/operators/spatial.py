@@ -125,8 +125,9 @@ def plot_gaps(plots: DataFrame, zones: DataFrame, keys: list[str], least: float
     plots = plots.withColumn("plot_", F.monotonically_increasing_id())
     near = plots.select(*keys, "plot_", *BOX).join(z, keys).filter("x0 < z_x1 and z_x0 < x1 and y0 < z_y1 and z_y0 < y1")
     rings = near.groupBy("plot_").agg(F.sort_array(F.collect_list("z_ring")).alias("z_rings"))
-    j = plots.select(*keys, "plot_", "ring").join(rings, "plot_", "left").withColumn("left_", overlay.uncovered("ring", "z_rings"))
-    parts = j.select(*keys, geometry.area(F.col("ring")).alias("plot_area"), F.posexplode("left_.parts").alias("part", "p"))
+    j = plots.select(*keys, "plot_", "ring").join(rings, "plot_", "left").withColumn("all_", F.concat(F.array("ring"), F.coalesce("z_rings", F.array().cast("array<array<array<double>>>"))))
+    j = j.withColumn("left_", overlay.uncovered("all_"))
+    parts = j.select(*keys, geometry.area(F.col("ring")).alias("plot_area"), F.posexplode("left_").alias("part", "p"))
     return parts.filter(F.col("p.area") > F.col("plot_area") * least).select(*keys, "part", F.col("p.area").alias("area"), F.col("p.points").alias("points"), F.col("p.holes").alias("holes"))
 
 
