@@ -28,7 +28,7 @@ import zlib
 
 from pyspark.sql import DataFrame
 
-from ._common import map_rows
+from ._common import LOWER_TABLE, map_rows
 
 VERSION = "WARC/1.1"
 #: The date of records whose page has none.
@@ -203,7 +203,7 @@ def read_page(source: str) -> tuple[str, str, str, list[dict[str, str]]]:
     out: list[str] = []
     title: list[str] | None = None
     lang, links, at, n = "", [], 0, len(source)
-    low = source.lower() if source.isascii() else "".join(c.lower() if c.isascii() else c for c in source)
+    low = source.lower() if source.isascii() else source.encode("utf-8", "surrogatepass").translate(LOWER_TABLE).decode("utf-8", "surrogatepass")
     never: set[str] = set()  # closing marks that do not come any more
 
     def find(mark: str, start: int) -> int:
