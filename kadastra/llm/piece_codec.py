@@ -4,11 +4,13 @@ The search keeps, for each boundary of a window no longer than the longest piece
 there.  Whenever all surviving paths run through one boundary, the ids before it are committed and dropped.
 Unigram models keep the path of the highest score.  In BPE models the merges leave exactly one path at each
 boundary: a piece may follow another if and only if merging the two alone gives the two back; so the ids are
-those of the merge algorithm.
+those of the merge algorithm.  The pieces that end at a boundary come from one automaton over the vocabulary, a step a
+sign, from the longest down.
 
-Places that no piece of the vocabulary spans (before a word's leading blank) are boundaries that all paths share, so
-the stream commits there too and starts anew; what it gives for a stretch between two of them is kept for the task in a
-bounded store, as words recur.  Every sign of every text goes through ``Stream``, and nothing else finds pieces.
+Places that no piece of the vocabulary spans (before a word's leading blank, between a letter and a stop) are boundaries
+that all paths share, so texts are parted there and the stream starts anew; what it gives for a stretch between two of
+them is kept for the task in a bounded store, as words recur.  Every stretch goes through ``Stream``, and nothing else
+finds pieces.
 Missing characters fall back to byte pieces.
 
 The vocabulary file's path is a parameter; the bytes are read through Spark, so any store will do.
@@ -43,6 +45,8 @@ BLANK = "▁"
 KEPT_STRETCHES, KEPT_PAIRS = 1 << 19, 1 << 18
 #: Stretches of more signs are not kept.
 KEPT_SIGNS = 64
+#: Texts are parted together up to so many signs, or one by one where longer.
+PARTED_SIGNS = 1 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -99,19 +103,9 @@ class Model:
         self.bytes = [next((i for i, p in enumerate(self.pieces) if p == f"<0x{b:02X}>"), 0) for b in range(256)]
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
         self.longest = max(map(len, self.ids))
-        #: Trie of the pieces from their last sign back: sign -> [id of the piece that starts here or -1, below].
-        self.back: dict[str, list] = {}
-        for p, i in self.ids.items():
-            at = self.back
-            for c in reversed(p):
-                node = at.setdefault(c, [-1, {}])
-                at = node[1]
-            node[0] = i
+        self._automaton()
         self._made: dict[str, tuple[float, str, str] | None] = {}
-        #: Pairs of signs that stand side by side in some piece; between any other two all paths have a boundary.
-        self.side_by_side = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        #: No piece spans the place between another sign and a blank.
-        self.parted = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
+        self.parting = self._parting()
         self.lowest = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         #: Pairs of pieces and whether one may follow the other, as far as asked; at most ``KEPT_PAIRS``.
         self.pairs: dict = {}
@@ -120,6 +114,49 @@ class Model:
             for p, k in zip(self.pieces, self.kinds, strict=True)
         ]
 
+    def _automaton(self) -> None:
+        """States are the beginnings of pieces: [state by next sign, state of the longest other beginning that ends alike,
+        longest piece that ends alike or -1].  ``shorter`` has for a piece the next shorter one that ends alike or -1."""
+        self.root: list = [{}, None, -1]
+        self.shorter, self.length = [-1] * len(self.pieces), list(map(len, self.pieces))
+        for p, i in self.ids.items():
+            at = self.root
+            for c in p:
+                at = at[0].setdefault(c, [{}, self.root, -1])
+            at[2] = i
+        level = list(self.root[0].values())
+        while level:
+            below = []
+            for state in level:
+                for c, to in state[0].items():
+                    alike = state[1]
+                    while alike and c not in alike[0]:
+                        alike = alike[1]
+                    to[1] = alike[0][c] if alike else self.root
+                    if to[2] < 0:
+                        to[2] = to[1][2]
+                    else:
+                        self.shorter[to[2]] = to[1][2]
+                    below.append(to)
+            level = below
+
+    def _parting(self) -> re.Pattern:
+        """Finds stretches between places that no piece spans: signs are of one group if some piece has them side by side,
+        so no piece spans two groups.  Blanks lead the stretch behind them where no piece has one behind another sign."""
+        leads = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
+        group: dict[str, set[str]] = {}
+        for a, b in {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}:
+            if leads and a == BLANK:
+                continue
+            x, y = sorted((group.setdefault(a, {a}), group.setdefault(b, {b})), key=len)
+            if x is not y:
+                y |= x
+                group.update(dict.fromkeys(x, y))
+        groups = sorted({id(g): g for g in group.values()}.values(), key=len, reverse=True)
+        groups[7:] = [set().union(*groups[7:])] if groups[7:] else []  # some together, which parts less
+        runs = "".join(f"[{''.join(map(re.escape, sorted(g)))}]+|" for g in groups)
+        return re.compile(f"{BLANK}*+(?:{runs}[^{BLANK}])|{BLANK}+" if leads else f"{runs}.", re.DOTALL)
+
     def normalize(self, text: str) -> str:
         if self.trim:
             text = re.sub(" +", " ", text).strip(" ")
@@ -193,99 +230,94 @@ class Model:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
-_STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-
-
 class Stream:
     """Takes signs, keeps the best path to each boundary of its window, yields committed pieces as (id, sign).
 
     id is -1 for a sign that is no piece, else sign is empty.  A boundary has the start of its last piece (-1: not
-    reached), that piece, and the path's score; boundaries before the window are forgotten.  The window of the last run
-    is taken up again as far as its signs are the same, so runs in sorted order share the work of common beginnings."""
+    reached), that piece (-1: none, at the start; -2 less the sign's number: a sign that is none), the path's score and the
+    automaton's state; boundaries before the window are forgotten.  The window of the last run is taken up again as far as
+    its signs are the same, so runs in sorted order share the work of common beginnings."""
 
     def __init__(self, model: Model):
         self.model, self.pairs = model, model.pairs
         self.widest = 0  # most boundaries held at once
         self.last = ""  # signs of the last run, if its window goes back to the beginning
-        self.window: tuple[list, list, list, list] = ([0], [-1], [""], [0.0])
+        self.window = [(0, -1, 0.0, model.root)]
 
-    def _fits(self, before: int, sign: str, k: int) -> bool:
-        """Whether piece ``k`` may come after a piece (or a sign that is none; neither: at the start)."""
-        key = before * len(self.model.pieces) + k if before >= 0 else (sign, k)
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            a = self.model.pieces[before] if before >= 0 else sign
-            got = self.pairs[key] = self.model.may_follow(a, self.model.pieces[k])
+    def _fits(self, before: int, k: int) -> bool:
+        """Whether piece ``k`` may come after a boundary's last piece."""
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        m = self.model
+        a = m.pieces[before] if before >= 0 else chr(-2 - before) if before < -1 else ""
+        got = self.pairs[before * len(m.pieces) + k] = m.may_follow(a, m.pieces[k])
         return got
 
     def run(self, signs: str) -> Iterator[tuple[int, str]]:
+        for path in self.paths(signs):
+            yield from ((k, "") if k >= 0 else (-1, chr(-2 - k)) for k in path)
+
+    def paths(self, signs: str) -> Iterator[list[int]]:
+        """The committed pieces, some at a time, as boundaries have them."""
         m = self.model
-        get, longest, bpe, scores, pairs, size = m.ids.get, m.longest, m.model_type == BPE, m.scores, self.pairs, len(m.pieces)
-        back = m.back
-        text, base = signs, 0  # the window's boundary j lies behind sign base + j
-        same, most = 0, min(len(signs), len(self.last))
-        while same < most and signs[same] == self.last[same]:
+        ids, longest, bpe, scores, size = m.ids, m.longest, m.model_type == BPE, m.scores, len(m.pieces)
+        known, shorter, length, root = self.pairs.get, m.shorter, m.length, m.root
+        base = same = 0  # the window's boundary j lies behind sign base + j
+        for a, b in zip(signs, self.last, strict=False):
+            if a != b:
+                break
             same += 1
-        start, piece, sign, score = (x[: same + 1] for x in self.window)
-        known = pairs.get
-        for i in range(same + 1, len(signs) + 1):
-            at, k, own, best, below, w = -1, -1, "", 0.0, back, i - base
-            while w:  # the trie ends before a piece would be longer than any
-                w -= 1
-                node = below.get(text[base + w])
-                if node is None:
-                    break
-                found, below = node
-                if found < 0 or start[w] < 0:
-                    continue
-                if bpe:
-                    before = piece[w]
-                    fits = known(before * size + found) if before >= 0 else None
-                    if fits is None:
-                        fits = self._fits(before, sign[w], found)
-                    if fits:
-                        at, k = w, found
-                        break
-                elif at < 0 or score[w] + scores[found] >= best:
-                    at, k, best = w, found, score[w] + scores[found]
-            if at < 0 or not bpe:
-                w = i - 1 - base
-                if start[w] >= 0 and get(text[i - 1]) is None and (at < 0 or score[w] + m.lowest > best):
-                    at, k, own, best = w, -1, text[i - 1], score[w] + m.lowest
-            start.append(at)
-            piece.append(k)
-            sign.append(own)
-            score.append(best)
-            n = i - base
+        window = self.window[: same + 1]
+        state = window[-1][3]
+        for i in range(same, len(signs)):
+            c = signs[i]
+            while state and c not in state[0]:
+                state = state[1]
+            state = state[0][c] if state else root
+            at, k, best, n, found = -1, -1, 0.0, i + 1 - base, state[2]
+            while found >= 0:
+                w = n - length[found]
+                if w >= 0 and (left := window[w])[0] >= 0:
+                    if bpe:
+                        fits = known(left[1] * size + found)
+                        if fits or fits is None and self._fits(left[1], found):
+                            at, k = w, found
+                            break
+                    elif at < 0 or left[2] + scores[found] > best:  # of equal ones the longest
+                        at, k, best = w, found, left[2] + scores[found]
+                found = shorter[found]
+            if (at < 0 or not bpe) and c not in ids:
+                left = window[n - 1]
+                if left[0] >= 0 and (at < 0 or left[2] + m.lowest > best):
+                    at, k, best = n - 1, -2 - ord(c), left[2] + m.lowest
+            window.append((at, k, best, state))
             if n >= 2 * longest and n % longest == 0:
                 self.widest = max(self.widest, n)
                 # paths that can go on end at one of the last boundaries: follow them back until they are one
-                alive = {j for j in range(n - longest + 1, n + 1) if start[j] >= 0}
+                alive = {j for j in range(n - longest + 1, n + 1) if window[j][0] >= 0}
                 while len(alive) > 1:
                     j = max(alive)
                     alive.remove(j)
-                    alive.add(start[j])
+                    alive.add(window[j][0])
                 if alive and (j := alive.pop()) > 0:
-                    yield from self._path(start, piece, sign, j)
+                    yield self._path(window, j)
                     base += j
-                    start = [0] + [x - j if x >= j else -1 for x in start[j + 1 :]]
-                    score = [x - score[j] for x in score[j:]]
-                    piece, sign = piece[j:], sign[j:]
+                    _, k, best, to = window[j]
+                    window = [(0, k, 0.0, to)] + [(x - j if x >= j else -1, k, y - best, to) for x, k, y, to in window[j + 1 :]]
         if base or len(signs) > KEPT_SIGNS:
-            self.last, self.window = "", ([0], [-1], [""], [0.0])
+            self.last, self.window = "", [(0, -1, 0.0, root)]
         else:
-            self.last, self.window = signs, (start, piece, sign, score)
-        yield from self._path(start, piece, sign, len(start) - 1)
+            self.last, self.window = signs, window
+        yield self._path(window, len(window) - 1)
 
     @staticmethod
-    def _path(start: list[int], piece: list[int], sign: list[str], j: int) -> list[tuple[int, str]]:
+    def _path(window: list[tuple], j: int) -> list[int]:
         out = []
         while j > 0:
-            out.append((piece[j], sign[j]))
-            j = start[j]
-        return out[::-1]
+            j, k, _, _ = window[j]
+            out.append(k)
+        out.reverse()
+        return out
 
 
 class Encoder:
@@ -299,58 +331,42 @@ class Encoder:
         got = self.known.get(s)
         if got is None:
             out = array("i")
-            for k, sign in self.stream.run(s):
-                if k >= 0:
-                    out.append(k)
-                else:
-                    out.extend(self.model.fallback(sign))
-            got = self._keep(s, out.tobytes())
-        return got
-
-    def _keep(self, s: str, ids: bytes) -> bytes:
-        if len(s) <= KEPT_SIGNS:
-            if len(self.known) >= KEPT_STRETCHES:
-                self.known.clear()
-            self.known[s] = ids
-        return ids
-
-    def _cut(self, s: str) -> list[str]:
-        """``s`` cut wherever no piece spans."""
-        joined, at, out = self.model.side_by_side, 0, []
-        for i in range(1, len(s)):
-            if s[i - 1 : i + 1] not in joined:
-                out.append(s[at:i])
-                at = i
-        out.append(s[at:])
-        return out
-
-    def stretch(self, s: str) -> bytes:
-        """Ids of a stretch as 32-bit numbers."""
-        got = self.known.get(s)
-        if got is None:
-            parts = self._cut(s)
-            got = self._run(s) if len(parts) == 1 else self._keep(s, b"".join(map(self._run, parts)))
+            for path in self.stream.paths(s):
+                if min(path, default=0) < 0:
+                    path = [i for k in path for i in ((k,) if k >= 0 else self.model.fallback(chr(-2 - k)))]
+                out.extend(path)
+            got = out.tobytes()
+            if len(s) <= KEPT_SIGNS:
+                if len(self.known) >= KEPT_STRETCHES:
+                    self.known.clear()
+                self.known[s] = got
         return got
 
     def _parts(self, text: str) -> list[str]:
-        s = self.model.normalize(text)
-        return _STRETCH.findall(s) if self.model.parted else [s] if s else []
+        return self.model.parting.findall(self.model.normalize(text))
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.stretch, self._parts(text))), np.int32)
+        return np.frombuffer(b"".join(map(self._run, self._parts(text))), np.int32)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; unknown stretches are taken in sorted order first."""
-        new: set[str] = set()
-        for t in texts:
-            new.update(self._parts(t))
-        cuts = {s: self._cut(s) for s in new if s not in self.known and len(s) <= KEPT_SIGNS}
-        for s in sorted(set().union(*cuts.values())):
-            self._run(s)
-        for s, parts in cuts.items():
-            if len(parts) > 1:
-                self._keep(s, b"".join(map(self._run, parts)))
-        return [self.encode(t) for t in texts]
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):
+            rows, new, signs = [], set(), 0
+            while not rows or at < len(texts) and signs + len(texts[at]) <= PARTED_SIGNS:
+                parts = self._parts(texts[at])
+                got = list(map(self.known.get, parts))
+                unknown = [i for i, ids in enumerate(got) if ids is None]
+                new.update(map(parts.__getitem__, unknown))
+                rows.append((parts, got, unknown))
+                signs, at = signs + len(texts[at]), at + 1
+            fresh = {s: self._run(s) for s in sorted(new)}
+            for parts, got, unknown in rows:
+                for i in unknown:
+                    got[i] = fresh[parts[i]]
+                out.append(np.frombuffer(b"".join(got), np.int32))
+        return out
 
 
 @lru_cache(maxsize=1)

@@ -377,6 +377,63 @@ def test_stream_commits_before_the_end(model):
     assert max(seen) <= 6 * model.longest < len(s)
 
 
+def test_a_word_is_one_stretch_whatever_stands_behind(model):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_codec.MODEL_PATH)
+    words, stops = [a + b for a in ("in", "Über", "chö", "при") for b in ("ter", "bel", "н", "oso")], list(".,!?)]*&#:\n0漢🤖")
+    texts = [" ".join(w + stop for w in words) for stop in stops]
+    encoder = piece_codec.Encoder(model)
+    assert [x.tolist() for x in encoder.encode_all(texts)] == [sp.encode(t) for t in texts]
+    assert len(encoder.known) <= 2 * len(words) + len(stops)  # words in two scripts are two stretches
+
+
+def test_small_stores_and_groups_change_nothing(model, monkeypatch):
+    own = random.Random(6)
+    texts = ["".join(own.choice("ab the. ,0漢é\n") for _ in range(own.randint(0, 60))) for _ in range(80)] + ["ab " * 50, "x" * 200]
+    want = [x.tolist() for x in piece_codec.Encoder(model).encode_all(texts)]
+    for kept, signs, pairs in ((1, 1 << 20, 5), (7, 40, 1), (1 << 19, 0, 1 << 18)):
+        monkeypatch.setattr(piece_codec, "KEPT_STRETCHES", kept)
+        monkeypatch.setattr(piece_codec, "PARTED_SIGNS", signs)
+        monkeypatch.setattr(piece_codec, "KEPT_PAIRS", pairs)
+        encoder = piece_codec.Encoder(model)
+        assert [x.tolist() for x in encoder.encode_all(texts)] == want and len(encoder.known) <= kept
+        assert [encoder.encode(t).tolist() for t in texts] == want
+
+
+def test_automaton_gives_the_pieces_that_end_at_a_place(model):
+    own = random.Random(7)
+    for _ in range(40):
+        s, state = "".join(own.choice("▁abthegins.漢") for _ in range(30)), model.root
+        for i, c in enumerate(s, 1):
+            while state and c not in state[0]:
+                state = state[1]
+            state = state[0][c] if state else model.root
+            got, k = [], state[2]
+            while k >= 0:
+                got.append(model.pieces[k])
+                k = model.shorter[k]
+            assert got == [s[j:i] for j in range(i) if s[j:i] in model.ids]
+
+
+def test_places_are_parted_where_no_piece_spans():
+    """Pieces with blanks inside, and more groups of signs than the pattern has classes."""
+    own = random.Random(8)
+
+    def msg(n, data):
+        return bytes([n << 3 | 2, len(data)]) + data
+
+    for pieces in (["a▁", "a▁b", "ab", "cc", "a", "b", "c", "▁"], [x + x for x in "abcdefghij"] + ["▁a", "▁▁", "-]", "^["] + list("▁abcdefghij")):
+        data = msg(1, msg(1, b"<unk>") + b"\x18\x02") + b"".join(msg(1, msg(1, p.encode())) for p in pieces)
+        m = piece_codec.Model(data + msg(2, b"\x18\x02"))
+        for _ in range(200):
+            s = m.normalize("".join(own.choice("abcdefghij  -]^[x\n") for _ in range(own.randint(0, 30))))
+            parts = m.parting.findall(s)
+            assert "".join(parts) == s
+            assert not any(x in a[-2:] + b[:2] and x not in a and x not in b for a, b in zip(parts, parts[1:], strict=False) for x in pieces)
+            assert m.encode(s).tolist() == [m.ids.get(p, m.unknown) for p in m.merge(m.normalize(s))]
+
+
 def test_unigram_viterbi_against_brute_force():
     import struct
 
