@@ -3,7 +3,7 @@
 Shapes carry ``x0 y0 x1 y1``; where both sides have a ``ring`` too (points of any shape, open or closed), what lies in what
 and what is common is decided on the rings, behind the boxes; a null ring is its box.  Both sides are listed under every cell their boxes touch, except that cells are
 sized so that most shapes touch few; a pair that meets in several cells is kept once, in the first cell common
-to both.  So the plan is a hash or sort-merge join at any size, and a crowded cell is split by AQE's skew join.
+to both.  So the plan is a sort-merge join at any size, and a crowded cell is split by AQE's skew join.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, overlay
-from .steps import settled
+from .steps import dealt, settled, shuffled
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -37,7 +37,7 @@ def box_join(left: DataFrame, right: DataFrame, keys: list[str], size: float, ho
     )
     a, b = with_cells(left, size), with_cells(grown, size)
     b = b.select(*(F.col(c).alias(f"g_{c}") if c in BOX else F.col(c) for c in b.columns))
-    met = a.join(b, [*keys, "cell_x", "cell_y"]).filter(
+    met = a.join(shuffled(b), [*keys, "cell_x", "cell_y"]).filter(
         (F.col("x0") <= F.col("g_x1")) & (F.col("g_x0") <= F.col("x1")) & (F.col("y0") <= F.col("g_y1")) & (F.col("g_y0") <= F.col("y1"))
         & (F.col("cell_x") == F.greatest(_cell(F.col("x0"), size), _cell(F.col("g_x0"), size)))
         & (F.col("cell_y") == F.greatest(_cell(F.col("y0"), size), _cell(F.col("g_y0"), size)))
@@ -73,8 +73,15 @@ def with_common(met: DataFrame, name: str = "common") -> DataFrame:
     return met.withColumn(name, F.when(some, overlay.common_ring_area(F.when(some, a), F.when(some, b))).otherwise(0.0))
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` with ``size_of`` as a column, so that a pair does not add up its rings again."""
+    return df.withColumn("size_", size_of(df))
+
+
 def size_of(df: DataFrame, prefix: str = "") -> Column:
     """Area of a row's ring, else of its box."""
+    if f"{prefix}size_" in df.columns:
+        return F.col(f"{prefix}size_")
     ring = F.col(f"{prefix}ring") if f"{prefix}ring" in df.columns else None
     return box_area(prefix) if ring is None else F.when(ring.isNull(), box_area(prefix)).otherwise(geometry.area(ring))
 
@@ -105,14 +112,15 @@ def points_in_rings(points: DataFrame, rings: DataFrame, keys: list[str], size:
     r = r.select(*keys, "cell_x", "cell_y", *(F.col(c).alias(f"r_{c}") for c in [*rings.columns, "border"] if c not in keys))
     p = points.withColumns({"cell_x": _cell(F.col("x"), size), "cell_y": _cell(F.col("y"), size)})
     inside = ~F.col("r_border") | geometry.ring_holds(F.col("r_ring"), F.col("x"), F.col("y"))
-    return p.join(r, [*keys, "cell_x", "cell_y"]).filter(inside).drop("cell_x", "cell_y", "r_border")
+    return p.join(shuffled(r), [*keys, "cell_x", "cell_y"]).filter(inside).drop("cell_x", "cell_y", "r_border")
 
 
 def ring_overlaps(left: DataFrame, right: DataFrame, keys: list[str], size: float, how: Column | None = None) -> DataFrame:
     """Pairs of shapes that have area in common: ``common``, and what share it is of either (``of_left``, ``of_right``)."""
-    met = with_common(box_join(left, right, keys, size, how)).filter("common > 0")
+    some = common_area() > 0
+    met = with_common(box_join(sized(left), sized(right), keys, size, some if how is None else how & some)).filter("common > 0")
     a, b = size_of(met), size_of(met, "r_")
-    return met.withColumns({"of_left": F.col("common") / F.nullif(a, F.lit(0.0)), "of_right": F.col("common") / F.nullif(b, F.lit(0.0))})
+    return met.withColumns({"of_left": F.col("common") / F.nullif(a, F.lit(0.0)), "of_right": F.col("common") / F.nullif(b, F.lit(0.0))}).drop("size_", "r_size_")
 
 
 def plot_gaps(plots: DataFrame, zones: DataFrame, keys: list[str], least: float = 1e-4) -> DataFrame:
@@ -122,10 +130,10 @@ def plot_gaps(plots: DataFrame, zones: DataFrame, keys: list[str], least: float
     Only zones whose box meets the plot's come along, as arrays in the plot's row, so a page is one row of a map and no
     group of a task."""
     z = zones.select(*keys, F.col("ring").alias("z_ring"), *(F.col(c).alias(f"z_{c}") for c in BOX))
-    plots = plots.withColumn("plot_", F.monotonically_increasing_id())
-    near = plots.select(*keys, "plot_", *BOX).join(z, keys).filter("x0 < z_x1 and z_x0 < x1 and y0 < z_y1 and z_y0 < y1")
-    rings = near.groupBy("plot_").agg(F.sort_array(F.collect_list("z_ring")).alias("z_rings"))
-    j = plots.select(*keys, "plot_", "ring").join(rings, "plot_", "left").withColumn("all_", F.concat(F.array("ring"), F.coalesce("z_rings", F.array().cast("array<array<array<double>>>"))))
+    near = dealt(plots.withColumn("plot_", F.monotonically_increasing_id()), *keys).join(shuffled(z), keys, "left")
+    meets = F.expr("x0 < z_x1 and z_x0 < x1 and y0 < z_y1 and z_y0 < y1")
+    j = near.groupBy(*keys, "plot_").agg(F.first("ring").alias("ring"), F.sort_array(F.collect_list(F.when(meets, F.col("z_ring")))).alias("z_rings"))
+    j = j.withColumn("all_", F.concat(F.array("ring"), "z_rings"))
     j = j.withColumn("left_", overlay.uncovered("all_"))
     parts = j.select(*keys, geometry.area(F.col("ring")).alias("plot_area"), F.posexplode("left_").alias("part", "p"))
     return parts.filter(F.col("p.area") > F.col("plot_area") * least).select(*keys, "part", F.col("p.area").alias("area"), F.col("p.points").alias("points"), F.col("p.holes").alias("holes"))
@@ -134,7 +142,7 @@ def plot_gaps(plots: DataFrame, zones: DataFrame, keys: list[str], least: float
 def smallest_container(points: DataFrame, shapes: DataFrame, keys: list[str], size: float) -> DataFrame:
     """For each point (id, x, y) the shape (id, box) of least area strictly around it; ties to the least id."""
     p = points.withColumns({"x0": F.col("x"), "x1": F.col("x"), "y0": F.col("y"), "y1": F.col("y")})
-    met = box_join(p, shapes, keys, size)
+    met = box_join(p, sized(shapes), keys, size)
     met = met.filter(holds(met, F.col("x"), F.col("y")))
     return met.groupBy(*keys, "id").agg(F.min(F.struct(size_of(met, "r_").alias("area"), F.col("r_id").alias("shape"))).alias("s")).select(
         *keys, "id", F.col("s.shape").alias("shape"), F.col("s.area").alias("area")
@@ -169,7 +177,8 @@ def dominant_colour(hatches: DataFrame, shapes: DataFrame, keys: list[str], size
 
 def conflicts(shapes: DataFrame, keys: list[str], size: float) -> DataFrame:
     """Pairs of shapes: containment (over 0.7 of the smaller) or intersection (over 0.15 of either)."""
-    met = with_common(box_join(shapes, shapes, keys, size, F.col("id") < F.col("r_id")))
+    own = sized(shapes)
+    met = with_common(box_join(own, own, keys, size, (F.col("id") < F.col("r_id")) & (common_area() > 0)))
     a, b = size_of(met), size_of(met, "r_")
     return (
         met.withColumns({"a": a, "b": b})
@@ -186,16 +195,12 @@ def conflicts(shapes: DataFrame, keys: list[str], size: float) -> DataFrame:
     )
 
 
-def inherited_fill(zones: DataFrame, keys: list[str], size: float) -> DataFrame:
-    """Filled shapes of at most a tenth of the plot whose largest larger filled zone around them (over 0.8 of their
-    area inside) has a similar fill: they are buildings.  ``zones``: id, zone_type, closed, fill, plot_area, box, ring.
-
-    Zones are taken by id, and one that becomes a building loses its fill at once: a later zone whose deciding zone it is
-    keeps its own.  A deciding zone is larger, so rounds of one join each end after as many as the longest such chain."""
-    small = zones.filter("closed and fill is not null and zone_type not in ('plot_boundary', 'minor_context')").filter(
-        size_of(zones) <= F.col("plot_area") * 0.10
-    )
-    parents = zones.filter("closed and fill is not null and zone_type not in ('plot_boundary', 'sub_zone', 'minor_context')")
+def fill_parents(zones: DataFrame, keys: list[str], size: float) -> DataFrame:
+    """keys, id, parent: filled shapes of at most a tenth of the plot and the largest larger filled zone around them (over 0.8
+    of their area inside), where its fill is similar.  ``zones``: id, zone_type, closed, fill, plot_area, box, ring."""
+    filled = sized(zones).filter("closed and fill is not null")
+    small = filled.filter("zone_type not in ('plot_boundary', 'minor_context')").filter(size_of(filled) <= F.col("plot_area") * 0.10)
+    parents = filled.filter("zone_type not in ('plot_boundary', 'sub_zone', 'minor_context')")
     met = box_join(small, parents, keys, size, F.col("id") != F.col("r_id"))
     met = with_common(met.filter(size_of(met, "r_") > size_of(met)))
     inside = met.filter(F.col("common") > 0.8 * size_of(met))
@@ -203,27 +208,36 @@ def inherited_fill(zones: DataFrame, keys: list[str], size: float) -> DataFrame:
         F.max(F.struct(size_of(met, "r_").alias("area"), (-F.col("r_id")).alias("neg"), F.col("r_fill").alias("fill"))).alias("p")
     )
     alike = F.expr("abs(fill[0] - p.fill[0]) < 0.12 and abs(fill[1] - p.fill[1]) < 0.12 and abs(fill[2] - p.fill[2]) < 0.12")
-    like = settled(top.filter(alike).select(*keys, "id", (-F.col("p.neg")).alias("parent")))
+    return top.filter(alike).select(*keys, "id", (-F.col("p.neg")).alias("parent"))
+
+
+def inherited_fill(zones: DataFrame, keys: list[str], size: float) -> DataFrame:
+    """The shapes of ``fill_parents`` are buildings, taken in order of id: one that becomes a building loses its fill at once,
+    and a later zone whose deciding zone it is keeps its own.
+
+    A deciding zone is larger, so rounds of one join each end after as many as the longest such chain."""
+    like = settled(fill_parents(zones, keys, size))
     # those whose deciding zone goes before them and may become a building itself
     first = like.select(*keys, F.col("id").alias("parent"))
-    hangs = settled(like.filter("parent < id").join(first, [*keys, "parent"], "left_semi"))
+    hangs = settled(like.filter("parent < id").join(shuffled(first), [*keys, "parent"], "left_semi"))
     hit = like
     if not hangs.isEmpty():
         kept = hangs.select(*keys, "id")
         while True:
-            gone = like.join(kept, [*keys, "id"], "left_anti").select(*keys, F.col("id").alias("parent"))
-            now = settled(hangs.join(gone, [*keys, "parent"], "left_semi").select(*keys, "id"))
-            same = now.join(kept, [*keys, "id"], "left_anti").isEmpty() and kept.join(now, [*keys, "id"], "left_anti").isEmpty()
+            gone = like.join(shuffled(kept), [*keys, "id"], "left_anti").select(*keys, F.col("id").alias("parent"))
+            now = settled(hangs.join(shuffled(gone), [*keys, "parent"], "left_semi").select(*keys, "id"))
+            same = now.join(shuffled(kept), [*keys, "id"], "left_anti").isEmpty() and kept.join(shuffled(now), [*keys, "id"], "left_anti").isEmpty()
             kept = now
             if same:
                 break
-        hit = like.join(kept, [*keys, "id"], "left_anti")
+        hit = like.join(shuffled(kept), [*keys, "id"], "left_anti")
     return hit.select(*keys, "id", "parent", F.lit("sub_zone").alias("zone_type"))
 
 
 def containers(shapes: DataFrame, keys: list[str], size: float, share: float = 0.8) -> DataFrame:
     """Shapes that hold others (over ``share`` of the inner area), with how many and the inner area."""
-    met = with_common(box_join(shapes, shapes, keys, size, F.col("id") != F.col("r_id")))
+    own = sized(shapes)
+    met = with_common(box_join(own, own, keys, size, (F.col("id") != F.col("r_id")) & (common_area() > 0)))
     return (
         met.filter(F.col("common") > share * size_of(met, "r_"))
         .groupBy(*keys, "id")
@@ -245,7 +259,7 @@ def first_envelope(buildings: DataFrame, envelopes: DataFrame, keys: list[str],
 def empty_envelopes(envelopes: DataFrame, buildings: DataFrame, keys: list[str], size: float) -> DataFrame:
     """Envelopes without any building."""
     taken = first_envelope(buildings, envelopes, keys, size).select(*keys, F.col("envelope").alias("id")).distinct()
-    return envelopes.join(taken, [*keys, "id"], "left_anti")
+    return envelopes.join(shuffled(taken), [*keys, "id"], "left_anti")
 
 
 def neighbour_type(gaps: DataFrame, zones: DataFrame, keys: list[str], size: float) -> DataFrame:

@@ -1,4 +1,6 @@
-"""Cutting long plans: a step that several later ones read is written once, to the shared checkpoint folder."""
+"""Cutting long plans: a step that several later ones read is written once, to the shared checkpoint folder.  Joins of sides
+that grow with the input: their size is guessed from the bytes of a table's file, which says nothing of rows that are
+unfolded or made into rings, so such a guess must not send one to the driver."""
 
 from __future__ import annotations
 
@@ -19,3 +21,14 @@ def settled(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is shuffled and sorted, whatever its guessed size."""
+    return df.hint("merge")
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by keys to as many tasks as ``spark.sql.shuffle.partitions`` says: what comes next takes its time by the
+    row, so few bytes are no reason for few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
