@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, overlay
 from ..operators import drawings, pipelines, spatial
+from ..operators.steps import dealt
 from .fixtures import sql as fx
 from .fixtures import view
 from .queries import _BPROG, ORACLES, QUERIES, _building_programmes, _constraint_sql, query
@@ -156,7 +157,7 @@ where case when iw <= 0 or ih <= 0 then 0 when nw * nh = 0 then iw * ih when va
 def ring_offsets(spark, d):
     """Concave rings moved inwards, mitred."""
     e = _ells(spark, d).select("site", "id", "ring", F.explode(F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0))).alias("d"))
-    m = e.withColumn("m", overlay.moved_inwards("ring", F.col("d") * F.sqrt(F.lit(2.0)), F.lit("mitre")))
+    m = dealt(e, "site", "id", "d").withColumn("m", overlay.moved_inwards("ring", F.col("d") * F.sqrt(F.lit(2.0)), F.lit("mitre")))
     return m.filter("m.area > 1e-7").select("site", "id", "d", F.round("m.area", 4).alias("left_area"))
 
 
