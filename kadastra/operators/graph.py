@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .steps import settled
+from .steps import settled, shuffled
 
 _U, _V = ("ux", "uy"), ("vx", "vy")
 
@@ -35,32 +35,37 @@ def next_edges(edges: DataFrame, keys: list[str]) -> DataFrame:
     to = F.struct("vx", "vy")
     # of each corner and neighbour the neighbour before it, the last one before the first
     turn = e.select(*keys, F.col("ux").alias("vx"), F.col("uy").alias("vy"), F.col("vx").alias("ux"), F.col("vy").alias("uy"), F.coalesce(F.lag(to).over(w), F.last(to).over(all_of)).alias("n"))
-    return e.join(turn, [*keys, *_U, *_V]).select(*keys, *_U, *_V, "angle", F.col("n.vx").alias("nx"), F.col("n.vy").alias("ny"))
+    return e.join(shuffled(turn), [*keys, *_U, *_V]).select(*keys, *_U, *_V, "angle", F.col("n.vx").alias("nx"), F.col("n.vy").alias("ny"))
 
 
 def cycles(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Half-edges (keys, u, v, angle, n) with ``first``, the first half-edge of their cycle (by u, then angle), and ``steps``,
-    how many go on from it to that one."""
-    me = F.struct("ux", "uy", "angle", "vx", "vy")
-    h = settled(edges.select(*keys, F.struct(*_U, *_V).alias("h"), F.struct(F.col("vx").alias("ux"), F.col("vy").alias("uy"), F.col("nx").alias("vx"), F.col("ny").alias("vy")).alias("go"), me.alias("low")))
-    now = h
+    """Half-edges (keys, u, v, angle, n) with ``first``, the number of the first half-edge of their cycle (by u, then angle), and
+    ``steps``, how many go on from it to that one.
+
+    Half-edges are numbered once, so a round moves and keeps a few numbers a half-edge."""
+    named = settled(edges.withColumn("h", F.monotonically_increasing_id()))
+    on = named.select(*keys, F.col("ux").alias("vx"), F.col("uy").alias("vy"), F.col("vx").alias("nx"), F.col("vy").alias("ny"), F.col("h").alias("go"))
+    h = settled(named.join(shuffled(on), [*keys, *_V, "nx", "ny"]).select("h", "go"))
+    now = h.withColumn("low", F.col("h"))
     while True:
-        far = now.select(*keys, F.col("h").alias("go"), F.col("go").alias("go2"), F.col("low").alias("low2"))
-        new = settled(now.join(far, [*keys, "go"]).select(*keys, "h", F.col("go2").alias("go"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")))
+        far = now.select(F.col("h").alias("go"), F.col("go").alias("go2"), F.col("low").alias("low2"))
+        new = settled(now.join(shuffled(far), "go").select("h", F.col("go2").alias("go"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")))
         now = new.drop("moved")
         if new.filter("moved").isEmpty():
             break
-    first = F.struct(*(F.col(f"low.{c}").alias(c) for c in (*_U, *_V)))
-    at = settled(now.select(*keys, "h", first.alias("first")).join(h.select(*keys, "h", "go"), [*keys, "h"]))
-    steps = at.select(*keys, "h", "first", F.when(F.col("h") != F.col("first"), F.col("go")).alias("go"), F.when(F.col("h") == F.col("first"), 0).otherwise(1).alias("steps"))
+    name = now.select("h", "low")
+    order = F.struct(*_U, "angle", *_V)
+    first = name.join(shuffled(named), "h").groupBy("low").agg(F.min_by("h", order).alias("first"))
+    at = name.join(shuffled(first), "low").join(shuffled(h), "h")
+    steps = settled(at.select("h", "first", F.when(F.col("h") != F.col("first"), F.col("go")).alias("go"), F.when(F.col("h") == F.col("first"), 0).otherwise(1).alias("steps")))
     while True:
-        far = steps.select(*keys, F.col("h").alias("go"), F.col("go").alias("go2"), F.col("steps").alias("more"))
+        far = steps.select(F.col("h").alias("go"), F.col("go").alias("go2"), F.col("steps").alias("more"))
         open_ = steps.filter("go is not null")
         if open_.isEmpty():
             break
-        gone = open_.join(far, [*keys, "go"]).select(*keys, "h", "first", F.col("go2").alias("go"), (F.col("steps") + F.col("more")).alias("steps"))
+        gone = open_.join(shuffled(far), "go").select("h", "first", F.col("go2").alias("go"), (F.col("steps") + F.col("more")).alias("steps"))
         steps = settled(steps.filter("go is null").unionByName(gone))
-    return steps.select(*keys, F.col("h.ux").alias("ux"), F.col("h.uy").alias("uy"), F.col("h.vx").alias("vx"), F.col("h.vy").alias("vy"), "first", "steps")
+    return named.select(*keys, *_U, *_V, "h").join(shuffled(steps.select("h", "first", "steps")), "h").select(*keys, *_U, *_V, "first", "steps")
 
 
 def faces(segments: DataFrame, keys: list[str], grid: float = 2.0, least: float = 1.0) -> DataFrame:
@@ -77,6 +82,6 @@ def faces(segments: DataFrame, keys: list[str], grid: float = 2.0, least: float
     )
     found = settled(rings.filter((F.col("area") > least) & (F.size("points") > 2)).select(*keys, "area", "points"))
     top = found.groupBy(*keys).agg(F.max("area").alias("most"))
-    rest = found.join(top, keys).groupBy(*keys, "most").agg(F.count_if(F.col("area") == F.col("most")).alias("ties"), F.max(F.when(F.col("area") < F.col("most"), F.col("area"))).alias("second"))
+    rest = found.join(shuffled(top), keys).groupBy(*keys, "most").agg(F.count_if(F.col("area") == F.col("most")).alias("ties"), F.max(F.when(F.col("area") < F.col("most"), F.col("area"))).alias("second"))
     alone = rest.filter("ties = 1 and second is not null and most > 3 * second").select(*keys, F.col("most").alias("area"))
-    return found.join(alone, [*keys, "area"], "left_anti").select(*keys, "area", "points")
+    return found.join(shuffled(alone), [*keys, "area"], "left_anti").select(*keys, "area", "points")
