@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spatial import box_area, box_join, common_area
-from .steps import settled
+from .steps import settled, shuffled
 
 
 def gone(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -19,12 +19,12 @@ def gone(edges: DataFrame, keys: list[str]) -> DataFrame:
     left = settled(edges.select(*keys, "a", "b").distinct())
     out = left.select(*keys, F.col("b").alias("id")).filter("false")
     while not left.isEmpty():
-        free = left.select(*keys, "a").join(left.select(*keys, F.col("b").alias("a")), [*keys, "a"], "left_anti").distinct()
-        hit = settled(left.join(free, [*keys, "a"], "left_semi").select(*keys, F.col("b").alias("id")).distinct())
+        free = left.select(*keys, "a").join(shuffled(left.select(*keys, F.col("b").alias("a"))), [*keys, "a"], "left_anti").distinct()
+        hit = settled(left.join(shuffled(free), [*keys, "a"], "left_semi").select(*keys, F.col("b").alias("id")).distinct())
         out = out.unionByName(hit)
         left = (
-            left.join(free, [*keys, "a"], "left_anti").join(hit.withColumnRenamed("id", "a"), [*keys, "a"], "left_anti")
-            .join(hit.withColumnRenamed("id", "b"), [*keys, "b"], "left_anti").select(*keys, "a", "b")
+            left.join(shuffled(free), [*keys, "a"], "left_anti").join(shuffled(hit.withColumnRenamed("id", "a")), [*keys, "a"], "left_anti")
+            .join(shuffled(hit.withColumnRenamed("id", "b")), [*keys, "b"], "left_anti").select(*keys, "a", "b")
         )
         left = settled(left)
     return out
@@ -35,7 +35,7 @@ def skip_overlaps(boxes: DataFrame, keys: list[str], size: float, share: float =
     b = boxes.select(*keys, "id", "x0", "y0", "x1", "y1")
     met = box_join(b, b, keys, size, F.col("r_id") < F.col("id"))
     over = met.filter(common_area() > share * box_area()).select(*keys, F.col("r_id").alias("a"), F.col("id").alias("b"))
-    return b.select(*keys, "id").join(gone(over, keys), [*keys, "id"], "left_anti")
+    return b.select(*keys, "id").join(shuffled(gone(over, keys)), [*keys, "id"], "left_anti")
 
 
 def _before(area: Column, other: Column) -> Column:
@@ -55,10 +55,10 @@ def dedup_boxes(boxes: DataFrame, keys: list[str], size: float, ratio: float = 0
         close &= F.abs(F.col(c) - F.col(f"r_{c}")) < near
     same = settled(met.filter(_before(a, o) & F.coalesce(alike, F.lit(False)) & close).select(*keys, F.col("r_id").alias("a"), F.col("id").alias("b"), o.alias("a_area"), a.alias("b_area"), F.col("fill").alias("b_fill")))
     out = settled(gone(same, keys))
-    stay = same.join(out.withColumnRenamed("id", "a"), [*keys, "a"], "left_anti").join(out.withColumnRenamed("id", "b"), [*keys, "b"], "left_semi")
+    stay = same.join(shuffled(out.withColumnRenamed("id", "a")), [*keys, "a"], "left_anti").join(shuffled(out.withColumnRenamed("id", "b")), [*keys, "b"], "left_semi")
     to = stay.groupBy(*keys, "b").agg(F.min(F.struct((-F.col("a_area")).alias("o"), "a"))["a"].alias("id"), F.first("b_area").alias("b_area"), F.first("b_fill").alias("b_fill"))
     given = to.filter("b_fill is not null").groupBy(*keys, "id").agg(F.min(F.struct((-F.col("b_area")).alias("o"), "b", "b_fill"))["b_fill"].alias("given"))
-    kept = b.join(out, [*keys, "id"], "left_anti").join(given, [*keys, "id"], "left")
+    kept = b.join(shuffled(out), [*keys, "id"], "left_anti").join(shuffled(given), [*keys, "id"], "left")
     return kept.select(*keys, "id", F.coalesce("fill", "given").alias("fill"))
 
 
@@ -70,9 +70,9 @@ def cluster(shapes: DataFrame, keys: list[str], size: float, radius: float = 80.
     near = settled(met.filter(_before(F.col("area"), F.col("r_area"))).select(*keys, F.col("r_id").alias("a"), F.col("id").alias("b"), F.col("r_area").alias("a_area")))
     out = settled(gone(near, keys))
     # a head is what stays; of several heads the first one takes a shape
-    taken = near.join(out.withColumnRenamed("id", "a"), [*keys, "a"], "left_anti").join(out.withColumnRenamed("id", "b"), [*keys, "b"], "left_semi")
+    taken = near.join(shuffled(out.withColumnRenamed("id", "a")), [*keys, "a"], "left_anti").join(shuffled(out.withColumnRenamed("id", "b")), [*keys, "b"], "left_semi")
     own = taken.groupBy(*keys, F.col("b").alias("id")).agg(F.min(F.struct((-F.col("a_area")).alias("o"), "a"))["a"].alias("head"))
     members = settled(own.unionByName(own.select(*keys, F.col("head").alias("id"), "head").distinct()))
     groups = members.groupBy(*keys, "head").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     ranked = groups.withColumn("cluster", (F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "least")) - 1).cast("int"))
-    return members.join(ranked, [*keys, "head"]).select(*keys, "id", "head", "cluster")
+    return members.join(shuffled(ranked), [*keys, "head"]).select(*keys, "id", "head", "cluster")
