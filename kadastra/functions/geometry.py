@@ -103,22 +103,25 @@ def edge_angle(p: Column, q: Column) -> Column:
     return F.atan2(q[1] - p[1], q[0] - p[0])
 
 
-def bezier3(p1: Column, p2: Column, p3: Column, p4: Column, n: int = 10) -> Column:
-    def at(i: Column) -> Column:
-        t = i / n
-        u = 1 - t
-        return F.array(*(u * u * u * p1[k] + 3 * u * u * t * p2[k] + 3 * u * t * t * p3[k] + t * t * t * p4[k] for k in (0, 1)))
+def _weighed(weights: list[list[float]], points: list[Column]) -> Column:
+    """Sums of the points, one for each list of weights: written out, as no lambda is compiled."""
+    def total(w: list[float], k: int) -> Column:
+        out = w[0] * points[0][k]
+        for x, p in zip(w[1:], points[1:], strict=True):
+            out = out + x * p[k]
+        return out
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n)), at)
+    return F.array(*(F.array(total(w, 0), total(w, 1)) for w in weights))
 
 
-def bezier2(p1: Column, p2: Column, p3: Column, n: int = 10) -> Column:
-    def at(i: Column) -> Column:
-        t = i / n
-        u = 1 - t
-        return F.array(*(u * u * p1[k] + 2 * u * t * p2[k] + t * t * p3[k] for k in (0, 1)))
+def bezier3(p1: Column, p2: Column, p3: Column, p4: Column, n: int = 10) -> Column:
+    at = [(i / n, 1 - i / n) for i in range(n + 1)]
+    return _weighed([[u * u * u, 3 * u * u * t, 3 * u * t * t, t * t * t] for t, u in at], [p1, p2, p3, p4])
+
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n)), at)
+def bezier2(p1: Column, p2: Column, p3: Column, n: int = 10) -> Column:
+    at = [(i / n, 1 - i / n) for i in range(n + 1)]
+    return _weighed([[u * u, 2 * u * t, t * t] for t, u in at], [p1, p2, p3])
 
 
 def arc(x: Column, y: Column, radius: Column, start: Column, end: Column, n: int = 16) -> Column:

@@ -16,17 +16,20 @@ NUMBERS = {"l": 4, "c": 8, "qu": 6, "re": 4}
 APART = 0.5
 
 
-def item_points(kind: Column, at: Column) -> Column:
-    """Points of an item, its start first; curves in ten steps; null for unknown kinds and wrong numbers of coordinates."""
-    p = [F.array(F.get(at, 2 * i), F.get(at, 2 * i + 1)) for i in range(4)]
-    x0, y0, x1, y1 = (F.get(at, i) for i in range(4))
+def whole_item(kind: Column, at: Column) -> Column:
+    """Whether an item is of a known kind and has all its coordinates."""
     right = F.size(at) == F.coalesce(*(F.when(kind == k, n) for k, n in NUMBERS.items()))
-    whole = right & ~F.exists(at, lambda v: v.isNull() | F.isnan(v))
-    points = (
+    return F.coalesce(right & ~F.exists(at, lambda v: v.isNull() | F.isnan(v)), F.lit(False))
+
+
+def item_points(kind: Column, at: Column) -> Column:
+    """Points of a whole item, its start first; curves in ten steps."""
+    p = [F.array(F.get(at, F.lit(2 * i)), F.get(at, F.lit(2 * i + 1))) for i in range(4)]
+    x0, y0, x1, y1 = (F.get(at, F.lit(i)) for i in range(4))
+    return (
         F.when(kind == "l", F.array(p[0], p[1])).when(kind == "c", geometry.bezier3(*p)).when(kind == "qu", geometry.bezier2(*p[:3]))
         .when(kind == "re", F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1), F.array(x0, y0)))
     )
-    return F.when(F.coalesce(whole, F.lit(False)), points)
 
 
 def reconstruct_paths(items: DataFrame, keys: list[str], style: list[str] = ()) -> DataFrame:
@@ -36,12 +39,15 @@ def reconstruct_paths(items: DataFrame, keys: list[str], style: list[str] = ())
     its points.  An item of an unknown kind or with missing coordinates is as if it were not there.  The style is that of
     the path's first item."""
     own = [*keys, "path"]
-    whole = items.withColumn("pts", item_points(F.col("kind"), F.col("at"))).filter("pts is not null")
+    whole = items.filter(whole_item(F.col("kind"), F.col("at")))
     w = Window.partitionBy(*own).orderBy("seq")
-    before, first = F.lag(F.element_at("pts", -1)).over(w), F.get("pts", F.lit(0))
-    goes_on = (F.col("kind") != "re") & (F.abs(before[0] - first[0]) <= APART) & (F.abs(before[1] - first[1]) <= APART)
-    new = F.when(F.coalesce(goes_on, F.lit(False)), F.slice("pts", 2, F.size("pts"))).otherwise(F.col("pts"))
-    runs = whole.withColumn("run", new)
+    # a box ends where it starts, others in their last point; points are made behind the shuffle
+    end = F.when(F.col("kind") == "re", F.slice("at", 1, 2)).otherwise(F.slice("at", -2, 2))
+    ends = whole.withColumn("before", F.lag(end).over(w))
+    goes_on = (F.col("kind") != "re") & (F.abs(F.get("before", F.lit(0)) - F.get("at", F.lit(0))) <= APART) & (F.abs(F.get("before", F.lit(1)) - F.get("at", F.lit(1))) <= APART)
+    points = item_points(F.col("kind"), F.col("at"))
+    runs = ends.withColumn("goes_on", F.coalesce(goes_on, F.lit(False))).withColumn("run", points)
+    runs = runs.withColumn("run", F.when(F.col("goes_on"), F.slice("run", 2, F.size("run"))).otherwise(F.col("run")))
     paths = runs.groupBy(*own).agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "run"))), lambda r: r["run"])).alias("points"),
         *(F.min_by(c, "seq").alias(c) for c in style),
